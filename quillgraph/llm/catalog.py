@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import sharding, urls, warc
+from quillgraph.llm import jaccard, sharding, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -31,6 +31,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES).drop("p_block")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", n=3, per_cent=90)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
@@ -38,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
