@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import jaccard, sharding, urls, warc
+from quillgraph.llm import jaccard, packing, sharding, token_counts, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -31,6 +32,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES).drop("p_block")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    digest = packed.tokens.select("piece_id", F.crc32("ids").alias("ids_crc32"))
+    return packed.pieces.join(digest, "piece_id").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", n=3, per_cent=90)
 
@@ -42,6 +53,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op10_sharding": op10_sharding,
 }
