@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import jaccard, packing, sharding, token_counts, urls, warc
+from quillgraph.llm import jaccard, packing, sharding, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -46,6 +46,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", n=3, per_cent=90)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
