@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import jaccard, packing, sharding, token_counts, toxicity, urls, warc
+from quillgraph.llm import decontaminate, jaccard, packing, sharding, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -52,6 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
