@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected_components
@@ -28,7 +28,7 @@ from quillgraph.runtime import materialise
 GROUP = 16
 #: A block of a family holds about so many tokens and documents at most.
 BLOCK_TOKENS = 500_000
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 512
 #: Largest list of representatives that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Words that a task remembers before it starts anew.
@@ -174,7 +174,10 @@ def _stars(keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    stars = dealt.mapInArrow(run, "a long, b long").distinct()
+    # a node joins its hubs: link each of them with the smallest instead (a node has no more hubs than keys)
+    first = stars.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("first"))
+    return first.select("a", F.col("first").alias("b")).union(first.select("b", "first")).where("a <> b").distinct()
 
 
 def _open_groups(query: list, data: list, per_cent: int, same: bool):
