@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, packing, sharding, token_counts, toxicity, urls, warc
+from quillgraph.llm import decontaminate, jaccard, packing, privacy, sharding, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -42,6 +42,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [privacy.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in privacy.KINDS]
+    return found.select("doc_id", *counts, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"), privacy.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", n=3, per_cent=90)
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_private_data": op5_private_data,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
