@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, packing, privacy, sharding, token_counts, toxicity, urls, warc
+from quillgraph.llm import decontaminate, jaccard, packing, privacy, search, sharding, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -62,6 +62,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 100 = 0"), "doc_id", "text", "doc_id", "text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_search": op9_search,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
