@@ -27,8 +27,13 @@ DIMENSIONS = 96
 COSINE, COMMON, ANSWER = 0.35, 0.6, 0.5
 #: Words of an item that count as its answer: the rarest.
 ANSWER_WORDS = 4
-#: A word in a larger share of all passages says nothing.
-COMMON_WORD = 0.05
+#: An item of which so much is found needs no check of its answer.
+SURE = 0.75
+#: A word in a larger share of all passages says nothing, unless it is among the rarest of an item.
+COMMON_WORD = 0.002
+KEPT_WORDS = 8
+#: Distinct telling words of a passage that is looked at (fewer if some item has fewer).
+LEAST_WORDS = 2
 #: Benchmark items of one pass over the passages.
 BLOCK = 2000
 SEED = 20240229
@@ -193,12 +198,15 @@ class Space:
     basis: np.ndarray
 
 
-def latent_space(encoded: DataFrame, size: int, dimensions: int = DIMENSIONS) -> Space:
+def latent_space(encoded: DataFrame, size: int, items: list[list[int]], dimensions: int = DIMENSIONS) -> Space:
     """Randomised SVD of the TF-IDF matrix of all passages: a random range, one power step, then the small problem."""
     count = _frequencies(encoded, size)
     passages = max(count[size], 1)
     weight = np.log((passages + 1) / (count[:size] + 1)) + 1
-    weight[count[:size] > max(COMMON_WORD * passages, 50)] = 0
+    telling = count[:size] <= max(COMMON_WORD * passages, 50)
+    for words in items:
+        telling[sorted(set(words), key=lambda w: (count[w], w))[:KEPT_WORDS]] = True
+    weight[~telling] = 0
     wide = min(dimensions, size)
     start = np.random.default_rng(SEED).standard_normal((size, wide))
     span, _ = np.linalg.qr(_gather(encoded, weight, start, wide=True) + 1e-9 * start)
@@ -227,9 +235,10 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
     def run(batches):
         space, items = held.value
         weight, basis, known = space.weight, space.basis, space.weight > 0
-        vectors, answers = [], []
+        vectors, answers, least = [], [], LEAST_WORDS
         for _, words in items:
             distinct = np.unique([w for w in words if w >= 0]).astype(np.int64)
+            least = min(least, max(1, int(known[distinct].sum())))
             vectors.append((basis[distinct] * weight[distinct, None]).sum(0) if len(distinct) else np.zeros(basis.shape[1]))
             answers.append(set(sorted((int(w) for w in distinct), key=lambda w: (-weight[w], w))[:ANSWER_WORDS]))
         targets = np.array(vectors, np.float32).reshape(len(items), -1)
@@ -238,18 +247,24 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
             out = []
             if not len(part.first):
                 continue
-            image, _ = _weighted(part.passage, part.word, len(part.first), weight, basis)
+            enough = np.bincount(part.passage, minlength=len(part.first)) >= least
+            if not enough.any():
+                continue
+            entry, place = enough[part.passage], np.cumsum(enough) - 1
+            doc, first = part.doc[enough], part.first[enough]
+            image, _ = _weighted(place[part.passage[entry]], part.word[entry], len(first), weight, basis)
             image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-12)
             near = image @ targets.T
             best: dict[tuple, tuple] = {}
             for at, item in zip(*np.nonzero(near >= COSINE), strict=True):
-                wanted, words = items[item][1], part.words[part.doc[at]]
-                low = max(0, int(part.first[at]) - len(wanted))
-                text = words[low : int(part.first[at]) + PASSAGE + len(wanted)].tolist()
+                wanted, words = items[item][1], part.words[doc[at]]
+                low = max(0, int(first[at]) - len(wanted))
+                text = words[low : int(first[at]) + PASSAGE + len(wanted)].tolist()
                 answer = len(answers[item] & set(text)) / max(1, len(answers[item]))
-                if answer >= ANSWER and (share := common_subsequence(wanted, text) / len(wanted)) >= COMMON:
+                share = common_subsequence(wanted, text) / len(wanted)
+                if share >= SURE or (share >= COMMON and answer >= ANSWER):
                     found = (share, answer, float(near[at, item]), -low, low + len(text))
-                    key = int(part.doc[at]), int(item)
+                    key = int(doc[at]), int(item)
                     best[key] = max(best.get(key, found), found)
             out = [(part.ids[d], items[k][0], -b[3], b[4], b[2], b[0], b[1]) for (d, k), b in sorted(best.items())]
             types = [pa.int64()] * 4 + [pa.float64()] * 3
@@ -280,8 +295,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         if items and (row is None or len(items) == block):
             vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
             encoded = materialise(_encode(texts, vocabulary), "passages")
-            space = latent_space(encoded, len(vocabulary))
-            hits = _search(encoded, space, [(number, [vocabulary[w] for w in words]) for number, words in items])
+            coded = [(number, [vocabulary[w] for w in words]) for number, words in items]
+            space = latent_space(encoded, len(vocabulary), [words for _, words in coded])
+            hits = _search(encoded, space, coded)
             found = hits if found is None else found.union(hits)
             items = []
         if row is None:
