@@ -156,7 +156,7 @@ def test_search_matches_brute_force(spark, monkeypatch, terms, shard):
     for x in sorted(found, key=lambda x: x.rank):
         got[x.query_id].append((x.doc_id, round(x.score, 6)))
     for q in [k for k in bags if k % 20 == 0]:
-        chosen = sorted(bags[q], key=lambda w: (-bags[q][w] * idf[w], xxhash.xxh64_intdigest(w) >> 1))[:terms]
+        chosen = sorted(bags[q], key=lambda w: (-bags[q][w] * (search.K1 + 1) / (bags[q][w] + search.K1) * idf[w], xxhash.xxh64_intdigest(w) >> 1))[:terms]
         scores = {d: sum(idf[w] * search.impact(b[w], size[d], mean) for w in chosen if w in b) for d, b in bags.items() if any(w in b for w in chosen)}
         want = sorted(((d, round(s, 6)) for d, s in scores.items()), key=lambda x: (-x[1], x[0]))[:7]
         assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want], abs=2e-6)
