@@ -144,6 +144,23 @@ def parse_web_citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("is_url", F.col("source").rlike("^https?://"))
 
 
+def citation_locations(evidence: DataFrame) -> DataFrame:
+    """Per (query_id, doc): sorted distinct pages, from the ``page`` property or ``page N`` in the text, and sections."""
+    named = F.when(F.col("page").isNotNull(), F.array(F.expr("try_cast(page as int)"))).otherwise(F.array().cast("array<int>"))
+    told = F.transform(F.regexp_extract_all(F.lower(F.coalesce("evidence", F.lit(""))), F.lit(r"page ([0-9]{1,6})"), 1), lambda n: n.cast("int"))
+    pages = evidence.select("query_id", "doc", "section", F.explode_outer(F.concat(named, told)).alias("p"))
+    # a document has few pages and sections
+    return pages.groupBy("query_id", "doc").agg(F.sort_array(F.collect_set("p")).alias("pages"), F.sort_array(F.collect_set("section")).alias("sections"))
+
+
+def extract_citations(docs: DataFrame, entities: DataFrame, relations: DataFrame, locations: DataFrame) -> DataFrame:
+    """One citation for each distinct document that is not blank: title, year, confidence, locations and its place by confidence."""
+    known = docs.where(F.trim("doc") != "").select("query_id", "doc").distinct()
+    rows = document_confidence(known, entities, relations).join(locations, ["query_id", "doc"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.col("confidence").desc(), "doc")
+    return rows.select("query_id", "doc", T.filename_title(F.col("doc")).alias("title"), T.year_of(F.col("doc")).alias("year"), "confidence", "pages", "sections", F.row_number().over(order).alias("place"))
+
+
 def citation_statistics(citations: DataFrame) -> DataFrame:
     c = F.col("confidence")
     return citations.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("best"), F.min(c).alias("worst"))

@@ -116,6 +116,28 @@ def parse_web_citations(spark, sf_dir):
     return confidence.parse_web_citations(table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("t")), "id", "t")
 
 
+_PLACES = "loc as (select query_id, doc, string_agg(distinct p::varchar, ',' order by p::varchar) pages from (select query_id, doc, unnest([100 + l_linenumber, 100 + entity_id % 7]) p from (select * from ent union all select * from rel)) group by all)"
+
+
+def _places(spark, sf_dir):
+    _, e, r = _evidence(spark, sf_dir)
+    rows = e.unionByName(r).select("query_id", "doc", (100 + F.col("l_linenumber")).cast("string").alias("page"), F.lit(None).cast("string").alias("section"), F.concat(F.lit("see Page "), (100 + F.col("entity_id") % 7).cast("string")).alias("evidence"))
+    return confidence.citation_locations(rows)
+
+
+@query(f"with {_EVIDENCE}, {_PLACES} select query_id, doc, pages from loc")
+def citation_locations(spark, sf_dir):
+    return _places(spark, sf_dir).select("query_id", "doc", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"with {_EVIDENCE}, {_CONF}, {_PLACES} select c.query_id, c.doc, '20' || lpad((split_part(c.doc, '_', 2)::int % 25)::varchar, 2, '0') as year_text, 'Study ' || split_part(c.doc, '_', 2) title, confidence, coalesce(pages, '') pages, row_number() over (partition by c.query_id order by confidence desc, c.doc)::int place from conf c left join loc using (query_id, doc)")
+def extract_citations(spark, sf_dir):
+    rows = confidence.extract_citations(*_evidence(spark, sf_dir), _places(spark, sf_dir))
+    tail = F.regexp_extract("doc", "_(20[0-9]{2})[.]", 1)
+    title = F.concat_ws(" ", F.lit("Study"), F.regexp_extract("doc", "_([0-9]+)_", 1))
+    return rows.select("query_id", "doc", tail.alias("year_text"), title.alias("title"), "confidence", F.coalesce(F.array_join(F.col("pages").cast("array<string>"), ","), F.lit("")).alias("pages"), "place")
+
+
 @query(f"with {_EVIDENCE}, {_CONF} select query_id, count(*) n, count_if(confidence >= 0.8)::bigint high, count_if(confidence >= 0.6 and confidence < 0.8)::bigint medium, count_if(confidence < 0.6)::bigint low, round(avg(confidence), 6) mean, max(confidence) best, min(confidence) worst from conf group by 1")
 def citation_statistics(spark, sf_dir):
     return confidence.citation_statistics(confidence.document_confidence(*_evidence(spark, sf_dir)))
