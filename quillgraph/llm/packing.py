@@ -8,6 +8,8 @@ Only the histogram, whose size does not depend on the data, comes to the driver.
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,42 +31,76 @@ GAP = 5e-4
 MAX_COLUMNS = 20_000
 #: Weight of the stable prices against the simplex prices when a column is priced.
 PULL = 0.8
+#: Marks that are often written right after a word.
+MARKS = frozenset(".,;:!?")
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Pieces of one length are ranked in groups of about so many.
 RANKED = 2000
 
 PIECE = "doc_id long, doc_tokens long, start long, length long, ids binary"
 
 
+def _sign(byte: int) -> str:
+    """The printable sign that a byte-level vocabulary writes for a byte from 128 on."""
+    if 0xA1 <= byte <= 0xFF and byte != 0xAD:
+        return chr(byte)
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return chr(256 + hidden.index(byte))
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normaliser and splitter never look across white space, so the ids of a text are
-    those of its words, and a word is encoded once for as long as it is remembered. Texts in which
+    those of its words, and a word is encoded once for as long as it is remembered. Words of lower-case Latin letters
+    need no normalising or splitting and go to the vocabulary's merges at once. Texts in which
     white space or special tokens could be understood differently are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        # the vocabulary spells other than ASCII letters by a sign for each byte
+        self.spelled = {k: "".join(map(_sign, chr(k).encode())) for k in range(128, 256)}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, text: str) -> bool:
-        return not any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special))
+        parts = (texts[at : at + 2048] for at in range(0, len(texts), 2048))
+        return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str] | None:
+        """The text's words, lower-cased where that is done letter by letter; None if it is to be encoded whole."""
+        if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()
+
+    def _learn(self, words: list[list[str] | None]) -> None:
+        known = self.known
+        unseen = {w for row in words if row is not None for w in row if w not in known}
+        if len(known) + len(unseen) > REMEMBERED:
+            known.clear()
+            unseen = set().union(*(row for row in words if row is not None))
+        # a mark after letters is a token of its own
+        marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha()]
+        parts = unseen.difference(marked).union(*((w[:-1], w[-1]) for w in marked))
+        new = [w for w in parts if w not in known]
+        letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]
+        tokenize = self.tokenizer.model.tokenize
+        known.update((w, array("I", [t.id for t in tokenize(w.translate(self.spelled))]).tobytes()) for w in letters)
+        plain = [w for w in new if w not in known]
+        known.update(zip(plain, self._encode(plain), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").split() if self._plain(t or "") else None for t in texts]
-        unseen = set().union(*(w for w in words if w is not None)) - self.known.keys()
-        if len(self.known) + len(unseen) > REMEMBERED:
-            self.known.clear()
-            unseen = set().union(*(w for w in words if w is not None))
-        new = list(unseen)
-        self.known.update(zip(new, self._encode(new), strict=True))
+        words = [self._words(t or "") for t in texts]
+        self._learn(words)
         return [(b"".join(map(self.known.__getitem__, w)) if w is not None else self._encode([t])[0]) + self.end for t, w in zip(texts, words, strict=True)]
 
 

@@ -41,7 +41,7 @@ def test_knapsack_matches_brute_force():
         assert value == pytest.approx(best[30]) and pattern @ worth == pytest.approx(value) and pattern @ sizes <= 30
 
 
-TEXTS = ["It's the CAT's 3rd naïve Größe", "<|endoftext|> a <|startoftext|>b", "a\x1cb c\x1f d", "日本語 のテスト é e\u0301", "\u00a0x\u2003y\u3000z", "", None, "don't 'll 've", "İstanbul ΣΑΣ", "word " * 5000]
+TEXTS = ["It's the CAT's 3rd naïve Größe", "<|endoftext|> a <|startoftext|>b", "a\x1cb c\x1f d", "日本語 のテスト é e\u0301", "\u00a0x\u2003y\u3000z", "", None, "don't 'll 've", "İstanbul ΣΑΣ", "word " * 5000, " ".join(a + b + c for a in "aàÿßæµªz" for b in "éñöxÁ" for c in ["", ".", "..", ",", "!?", "õê"])]
 
 
 def test_word_encoder_matches_the_tokenizer():
