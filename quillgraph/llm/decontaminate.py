@@ -32,10 +32,10 @@ SURE = 0.75
 #: A word in a larger share of all passages says nothing, unless it is among the rarest of an item.
 COMMON_WORD = 0.002
 KEPT_WORDS = 8
-#: Distinct telling words of a passage that is looked at (fewer if some item has fewer).
+#: Distinct telling words that a candidate passage shares with an item (fewer if the item has fewer).
 LEAST_WORDS = 2
 #: Benchmark items of one pass over the passages.
-BLOCK = 2000
+BLOCK = 500
 SEED = 20240229
 
 HIT = "doc_id long, item_id long, first_word long, last_word long, cosine double, common double, answer double"
@@ -235,10 +235,12 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
     def run(batches):
         space, items = held.value
         weight, basis, known = space.weight, space.basis, space.weight > 0
-        vectors, answers, least = [], [], LEAST_WORDS
-        for _, words in items:
+        vectors, answers = [], []
+        holds, least = np.zeros((len(weight), len(items)), np.uint8), np.full(len(items), LEAST_WORDS)
+        for k, (_, words) in enumerate(items):
             distinct = np.unique([w for w in words if w >= 0]).astype(np.int64)
-            least = min(least, max(1, int(known[distinct].sum())))
+            holds[distinct[known[distinct]], k] = 1
+            least[k] = min(LEAST_WORDS, max(1, int(known[distinct].sum())))
             vectors.append((basis[distinct] * weight[distinct, None]).sum(0) if len(distinct) else np.zeros(basis.shape[1]))
             answers.append(set(sorted((int(w) for w in distinct), key=lambda w: (-weight[w], w))[:ANSWER_WORDS]))
         targets = np.array(vectors, np.float32).reshape(len(items), -1)
@@ -247,16 +249,23 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
             out = []
             if not len(part.first):
                 continue
-            enough = np.bincount(part.passage, minlength=len(part.first)) >= least
+            some = (np.bincount(part.passage, minlength=len(part.first)) >= least.min())[part.passage]
+            if not some.any():
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(part.passage[some]) > 0]))
+            shares = np.add.reduceat(holds[part.word[some]], cut, axis=0) >= least
+            enough = np.zeros(len(part.first), bool)
+            enough[part.passage[some][cut]] = shares.any(1)
             if not enough.any():
                 continue
+            shares = shares[shares.any(1)]
             entry, place = enough[part.passage], np.cumsum(enough) - 1
             doc, first = part.doc[enough], part.first[enough]
             image, _ = _weighted(place[part.passage[entry]], part.word[entry], len(first), weight, basis)
             image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-12)
             near = image @ targets.T
             best: dict[tuple, tuple] = {}
-            for at, item in zip(*np.nonzero(near >= COSINE), strict=True):
+            for at, item in zip(*np.nonzero((near >= COSINE) & shares), strict=True):
                 wanted, words = items[item][1], part.words[doc[at]]
                 low = max(0, int(first[at]) - len(wanted))
                 text = words[low : int(first[at]) + PASSAGE + len(wanted)].tolist()
