@@ -8,12 +8,12 @@ contribute to a match, so the matrix has one column for each of them, and its si
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +37,14 @@ LEAST_WORDS = 2
 #: Benchmark items of one pass over the passages.
 BLOCK = 500
 SEED = 20240229
+WORD = re.compile(r"[^\W_]+")
 
 HIT = "doc_id long, item_id long, first_word long, last_word long, cosine double, common double, answer double"
 
 
 def split_words(text: str | None) -> list[str]:
     """Lower-case runs of letters and digits."""
-    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    return WORD.findall((text or "").lower())
 
 
 class _Ids(dict):
