@@ -1,14 +1,17 @@
 """Exact top-k search: a sharded inverted index, BM25, and block-max WAND.
 
 Every task turns its documents into shards of bounded size, each with its own inverted index. Term
-frequencies over all documents, their number and their mean length are global, so scores do not depend on the shards. A query visits each shard
-with block-max WAND, which skips documents that cannot reach the shard's k-th score; the shards' results merge to the exact top k.
+frequencies over all documents, their number and their mean length are global, so scores do not depend on the shards. All terms
+of a query count. Queries visit each shard in blocks: short ones with block-max WAND, which skips documents that cannot reach the
+shard's k-th score; long ones, for which no bound is tight, by adding up all their postings. The shards' results merge to the exact top k.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,20 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: A shard holds at most so many postings (or one document more).
 SHARD_POSTINGS = 3_000_000
-#: Terms of a query made from a whole document: those that say most about it.
-QUERY_TERMS = 16
+#: Queries of at most so many terms in a shard are answered by block-max WAND, longer ones by adding up all postings.
+WAND_TERMS = 8
 TOP = 10
-#: Largest list of query terms that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Query terms that are held against the index at once.
+QUERY_BLOCK = 1_000_000
+#: Scores, and postings, that a shard works on at once.
+CELLS, PIECE = 2_000_000, 500_000
+#: A product of full matrices takes about this part of the time of adding up one posting.
+DENSE = 64
+#: Contributions are multiples of this, so sums of them are exact in any order and copies of a document tie.
+QUANTUM = 2.0**-34
 REMEMBERED = 400_000
 
-INDEX = "shard long, term long, n long, postings binary"
+INDEX = "shard long, n long, ids binary, lengths binary, terms binary, counts binary, postings binary"
 _POSTING = np.dtype([("doc", "<u4"), ("tf", "<u2")])
 _MOST = 65535
 
@@ -53,14 +62,14 @@ class _Hashes(dict):
 def _bag(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray, int]:
     found = terms_of(text)
     ids, tf = np.unique(np.fromiter(map(hashes.__getitem__, found), np.int64, len(found)), return_counts=True)
-    return ids, np.minimum(tf, _MOST), len(found)
+    return ids, np.minimum(tf, _MOST).astype("<u2"), len(found)
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Rows (shard, term, n, postings) from (doc_id, text).
+    """A row for each shard from (doc_id, text).
 
-    ``postings`` holds the shard's local document numbers and frequencies. The row of a shard without a term lists its documents
-    (ids and lengths), with ``n`` documents. Texts without words are indexed too; rows without an id are not.
+    ``ids`` and ``lengths`` are of its ``n`` documents, ``terms`` are sorted, each with its number of postings in ``counts``;
+    ``postings`` holds local document numbers and frequencies, term after term. Texts without words are indexed too; rows without an id are not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,20 +80,14 @@ def build_index(docs: DataFrame) -> DataFrame:
             number = task << 20 | made
             local = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(t) for t in terms])
             term, freq = np.concatenate(terms), np.concatenate(freqs)
+            terms.clear()
+            freqs.clear()
             order = np.argsort(term, kind="stable")
             term, postings = term[order], np.empty(len(order), _POSTING)
             postings["doc"], postings["tf"] = local[order], freq[order]
-            cut = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
-            ends = np.concatenate([cut[1:], [len(term)]]) if len(cut) else cut
-            table = np.array(ids, "<i8").tobytes() + np.array(lengths, "<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.int64()), pa.array([len(ids)]), pa.array([table], pa.binary())], names=["shard", "term", "n", "postings"])
-            data = pa.py_buffer(postings.tobytes())
-            for at in range(0, len(cut), 50_000):
-                part = slice(at, at + 50_000)
-                size = _POSTING.itemsize
-                offsets = np.append(cut[part], ends[part][-1:]).astype(np.int32) * size
-                lists = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), number)), pa.array(term[cut[part]]), pa.array((ends - cut)[part]), lists], names=["shard", "term", "n", "postings"])
+            found, counts = np.unique(term, return_counts=True)
+            parts = [np.array(ids, "<i8"), np.array(lengths, "<i8"), found.astype("<i8"), counts.astype("<i8"), postings]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["shard", "n", "ids", "lengths", "terms", "counts", "postings"])
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -195,73 +198,156 @@ def block_max_wand(lists: list[tuple[float, np.ndarray, np.ndarray]], k: int, id
     return sorted(((s, -i) for s, i, _ in heap), key=lambda x: (-x[0], x[1]))
 
 
-def _run_shards(rows: DataFrame, mean: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score) from rows sorted by shard and query; a shard's documents come first."""
+@dataclass
+class Block:
+    """Queries and their terms: ``at`` of each entry is the query's place in ``queries``, ``column`` the term's in ``terms`` (sorted)."""
+
+    queries: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    at: np.ndarray
+    column: np.ndarray
+
+
+def block_of(rows: pa.Table) -> Block:
+    query, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
+    order = np.lexsort((term, query))
+    queries, at = np.unique(query[order], return_inverse=True)
+    terms, first, column = np.unique(term[order], return_index=True, return_inverse=True)
+    return Block(queries, terms, weight[order][first], at.astype(np.int32), column.astype(np.int32))
 
-    def run(batches):
-        held, docs, query, lists, out = None, (None, None), None, [], []
 
-        def answer():
-            for score, doc in block_max_wand(lists, k, docs[0]):
-                out.append((query, doc, score))
+def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each slice, one slice after the other."""
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
+
+def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, documents, scores) of the k best documents of one shard for each query of a block.
+
+    Terms that many queries and many documents hold are added up as a product of full matrices, the others posting by posting.
+    """
+    if not len(terms) or not len(block.queries):
+        return
+    place = np.minimum(np.searchsorted(terms, block.terms), len(terms) - 1)
+    here = terms[place] == block.terms
+    size = np.where(here, counts[place], 0)
+    source = (np.cumsum(counts) - counts)[place]
+    begin = np.cumsum(size) - size
+    doc, gain, upto, low = np.empty(size.sum(), np.int32), np.empty(size.sum()), np.cumsum(size), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(upto, begin[low] + PIECE, "right")))
+        found, own = postings[_slices(source[low:high], size[low:high])], slice(begin[low], upto[high - 1])
+        doc[own] = found["doc"]
+        value = np.repeat(block.weights[low:high], size[low:high]) * impact(found["tf"].astype(float), lengths[found["doc"]], mean)
+        gain[own] = np.maximum(np.round(value / QUANTUM), 1) * QUANTUM
+        low = high
+    kept = here[block.column]
+    at, column, n = block.at[kept].astype(np.int64), block.column[kept].astype(np.int64), len(ids)
+    held = np.bincount(at, minlength=len(block.queries))
+    short = held <= WAND_TERMS
+    ends = np.cumsum(held)
+    for q in np.flatnonzero(short & (held > 0)):
+        own = [slice(begin[c], begin[c] + size[c]) for c in column[ends[q] - held[q] : ends[q]]]
+        best = block_max_wand([(1.0, doc[x], gain[x]) for x in own], k, ids)
+        yield np.full(len(best), block.queries[q]), np.array([d for _, d in best], np.int64), np.array([x for x, _ in best])
+    many = np.bincount(column, minlength=len(block.terms)) * size * DENSE > len(block.queries) * n
+    long = np.flatnonzero(~short)
+    step = max(1, CELLS // n)
+    for low in range(0, len(long), step):
+        group = long[low : low + step]
+        entries = _slices((ends - held)[group], held[group])
+        row, col = np.repeat(np.arange(len(group)), held[group]), column[entries]
+        scores = np.zeros((len(group), n))
+        full = many[col]
+        wide = np.unique(col[full])
+        for start in range(0, len(wide), step):
+            slab = wide[start : start + step]
+            inside = full & (col >= slab[0]) & (col <= slab[-1])
+            asked, table = np.zeros((len(group), len(slab))), np.zeros((len(slab), n))
+            asked[row[inside], np.searchsorted(slab, col[inside])] = 1
+            which = _slices(begin[slab], size[slab])
+            table[np.repeat(np.arange(len(slab)), size[slab]), doc[which]] = gain[which]
+            scores += asked @ table
+        row, col = row[~full], col[~full]
+        upto = np.cumsum(size[col])
+        start = 0
+        while start < len(col):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PIECE, "right")))
+            r, c = row[start:stop], col[start:stop]
+            which = _slices(begin[c], size[c])
+            cell = np.repeat((r - r[0]) * n, size[c]) + doc[which]
+            rows = r[-1] - r[0] + 1
+            scores[r[0] : r[-1] + 1] += np.bincount(cell, gain[which], rows * n).reshape(rows, n)
+            start = stop
+        least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(group))
+        query, local = np.nonzero((scores >= least[:, None]) & (scores > 0))
+        score = scores[query, local]
+        order = np.lexsort((ids[local], -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        best = order[rank < k]
+        yield block.queries[group[query[rank < k]]], ids[local[best]], score[best]
+
+
+def _run_shards(index: DataFrame, block, mean: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of a broadcast block of queries on each shard."""
+
+    def run(batches):
         for batch in batches:
-            for shard, q, term, weight, postings in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (shard, q) != (held, query) and lists:
-                    answer()
-                    lists = []
-                held, query = shard, q
-                if term is None:
-                    table = np.frombuffer(postings, "<i8")
-                    docs = table[: len(table) // 2], table[len(table) // 2 :]
-                    continue
-                found = np.frombuffer(postings, _POSTING)
-                local = found["doc"].astype(np.int64)
-                lists.append((weight, local, impact(found["tf"].astype(float), docs[1][local], mean)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "doc_id", "score"])
-                out.clear()
-        if lists:
-            answer()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "doc_id", "score"])
+            for n in range(batch.num_rows):
+                ids, lengths, terms, counts = (np.frombuffer(batch.column(c)[n].as_buffer(), "<i8") for c in range(4))
+                postings = np.frombuffer(batch.column(4)[n].as_buffer(), _POSTING)
+                for query, doc, score in score_shard(block.value, ids, lengths, terms, counts, postings, mean, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("ids", "lengths", "terms", "counts", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for terms, counts in zip(batch.column(0), batch.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8")) for x in (terms, counts)], names=["term", "n"])
 
 
-def search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id_col: str, query_text_col: str, k: int = TOP, query_terms: int = QUERY_TERMS) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id_col: str, query_text_col: str, k: int = TOP, query_terms: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): the exact BM25 top ``k`` of every query over all documents.
 
-    A query is the ``query_terms`` distinct terms of its whole text with the largest idf times saturated
-    frequency, ``tf (k1 + 1) / (tf + k1)`` (ties: the smaller term hash), weighted by idf; give a large number for all terms. Ties in score are won by the smaller document
+    A query is the bag of all distinct terms of its whole text, each weighted by idf. With ``query_terms`` a caller asks for
+    a shorter query: the terms with the largest idf times saturated frequency, ``tf (k1 + 1) / (tf + k1)`` (ties: the smaller term hash).
+    Contributions are rounded to 2^-34. Ties in score are won by the smaller document
     id. Only documents that share a term with the query are returned, so a query may have fewer than ``k``.
     Queries with null or empty text, or without an id, return nothing; rows that repeat an id are documents
     (or, among queries, one query with the terms of all of them) of that id; other columns are left out, so their names
     cannot clash. No rows give no rows.
     """
     index = materialise(build_index(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "search-index")
-    shards = index.where("term is null")
-    lengths = shards.select("n", F.col("postings")).mapInArrow(_sum_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    lengths = index.select("n", "lengths").mapInArrow(_sum_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     count, mean = lengths["n"] or 0, max((lengths["words"] or 0) / max(lengths["n"] or 1, 1), 1e-9)
     bags = query_bags(queries.where(F.col(query_id_col).isNotNull()).select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_text_col).alias("text")))
     bags = bags.groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
-    spread = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    spread = index.select("terms", "counts").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.log(1 + (F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = bags.join(spread, "term").withColumn("weight", weight)
-    telling = F.col("tf") * (K1 + 1) / (F.col("tf") + K1) * F.col("weight")
-    best = Window.partitionBy("query_id").orderBy(telling.desc(), "term")
-    chosen = materialise(weighted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms).select("query_id", "term", "weight"), "search-queries")
-    small = chosen.count() <= BROADCAST_ROWS
-    hits = index.where("term is not null").join(F.broadcast(chosen) if small else chosen, "term")
-    rows = hits.select("shard", "query_id", "term", "weight", "postings").union(shards.select("shard", F.lit(None).cast("long").alias("query_id"), "term", F.lit(0.0), "postings"))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first(), "term")
+    if query_terms is not None:
+        telling = F.col("tf") * (K1 + 1) / (F.col("tf") + K1) * F.col("weight")
+        best = Window.partitionBy("query_id").orderBy(telling.desc(), "term")
+        weighted = weighted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
+    chosen = materialise(weighted.select("query_id", "term", "weight"), "search-queries")
+    blocks = max(1, -(-chosen.count() // QUERY_BLOCK))
+    answers = []
+    for number in range(blocks):
+        part = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        block = docs.sparkSession.sparkContext.broadcast(block_of(part.toArrow()))
+        answers.append(materialise(_run_shards(index, block, mean, k), "search-answers"))
+        block.destroy()
     merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    found = _run_shards(dealt, mean, k).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+    found = reduce(DataFrame.union, answers).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "doc_id", "score")
 
 
 def _sum_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for n, table in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = int(np.frombuffer(table, "<i8")[n:].sum())
+        for n, lengths in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = int(np.frombuffer(lengths.as_py(), "<i8").sum())
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([words], pa.int64())], names=["n", "words"])

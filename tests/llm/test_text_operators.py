@@ -164,6 +164,24 @@ def test_search_matches_brute_force(spark, monkeypatch, terms, shard):
     assert search.search(df.where("false"), df.where("false"), "doc_id", "text", "doc_id", "text").count() == 0
 
 
+def test_search_uses_every_term_of_a_query(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 2000)
+    r = random.Random(21)
+    docs = {k: " ".join(f"t{int(r.expovariate(0.01))}" for _ in range(r.randint(0, 150))) for k in range(400)}
+    docs[400] = docs[401] = docs[20]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {(x.query_id, x.rank): (x.doc_id, x.score) for x in search.search(df, df.where("doc_id % 20 = 0"), "doc_id", "text", "doc_id", "text").collect()}
+    bags = {k: Counter(search.terms_of(t)) for k, t in docs.items()}
+    size = {k: sum(b.values()) for k, b in bags.items()}
+    mean, n = sum(size.values()) / len(size), len(size)
+    idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in Counter(w for b in bags.values() for w in b).items()}
+    for q in [k for k in bags if k % 20 == 0]:
+        scores = {d: sum(idf[w] * search.impact(b[w], size[d], mean) for w in bags[q] if w in b) for d, b in bags.items()}
+        want = sorted(((d, s) for d, s in scores.items() if s), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+        assert [got[q, k + 1][0] for k in range(len(want))] == [d for d, _ in want] and (q, len(want) + 1) not in got
+        assert [got[q, k + 1][1] for k in range(len(want))] == pytest.approx([s for _, s in want], abs=1e-6)
+
+
 def test_pipeline_stages_hand_on_documents(spark, tmp_path):
     import corpus_pipeline
 
