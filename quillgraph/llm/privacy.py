@@ -1,8 +1,8 @@
-"""Personal data: patterns, and information-theoretic sanitisation of the words around them.
+"""Personal data: patterns, and information-theoretic sanitisation of the words that give them away.
 
-Patterns find the protected entities. How much a nearby term tells about an entity is estimated from the corpus: the pointwise
+Patterns find the protected entities. How much a term of the same text tells about an entity is estimated from the corpus: the pointwise
 mutual information of term and entity over distinct texts, as a share of the information that the entity itself carries.
-Above one threshold a term is generalised to a placeholder, above a higher one it is removed. Everything is built from
+Above one threshold a term is generalised to a placeholder, above a higher one it is removed, wherever a text that holds an entity has it. Everything is built from
 column expressions, joins and aggregations.
 """
 
@@ -16,11 +16,10 @@ from quillgraph.runtime import materialise
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the spans that the method adds.
 GENERALISED, REMOVED = "term", "removed"
-#: Characters on either side of an entity in which terms are looked at.
-CONTEXT = 60
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE_AT, REMOVE_AT = 0.5, 0.8
-#: Distinct texts in which term and entity must occur together before the estimate counts.
+#: Distinct texts in which term and entity must occur together before the estimate counts: in a single text every word
+#: that is rare in the corpus would seem to give the entity away.
 SUPPORT = 2
 #: Largest list of terms that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -78,45 +77,56 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).otherwise(_digits(span["value"])))
 
 
-def _side(text: Column, begin: Column, length: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms in a stretch of text with their places; a word cut off at the stretch's far end is left out."""
-    raw = F.substring(text, begin + 1, length)
-    left = F.when(cut_left, F.regexp_replace(raw, r"\A[\p{L}\p{N}]+", "")).otherwise(raw)
-    clean = F.when(cut_right, F.regexp_replace(left, r"[\p{L}\p{N}]+\z", "")).otherwise(left)
-    shift = begin + F.length(raw) - F.length(left)
-    return F.transform(_located(clean, _TERM, GENERALISED), lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end")))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that other places stay as they are."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    step = lambda a, s: F.struct(
+        F.greatest(a["at"], s["end"]).alias("at"),
+        F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)))).alias("out"),
+    )
+    done = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
+    return F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """(hash, entity, term, start, end) for each term near an entity, of texts that have one."""
-    some = docs.where(F.col("text").rlike("[@0-9]")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+def _terms(text: Column) -> Column:
+    """The distinct terms of a whole text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))
 
-    def near(s: Column) -> Column:
-        text = F.col("text")
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = _side(text, begin, s["start"] - begin, begin > 0, F.lit(False))
-        right = _side(text, s["end"], F.lit(CONTEXT), F.lit(False), s["end"] + CONTEXT < F.length(text))
-        return F.struct(_entity(s).alias("entity"), F.concat(left, right).alias("terms"))
 
-    spans = some.select("hash", "base", F.explode(F.transform("base", near)).alias("e"))
-    terms = spans.select("hash", "base", F.col("e.entity").alias("entity"), F.explode("e.terms").alias("t"))
-    own = F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"]))
-    return terms.where(~own).select("hash", "entity", "t.term", "t.start", "t.end").distinct()
+def _marked(text: Column, marks: Column) -> Column:
+    """Spans of all occurrences in a whole text of the terms that ``marks`` maps to a kind."""
+    between = F.split(text, _TERM, -1)
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), F.lower(m).alias("term"), F.try_element_at(marks, F.lower(m)).alias("kind")))
+
+    def add(a: Column, p: Column) -> Column:
+        start, end = a["at"] + p["gap"], a["at"] + p["gap"] + p["size"]
+        span = F.struct(p["kind"].alias("kind"), start.alias("start"), end.alias("end"), p["term"].alias("value"))
+        return F.struct(end.alias("at"), F.when(p["kind"].isNotNull(), F.array_append(a["spans"], span).cast(SPAN)).otherwise(a["spans"]).alias("spans"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), add, lambda a: a["spans"])
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(hash, entity, term) for each entity and each term of the same whole text outside its entities; null is the term of a text without any."""
+    some = docs.where(F.col("text").rlike("[@0-9]")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).dropDuplicates(["hash"])
+    held = some.select("hash", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
+    return held.select("hash", F.explode("entities").alias("entity"), "terms").select("hash", "entity", F.explode_outer("terms").alias("term"))
 
 
 def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): the share of an entity's information that a term near it discloses.
+    """(entity, term, share): the share of an entity's information that a term of the same texts discloses.
 
     ``share = PMI(entity; term) / IC(entity)`` with ``PMI = log2(N n_et / (n_e n_t))`` and ``IC = log2(N / n_e)``, where N
     counts distinct texts, n_e those that hold the entity, n_t those that hold the term anywhere and n_et those that
-    hold them near each other. Copies of a text count once. Pairs seen together in fewer than ``support`` texts are no evidence.
+    hold both. Copies of a text count once. Pairs seen together in fewer than ``support`` texts are no evidence.
     """
-    together = contexts.select("entity", "term", "hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    together = contexts.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     holds = contexts.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = materialise(together.join(holds, "entity"), "privacy-pairs")
     wanted = pairs.select("term").distinct()
-    words = docs.where("text is not null").select("hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    few = pairs.count() <= BROADCAST_ROWS
+    words = docs.where("text is not null").select("hash", F.explode(_terms(F.col("text"))).alias("term"))
+    few = wanted.count() <= BROADCAST_ROWS
     spread = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.where("text is not null").select("hash").distinct().agg(F.count("*").alias("total"))
     scored = pairs.join(spread, "term").crossJoin(F.broadcast(total))  # one row on the right
@@ -125,14 +135,14 @@ def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT) ->
     return scored.select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("share"))
 
 
-def _terms_of(docs: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
-    """(hash, added): the spans of disclosing terms of each distinct text that has any."""
+def _marks_of(docs: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
+    """(hash, marks): the disclosing terms of each distinct text that has an entity, with their kinds; whatever entity they disclose."""
     contexts = materialise(_contexts(docs), "privacy-contexts")
-    told = disclosures(docs, contexts, support).where(F.col("share") >= generalise_at)
-    placed = contexts.join(told, ["entity", "term"]).groupBy("hash", "start", "end").agg(F.max(F.struct("share", "term")).alias("s"))
-    placed = placed.select("hash", F.when(F.col("s.share") >= remove_at, REMOVED).otherwise(GENERALISED).alias("kind"), "start", "end", F.col("s.term").alias("value"))
-    # a text has no more of these than terms near its own entities
-    return placed.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).cast(SPAN).alias("added"))
+    told = disclosures(docs, contexts, support).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
+    told = materialise(told.select("term", F.when(F.col("share") >= remove_at, REMOVED).otherwise(GENERALISED).alias("kind")), "privacy-terms")
+    few = told.count() <= BROADCAST_ROWS
+    # a text has no more of these than terms
+    return contexts.select("hash", "term").distinct().join(F.broadcast(told) if few else told, "term").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
 
 
 def _rewrite(text: Column, spans: Column) -> Column:
@@ -150,17 +160,19 @@ def _rewrite(text: Column, spans: Column) -> Column:
 def sanitise(df: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
     """All rows and columns of ``df`` with ``base`` (pattern spans), ``added`` (term spans) and ``clean`` (the new text).
 
+    Every occurrence of a disclosing term in a text that holds an entity is a span; texts without entities stay as they are.
     Spans are (kind, start, end, value) in code points, the end exclusive. ``clean`` is null where the text is null.
     Rows with equal texts are treated alike. Columns that are already called base, added or clean are
     replaced. No rows give no rows.
     """
     rows = df.drop("base", "added", "clean").withColumn("_hash", F.xxhash64(F.col(text_col)))
     docs = rows.select(F.col(text_col).alias("text"), F.col("_hash").alias("hash"))
-    added = _terms_of(docs, generalise_at, remove_at, support).withColumnRenamed("hash", "_hash")
+    marks = _marks_of(docs, generalise_at, remove_at, support).withColumnRenamed("hash", "_hash").withColumnRenamed("marks", "_marks")
     none = F.array().cast(SPAN)
     spotted = rows.withColumn("base", base_spans(F.col(text_col)))
-    # only texts with an entity can have terms that disclose it: the others are not shuffled
-    some = spotted.where(F.size("base") > 0).join(added, "_hash", "left").withColumn("added", F.coalesce("added", none))
+    # texts without an entity stay as they are: they are not shuffled
+    some = spotted.where(F.size("base") > 0).join(marks, "_hash", "left")
+    some = some.withColumn("added", F.when(F.col("_marks").isNotNull(), _marked(_blanked(F.col(text_col), F.col("base")), F.col("_marks"))).otherwise(none)).drop("_marks")
     found = spotted.where(F.size("base") == 0).withColumn("added", none).unionByName(some)
     every = F.concat("base", "added")
     clean = F.when(F.size(every) > 0, _rewrite(F.col(text_col), every)).otherwise(F.col(text_col))

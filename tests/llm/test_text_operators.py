@@ -64,6 +64,18 @@ def test_disclosing_terms_are_hidden(spark):
     assert privacy.sanitise(df.where("false")).count() == 0
 
 
+def test_disclosing_terms_are_hidden_in_whole_texts(spark):
+    filler = "the day of matter on which nothing was said of it " * 8
+    rows = [(k, f"Dear Quimby{k % 2}, 😀 {filler} write to boss@town.org case {k} {filler} yours, Springfield. SPRINGFIELD!") for k in range(4)]
+    rows += [(10 + k, f"{filler} number {k}") for k in range(200)] + [(300, f"{filler} a@b.org to springfield alone")]
+    got = {r.doc_id: r for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        want = [m.span() for m in re.finditer("springfield|quimby[01]|dear|yours|write|case" if k < 4 else "springfield", text.lower())]
+        assert [(s.start, s.end) for s in got[k].added] == want, k
+    assert "Springfield" not in got[0].clean and "SPRINGFIELD" not in got[0].clean and "Quimby0" not in got[0].clean
+    assert got[300].clean == f"{filler} [EMAIL] to  alone" and got[10].clean == got[10].text
+
+
 def labelled(n=900):
     r = random.Random(9)
     words, bad = [f"w{k}" for k in range(300)], ["scum", "idiot", "moron"]
