@@ -4,11 +4,11 @@ The join works on a token-group matrix. Similar documents are partitioned into g
 the union of its members' tokens (a row of the matrix), the overlap of a query with that union bounds its
 overlap with any member, and only groups whose bound reaches the threshold are opened.
 
-At scale the matrix is never formed for unrelated documents. Sets that can reach the threshold differ in
-few tokens; cut the token space into one range more than that number, and two such sets agree
-in at least one whole range. Documents that agree in a range form a family, found with linear work
-(a star for each agreement); no linked pair lies outside a family. A family is the unit of work; a large one
-is dealt out as pairs of blocks of bounded size. Inside a unit the matrix prunes and groups are opened.
+At scale the matrix is never formed for unrelated documents. A set links with another only if enough of its tokens
+occur in other sets at all: tokens are counted over the whole corpus, by ranges of their hashes, and sets with too few shared ones are
+done. The tokens of the others are put in order from rare to frequent; two linked sets share one of the first
+``n - ceil(t n) + 1``, so sets that share such a token form a family, found with linear work (a star for each token).
+A family is the unit of work; a large one is dealt out as pairs of blocks of bounded size. Inside a unit the matrix prunes and groups are opened.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected_components
@@ -31,6 +32,9 @@ BLOCK_TOKENS = 500_000
 BLOCK_DOCS = 512
 #: Largest list of representatives that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Tokens that a task compares before it sends them on, and tokens of a range in which they are counted.
+CHUNK_TOKENS, RANGE_TOKENS = 500_000, 2_000_000
+CHUNK_DOCS = 60_000
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -75,42 +79,6 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-class SizeClasses:
-    """Size classes: a set and a larger one that it may link with lie in the same or in adjacent ones."""
-
-    def __init__(self, per_cent: int):
-        self.p, self.low = per_cent, [1]
-
-    def of(self, size: int) -> int:
-        while self.low[-1] <= size:
-            self.low.append(self.low[-1] * 100 // self.p + 1)
-        return int(np.searchsorted(self.low, size, side="right")) - 1
-
-    def ranges(self, size_class: int) -> int:
-        """One more than the tokens in which linked sets can differ, the smaller one in this class."""
-        high = self.low[size_class + 1] - 1
-        return (high + high * 100 // self.p) * (100 - self.p) // (100 + self.p) + 1
-
-
-def agreement_keys(tokens: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """A key for each token range of the own size class and of the class below.
-
-    Linked sets share at least one key. Sets of a class without room for a difference have none: equal sets are
-    one node already.
-    """
-    own = classes.of(len(tokens))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens * _M1))])
-    keys = []
-    for c in (own, own - 1):
-        if c < 0 or (k := classes.ranges(c)) < 2:
-            continue
-        place = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        cut = np.searchsorted(place, np.arange(k + 1, dtype=np.uint64))
-        part = sums[cut[1:]] - sums[cut[:-1]]
-        keys.append(_mix(part + np.arange(k, dtype=np.uint64) * _M2 + np.full(1, c + 1, np.uint64) * _M3))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
-
-
 def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes | None]:
     return (v.as_py() for v in batch.column(column).cast(pa.binary()))
 
@@ -127,13 +95,42 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def _keys(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
-    """(key, node) for each agreement key; a task emits equal sets once."""
+_SENT = "range long, chunk long, tokens binary, owners binary"
+_SHARED = "chunk long, owner long, node long, n long, shared long"
+#: The owner of a token that several sets of a chunk hold: they have counted it already.
+_COUNTED = 65_535
+
+
+def _sent(docs: DataFrame, n: int, ranges: int) -> DataFrame:
+    """The tokens of each chunk of documents, by ranges of their hashes; a task takes equal sets once.
+
+    A token that several sets of the chunk hold is sent once, whatever their number, so a frequent token makes no more rows than
+    there are chunks. The row with the range -1 - chunk has the chunk's nodes and, as 64-bit pairs in ``owners``, their
+    numbers of tokens and of tokens shared within the chunk.
+    """
+
+    def chunk_rows(chunk: int, nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])
+        times = np.diff(np.append(np.flatnonzero(new), len(flat)))
+        local = np.bincount(owner, np.repeat(times, times) > 1, len(sets)).astype(np.int64)
+        token, owner = _mix(flat[new] * _M1), np.where(times > 1, _COUNTED, owner[new]).astype("<u2")
+        place = (((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, token, owner = place[order], token[order].astype("<u4"), owner[order]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])), len(place))
+        rows = [(int(place[i]), chunk, token[i:j].tobytes(), owner[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        rows.append((-1 - chunk, chunk, np.array(nodes, "<i8").tobytes(), np.stack([sizes, local], 1).astype("<i8").tobytes()))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=["range", "chunk", "tokens", "owners"])
 
     def run(batches):
-        words, classes, seen = _Words(), SizeClasses(per_cent), set()
+        words, seen, task, made = _Words(), set(), TaskContext.get().partitionId(), 0
+        nodes, sets, held = [], [], 0
         for batch in batches:
-            keys, nodes, held = [], [], 0
             for doc, text in zip(batch.column(0), _texts(batch), strict=True):
                 if doc.as_py() is None:
                     continue
@@ -143,41 +140,142 @@ def _keys(docs: DataFrame, n: int, per_cent: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                own = agreement_keys(tokens, classes)
-                keys.append(own.view(np.int64))
-                nodes.append(np.full(len(own), node, np.int64))
-                held += len(own)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-                    keys, nodes, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                nodes.append(node)
+                sets.append(tokens)
+                held += len(tokens)
+                if held >= CHUNK_TOKENS or len(nodes) >= CHUNK_DOCS:
+                    yield chunk_rows(task << 32 | made, nodes, sets)
+                    nodes, sets, held, made = [], [], 0, made + 1
+        if nodes:
+            yield chunk_rows(task << 32 | made, nodes, sets)
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, _SENT)
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """(a, b): each node of a key with the smallest node of that key; linear in the rows."""
+def _shared(sent: DataFrame) -> DataFrame:
+    """(chunk, owner, node, n, shared): parts of each set's number of tokens that other sets hold too.
+
+    A range is a bounded share of all tokens. Its tokens are compared by 32 further bits of their hashes: tokens
+    that fall together only seem shared, which can't lose a link.
+    """
+
+    def part(columns) -> pa.RecordBatch:
+        kinds = _SHARED.split(", ")
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in kinds])
+
+    def counted(rows: list) -> pa.RecordBatch:
+        token = np.concatenate([t for _, t, _ in rows])
+        chunk = np.repeat(np.arange(len(rows)), [len(t) for _, t, _ in rows])
+        key = chunk << 16 | np.concatenate([o for _, _, o in rows]).astype(np.int64)
+        order = np.argsort(token, kind="stable")
+        token, key = token[order], key[order]
+        same = token[1:] == token[:-1]
+        hit = (np.append(same, False) | np.insert(same, 0, False)) & (key & 0xFFFF != _COUNTED)
+        key, times = np.unique(key[hit], return_counts=True)
+        none = np.full(len(key), None)
+        return part([np.array([c for c, _, _ in rows])[key >> 16], key & 0xFFFF, none, none, times])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            for place, chunk, tokens, owners in zip(*(batch.column(k) for k in range(4)), strict=True):
+                place, chunk = place.as_py(), chunk.as_py()
+                if place < 0:
+                    nodes, sizes = np.frombuffer(tokens.as_py(), "<i8"), np.frombuffer(owners.as_py(), "<i8").reshape(-1, 2)
+                    yield part([np.full(len(nodes), chunk), np.arange(len(nodes)), nodes, sizes[:, 0], sizes[:, 1]])
+                    continue
+                if place != now:
+                    if len(rows) > 1:
+                        yield counted(rows)
+                    now, rows = place, []
+                rows.append((chunk, np.frombuffer(tokens.as_py(), "<u4"), np.frombuffer(owners.as_py(), "<u2")))
+        if len(rows) > 1:
+            yield counted(rows)
+
+    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(run, _SHARED)
+
+
+def _survivors(docs: DataFrame, n: int, per_cent: int, tokens: int) -> DataFrame:
+    """(node): the sets that hold enough tokens of other sets to link with one; ``tokens`` are there in all."""
+    parts = _shared(_sent(docs, n, max(1, -(-tokens // RANGE_TOKENS))))
+    whole = parts.groupBy("chunk", "owner").agg(F.max("node").alias("node"), F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    return whole.where(100 * F.col("shared") >= per_cent * F.col("n")).select("node").distinct()
+
+
+def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(node, copies, tokens) of the nodes of ``members`` (doc_id, node, copies), from the texts of their documents."""
+
+    def run(batches):
+        words = _Words()
+        for batch in batches:
+            node = batch.column(2).to_pylist()
+            sets = [shingles(t, n, words) for t in _texts(batch)]
+            keep = [k for k, s in enumerate(sets) if len(s) and node_of(s) == node[k]]
+            rest = batch.select([2, 3]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["node", "copies", "tokens"])
+
+    small = members.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "text", "node", "copies")
+    return texts.mapInArrow(run, "node long, copies long, tokens binary")
+
+
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, node, n) rows of token sets."""
+    for batch in batches:
+        for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = np.frombuffer(tokens.as_py(), np.int64)
+            for at in range(0, len(held), 100_000):
+                some = held[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), node)), pa.array(np.full(len(some), len(held)))], names=["token", "node", "n"])
+
+
+def prefix_of(tokens: np.ndarray, times: np.ndarray, size: int, per_cent: int) -> np.ndarray:
+    """The tokens by which a set of ``size`` tokens meets every set that it links with.
+
+    ``tokens`` are those that ``times`` > 1 sets hold. In the order from rare to frequent (ties by token), two linked
+    sets share one of the first ``size - ceil(per_cent size / 100) + 1``; the tokens of one set alone come before the others.
+    """
+    room = size - -(-per_cent * size // 100) + 1 - (size - len(tokens))
+    return tokens[np.lexsort((tokens, times))[: max(room, 0)]]
+
+
+def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
+    """(key, node): the prefix tokens of each set, counted over the given sets."""
+    spelt = sets.select("node", "tokens").mapInArrow(_spelt, "token long, node long, n long")
+    times = spelt.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    known = spelt.join(times, "token")
+
+    def prefix(node, n, tokens, times):
+        tokens, times = np.concatenate(tokens), np.concatenate(times)
+        tokens, first = np.unique(tokens, return_index=True)  # a repeated row repeats its tokens
+        own = prefix_of(tokens, times[first], n, per_cent)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], names=["key", "node"])
 
     def run(batches):
-        last, hub = None, 0
+        now, size, tokens, times = None, 0, [], []
         for batch in batches:
-            key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            if not len(key):
+            token, node, n, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(node):
                 continue
-            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            hubs = np.where(start >= 0, node[np.maximum(start, 0)], hub)
-            last, hub = key[-1], hubs[-1]
-            pairs = np.unique(np.stack([hubs, node], 1)[hubs != node], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            cut = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), len(node))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if node[i] != now:
+                    if tokens:
+                        yield prefix(now, size, tokens, times)
+                    now, size, tokens, times = node[i], int(n[i]), [], []
+                tokens.append(token[i:j])
+                times.append(count[i:j])
+        if tokens:
+            yield prefix(now, size, tokens, times)
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
-    stars = dealt.mapInArrow(run, "a long, b long").distinct()
-    # a node joins its hubs: link each of them with the smallest instead (a node has no more hubs than keys)
-    first = stars.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("first"))
-    return first.select("a", F.col("first").alias("b")).union(first.select("b", "first")).where("a <> b").distinct()
+    dealt = known.select("token", "node", "n", "times").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(run, "key long, node long")
+
+
+def _stars(keys: DataFrame) -> DataFrame:
+    """(a, b): each node of a key with the smallest node of that key; linear in the rows, minima are combined before the shuffle."""
+    hubs = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    return keys.join(hubs, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def _open_groups(query: list, data: list, per_cent: int, same: bool):
@@ -283,26 +381,16 @@ def _links(dealt: DataFrame, per_cent: int) -> DataFrame:
     return dealt.mapInArrow(run, "node long, root long, linked long")
 
 
-def _deal(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """Each representative's token set, once for each unit that needs it, in order of units."""
-
-    def run(batches):
-        words = _Words()
-        for batch in batches:
-            node = batch.column(2).to_pylist()
-            sets = [shingles(t, n, words) for t in _texts(batch)]
-            keep = [k for k, s in enumerate(sets) if len(s) and node_of(s) == node[k]]
-            rest = batch.select([2, 3, 4, 5, 6]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["node", "family", "blocks", "block", "copies", "tokens"])
-
-    small = members.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "text", "node", "family", "blocks", "block", "copies")
-    sets = texts.mapInArrow(run, "node long, family long, blocks long, block long, copies long, tokens binary")
-    one = sets.where("blocks = 1").select(F.xxhash64("family").alias("unit"), F.lit(0).alias("pair"), F.lit(0).cast("long").alias("side"), "node", "copies", "tokens", F.col("family"))
+def _deal(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Each node's token set, once for each unit that needs it, in order of units."""
+    placed = members.select("node", "family", "blocks", "block")
+    small = placed.count() <= BROADCAST_ROWS
+    sets = sets.join(F.broadcast(placed) if small else placed, "node")
+    one = sets.where("blocks = 1").select(F.xxhash64("family").alias("unit"), F.lit(0).alias("pair"), F.lit(0).cast("long").alias("side"), "node", "copies", "tokens")
     many = sets.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    many = many.select(F.xxhash64("family", low, high).alias("unit"), (low != high).cast("int").alias("pair"), F.col("block").alias("side"), "node", "copies", "tokens", "family")
-    return one.union(many).repartition("unit").sortWithinPartitions("unit", "side", "node").select("unit", "pair", "side", "node", "copies", "tokens")
+    many = many.select(F.xxhash64("family", low, high).alias("unit"), (low != high).cast("int").alias("pair"), F.col("block").alias("side"), "node", "copies", "tokens")
+    return one.union(many).repartition("unit").sortWithinPartitions("unit", "side", "node")
 
 
 def similar_documents(df: DataFrame, id_col: str, text_col: str, n: int = 5, per_cent: int = 80) -> DataFrame:
@@ -323,11 +411,15 @@ def similar_documents(df: DataFrame, id_col: str, text_col: str, n: int = 5, per
     nodes = materialise(_nodes(docs, n), "jaccard-nodes")
     known = nodes.where("doc_id is not null and node is not null")
     per_node = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    families = connected_components(_stars(_keys(docs, n, per_cent)).select("a", "b"))
-    members = families.join(per_node, "node").withColumnRenamed("component", "family")
+    tokens = per_node.agg(F.sum("n")).first()[0] or 0
+    some = per_node.join(_survivors(docs, n, per_cent, tokens), "node").select("doc_id", "node", "copies", "n")
+    some = materialise(some, "jaccard-survivors")
+    sets = materialise(_sets(docs, some.select("doc_id", "node", "copies"), n), "jaccard-sets")
+    families = connected_components(_stars(materialise(_prefixes(sets, per_cent), "jaccard-prefixes")))
+    members = families.join(some, "node").withColumnRenamed("component", "family")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
-    members = materialise(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("doc_id", "node", "family", "blocks", "block", "copies"), "jaccard-members")
-    links = materialise(_links(_deal(docs, members, n), per_cent), "jaccard-links")
+    members = materialise(members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).select("node", "family", "blocks", "block"), "jaccard-members")
+    links = materialise(_links(_deal(sets, members), per_cent), "jaccard-links")
     linked = links.groupBy("node").agg(F.sum("linked").alias("linked"), F.min("root").alias("root"))
     if not members.where("blocks > 1").isEmpty():
         # what one unit joined, another may join further

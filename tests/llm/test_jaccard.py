@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import jaccard
 from quillgraph.llm.components import connected_components
@@ -70,17 +71,43 @@ def test_rows_without_id_and_empty_table(spark):
 def test_linked_sets_share_a_key():
     r = random.Random(1)
     for p in (70, 80, 90):
-        classes = jaccard.SizeClasses(p)
         for _ in range(300):
-            a = {r.getrandbits(64) for _ in range(r.randint(2, 200))}
+            a = {r.getrandbits(63) for _ in range(r.randint(2, 200))}
             b = set(a)
             for _ in range(r.randint(0, len(a) // 5 + 1)):
                 b.discard(next(iter(b)) if r.random() < 0.5 else -1)
                 if r.random() < 0.5:
-                    b.add(r.getrandbits(64))
+                    b.add(r.getrandbits(63))
             if b and a != b and 100 * len(a & b) >= p * len(a | b):
-                x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-                assert np.intersect1d(jaccard.agreement_keys(x, classes), jaccard.agreement_keys(y, classes)).size
+                # what both hold occurs twice, and some of the rest elsewhere too
+                times = {x: r.randint(2, 9) for x in a | b if x in a & b or r.random() < 0.5}
+                x, y = (jaccard.prefix_of(*(np.array([f(t) for t in s if t in times]) for f in (int, times.get)), len(s), p) for s in (a, b))
+                assert np.intersect1d(x, y).size
+
+
+def test_shared_tokens_are_counted_over_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 50)
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice("abcdefghij") + r.choice("klmnopqrst") for _ in range(r.randint(1, 40)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {jaccard.node_of(s): s for s in (jaccard.shingles(t.encode(), 2, jaccard._Words()) for _, t in rows)}
+    times = Counter(x for s in sets.values() for x in s.tolist())
+    parts = jaccard._shared(jaccard._sent(df, 2, 7)).groupBy("chunk", "owner").agg(F.max("node").alias("node"), F.max("n").alias("n"), F.sum("shared").alias("shared")).collect()
+    assert {x.node: (x.n, x.shared) for x in parts} == {k: (len(s), sum(times[x] > 1 for x in s.tolist())) for k, s in sets.items()}
+
+
+def test_unrelated_documents_form_no_family(spark):
+    for size in (500, 2000):
+        r = random.Random(size)
+        words, line = [f"w{k}" for k in range(3000)], "one very common line of words that a third of all documents hold"
+        rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(20, 200))) + (f" {line}" if k % 3 == 0 else "")) for k in range(size)]
+        rows += [(size + k, rows[7][1] + f" x{k}") for k in range(5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = jaccard._nodes(df, 5).selectExpr("doc_id", "node", "1L copies")
+        sets = jaccard._sets(df, nodes, 5)
+        families = connected_components(jaccard._stars(jaccard._prefixes(sets, 80))).groupBy("component").count().collect()
+        assert max(x["count"] for x in families) <= 6
+        assert jaccard._survivors(df, 5, 80, 10**6).count() == 6
 
 
 def test_components_of_chains_and_stars(spark):
