@@ -96,7 +96,7 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
 
 
 _SENT = "range long, chunk long, tokens binary, owners binary"
-_SHARED = "chunk long, owner long, node long, n long, shared long"
+_SHARED = "chunk long, nodes binary, owners binary, shared binary"
 #: The owner of a token that several sets of a chunk hold: they have counted it already.
 _COUNTED = 65_535
 
@@ -153,15 +153,12 @@ def _sent(docs: DataFrame, n: int, ranges: int) -> DataFrame:
 
 
 def _shared(sent: DataFrame) -> DataFrame:
-    """(chunk, owner, node, n, shared): parts of each set's number of tokens that other sets hold too.
+    """(chunk, nodes, owners, shared): for each chunk and range, how many tokens of a set (owner) other sets hold too.
 
     A range is a bounded share of all tokens. Its tokens are compared by 32 further bits of their hashes: tokens
-    that fall together only seem shared, which can't lose a link.
+    that fall together only seem shared, which can't lose a link. The rows with nodes are handed on.
     """
-
-    def part(columns) -> pa.RecordBatch:
-        kinds = _SHARED.split(", ")
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in kinds])
+    names = [c.split()[0] for c in _SHARED.split(", ")]
 
     def counted(rows: list) -> pa.RecordBatch:
         token = np.concatenate([t for _, t, _ in rows])
@@ -172,8 +169,9 @@ def _shared(sent: DataFrame) -> DataFrame:
         same = token[1:] == token[:-1]
         hit = (np.append(same, False) | np.insert(same, 0, False)) & (key & 0xFFFF != _COUNTED)
         key, times = np.unique(key[hit], return_counts=True)
-        none = np.full(len(key), None)
-        return part([np.array([c for c, _, _ in rows])[key >> 16], key & 0xFFFF, none, none, times])
+        cut = np.searchsorted(key >> 16, np.arange(len(rows) + 1))
+        out = [(rows[k][0], None, (key[i:j] & 0xFFFF).astype("<u2").tobytes(), times[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=names)
 
     def run(batches):
         now, rows = None, []
@@ -181,8 +179,7 @@ def _shared(sent: DataFrame) -> DataFrame:
             for place, chunk, tokens, owners in zip(*(batch.column(k) for k in range(4)), strict=True):
                 place, chunk = place.as_py(), chunk.as_py()
                 if place < 0:
-                    nodes, sizes = np.frombuffer(tokens.as_py(), "<i8"), np.frombuffer(owners.as_py(), "<i8").reshape(-1, 2)
-                    yield part([np.full(len(nodes), chunk), np.arange(len(nodes)), nodes, sizes[:, 0], sizes[:, 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([v], pa.binary()) for v in (tokens.as_py(), None, owners.as_py()))], names=names)
                     continue
                 if place != now:
                     if len(rows) > 1:
@@ -195,10 +192,36 @@ def _shared(sent: DataFrame) -> DataFrame:
     return sent.repartition("range").sortWithinPartitions("range").mapInArrow(run, _SHARED)
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """(node, n, shared) of each set of each chunk: its tokens, and those that other sets hold too."""
+
+    def run(batches):
+        now, nodes, total = None, None, np.zeros(CHUNK_DOCS, np.int64)
+
+        def done():
+            own = total[: len(nodes)] + nodes[:, 2]
+            total[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1]), pa.array(own)], names=["node", "n", "shared"])
+
+        for batch in batches:
+            for chunk, names, owners, shared in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if (chunk := chunk.as_py()) != now:
+                    if now is not None:
+                        yield done()
+                    now = chunk
+                if names.is_valid:
+                    nodes = np.column_stack([np.frombuffer(names.as_py(), "<i8"), np.frombuffer(shared.as_py(), "<i8").reshape(-1, 2)])
+                else:
+                    total[np.frombuffer(owners.as_py(), "<u2")] += np.frombuffer(shared.as_py(), "<u4")
+        if now is not None:
+            yield done()
+
+    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "node long, n long, shared long")
+
+
 def _survivors(docs: DataFrame, n: int, per_cent: int, tokens: int) -> DataFrame:
     """(node): the sets that hold enough tokens of other sets to link with one; ``tokens`` are there in all."""
-    parts = _shared(_sent(docs, n, max(1, -(-tokens // RANGE_TOKENS))))
-    whole = parts.groupBy("chunk", "owner").agg(F.max("node").alias("node"), F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    whole = _summed(_shared(_sent(docs, n, max(1, -(-tokens // RANGE_TOKENS)))))
     return whole.where(100 * F.col("shared") >= per_cent * F.col("n")).select("node").distinct()
 
 

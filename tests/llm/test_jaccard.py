@@ -3,7 +3,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillgraph.llm import jaccard
 from quillgraph.llm.components import connected_components
@@ -92,7 +91,7 @@ def test_shared_tokens_are_counted_over_all_chunks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sets = {jaccard.node_of(s): s for s in (jaccard.shingles(t.encode(), 2, jaccard._Words()) for _, t in rows)}
     times = Counter(x for s in sets.values() for x in s.tolist())
-    parts = jaccard._shared(jaccard._sent(df, 2, 7)).groupBy("chunk", "owner").agg(F.max("node").alias("node"), F.max("n").alias("n"), F.sum("shared").alias("shared")).collect()
+    parts = jaccard._summed(jaccard._shared(jaccard._sent(df, 2, 7))).collect()
     assert {x.node: (x.n, x.shared) for x in parts} == {k: (len(s), sum(times[x] > 1 for x in s.tolist())) for k, s in sets.items()}
 
 
