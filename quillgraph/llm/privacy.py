@@ -2,8 +2,9 @@
 
 Patterns find the protected entities. How much a term of the same text tells about an entity is estimated from the corpus: the pointwise
 mutual information of term and entity over distinct texts, as a share of the information that the entity itself carries.
-Above one threshold a term is generalised to a placeholder, above a higher one it is removed, wherever a text that holds an entity has it. Everything is built from
-column expressions, joins and aggregations.
+Above one threshold a term is generalised to a placeholder, above a higher one it is removed, wherever a text that holds an entity has it.
+An entity of a single text is given away by the words that are rare in the corpus. Everything is built from
+column expressions, joins and aggregations; whole texts are never shuffled unless they have more copies than a broadcast holds.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISED, REMOVED = "term", "removed"
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE_AT, REMOVE_AT = 0.5, 0.8
-#: Distinct texts in which term and entity must occur together before the estimate counts: in a single text every word
-#: that is rare in the corpus would seem to give the entity away.
+#: Distinct texts in which term and entity must occur together before the estimate counts. With 1 the entities of a single
+#: text count too, and every word of that text that is rare enough in the corpus gives them away.
 SUPPORT = 2
-#: Largest list of terms that is broadcast; beyond it the join shuffles.
+#: Settings that protect the entities of single texts without blanking most of these: of N texts a term is generalised that at
+#: most N ** 0.2 of them hold, and removed if at most N ** 0.05 do.
+SINGLE_TEXTS = {"support": 1, "generalise_at": 0.8, "remove_at": 0.95}
+#: Largest list of terms, or of texts with copies, that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Matches whose places are added up at once.
+PLACED = 512
 
 # The patterns. Beginnings are fixed by what precedes, so that long runs are read once; \G lets a match
 # begin where the one before it ended.
@@ -45,18 +51,40 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def _located(text: Column, pattern: str, kind: Column | str) -> Column:
-    """Spans of all matches: what lies between them is split off, and lengths are added up in code points."""
+def _placed(matches: Column) -> Column:
+    """Spans of (gap, size, kind, value) of all matches in order; those without a kind only move the others.
+
+    Matches are added up in groups, so that the work grows with their number.
+    """
+    none, groups = F.array().cast(SPAN), F.array().cast(f"array<{SPAN}>")
+
+    def add(a: Column, m: Column) -> Column:
+        start, end = a["at"] + m["gap"], a["at"] + m["gap"] + m["size"]
+        span = F.struct(m["kind"].alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(m["kind"].isNotNull(), F.array_append(a["spans"], span).cast(SPAN)).otherwise(a["spans"]).alias("spans"))
+
+    def join(a: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct(s["kind"].alias("kind"), (a["at"] + s["start"]).alias("start"), (a["at"] + s["end"]).alias("end"), s["value"].alias("value")))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.array_append(a["parts"], moved.cast(SPAN)).cast(f"array<{SPAN}>").alias("parts"))
+
+    local = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / PLACED).cast("int")),
+        lambda k: F.aggregate(F.slice(matches, k * PLACED + 1, F.lit(PLACED)), F.struct(F.lit(0).alias("at"), none.alias("spans")), add),
+    )
+    whole = F.aggregate(local, F.struct(F.lit(0).alias("at"), groups.alias("parts")), join, lambda a: F.flatten(a["parts"]))
+    return F.when(F.size(matches) > 0, whole).otherwise(none)
+
+
+def _matches(text: Column, pattern: str, kind, value) -> Column:
+    """(gap, size, kind, value) of each match: what lies between them is split off, and lengths are code points."""
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("value")))
-    none = F.array().cast(SPAN)
-    label = F.lit(kind) if isinstance(kind, str) else kind
-    add = lambda a, p: F.struct(
-        (a["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-        F.array_append(a["spans"], F.struct(label.alias("kind"), (a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value"))).cast(SPAN).alias("spans"),
-    )
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda a: a["spans"])
+    return F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), kind(m).alias("kind"), value(m).alias("value")))
+
+
+def _located(text: Column, pattern: str, kind: str) -> Column:
+    """Spans of all matches."""
+    return _placed(_matches(text, pattern, lambda m: F.lit(kind), lambda m: m))
 
 
 def base_spans(text: Column) -> Column:
@@ -95,23 +123,50 @@ def _terms(text: Column) -> Column:
 
 def _marked(text: Column, marks: Column) -> Column:
     """Spans of all occurrences in a whole text of the terms that ``marks`` maps to a kind."""
-    between = F.split(text, _TERM, -1)
-    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), F.lower(m).alias("term"), F.try_element_at(marks, F.lower(m)).alias("kind")))
+    return _placed(_matches(text, _TERM, lambda m: F.try_element_at(marks, F.lower(m)), lambda m: F.lower(m)))
 
-    def add(a: Column, p: Column) -> Column:
-        start, end = a["at"] + p["gap"], a["at"] + p["gap"] + p["size"]
-        span = F.struct(p["kind"].alias("kind"), start.alias("start"), end.alias("end"), p["term"].alias("value"))
-        return F.struct(end.alias("at"), F.when(p["kind"].isNotNull(), F.array_append(a["spans"], span).cast(SPAN)).otherwise(a["spans"]).alias("spans"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), add, lambda a: a["spans"])
+def _key(text: Column) -> Column:
+    """What tells texts apart: 128 bits of their content; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """(hash, entities, terms) of each distinct text that holds an entity; its terms lie outside its entities."""
+    some = docs.where(F.col("text").rlike("[@0-9]")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).dropDuplicates(["hash"])
+    return some.select("hash", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
     """(hash, entity, term) for each entity and each term of the same whole text outside its entities; null is the term of a text without any."""
-    some = docs.where(F.col("text").rlike("[@0-9]")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0).dropDuplicates(["hash"])
-    held = some.select("hash", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(_blanked(F.col("text"), F.col("base"))).alias("terms"))
-    return held.select("hash", F.explode("entities").alias("entity"), "terms").select("hash", "entity", F.explode_outer("terms").alias("term"))
+    return _held(docs).select("hash", F.explode("entities").alias("entity"), "terms").select("hash", "entity", F.explode_outer("terms").alias("term"))
+
+
+def _spread(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n_t) over distinct texts, and the number of these.
+
+    A text of c copies counts 1 / c for each of them, so only the keys of texts are shuffled, not texts or their terms:
+    terms are added up before the shuffle.
+    """
+    texts = docs.where("text is not null").select("hash", "text")
+    copies = materialise(texts.groupBy("hash").agg(F.count("*").alias("copies")), "privacy-texts")
+    several = copies.where("copies > 1")
+    few = several.count() <= BROADCAST_ROWS
+    weighed = texts.join(F.broadcast(several) if few else several, "hash", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    words = weighed.select("share", F.explode(_terms(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.round(F.sum("share")).alias("n_t")), copies.count()
+
+
+def _share(total: int) -> Column:
+    """What a term discloses of an entity, of n_e, n_t and n_et."""
+    information = F.log2(F.lit(float(total)) / F.col("n_e"))
+    mutual = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    return F.when(information > 0, mutual / information).otherwise(0.0)
+
+
+def _together(pairs: DataFrame, support: int) -> DataFrame:
+    """(entity, term, n_et) of (hash, entity, term) with at least ``support`` texts."""
+    return pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
 
 
 def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -121,28 +176,38 @@ def disclosures(docs: DataFrame, contexts: DataFrame, support: int = SUPPORT) ->
     counts distinct texts, n_e those that hold the entity, n_t those that hold the term anywhere and n_et those that
     hold both. Copies of a text count once. Pairs seen together in fewer than ``support`` texts are no evidence.
     """
-    together = contexts.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     holds = contexts.select("entity", "hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = materialise(together.join(holds, "entity"), "privacy-pairs")
-    wanted = pairs.select("term").distinct()
-    words = docs.where("text is not null").select("hash", F.explode(_terms(F.col("text"))).alias("term"))
-    few = wanted.count() <= BROADCAST_ROWS
-    spread = words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.where("text is not null").select("hash").distinct().agg(F.count("*").alias("total"))
-    scored = pairs.join(spread, "term").crossJoin(F.broadcast(total))  # one row on the right
-    information = F.log2(F.col("total") / F.col("n_e"))
-    mutual = F.log2(F.col("total") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return scored.select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("share"))
+    spread, total = _spread(docs)
+    return _together(contexts, support).join(holds, "entity").join(spread, "term").select("entity", "term", _share(total).alias("share"))
+
+
+def _told(docs: DataFrame, held: DataFrame, support: int) -> DataFrame:
+    """(term, share): the largest share of any entity's information that a term discloses.
+
+    All entities of a single text have n_e = n_et = 1 with each of its terms: their pairs need not be formed.
+    """
+    entities = held.select("hash", F.explode("entities").alias("entity"))
+    holds = materialise(entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.max("hash").alias("hash")), "privacy-entities")
+    repeated = entities.join(holds.where("n_e > 1").select("entity", "n_e"), "entity")
+    terms = held.select("hash", F.explode("terms").alias("term"))
+    pairs = _together(repeated.select("hash", "entity").join(terms, "hash"), support).join(holds.select("entity", "n_e"), "entity").select("term", "n_e", "n_et")
+    if support <= 1:
+        alone = terms.join(holds.where("n_e = 1").select("hash").distinct(), "hash", "left_semi").select("term").distinct()
+        one = F.lit(1).cast("long")
+        pairs = pairs.unionByName(alone.select("term", one.alias("n_e"), one.alias("n_et")))
+    spread, total = _spread(docs)
+    return pairs.distinct().join(spread, "term").groupBy("term").agg(F.max(_share(total)).alias("share"))
 
 
 def _marks_of(docs: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
     """(hash, marks): the disclosing terms of each distinct text that has an entity, with their kinds; whatever entity they disclose."""
-    contexts = materialise(_contexts(docs), "privacy-contexts")
-    told = disclosures(docs, contexts, support).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
+    held = materialise(_held(docs), "privacy-held")
+    told = _told(docs, held, support).where(F.col("share") >= generalise_at)
     told = materialise(told.select("term", F.when(F.col("share") >= remove_at, REMOVED).otherwise(GENERALISED).alias("kind")), "privacy-terms")
     few = told.count() <= BROADCAST_ROWS
     # a text has no more of these than terms
-    return contexts.select("hash", "term").distinct().join(F.broadcast(told) if few else told, "term").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
+    terms = held.select("hash", F.explode("terms").alias("term"))
+    return terms.join(F.broadcast(told) if few else told, "term").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
 
 
 def _rewrite(text: Column, spans: Column) -> Column:
@@ -157,26 +222,37 @@ def _rewrite(text: Column, spans: Column) -> Column:
     return F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
 
 
+def _judged(df: DataFrame, text_col: str, generalise_at: float, remove_at: float, support: int) -> DataFrame:
+    """(row, base, added, clean); ``row`` has the columns of ``df``."""
+    text = F.col("row").getField(text_col)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    marks = _marks_of(rows.select(text.alias("text"), _key(text).alias("hash")), generalise_at, remove_at, support)
+    none = F.array().cast(SPAN)
+    spotted = rows.withColumn("base", base_spans(text))
+    # texts without an entity stay as they are: they are not shuffled
+    some = spotted.where(F.size("base") > 0).withColumn("hash", _key(text)).join(marks, "hash", "left")
+    some = some.select("row", "base", F.when(F.col("marks").isNotNull(), _marked(_blanked(text, F.col("base")), F.col("marks"))).otherwise(none).alias("added"))
+    some = some.withColumn("clean", _rewrite(text, F.concat("base", "added")))
+    return spotted.where(F.size("base") == 0).select("row", "base", none.alias("added"), text.alias("clean")).unionByName(some)
+
+
 def sanitise(df: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
     """All rows and columns of ``df`` with ``base`` (pattern spans), ``added`` (term spans) and ``clean`` (the new text).
 
     Every occurrence of a disclosing term in a text that holds an entity is a span; texts without entities stay as they are.
     Spans are (kind, start, end, value) in code points, the end exclusive. ``clean`` is null where the text is null.
-    Rows with equal texts are treated alike. Columns that are already called base, added or clean are
-    replaced. No rows give no rows.
+    Rows with equal texts are treated alike. Columns of ``df`` that are already called base, added or clean give way
+    to these; all other names are free. No rows give no rows.
     """
-    rows = df.drop("base", "added", "clean").withColumn("_hash", F.xxhash64(F.col(text_col)))
-    docs = rows.select(F.col(text_col).alias("text"), F.col("_hash").alias("hash"))
-    marks = _marks_of(docs, generalise_at, remove_at, support).withColumnRenamed("hash", "_hash").withColumnRenamed("marks", "_marks")
-    none = F.array().cast(SPAN)
-    spotted = rows.withColumn("base", base_spans(F.col(text_col)))
-    # texts without an entity stay as they are: they are not shuffled
-    some = spotted.where(F.size("base") > 0).join(marks, "_hash", "left")
-    some = some.withColumn("added", F.when(F.col("_marks").isNotNull(), _marked(_blanked(F.col(text_col), F.col("base")), F.col("_marks"))).otherwise(none)).drop("_marks")
-    found = spotted.where(F.size("base") == 0).withColumn("added", none).unionByName(some)
-    every = F.concat("base", "added")
-    clean = F.when(F.size(every) > 0, _rewrite(F.col(text_col), every)).otherwise(F.col(text_col))
-    return found.withColumn("clean", clean).drop("_hash")
+    kept = [c for c in df.columns if c.lower() not in ("base", "added", "clean")]
+    found = _judged(df, text_col, generalise_at, remove_at, support)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in kept), "base", "added", "clean")
+
+
+def rewrite(df: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
+    """``df`` with its texts rewritten as in ``sanitise``; all other columns, whatever their names, stay as they are."""
+    found = _judged(df, text_col, generalise_at, remove_at, support)
+    return found.select(*((F.col("clean") if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns))
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -76,6 +76,39 @@ def test_disclosing_terms_are_hidden_in_whole_texts(spark):
     assert got[300].clean == f"{filler} [EMAIL] to  alone" and got[10].clean == got[10].text
 
 
+def test_entities_of_single_texts_and_thresholds_match_brute_force(spark):
+    r = random.Random(31)
+    words = [f"term{int(r.expovariate(0.02))}" for _ in range(4000)]
+    mails = [f"m{k}@host{k % 7}.org" for k in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(400)]
+    texts = [t + (f" {r.choice(mails)} tail only{k}" if k % 4 == 0 else "") for k, t in enumerate(texts)]
+    rows = [(k, t, "kept", 1) for k, t in enumerate(texts)] + [(1000 + k, texts[4], "kept", 1) for k in range(9)] + [(2000, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string, hash int")
+    distinct = set(texts)
+    terms = {t: set(re.findall(r"[^\W\d_]\w{2,}", re.sub(r"\S+@\S+", " ", t))) for t in distinct}
+    whole = {t: set(re.findall(r"[^\W\d_][^\W_]{2,}", t)) for t in distinct}
+    entity = {t: set(re.findall(r"\S+@\S+", t)) for t in distinct}
+    n, n_e, n_t = len(distinct), Counter(e for x in entity.values() for e in x), Counter(w for x in whole.values() for w in x)
+    n_et = Counter((e, w) for t in distinct for e in entity[t] for w in terms[t])
+    for support in (1, 2):
+        best = {}
+        for (e, w), both in n_et.items():
+            if both >= support:
+                best[w] = max(best.get(w, -9), math.log2(n * both / (n_e[e] * n_t[w])) / math.log2(n / n_e[e]))
+        got = privacy.sanitise(df, support=support).collect()
+        assert len(got) == len(rows)
+        seen = set()
+        for x in got:
+            want = {(w, "removed" if best[w] >= 0.8 else "term") for w in terms.get(x.text, ()) if best.get(w, 0) >= 0.5} if x.text and entity[x.text] else set()
+            assert {(s.value, s.kind) for s in x.added} == want, x.text
+            seen |= {k for _, k in want}
+        assert "term" in seen and ("removed" in seen or support == 2)
+    clean = privacy.rewrite(df, support=1)
+    assert clean.columns == df.columns
+    got = {x.doc_id: x for x in clean.collect()}
+    assert got[4].base == "kept" and got[4].hash == 1 and "@" not in got[4].text and got[1000].text == got[4].text and got[1].text == texts[1] and got[2000].text is None
+
+
 def labelled(n=900):
     r = random.Random(9)
     words, bad = [f"w{k}" for k in range(300)], ["scum", "idiot", "moron"]
@@ -226,5 +259,7 @@ def test_pipeline_stages_hand_on_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(seen[4])
 
 
-def test_digest_of_spans():
-    assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+def test_digest_of_spans(spark):
+    texts = [None, "", "é a@b.org 😀 1.2.3.4", "+44 20 7946 0958 or x@y.z"]
+    rows = privacy.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.sha2(privacy.listed(F.col("base")), 256).alias("digest")).collect()
+    assert {x.doc_id: x.digest for x in rows} == {k: hashlib.sha256(brute_spans(t).encode()).hexdigest() for k, t in enumerate(texts)}
