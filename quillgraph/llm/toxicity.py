@@ -1,8 +1,8 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
 One model is counted on toxic texts, one on ordinary texts. Both discount their counts and back off to the same
-lower orders: bigrams to the class's unigrams, unigrams to continuation counts shared by both
-classes, and words too rare to judge to one word that stands for all of them. A text is scored by the difference of its two
+lower orders: bigrams to the class's unigrams, unigrams to counts that both classes share and that come from all texts of the corpus,
+labelled or not, and words too rare to judge to one word that stands for all of them. A text is scored by the difference of its two
 log-likelihoods for each word, over the whole text and over its most toxic expressions, put on a scale from 0 to 1 by a
 logistic curve that is fitted on labelled texts which the counts have not seen.
 """
@@ -23,10 +23,8 @@ from quillgraph.runtime import materialise
 
 #: Labelled rows that are used at most (those with the smallest hashes), of each class.
 MAX_ROWS = 20_000
-#: A word or bigram in fewer texts than this is rare: it is left to the shared backoff.
+#: A word or bigram in fewer labelled texts than this is rare: it is left to the shared backoff. The sample bounds the others.
 RARE = 3
-#: Most words and bigrams that a model keeps; ``RARE`` is raised until they fit.
-MAX_GRAMS = 500_000
 DISCOUNT = 0.75
 #: Distinct words that a text's most toxic expressions are taken from.
 STRONGEST = 3
@@ -111,27 +109,40 @@ def _counted(rows: DataFrame, grams, kind: pa.DataType, schema: str) -> DataFram
     return rows.select("text", "toxic").mapInArrow(run, schema).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def _frequent(counts: DataFrame, rare: int) -> tuple[DataFrame, int]:
-    """The grams of at least ``rare`` texts, with ``rare`` raised until they are at most ``MAX_GRAMS``."""
-    kept = materialise(counts.where(F.col("toxic") + F.col("plain") >= rare), "toxicity-counts")
-    while kept.where(F.col("toxic") + F.col("plain") >= rare).count() > MAX_GRAMS:
-        rare *= 2
-    return kept.where(F.col("toxic") + F.col("plain") >= rare), rare
+def _corpus_counts(docs: DataFrame, ids: dict[str, int]) -> np.ndarray:
+    """Texts of the whole corpus that hold each known word; under ``OTHER``, those that hold any other.
+
+    A task adds up its own texts, so what is shuffled is bounded by the model's words.
+    """
+    known, size = docs.sparkSession.sparkContext.broadcast(ids), len(ids) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, total = known.value.get, np.zeros(size, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                found = set(_split(text.as_py()))
+                total[list({get(w, OTHER) for w in found})] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
+
+    out = np.zeros(size)
+    for row in docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["word"]] = row["n"]
+    return out
 
 
-def train(data: DataFrame) -> Model | None:
-    """Fit on (text, toxic, part): counts from rows with part 0, the logistic curve from rows with part 1.
+def train(data: DataFrame, corpus: DataFrame) -> Model | None:
+    """Fit on (text, toxic, part): counts of the classes from rows with part 0, the logistic curve from rows with part 1.
 
-    ``data`` is a bounded sample, so the model is bounded too, whatever the corpus. None if either
-    class has no text to count.
+    The shared backoff is counted over all texts of ``corpus`` (text). ``data`` is a bounded sample, so the model's size is bounded too,
+    whatever the corpus. None if either class has no text to count.
     """
     counted = data.where("part = 0")
     sizes = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     singles = _counted(counted, lambda text: set(_split(text)), pa.string(), "gram string, toxic long, plain long")
-    frequent, rare = _frequent(singles, RARE)
-    ones = frequent.orderBy("gram").toPandas()
+    ones = singles.where(F.col("toxic") + F.col("plain") >= RARE).orderBy("gram").toPandas()
     ids = {w: k + 2 for k, w in enumerate(ones["gram"])}
     size = len(ids) + 2
     known = data.sparkSession.sparkContext.broadcast(ids)
@@ -143,8 +154,8 @@ def train(data: DataFrame) -> Model | None:
     def others_of(text: str | None) -> set[int]:
         return {OTHER} if any(w not in known.value for w in _split(text)) else set()
 
-    pairs, _ = _frequent(_counted(counted, pairs_of, pa.int64(), "gram long, toxic long, plain long"), rare)
-    pairs = pairs.orderBy("gram").toPandas()
+    pairs = _counted(counted, pairs_of, pa.int64(), "gram long, toxic long, plain long")
+    pairs = pairs.where(F.col("toxic") + F.col("plain") >= RARE).orderBy("gram").toPandas()
     rest = _counted(counted, others_of, pa.int64(), "gram long, toxic long, plain long").collect()
     count = np.zeros((2, size))
     count[0, 2:], count[1, 2:] = ones["plain"], ones["toxic"]
@@ -153,9 +164,8 @@ def train(data: DataFrame) -> Model | None:
     keys = pairs["gram"].to_numpy(np.int64)
     pair = np.stack([pairs["plain"].to_numpy(float), pairs["toxic"].to_numpy(float)])
     context = keys >> 32
-    # shared backoff: the share of all texts' contexts that a word continues
-    shared = np.bincount(keys & 0xFFFFFFFF, minlength=size) + 1.0
-    shared[OTHER] += max(count[:, OTHER].sum(), 1)
+    # shared backoff: how the whole corpus uses a word
+    shared = _corpus_counts(corpus, ids) + 1.0
     shared[START] = 1e-9
     shared /= shared.sum()
     unigram = np.zeros((2, size))
@@ -228,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = ordered[0].union(ordered[1]).withColumn("part", part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
-    return train(materialise(sample.groupBy("text", "toxic").agg(F.max("part").alias("part")), "toxicity-sample"))
+    return train(materialise(sample.groupBy("text", "toxic").agg(F.max("part").alias("part")), "toxicity-sample"), texts.select("text"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -238,7 +248,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([held.value.features(v.as_py()) for v in batch.column(place)]).reshape(-1, 3)
-            yield batch.filter(pa.array(held.value.score(found) < threshold))
+            known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((held.value.score(found) < threshold) | ~known))
 
     return docs.mapInArrow(run, docs.schema)
 
