@@ -67,6 +67,10 @@ class WordEncoder:
         # the vocabulary spells other than ASCII letters by a sign for each byte
         self.spelled = {k: "".join(map(_sign, chr(k).encode())) for k in range(128, 256)}
 
+    def _normal(self, word: str) -> str:
+        normaliser = self.tokenizer.normalizer
+        return normaliser.normalize_str(word) if normaliser else word
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         parts = (texts[at : at + 2048] for at in range(0, len(texts), 2048))
         return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
@@ -87,8 +91,8 @@ class WordEncoder:
         if len(known) + len(unseen) > REMEMBERED:
             known.clear()
             unseen = set().union(*(row for row in words if row is not None))
-        # a mark after letters is a token of its own
-        marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha()]
+        # a mark after letters is a token of its own, if they are still letters when normalised: a combining sign would join it
+        marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha() and (w.isascii() or self._normal(w[:-1]).isalpha())]
         parts = unseen.difference(marked).union(*((w[:-1], w[-1]) for w in marked))
         new = [w for w in parts if w not in known]
         letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]

@@ -80,3 +80,13 @@ def test_packing_nothing_and_repeated_rows(spark):
     assert packing.pack(df.where("false"), "doc_id", "text", PATH).pieces.count() == 0
     rows = packing.pack(df, "doc_id", "text", PATH).pieces.collect()
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
+
+
+def test_words_with_combining_signs_have_the_tokenizers_ids():
+    r = random.Random(16)
+    signs = ["a", "B", "é", "́", "̇", "İ", "i", "ı", "K", "Å", "क़", "़", "ﬁ", "ß", "Σ", "σ", "é", "É", "日", "ª", "µ", "1", "'", "s", ".", ",", ";", ":", "!", "?", "-", " ", "\n", " "]
+    texts = ["İ.", "X İ;", "BELEDİYESİ.", "क़.", "á,", "İİ! İ"] + ["".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    whole = Tokenizer.from_file(PATH)
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordEncoder(PATH, None).encode(texts)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
