@@ -1,9 +1,12 @@
 """Exact top-k search: a sharded inverted index, BM25, and block-max WAND.
 
-Every task turns its documents into shards of bounded size, each with its own inverted index. Term
-frequencies over all documents, their number and their mean length are global, so scores do not depend on the shards. All terms
-of a query count. Queries visit each shard in blocks: short ones with block-max WAND, which skips documents that cannot reach the
-shard's k-th score; long ones, for which no bound is tight, by adding up all their postings. The shards' results merge to the exact top k.
+Every task turns its documents into shards of bounded size, each with its own inverted index, in which blocks of postings carry what
+bounds their scores. Term frequencies over all documents, their number and their mean length are global, so scores do not depend on
+the shards. All terms of a query count. Queries visit each shard in blocks: short ones with block-max WAND, which skips documents that
+cannot reach the k-th score so far; long ones, for which no bound is tight, by adding up all their postings.
+
+Shards are visited in rounds, each with about as many as all before it. What a query has found after a round is a threshold for the
+next one, so a round adds about k documents to a query, whatever the number of shards. All of it merges to the exact top k.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import materialise
+from quillgraph.runtime import materialise, scratch_path
 
 K1, B = 1.2, 0.75
 #: Postings of a block with its own score bound.
 BLOCK = 64
+#: Shards of the first round, about; most rounds.
+FIRST_SHARDS, LEVELS = 8, 30
 #: A shard holds at most so many postings (or one document more).
 SHARD_POSTINGS = 3_000_000
 #: Queries of at most so many terms in a shard are answered by block-max WAND, longer ones by adding up all postings.
@@ -41,9 +45,10 @@ DENSE = 64
 QUANTUM = 2.0**-34
 REMEMBERED = 400_000
 
-INDEX = "shard long, n long, ids binary, lengths binary, terms binary, counts binary, postings binary"
-_POSTING = np.dtype([("doc", "<u4"), ("tf", "<u2")])
-_MOST = 65535
+INDEX = "level int, shard long, n long, ids binary, lengths binary, terms binary, counts binary, postings binary, bounds binary"
+_POSTING = np.dtype([("doc", "<u4"), ("tf", "<u4")])
+#: The largest frequency and the smallest length of a block: no posting of the block weighs more than they do together.
+_BOUND = np.dtype([("tf", "<u4"), ("length", "<i8")])
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -62,14 +67,26 @@ class _Hashes(dict):
 def _bag(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray, int]:
     found = terms_of(text)
     ids, tf = np.unique(np.fromiter(map(hashes.__getitem__, found), np.int64, len(found)), return_counts=True)
-    return ids, np.minimum(tf, _MOST).astype("<u2"), len(found)
+    return ids, tf.astype("<u4"), len(found)
+
+
+def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each slice, one slice after the other."""
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def _level(shard: int) -> int:
+    """Half of all shards have level 0, a quarter level 1 and so on."""
+    mixed = xxhash.xxh64_intdigest(shard.to_bytes(8, "little")) | 1 << LEVELS - 1
+    return (mixed & -mixed).bit_length() - 1
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """A row for each shard from (doc_id, text).
 
     ``ids`` and ``lengths`` are of its ``n`` documents, ``terms`` are sorted, each with its number of postings in ``counts``;
-    ``postings`` holds local document numbers and frequencies, term after term. Texts without words are indexed too; rows without an id are not.
+    ``postings`` holds local document numbers and frequencies, term after term, and ``bounds`` what bounds each block of them.
+    ``level`` tells the round. Texts without words are indexed too; rows without an id are not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +103,14 @@ def build_index(docs: DataFrame) -> DataFrame:
             term, postings = term[order], np.empty(len(order), _POSTING)
             postings["doc"], postings["tf"] = local[order], freq[order]
             found, counts = np.unique(term, return_counts=True)
-            parts = [np.array(ids, "<i8"), np.array(lengths, "<i8"), found.astype("<i8"), counts.astype("<i8"), postings]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["shard", "n", "ids", "lengths", "terms", "counts", "postings"])
+            blocks = -(-counts // BLOCK)
+            first = np.repeat(np.cumsum(counts) - counts, blocks) + BLOCK * _slices(np.zeros(len(blocks), np.int64), blocks)
+            bounds = np.empty(len(first), _BOUND)
+            if len(first):
+                bounds["tf"] = np.maximum.reduceat(postings["tf"], first)
+                bounds["length"] = np.minimum.reduceat(np.array(lengths, np.int64)[postings["doc"]], first)
+            parts = [np.array(ids, "<i8"), np.array(lengths, "<i8"), found.astype("<i8"), counts.astype("<i8"), postings, bounds]
+            yield pa.RecordBatch.from_arrays([pa.array([_level(number)], pa.int32()), pa.array([number]), pa.array([len(ids)]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=[c.split()[0] for c in INDEX.split(", ")])
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -108,6 +131,13 @@ def build_index(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, INDEX)
 
 
+def write_index(index: DataFrame) -> DataFrame:
+    """The index in the shared folder, by level, so that a round reads its own shards only."""
+    path = scratch_path(index.sparkSession, "search-index")
+    index.write.partitionBy("level").parquet(path)
+    return index.sparkSession.read.schema(INDEX).parquet(path)
+
+
 def query_bags(queries: DataFrame) -> DataFrame:
     """(query_id, term, tf) of the distinct terms of whole query texts."""
 
@@ -126,76 +156,84 @@ def impact(tf, length, mean: float):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def block_max_wand(lists: list[tuple[float, np.ndarray, np.ndarray]], k: int, ids: np.ndarray) -> list[tuple[float, int]]:
-    """The k best (score, id) of one shard; ``lists`` has (weight, local documents, impacts) of each query term.
+def _gains(weight, tf, length, mean: float):
+    """Contributions of postings: whole multiples of the quantum, so sums don't depend on their order."""
+    return np.maximum(np.round(weight * impact(tf, length, mean) / QUANTUM), 1) * QUANTUM
+
 
-    A list is cut into blocks with their largest impact. Documents are met in order; the pivot is the first
-    one that the lists' bounds let reach the k-th score, and the blocks around it must let it too. Equal scores
-    are won by smaller ids, so only what falls below the k-th score is skipped.
+@dataclass
+class Cursor:
+    """One query term in one shard: its postings, what bounds its blocks, and how far it has been read."""
+
+    weight: float
+    postings: np.ndarray
+    bounds: np.ndarray
+    at: int = 0
+
+    def __post_init__(self):
+        self.docs, self.whole, self.size = self.postings["doc"], float(self.bounds.max()), len(self.postings)
+        self.doc = int(self.docs[0])
+
+    def seek(self, doc: int) -> bool:
+        """Move to the first posting at or after a document; whole blocks are passed over by their last documents."""
+        while (end := min((self.at // BLOCK + 1) * BLOCK, self.size)) < self.size and self.docs[end - 1] < doc:
+            self.at = end
+        self.at += int(np.searchsorted(self.docs[self.at : end], doc))
+        if self.at < self.size:
+            self.doc = int(self.docs[self.at])
+        return self.at < self.size
+
+    def block(self, doc: int) -> tuple[float, int]:
+        """Bound and last document of the block that would hold a document, without reading it; (0, -1) if there is none."""
+        at = self.at // BLOCK
+        while (end := min((at + 1) * BLOCK, self.size)) < self.size and self.docs[end - 1] < doc:
+            at += 1
+        last = int(self.docs[end - 1])
+        return (float(self.bounds[at]), last) if last >= doc else (0.0, -1)
+
+
+def block_max_wand(cursors: list[Cursor], k: int, ids: np.ndarray, lengths: np.ndarray, mean: float, floor: float = -1.0) -> list[tuple[float, int]]:
+    """The k best (score, id) of one shard with a score of at least ``floor``.
+
+    Documents are met in order; the pivot is the first one that the terms' bounds let reach the k-th score so far, and the blocks
+    around it must let it too. Equal scores are won by smaller ids, so only what falls below the k-th score is skipped.
     """
-    docs = [d.tolist() for _, d, _ in lists]
-    gain = [(w * i).tolist() for w, _, i in lists]
-    bounds = [np.maximum.reduceat(np.array(g), np.arange(0, len(g), BLOCK)).tolist() for g in gain]
-    whole = [max(b) for b in bounds]
-    at = [0] * len(lists)
-    heap: list[tuple[float, int, int]] = []
-    slack = 1e-9
-    live = list(range(len(lists)))
+    heap: list[tuple[float, int]] = []
+    slack, live = 1e-9, list(cursors)
     while live:
-        live.sort(key=lambda t: docs[t][at[t]])
-        least = heap[0][0] - slack if len(heap) == k else -1.0
+        live.sort(key=lambda c: c.doc)
+        least = max(floor, heap[0][0] if len(heap) == k else -1.0) - slack
         total, pivot = 0.0, -1
-        for n, t in enumerate(live):
-            total += whole[t]
+        for n, c in enumerate(live):
+            total += c.whole
             if total >= least:
                 pivot = n
                 break
         if pivot < 0:
             break
-        doc = docs[live[pivot]][at[live[pivot]]]
-        while pivot + 1 < len(live) and docs[live[pivot + 1]][at[live[pivot + 1]]] == doc:
+        doc = live[pivot].doc
+        while pivot + 1 < len(live) and live[pivot + 1].doc == doc:
             pivot += 1
-        # the blocks of the lists up to the pivot that would hold the pivot's document
-        close, until = 0.0, docs[live[pivot + 1]][at[live[pivot + 1]]] if pivot + 1 < len(live) else None
-        for t in live[: pivot + 1]:
-            block, own = at[t] // BLOCK, docs[t]
-            while (end := min((block + 1) * BLOCK, len(own))) < len(own) and own[end - 1] < doc:
-                block += 1
-            if own[end - 1] >= doc:
-                close += bounds[t][block]
-                until = own[end - 1] + 1 if until is None else min(until, own[end - 1] + 1)
-        move = doc
+        close, until = 0.0, live[pivot + 1].doc if pivot + 1 < len(live) else None
+        for c in live[: pivot + 1]:
+            bound, last = c.block(doc)
+            close += bound
+            if last >= 0:
+                until = last + 1 if until is None else min(until, last + 1)
         if close >= least:
-            if docs[live[0]][at[live[0]]] == doc:
-                score = sum(gain[t][at[t]] for t in sorted(live[: pivot + 1]))
-                entry = (score, -int(ids[doc]), doc)
-                if len(heap) < k:
+            move = doc
+            if live[0].doc == doc:
+                score = float(sum(_gains(c.weight, float(c.postings["tf"][c.at]), lengths[doc], mean) for c in live[: pivot + 1]))
+                entry = (score, -int(ids[doc]))
+                if score >= floor and len(heap) < k:
                     heapq.heappush(heap, entry)
-                elif entry > heap[0]:
+                elif score >= floor and entry > heap[0]:
                     heapq.heapreplace(heap, entry)
                 move = doc + 1
         else:
             move = max(doc + 1, until if until is not None else doc + 1)
-        left = []
-        for n, t in enumerate(live):
-            if n <= pivot and docs[t][at[t]] < move:
-                own, low = docs[t], at[t]
-                step = 1
-                while low + step < len(own) and own[low + step] < move:
-                    step *= 2
-                high = min(low + step, len(own))
-                low += step // 2
-                while low < high:
-                    mid = (low + high) // 2
-                    if own[mid] < move:
-                        low = mid + 1
-                    else:
-                        high = mid
-                at[t] = low
-            if at[t] < len(docs[t]):
-                left.append(t)
-        live = left
-    return sorted(((s, -i) for s, i, _ in heap), key=lambda x: (-x[0], x[1]))
+        live = [c for n, c in enumerate(live) if n > pivot or c.doc >= move or c.seek(move)]
+    return sorted(((s, -i) for s, i in heap), key=lambda x: (-x[0], x[1]))
 
 
 @dataclass
@@ -207,23 +245,19 @@ class Block:
     weights: np.ndarray
     at: np.ndarray
     column: np.ndarray
+    floors: np.ndarray  # the least score of each query that still counts
 
 
-def block_of(rows: pa.Table) -> Block:
+def block_of(rows: pa.Table, floors: dict[int, float]) -> Block:
     query, term, weight = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
     order = np.lexsort((term, query))
     queries, at = np.unique(query[order], return_inverse=True)
     terms, first, column = np.unique(term[order], return_index=True, return_inverse=True)
-    return Block(queries, terms, weight[order][first], at.astype(np.int32), column.astype(np.int32))
-
-
-def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers begin, begin + 1, ... of each slice, one slice after the other."""
-    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return Block(queries, terms, weight[order][first], at.astype(np.int32), column.astype(np.int32), np.array([floors.get(q, 0.0) for q in queries.tolist()]))
 
 
-def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, documents, scores) of the k best documents of one shard for each query of a block.
+def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, bounds: np.ndarray, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, documents, scores) of the k best documents of one shard for each query of a block, if they reach its floor.
 
     Terms that many queries and many documents hold are added up as a product of full matrices, the others posting by posting.
     """
@@ -233,24 +267,30 @@ def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.nd
     here = terms[place] == block.terms
     size = np.where(here, counts[place], 0)
     source = (np.cumsum(counts) - counts)[place]
-    begin = np.cumsum(size) - size
-    doc, gain, upto, low = np.empty(size.sum(), np.int32), np.empty(size.sum()), np.cumsum(size), 0
-    while low < len(size):
-        high = max(low + 1, int(np.searchsorted(upto, begin[low] + PIECE, "right")))
-        found, own = postings[_slices(source[low:high], size[low:high])], slice(begin[low], upto[high - 1])
-        doc[own] = found["doc"]
-        value = np.repeat(block.weights[low:high], size[low:high]) * impact(found["tf"].astype(float), lengths[found["doc"]], mean)
-        gain[own] = np.maximum(np.round(value / QUANTUM), 1) * QUANTUM
-        low = high
     kept = here[block.column]
     at, column, n = block.at[kept].astype(np.int64), block.column[kept].astype(np.int64), len(ids)
     held = np.bincount(at, minlength=len(block.queries))
     short = held <= WAND_TERMS
     ends = np.cumsum(held)
+    blocks = -(-counts // BLOCK)
+    mark = (np.cumsum(blocks) - blocks)[place]
     for q in np.flatnonzero(short & (held > 0)):
-        own = [slice(begin[c], begin[c] + size[c]) for c in column[ends[q] - held[q] : ends[q]]]
-        best = block_max_wand([(1.0, doc[x], gain[x]) for x in own], k, ids)
+        cursors = []
+        for c in column[ends[q] - held[q] : ends[q]]:
+            own, weight = bounds[mark[c] : mark[c] + blocks[place[c]]], float(block.weights[c])
+            cursors.append(Cursor(weight, postings[source[c] : source[c] + size[c]], _gains(weight, own["tf"].astype(float), own["length"], mean)))
+        best = block_max_wand(cursors, k, ids, lengths, mean, block.floors[q])
         yield np.full(len(best), block.queries[q]), np.array([d for _, d in best], np.int64), np.array([x for x, _ in best])
+    # the others: every posting of their terms
+    size[np.setdiff1d(np.arange(len(size)), column[~short[at]])] = 0
+    begin = np.cumsum(size) - size
+    doc, gain, upto, low = np.empty(size.sum(), np.int32), np.empty(size.sum()), np.cumsum(size), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(upto, begin[low] + PIECE, "right")))
+        found, own = postings[_slices(source[low:high], size[low:high])], slice(begin[low], upto[high - 1])
+        doc[own] = found["doc"]
+        gain[own] = _gains(np.repeat(block.weights[low:high], size[low:high]), found["tf"].astype(float), lengths[found["doc"]], mean)
+        low = high
     many = np.bincount(column, minlength=len(block.terms)) * size * DENSE > len(block.queries) * n
     long = np.flatnonzero(~short)
     step = max(1, CELLS // n)
@@ -281,6 +321,7 @@ def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.nd
             scores[r[0] : r[-1] + 1] += np.bincount(cell, gain[which], rows * n).reshape(rows, n)
             start = stop
         least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(group))
+        least = np.maximum(least, block.floors[group])
         query, local = np.nonzero((scores >= least[:, None]) & (scores > 0))
         score = scores[query, local]
         order = np.lexsort((ids[local], -score, query))
@@ -297,11 +338,11 @@ def _run_shards(index: DataFrame, block, mean: float, k: int) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 ids, lengths, terms, counts = (np.frombuffer(batch.column(c)[n].as_buffer(), "<i8") for c in range(4))
-                postings = np.frombuffer(batch.column(4)[n].as_buffer(), _POSTING)
-                for query, doc, score in score_shard(block.value, ids, lengths, terms, counts, postings, mean, k):
+                postings, bounds = (np.frombuffer(batch.column(c)[n].as_buffer(), kind) for c, kind in ((4, _POSTING), (5, _BOUND)))
+                for query, doc, score in score_shard(block.value, ids, lengths, terms, counts, postings, bounds, mean, k):
                     yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"])
 
-    return index.select("ids", "lengths", "terms", "counts", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("ids", "lengths", "terms", "counts", "postings", "bounds").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +362,8 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     (or, among queries, one query with the terms of all of them) of that id; other columns are left out, so their names
     cannot clash. No rows give no rows.
     """
-    index = materialise(build_index(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "search-index")
-    lengths = index.select("n", "lengths").mapInArrow(_sum_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    index = write_index(build_index(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    lengths = index.select("n", "lengths").mapInArrow(_sum_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
     count, mean = lengths["n"] or 0, max((lengths["words"] or 0) / max(lengths["n"] or 1, 1), 1e-9)
     bags = query_bags(queries.where(F.col(query_id_col).isNotNull()).select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_text_col).alias("text")))
     bags = bags.groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
@@ -335,14 +376,24 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
         weighted = weighted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= query_terms)
     chosen = materialise(weighted.select("query_id", "term", "weight"), "search-queries")
     blocks = max(1, -(-chosen.count() // QUERY_BLOCK))
+    top = max(0, (lengths["shards"] // FIRST_SHARDS).bit_length() - 1)
+    rounds = [index.where(F.col("level") >= top), *(index.where(F.col("level") == level) for level in range(top - 1, -1, -1))]
+    merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     answers = []
     for number in range(blocks):
-        part = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        block = docs.sparkSession.sparkContext.broadcast(block_of(part.toArrow()))
-        answers.append(materialise(_run_shards(index, block, mean, k), "search-answers"))
-        block.destroy()
-    merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    found = reduce(DataFrame.union, answers).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+        part = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()  # about QUERY_BLOCK rows
+        best, floors = None, {}
+        for shards in rounds:
+            block = docs.sparkSession.sparkContext.broadcast(block_of(part, floors))
+            found = _run_shards(shards, block, mean, k)
+            found = (found if best is None else best.drop("rank").union(found)).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+            best = materialise(found, "search-answers")
+            block.destroy()
+            floors = {row["query_id"]: row["score"] for row in best.where(F.col("rank") == k).toLocalIterator()}  # one row for each query of the block
+        answers.append(best)
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.union(more)
     return found.select("query_id", "rank", "doc_id", "score")
 
 
