@@ -3,7 +3,8 @@
 Documents are cut into overlapping passages of words. A distributed randomised SVD of the passages' TF-IDF
 matrix gives a latent space; passages near a benchmark item there (by cosine) are candidates, and a longest common
 subsequence and a check for the item's rarest words (its answer) decide. Only words of the benchmark can
-contribute to a match, so the matrix has one column for each of them, and its size is bounded by the query set.
+contribute to a match, so the matrix has one column for each of them, and its size is bounded by the query set. The vocabulary, the
+weights and the space are those of the whole benchmark, however its items are dealt into blocks.
 """
 
 from __future__ import annotations
@@ -24,18 +25,17 @@ PASSAGE, STEP = 32, 16
 #: Dimensions of the latent space.
 DIMENSIONS = 96
 #: Least cosine of a candidate, least share of an item's words in a common subsequence, least share of its answer words.
-COSINE, COMMON, ANSWER = 0.35, 0.6, 0.5
+COSINE, COMMON, ANSWER = 0.3, 0.6, 0.375
 #: Words of an item that count as its answer: the rarest.
-ANSWER_WORDS = 4
-#: An item of which so much is found needs no check of its answer.
-SURE = 0.75
-#: A word in a larger share of all passages says nothing, unless it is among the rarest of an item.
-COMMON_WORD = 0.002
+ANSWER_WORDS = 8
+#: Stop words: words in a larger share of all passages, unless they are among the rarest of an item. In a space of few dimensions
+#: they would drown the others, and all passages of a language would be near each other.
+COMMON_WORD = 0.005
 KEPT_WORDS = 8
-#: Distinct telling words that a candidate passage shares with an item (fewer if the item has fewer).
-LEAST_WORDS = 2
 #: Benchmark items of one pass over the passages.
-BLOCK = 500
+BLOCK = 5000
+#: Largest list of contaminated texts that is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
 SEED = 20240229
 WORD = re.compile(r"[^\W_]+")
 
@@ -79,6 +79,7 @@ class _Part:
     first: np.ndarray  # its first word
     passage: np.ndarray  # of each entry
     word: np.ndarray  # of each entry
+    outside: np.ndarray  # words of each passage that no item holds
     passages: int  # all passages of these documents
 
 
@@ -98,7 +99,11 @@ def _part(ids: list, words: list[np.ndarray], known: np.ndarray) -> _Part:
     key = np.unique(np.concatenate(keys))
     number, dense = np.unique(key >> 32, return_inverse=True)
     owner = np.searchsorted(base, number, side="right") - 1
-    return _Part(ids, words, owner, (number - base[owner]) * STEP, dense, key & 0xFFFFFFFF, int((last + 1).sum()))
+    first = (number - base[owner]) * STEP
+    strange = np.concatenate([[0], np.cumsum(flat < 0)])
+    low = start[owner] + first
+    outside = strange[np.minimum(low + PASSAGE, start[owner] + sizes[owner])] - strange[low]
+    return _Part(ids, words, owner, first, dense, key & 0xFFFFFFFF, outside, int((last + 1).sum()))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[_Part]:
@@ -116,6 +121,18 @@ def _parts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[_Pa
             yield _part(ids, words, known)
 
 
+def _near(part: _Part, weight: np.ndarray, basis: np.ndarray, targets: np.ndarray, strange: float) -> np.ndarray:
+    """Cosines of passages and items: in the latent space, with one more dimension for the words that no item holds.
+
+    Each of those weighs ``strange``; without them a passage that shares a single word with the benchmark would be near its items.
+    """
+    image, value = _weighted(part.passage, part.word, len(part.first), weight, basis)
+    image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-12)
+    mass = np.bincount(part.passage, weight[part.word] ** 2, len(part.first))
+    image *= np.sqrt(mass / (mass + strange**2 * part.outside))[:, None].astype(np.float32)
+    return image @ targets.T
+
+
 def _weighted(passage: np.ndarray, word: np.ndarray, count: int, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The length-normalised TF-IDF rows times ``basis``, and the entries' values."""
     value = weight[word]
@@ -197,6 +214,7 @@ class Space:
 
     weight: np.ndarray
     basis: np.ndarray
+    strange: float  # the weight of a word that no item holds: the mean of the others
 
 
 def latent_space(encoded: DataFrame, size: int, items: list[list[int]], dimensions: int = DIMENSIONS) -> Space:
@@ -204,7 +222,7 @@ def latent_space(encoded: DataFrame, size: int, items: list[list[int]], dimensio
     count = _frequencies(encoded, size)
     passages = max(count[size], 1)
     weight = np.log((passages + 1) / (count[:size] + 1)) + 1
-    telling = count[:size] <= max(COMMON_WORD * passages, 50)
+    telling = count[:size] <= COMMON_WORD * passages
     for words in items:
         telling[sorted(set(words), key=lambda w: (count[w], w))[:KEPT_WORDS]] = True
     weight[~telling] = 0
@@ -213,7 +231,7 @@ def latent_space(encoded: DataFrame, size: int, items: list[list[int]], dimensio
     span, _ = np.linalg.qr(_gather(encoded, weight, start, wide=True) + 1e-9 * start)
     small = _gather(encoded, weight, span, wide=False)
     _, turn = np.linalg.eigh((small + small.T) / 2)
-    return Space(weight, (span @ turn[:, ::-1]).astype(np.float32))
+    return Space(weight, (span @ turn[:, ::-1]).astype(np.float32), float(weight[telling].mean()))
 
 
 def common_subsequence(a: list | np.ndarray, b: list | np.ndarray) -> int:
@@ -237,12 +255,9 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
         space, items = held.value
         weight, basis, known = space.weight, space.basis, space.weight > 0
         vectors, answers = [], []
-        holds, least = np.zeros((len(weight), len(items)), np.uint8), np.full(len(items), LEAST_WORDS)
-        for k, (_, words) in enumerate(items):
-            distinct = np.unique([w for w in words if w >= 0]).astype(np.int64)
-            holds[distinct[known[distinct]], k] = 1
-            least[k] = min(LEAST_WORDS, max(1, int(known[distinct].sum())))
-            vectors.append((basis[distinct] * weight[distinct, None]).sum(0) if len(distinct) else np.zeros(basis.shape[1]))
+        for _, words in items:
+            distinct = np.unique(words).astype(np.int64)
+            vectors.append((basis[distinct] * weight[distinct, None]).sum(0))
             answers.append(set(sorted((int(w) for w in distinct), key=lambda w: (-weight[w], w))[:ANSWER_WORDS]))
         targets = np.array(vectors, np.float32).reshape(len(items), -1)
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
@@ -250,29 +265,16 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
             out = []
             if not len(part.first):
                 continue
-            some = (np.bincount(part.passage, minlength=len(part.first)) >= least.min())[part.passage]
-            if not some.any():
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(part.passage[some]) > 0]))
-            shares = np.add.reduceat(holds[part.word[some]], cut, axis=0) >= least
-            enough = np.zeros(len(part.first), bool)
-            enough[part.passage[some][cut]] = shares.any(1)
-            if not enough.any():
-                continue
-            shares = shares[shares.any(1)]
-            entry, place = enough[part.passage], np.cumsum(enough) - 1
-            doc, first = part.doc[enough], part.first[enough]
-            image, _ = _weighted(place[part.passage[entry]], part.word[entry], len(first), weight, basis)
-            image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-12)
-            near = image @ targets.T
+            doc, first = part.doc, part.first
+            near = _near(part, weight, basis, targets, space.strange)
             best: dict[tuple, tuple] = {}
-            for at, item in zip(*np.nonzero((near >= COSINE) & shares), strict=True):
+            for at, item in zip(*np.nonzero(near >= COSINE), strict=True):
                 wanted, words = items[item][1], part.words[doc[at]]
                 low = max(0, int(first[at]) - len(wanted))
                 text = words[low : int(first[at]) + PASSAGE + len(wanted)].tolist()
                 answer = len(answers[item] & set(text)) / max(1, len(answers[item]))
                 share = common_subsequence(wanted, text) / len(wanted)
-                if share >= SURE or (share >= COMMON and answer >= ANSWER):
+                if share >= COMMON and answer >= ANSWER:
                     found = (share, answer, float(near[at, item]), -low, low + len(text))
                     key = int(doc[at]), int(item)
                     best[key] = max(best.get(key, found), found)
@@ -288,33 +290,38 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """(doc_id, item_id, first_word, last_word, cosine, common, answer): one row for each contaminated document and item.
 
     ``first_word`` and ``last_word`` bound the words of the document in which the item was found. The benchmark is the
-    query set: it is taken in blocks of ``block`` items, each held against all passages of all documents. Documents that no row
-    names are clean. Null and empty texts and items match nothing; a row of ``docs`` that repeats an id
-    repeats its hits; rows without an id are searched like any other; items that repeat an id or a text are
+    query set: it is taken in blocks of ``block`` items, each held against all passages of all documents; the block size
+    changes no result. Documents that no row names are clean. Null and empty texts and items match nothing; a row of ``docs`` that
+    repeats an id repeats its hits; rows without an id are searched like any other; items that repeat an id or a text are
     searched one by one; other columns are left out, so their names cannot clash. No rows on either side give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    items = [(row["item_id"], words) for row in rows.orderBy("item_id", "text").toLocalIterator() if (words := split_words(row["text"]))]
+    if not items:
+        return spark.createDataFrame([], HIT)
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
+    coded = [(number, [vocabulary[w] for w in words]) for number, words in items]
+    encoded = materialise(_encode(texts, vocabulary), "passages")
+    space = latent_space(encoded, len(vocabulary), [words for _, words in coded])
     found = None
-    items, ahead = [], rows.orderBy("item_id", "text").toLocalIterator()
-    while True:
-        row = next(ahead, None)
-        if row is not None and (words := split_words(row["text"])):
-            items.append((row["item_id"], words))
-        if items and (row is None or len(items) == block):
-            vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
-            encoded = materialise(_encode(texts, vocabulary), "passages")
-            coded = [(number, [vocabulary[w] for w in words]) for number, words in items]
-            space = latent_space(encoded, len(vocabulary), [words for _, words in coded])
-            hits = _search(encoded, space, coded)
-            found = hits if found is None else found.union(hits)
-            items = []
-        if row is None:
-            return spark.createDataFrame([], HIT) if found is None else found
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
-    hits = find_contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hits, id_col, "left_anti")
+    for at in range(0, len(coded), block):
+        hits = _search(encoded, space, coded[at : at + block])
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose texts no benchmark item was found, with all their columns.
+
+    Rows are judged by their texts alone: equal texts go or stay together, whatever their ids, which may be null or repeated. Null
+    texts stay. The names of the columns are free.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = held.withColumn("key", F.xxhash64(F.col("row").getField(text_col)))
+    texts = held.select("key", F.col("row").getField(text_col).alias("text"))
+    hits = materialise(find_contaminated(texts, benchmark, "key", "text").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    few = hits.count() <= BROADCAST_ROWS
+    clean = held.join(F.broadcast(hits) if few else hits, "key", "left_anti")
+    return clean.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -171,6 +171,44 @@ def test_benchmark_passages_are_found(spark):
     assert decontaminate.find_contaminated(df, bench.where("false")).count() == 0
 
 
+def test_recall_against_all_pairs(spark):
+    r = random.Random(17)
+    known, other = [f"item{k}" for k in range(1500)], [f"other{int(k)}" for k in range(4000)]
+    common = [f"c{k}" for k in range(20)]
+    word = lambda pool: r.choice(common) if r.random() < 0.3 else r.choice(pool)
+    items = [(k, [word(known) for _ in range(r.randint(15, 60))]) for k in range(50)]
+    docs = []
+    for k in range(300):
+        text = [word(other if r.random() < 0.9 else known) for _ in range(r.randint(40, 400))]
+        if k % 2 == 0:
+            passage, rate = list(r.choice(items)[1]), r.choice([0, 0.1, 0.2, 0.3, 0.4])
+            passage = [w for w in passage if r.random() >= rate / 2]
+            passage = [w if r.random() >= rate / 2 else r.choice(other) for w in passage]
+            at = r.randint(0, len(text))
+            text[at:at] = passage
+        docs.append((k, text))
+    spread, passages = Counter(), 0
+    for _, text in docs:
+        for at in range(0, max(1, len(text) - 16), 16):
+            spread.update(set(text[at : at + 32]))
+            passages += 1
+    truth = set()
+    for d, text in docs:
+        for i, item in items:
+            rare = set(sorted(set(item), key=lambda w: (spread[w], w))[:8])
+            for at in range(0, len(text), 16):
+                window = text[max(0, at - len(item)) : at + 32 + len(item)]
+                if decontaminate.common_subsequence(item, window) >= 0.6 * len(item) and len(rare & set(window)) >= 0.375 * len(rare):
+                    truth.add((d, i))
+    df, bench = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = {(h.doc_id, h.item_id) for h in decontaminate.find_contaminated(df, bench).collect()}
+    assert len(truth) > 100 and len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.05 * len(truth)
+    assert found == {(h.doc_id, h.item_id) for h in decontaminate.find_contaminated(df, bench, block=7).collect()}
+    rows = [(None, " ".join(docs[0][1])), (1, " ".join(docs[0][1])), (1, " ".join(docs[1][1])), (None, None)]
+    kept = decontaminate.remove_contaminated(spark.createDataFrame(rows, "key long, text string"), bench.where("item_id >= 0"))
+    assert kept.columns == ["key", "text"] and sorted(((x.key or 0), x.text is None) for x in kept.collect()) == [(0, True), (1, False)]
+
+
 def test_common_subsequence():
     r = random.Random(11)
     for _ in range(200):
