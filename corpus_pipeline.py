@@ -18,7 +18,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model calls toxic go; the model learns from the labels that are not held out."""
+    """Documents that the model calls toxic go; the model learns from the labels that are not held out.
+
+    Null and empty texts stay; without labels of both classes all documents stay.
+    """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
@@ -26,20 +29,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Rows without an id, and texts without words, are in no group and stay; rows that repeat an id stay or go together.
+    """
     groups = jaccard.similar_documents(docs, "doc_id", "text", n=5, per_cent=80)
-    others = groups.where("component_id <> doc_id").select("doc_id")
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Documents whose texts hold a passage of the benchmark go, whatever their ids; null texts stay."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are rewritten without personal data; ``n_chars`` follows."""
-    clean = privacy.sanitise(docs).withColumn("text", F.col("clean"))
+    """Texts are rewritten without personal data and the words that give it away; ``n_chars`` follows, and is null for a null text."""
+    clean = privacy.rewrite(docs, **privacy.SINGLE_TEXTS)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
