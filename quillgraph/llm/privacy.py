@@ -210,16 +210,31 @@ def _marks_of(docs: DataFrame, generalise_at: float, remove_at: float, support:
     return terms.join(F.broadcast(told) if few else told, "term").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
 
 
-def _rewrite(text: Column, spans: Column) -> Column:
-    """The text with each span replaced; overlapping spans are replaced once, by the first of them."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    shown = lambda s: F.when(s["kind"] == REMOVED, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    step = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), shown(s))).alias("out"),
-    )
-    done = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
+def _shown(kind: Column) -> Column:
+    return F.when(kind == REMOVED, "").otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+
+def _hidden(text: Column, marks: Column) -> Column:
+    """The text with each marked term replaced; what lies between the terms and the terms are joined again, in one pass."""
+    between, found = F.split(text, _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    pieces = F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(_shown(F.try_element_at(marks, F.lower(m))), m, F.lit(""))))
+    return F.when(marks.isNull(), text).otherwise(F.array_join(pieces, ""))
+
+
+def _rewrite(text: Column, base: Column, marks: Column) -> Column:
+    """The text with its pattern spans and, between them, its marked terms replaced; overlapping spans are replaced once, by the first of them."""
+    order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    longer = lambda a, s: F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))
+    step = lambda a, s: F.when((F.size(a) > 0) & (s["start"] < last(a)["end"]), F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), longer(a, s))).otherwise(F.array_append(a, s))
+    spans = F.aggregate(order, F.array().cast("array<struct<start:int,end:int,kind:string>>"), step)
+
+    def piece(k: Column) -> Column:
+        low = F.coalesce(F.get(spans, k - 1)["end"], F.lit(0))
+        high = F.coalesce(F.get(spans, k)["start"], F.length(text))
+        return F.concat(_hidden(F.substring(text, low + 1, high - low), marks), F.coalesce(_shown(F.get(spans, k)["kind"]), F.lit("")))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), piece), "")
 
 
 def _judged(df: DataFrame, text_col: str, generalise_at: float, remove_at: float, support: int) -> DataFrame:
@@ -231,8 +246,8 @@ def _judged(df: DataFrame, text_col: str, generalise_at: float, remove_at: float
     spotted = rows.withColumn("base", base_spans(text))
     # texts without an entity stay as they are: they are not shuffled
     some = spotted.where(F.size("base") > 0).withColumn("hash", _key(text)).join(marks, "hash", "left")
-    some = some.select("row", "base", F.when(F.col("marks").isNotNull(), _marked(_blanked(text, F.col("base")), F.col("marks"))).otherwise(none).alias("added"))
-    some = some.withColumn("clean", _rewrite(text, F.concat("base", "added")))
+    added = F.when(F.col("marks").isNotNull(), _marked(_blanked(text, F.col("base")), F.col("marks"))).otherwise(none)
+    some = some.select("row", "base", added.alias("added"), _rewrite(text, F.col("base"), F.col("marks")).alias("clean"))
     return spotted.where(F.size("base") == 0).select("row", "base", none.alias("added"), text.alias("clean")).unionByName(some)
 
 
