@@ -85,15 +85,25 @@ def query_terms(text: Column) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 2))
 
 
-def node_relevance(terms: Column, text: Column, context: Column, node_type: Column, confidence: Column) -> Column:
-    """Share of terms that occur in the node's text, boosted by type and confidence, at most 1."""
-    body = F.lower(F.concat_ws(" ", text, context))
-    hits = F.size(F.filter(terms, lambda t: F.contains(body, t)))
+def node_weight(node_type: Column, confidence: Column) -> Column:
+    """What a node's type and confidence make of its share of terms."""
     boost = F.lit(1.0)
     for name, factor in TYPE_BOOST.items():
         boost = F.when(F.lower(node_type) == name, factor).otherwise(boost)
+    return boost * (0.8 + confidence * 0.2)
+
+
+def node_body(text: Column, context: Column) -> Column:
+    """The text in which terms are looked for."""
+    return F.lower(F.concat_ws(" ", text, context))
+
+
+def node_relevance(terms: Column, text: Column, context: Column, node_type: Column, confidence: Column) -> Column:
+    """Share of terms that occur in the node's text, boosted by type and confidence, at most 1; without terms 0."""
+    body = node_body(text, context)
+    hits = F.size(F.filter(terms, lambda t: F.contains(body, t)))
     share = F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(0.0)
-    return F.least(share * boost * (0.8 + confidence * 0.2), F.lit(1.0))
+    return F.least(share * node_weight(node_type, confidence), F.lit(1.0))
 
 
 def question_type(text: Column) -> Column:

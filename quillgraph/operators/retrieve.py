@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.runtime import materialise
 
-#: Questions of one block of ``semantic_search`` and ``knn``: a block is broadcast, its size is fixed.
+#: Query vectors of one block of ``knn``: a block is broadcast, its size is fixed.
 BLOCK = 2000
 
 
@@ -26,20 +27,33 @@ def _blocks(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[DataFra
         yield numbered.where(F.col("_block") == n).drop("_block")
 
 
+#: Letters by which terms and node texts meet; terms are at least so long.
+GRAM = 3
+
+
 def semantic_search(queries: DataFrame, nodes: DataFrame, threshold: float = 0.5, k: int = 10) -> DataFrame:
     """(query_id, rank, node_id, relevance): the best nodes of each question; ties by node id.
 
-    The question set is held against all nodes, block by block.
+    A term can only occur in texts that hold its first letters: terms and nodes are joined on these, the exact test comes after, and
+    hits are counted for each question and node that share a term. No pair without a common term is ever formed. Questions without
+    terms have no rows; a node of two graphs is scored twice; null texts hold no term; no rows on either side give no rows.
     """
-    out = None
+    if threshold <= 0:
+        raise ValueError("a node without any of the terms is no hit")
     terms = queries.select("query_id", T.query_terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
-    for block in _blocks(terms, "query_id"):
-        pairs = nodes.join(F.broadcast(block))
-        scored = pairs.select("query_id", "node_id", T.node_relevance(F.col("terms"), F.col("text"), F.col("context"), F.col("node_type"), F.col("confidence")).alias("relevance"))
-        best = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "node_id")
-        hits = scored.where(F.col("relevance") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = hits if out is None else out.union(hits)
-    return out.select("query_id", "rank", "node_id", "relevance")
+    asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).groupBy("query_id", "n", "term").agg(F.count("*").alias("times"))
+    asked = materialise(asked, "search-terms")
+    rows = nodes.select("node_id", T.node_body(F.col("text"), F.col("context")).alias("body"), T.node_weight(F.col("node_type"), F.col("confidence")).alias("weight"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "search-nodes")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - GRAM + 1), lambda n: F.substring(F.col("body"), n, F.lit(GRAM))))
+    spread = rows.where(F.length("body") >= GRAM).select("row", F.explode(grams).alias("gram"))
+    words = asked.select("term", F.substring("term", 1, GRAM).alias("gram")).distinct()
+    held = spread.join(words, "gram").select("row", "term").join(rows, "row").where(F.contains("body", F.col("term")))
+    counted = held.join(asked, "term").groupBy("query_id", "row").agg(F.sum("times").alias("hits"), F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("node_id").alias("node_id"))
+    scored = counted.select("query_id", "node_id", F.least(F.col("hits") / F.col("n") * F.col("weight"), F.lit(1.0)).alias("relevance"))
+    best = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "node_id")
+    hits = scored.where(F.col("relevance") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return hits.select("query_id", "rank", "node_id", "relevance")
 
 
 def assemble_evidence(hits: DataFrame, edges: DataFrame, top_hits: int = 5, top_edges: int = 10) -> DataFrame:
@@ -131,6 +145,60 @@ def longest_subjects(subjects: DataFrame) -> DataFrame:
     return a.join(b, part, "left_anti")
 
 
+#: The relation types of the literature graph.
+LITERATURE_TYPES = ["associate", "cause", "compare", "cotreat", "drug_interact", "inhibit", "interact", "negative_correlate", "positive_correlate", "prevent", "stimulate", "treat"]
+
+
+def literature_relations(subjects: DataFrame, triples: DataFrame, forward: int = 20, reverse: int = 100) -> DataFrame:
+    """(query_id, direction, rank, source, relation_type, target, pmids): literature relations of the subjects of each question.
+
+    Subjects (query_id, subject) that are part of a longer one of their question are dropped. A triple (source, target, relation_type,
+    pmids, source_is_disease, target_is_disease) has mentions joined by ``|`` at both ends. Forward ones start at a disease that
+    the subjects name, reverse ones end at one; of each question those with the most articles count, ties in the order of the
+    columns. Null mentions name nothing, null lists are empty, and other relation types are left out.
+    """
+    wanted = longest_subjects(subjects.distinct()).select("query_id", F.upper("subject").alias("subject")).distinct()
+    known = triples.where(F.col("relation_type").isin(LITERATURE_TYPES)).distinct()
+    out = None
+    for direction, end, limit in (("forward", "source", forward), ("reverse", "target", reverse)):
+        named = known.where(F.col(f"{end}_is_disease")).withColumn("subject", F.explode(F.array_distinct(F.split(F.upper(end), r"\|"))))
+        columns = ["query_id", "source", "relation_type", "target", "pmids"]
+        hits = named.join(wanted, "subject").select(*columns).distinct()
+        best = Window.partitionBy("query_id").orderBy(F.coalesce(F.size("pmids"), F.lit(0)).desc(), "source", "relation_type", "target", "pmids")
+        hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+        hits = hits.select("query_id", F.lit(direction).alias("direction"), "rank", "source", "relation_type", "target", "pmids")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def knowledge_sequence(relations: DataFrame) -> DataFrame:
+    """(subject, predicate, object, citations) rows of a relation map (subject, relations of predicate, object and citation).
+
+    A citation string is cut at ``|``; null and empty ones give an empty array. A subject without relations gives no row.
+    """
+    rows = relations.select("subject", F.explode("relations").alias("r"))
+    citations = F.when(F.coalesce(F.col("r.citation"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("r.citation", r"\|"))
+    return rows.select("subject", F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object"), citations.alias("citations"))
+
+
+def question_entities(questions: DataFrame, extract: Callable[[Column], Column] | None = None, synonyms: Callable[[Column], Column] | None = None, union: bool = True) -> DataFrame:
+    """(query_id, entity): the distinct entities of each question (query_id, question).
+
+    The built-in ones are the question's terms. ``extract`` maps the question to an array of a caller's entities, ``synonyms`` an entity to an array
+    of others; either may be built from column functions or a pandas UDF. With ``union`` they join the built-in ones, else they
+    replace them. Null and empty entities are left out.
+    """
+    found = T.query_terms(F.col("question"))
+    if extract is not None:
+        own = F.coalesce(extract(F.col("question")), F.array().cast("array<string>"))
+        found = F.array_union(found, own) if union else own
+    rows = questions.select("query_id", F.explode(F.array_distinct(found)).alias("entity"))
+    if synonyms is not None:
+        more = rows.select("query_id", F.explode(synonyms(F.col("entity"))).alias("entity"))
+        rows = rows.unionByName(more) if union else more
+    return rows.where(F.coalesce("entity", F.lit("")) != "").distinct()
+
+
 def textualize(df: DataFrame, subject: str, predicate: str, labels: dict[str, str]) -> DataFrame:
     """Wide nullable records to (subject, predicate, object text): labelled lines of what is not null; empty ones are dropped."""
     lines = F.concat_ws("\n", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))) for c, label in labels.items()))

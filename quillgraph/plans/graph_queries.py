@@ -80,10 +80,13 @@ def text_jaccard(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("similarity"))
 
 
-@query("with t as (select min(item_id) rep, s from (select item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) s from benchmark union all select 100000 + doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) from documents where n_chars < 400) where len(s) > 0 group by s) select a.rep a, b.rep b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) similarity from t a join t b on a.rep < b.rep where round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) >= 0.8")
+_SETS = "t as (select min(item_id) rep, s from (select item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) s from benchmark union all select 100000 + doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) from documents) where len(s) > 0 group by s)"
+
+
+@query(f"with {_SETS} select a.rep a, b.rep b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) similarity from t a join t b on a.rep < b.rep and len(a.s) >= 0.79 * len(b.s) and len(b.s) >= 0.79 * len(a.s) where round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) >= 0.8")
 def similar_nodes(spark, sf_dir):
-    """Short documents and benchmark items as nodes, since only short texts name things."""
-    nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").union(table(spark, sf_dir, "documents").where("n_chars < 400").select(F.col("doc_id") + 100000, "text"))
+    """All documents and benchmark items as nodes."""
+    nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 100000, "text"))
     return graph.similar_nodes(nodes, "id", "text", 0.8)
 
 
@@ -94,13 +97,13 @@ def remove_documents(spark, sf_dir):
     return graph.remove_documents(graph.node_documents(m), graph.build_edges(relations_of(spark, sf_dir)), gone)[0]
 
 
-_SUPPLY = "e as (select distinct 'p' || l_partkey src, 's' || l_suppkey dst from lineitem where l_quantity >= 49), b as (select src, dst from e union select dst, src from e), s as (select 's' || s_suppkey node_id, s_suppkey query_id from supplier where s_suppkey <= 3), h1 as (select distinct query_id, b.dst node_id from s join b on b.src = s.node_id), h2 as (select distinct query_id, b.dst node_id from h1 join b on b.src = h1.node_id)"
+_SUPPLY = "e as (select distinct 'p' || l_partkey src, 's' || l_suppkey dst from lineitem), b as (select src, dst from e union select dst, src from e), s as (select 's' || s_suppkey node_id, s_suppkey query_id from supplier where s_suppkey % 10 = 0), h1 as (select distinct query_id, b.dst node_id from s join b on b.src = s.node_id), h2 as (select distinct query_id, b.dst node_id from h1 join b on b.src = h1.node_id)"
 
 
 def _supply(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    rows = table(spark, sf_dir, "lineitem")
     edges = rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    starts = table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
+    starts = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
     return edges, starts
 
 
@@ -118,37 +121,41 @@ def traversed_edges(spark, sf_dir):
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: w not in ({_STOP}) and length(w) > 2)"
-_HITS = f"q as (select item_id query_id, {_TERMS} terms from benchmark), n as (select p_partkey node_id, lower(p_name || ' ' || p_type) body, p_size / 50.0 c from part), sc as (select query_id, node_id, least(len(list_filter(terms, lambda t: contains(body, t[1:3]))) / len(terms) * (0.8 + 0.2 * c), 1.0) relevance from q, n where len(terms) > 0), hits as (select *, row_number() over (partition by query_id order by relevance desc, node_id) as rank from sc where relevance >= 0.3 qualify rank <= 10)"
-
-
 @query(f"select item_id, array_to_string({_TERMS}, ' ') terms from benchmark")
 def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
 
 def _questions(spark, sf_dir):
-    """Benchmark items as questions, by the first three letters of their terms: names of parts hold none of the whole ones."""
-    parts = F.transform(T.query_terms(F.col("text")), lambda t: F.substring(t, 1, 3))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(parts, " ").alias("question"))
+    """Every hundredth part's name as a question to all parts."""
+    return table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("question"))
 
 
 def _part_nodes(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("text"), F.col("p_type").alias("context"), F.lit("thing").alias("node_type"), (F.col("p_size") / 50.0).alias("confidence"))
 
 
-_SHORT = f"q as (select item_id query_id, list_filter(list_transform({_TERMS}, lambda t: t[1:3]), lambda t: t not in ({_STOP})) terms from benchmark)"
-_SEARCH = f"{_SHORT}, n as (select p_partkey node_id, lower(p_name || ' ' || p_type) body, p_size / 50.0 c from part), sc as (select query_id, node_id, least(len(list_filter(terms, lambda t: contains(body, t))) / len(terms) * (0.8 + 0.2 * c), 1.0) relevance from q, n where len(terms) > 0), hits as (select query_id, row_number() over (partition by query_id order by relevance desc, node_id) as rank, node_id, relevance from sc where relevance >= 0.1 qualify rank <= 10)"
+_ASKED = f"q as (select p_partkey query_id, {_TERMS.replace('text', 'p_name')} terms from part where p_partkey % 100 = 0)"
+_SEARCH = f"{_ASKED}, n as (select p_partkey node_id, lower(p_name || ' ' || p_type) body, p_size / 50.0 c from part), sc as (select query_id, node_id, least(len(list_filter(terms, lambda t: contains(body, t))) / len(terms) * (0.8 + 0.2 * c), 1.0) relevance from q, n where len(terms) > 0), hits as (select query_id, row_number() over (partition by query_id order by relevance desc, node_id) as rank, node_id, relevance from sc where relevance >= 0.3 qualify rank <= 10)"
+
+
+@query("select p_partkey, round(least(((contains(b, 'small'))::int + contains(b, 'ring')::int + contains(b, 'tin')::int) / 3 * (0.8 + 0.2 * p_size / 50.0), 1.0), 6) relevance from (select *, lower(p_name || ' ' || p_type) b from part)")
+def node_relevance(spark, sf_dir):
+    terms = F.array(F.lit("small"), F.lit("ring"), F.lit("tin"))
+    rows = _part_nodes(spark, sf_dir)
+    score = T.node_relevance(terms, F.col("text"), F.col("context"), F.col("node_type"), F.col("confidence"))
+    return rows.select(F.col("node_id").alias("p_partkey"), F.round(score, 6).alias("relevance"))
 
 
 @query(f"with {_SEARCH} select query_id, rank::int as rank, node_id, round(relevance, 6) relevance from hits")
 def semantic_search(spark, sf_dir):
-    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.1, 10)
+    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.3, 10)
     return hits.withColumn("relevance", F.round("relevance", 6))
 
 
 @query(f"with {_SEARCH} select query_id, string_agg(node_id::varchar, ',' order by rank) nodes from hits where rank <= 5 group by 1")
 def assemble_evidence(spark, sf_dir):
-    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.1, 10)
+    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.3, 10)
     edges = hits.select("query_id", F.col("node_id").cast("string").alias("edge_id"), F.col("relevance").alias("confidence"))
     rows = retrieve.assemble_evidence(hits, edges)
     return rows.select("query_id", F.array_join(F.transform("hits", lambda h: h["node_id"].cast("string")), ",").alias("nodes"))
@@ -156,14 +163,74 @@ def assemble_evidence(spark, sf_dir):
 
 @query(f"with {_SEARCH} select query_id, round(least(avg(relevance) filter (rank <= 5) + least(count(*) * 0.05, 0.2) + least(count(*) * 0.02, 0.1), 1.0), 6) confidence from hits group by 1")
 def answer_confidence(spark, sf_dir):
-    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.1, 10)
+    hits = retrieve.semantic_search(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 0.3, 10)
     n = hits.groupBy("query_id").agg(F.count("*").alias("n_edges"))
     return retrieve.answer_confidence(hits, n, n.withColumnRenamed("n_edges", "n_sources"))
 
 
-@query(f"with {_SEARCH}, f as (select query_id, avg(relevance) c from hits where rank <= 5 group by 1) select item_id query_id, case when len(coalesce(q.terms, [])) = 0 then 'empty' when f.c is null then 'no_hit' else 'answered' end status, round(coalesce(f.c, 0), 6) confidence from benchmark left join q on q.query_id = item_id left join f on f.query_id = item_id")
+@query(
+    f"with {_SEARCH}, f as (select query_id, avg(relevance) c, string_agg(p_name || ': ' || p_type, '. ' order by rank) filter (rank <= 3) || '.' answer from hits join part on p_partkey = node_id where rank <= 5 group by 1) "
+    "select q.query_id, case when f.c is null then 'no_hit' else 'answered' end status, f.answer, round(coalesce(f.c, 0), 6) confidence from q left join f using (query_id)"
+)
 def answer_queries(spark, sf_dir):
-    return retrieve.answer_queries(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 1000, 0.1, 10).select("query_id", "status", "confidence")
+    return retrieve.answer_queries(_questions(spark, sf_dir), _part_nodes(spark, sf_dir), 1000, 0.3, 10)
+
+
+_REL = "case p_partkey % 3 when 0 then 'causes' when 1 then 'regulates' else 'treats' end"
+_SURE = "(p_size % 2 = 1)"
+
+
+@query(
+    "select p_partkey, kind, case kind when 'definition' then p_name || ' is ' || p_type || case when p_size > 25 then '. It is related to second (pathway)' else '' end || case when p_size % 2 = 1 then '. Key relationships include: ' || p_brand else '' end || '.' "
+    f"when 'mechanism' then 'The mechanism involves second. more' || case when {_REL} in ('causes', 'regulates') then '. ' || p_brand else '' end || '.' "
+    f"when 'causal' then case when {_REL} = 'causes' then p_brand || '. ' else '' end || 'This relates to ' || p_name || ': ' || p_type || '.' "
+    "else p_name || ': ' || p_type || '. second: more. Related information: ' || p_brand || '.' end answer from part, (values ('definition'), ('mechanism'), ('causal'), ('general')) k(kind)"
+)
+def template_answer(spark, sf_dir):
+    """All four templates, with relations, over all parts."""
+    kinds = F.explode(F.array(*(F.lit(x) for x in ("definition", "mechanism", "causal", "general"))))
+    rows = table(spark, sf_dir, "part").withColumn("kind", kinds)
+    entity = lambda text, kind, context, relevance: F.struct(text.alias("text"), F.lit(kind).alias("type"), context.alias("context"), relevance.alias("relevance"))
+    entities = F.array(entity(F.col("p_name"), "thing", F.col("p_type"), F.lit(1.0)), entity(F.lit("second"), "pathway", F.lit("more"), F.when(F.col("p_size") > 25, 0.9).otherwise(0.1)))
+    relation = F.when(F.col("p_partkey") % 3 == 0, "causes").when(F.col("p_partkey") % 3 == 1, "regulates").otherwise("treats")
+    relations = F.array(F.struct(relation.alias("type"), F.when(F.col("p_size") % 2 == 1, 0.9).otherwise(0.2).alias("confidence"), F.col("p_brand").alias("evidence")))
+    return rows.select("p_partkey", "kind", retrieve.template_answer(F.col("kind"), entities, relations).alias("answer"))
+
+
+_TRIPLES = "t as (select p_name || '|' || p_type source, p_brand || '|' || p_type target, (['treat', 'cause', 'inhibit', 'other'])[1 + p_partkey % 4] relation_type, list(l_orderkey order by l_orderkey) pmids, p_partkey % 2 = 0 sd, p_partkey % 3 = 0 td from part join lineitem on l_partkey = p_partkey group by all)"
+_NAMED = "s as (select distinct n_regionkey query_id, unnest(['ECONOMY', 'ECON', 'SMALL', 'BRAND#' || n_nationkey]) subject from nation), w as (select * from s a where not exists (select 1 from s b where a.query_id = b.query_id and length(b.subject) > length(a.subject) and contains(b.subject, a.subject)))"
+_ENDS = " union all ".join(
+    f"select query_id, '{d}' direction, row_number() over (partition by query_id order by len(pmids) desc, source, relation_type, target, pmids) as rank, source, relation_type, target, pmids from (select distinct query_id, source, relation_type, target, pmids from t join w on list_contains(string_split(upper({e}), '|'), w.subject) where {f} and relation_type <> 'other') qualify rank <= {n}"
+    for d, e, f, n in (("forward", "source", "sd", 20), ("reverse", "target", "td", 100))
+)
+
+
+@query(f"with {_TRIPLES}, {_NAMED} select query_id, direction, rank::int as rank, source, relation_type, target, array_to_string(pmids, ',') pmids from ({_ENDS})")
+def literature_relations(spark, sf_dir):
+    part, p = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kinds = F.array(*(F.lit(x) for x in ("treat", "cause", "inhibit", "other")))
+    rows = part.join(table(spark, sf_dir, "lineitem"), p == F.col("l_partkey"))
+    ends = [F.concat_ws("|", "p_name", "p_type").alias("source"), F.concat_ws("|", "p_brand", "p_type").alias("target"), F.element_at(kinds, (p % 4 + 1).cast("int")).alias("relation_type")]
+    triples = rows.groupBy(*ends, (p % 2 == 0).alias("source_is_disease"), (p % 3 == 0).alias("target_is_disease")).agg(F.array_sort(F.collect_list("l_orderkey")).alias("pmids"))
+    names = F.array(F.lit("ECONOMY"), F.lit("ECON"), F.lit("SMALL"), F.concat(F.lit("BRAND#"), F.col("n_nationkey").cast("string")))
+    subjects = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("query_id"), F.explode(names).alias("subject"))
+    found = retrieve.literature_relations(subjects, triples)
+    return found.withColumn("pmids", F.array_join(F.transform("pmids", lambda x: x.cast("string")), ","))
+
+
+@query("select s_name subject, 'nation' predicate, s_nationkey::varchar as object, s_suppkey || ' 7' citations from supplier union all select s_name, 'balance', s_acctbal::bigint::varchar, '' from supplier")
+def knowledge_sequence(spark, sf_dir):
+    row = lambda p, o, c: F.struct(F.lit(p).alias("predicate"), o.cast("string").alias("object"), c.cast("string").alias("citation"))
+    balance = F.round("s_acctbal").cast("long")
+    relations = F.array(row("nation", F.col("s_nationkey"), F.concat_ws("|", F.col("s_suppkey").cast("string"), F.lit("7"))), row("balance", balance, F.when(F.col("s_suppkey") % 2 == 0, "")))
+    found = retrieve.knowledge_sequence(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("subject"), relations.alias("relations")))
+    return found.withColumn("citations", F.array_join("citations", " "))
+
+
+@query(f"with e as (select p_partkey query_id, unnest({_TERMS.replace('text', 'p_name')} || [p_name[1:1]]) entity from part) select distinct * from (select * from e union all select query_id, entity || 's' from e where length(entity) > 1) where entity <> ''")
+def question_entities(spark, sf_dir):
+    questions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("question"))
+    return retrieve.question_entities(questions, lambda q: F.array(F.substring(q, 1, 1)), lambda e: F.array(F.when(F.length(e) > 1, F.concat(e, F.lit("s")))))
 
 
 @query("select conv_id, turn, case when contains(t, 'what is') or contains(t, 'define') or contains(t, 'definition') then 'definition' when contains(t, 'how does') or contains(t, 'how do') or contains(t, 'mechanism') then 'mechanism' when contains(t, 'why') or contains(t, 'reason') or contains(t, 'cause') then 'causal' else 'general' end kind from (select conv_id, turn, lower(text) t from conversations)")

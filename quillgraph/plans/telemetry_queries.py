@@ -82,9 +82,9 @@ def ewma(spark, sf_dir):
     return telemetry.ewma(table(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"], 0.2).withColumn("average", F.round("average", 6))
 
 
-@query("with s as (select (5 - left(o_orderpriority, 1)::int)::int priority, count(*) n from orders where o_orderdate >= date '1998-01-01' group by 1) select priority, n, round((coalesce(sum(n) over (order by priority desc rows between unbounded preceding and 1 preceding), 0) + n / 2) / 4 * 2.0, 6) wait_seconds from s")
+@query("with s as (select (5 - left(o_orderpriority, 1)::int)::int priority, count(*) n from orders group by 1) select priority, n, round((coalesce(sum(n) over (order by priority desc rows between unbounded preceding and 1 preceding), 0) + n / 2) / 4 * 2.0, 6) wait_seconds from s")
 def queue_view(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderdate >= '1998-01-01'")
+    rows = table(spark, sf_dir, "orders")
     rows = rows.select((5 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), F.to_timestamp(F.lit(AS_OF)).alias("created_at"), F.lit(60).alias("timeout"))
     return telemetry.queue_view(rows, AS_OF)
 
