@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,36 @@ def apply_manifest(old: DataFrame, new: DataFrame, diff: DataFrame, version: str
     return kept.unionByName(changed, allowMissingColumns=True)
 
 
-def snapshot(df: DataFrame, root: str, version: str) -> None:
-    """Write one version; a version that is there is replaced."""
+def snapshot(df: DataFrame, root: str, version: str) -> dict:
+    """Write one version and return its ``version_id``, ``file_count`` and ``size_bytes``; a version that is there is replaced."""
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    return version_files(df.sparkSession, root, version)
+
+
+def version_files(spark: SparkSession, root: str, version: str) -> dict:
+    """Data files of a version and their size, as Spark's readers see them; files without rows don't count."""
+    files = spark.read.parquet(f"{root}/version={version}").select("_metadata.file_path", "_metadata.file_size").distinct()
+    found = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("size")).first()
+    return {"version_id": version, "file_count": found["n"], "size_bytes": found["size"]}
 
 
 def restore(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
+def rollback(current: DataFrame, root: str, version: str, safety: str | None = None) -> tuple[DataFrame, dict]:
+    """An earlier version, after the current rows have been kept as a version of their own.
+
+    Returns the rows of ``version`` and what ``snapshot`` says of the safety copy, called ``safety`` or else by a new name. If
+    ``version`` is not there, nothing is written.
+    """
+    earlier = restore(current.sparkSession, root, version)
+    name = safety or f"before-{version}-{uuid.uuid4().hex[:8]}"
+    if name == version:
+        raise ValueError("the safety copy would replace the version that is wanted")
+    return earlier, snapshot(current, root, name)
+
+
 def list_versions(versions: DataFrame, limit: int = 20) -> DataFrame:
     return versions.orderBy(F.col("created_at").desc(), "version_id").limit(limit)
 

@@ -134,6 +134,24 @@ def expand_citations(text: Column) -> Column:
     return F.pandas_udf(_expand, "string")(text)
 
 
+#: Ways of writing a citation, and their form in brackets.
+CITATION_FORMS = [
+    (r"(?i)Source (\d+)", "[$1]"),
+    (r"\(([\d, -]+)\)[., ]", "[$1]."),
+    (r"\(\[", "["),
+    (r"\]\)", "]"),
+    (r"\[\[+", "["),
+    (r"\]\]+", "]"),
+]
+
+
+def normalize_citations(text: Column) -> Column:
+    """All citations in single square brackets; null stays null."""
+    for pattern, form in CITATION_FORMS:
+        text = F.regexp_replace(text, pattern, form)
+    return text
+
+
 def parse_web_citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``[n]: source (Confidence: x)`` lines as rows; confidence 0.8 where none is given."""
     lines = df.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MENTION = "doc_id long, text string, entity_type string, confidence double, start_pos long, end_pos long"
@@ -51,20 +51,54 @@ def _scan(docs: DataFrame, find, schema: str, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
 
+def _finder(vocabulary: Mapping[str, Sequence[str]], whole_word: bool) -> Callable[[str], Iterator[tuple[str, str, int, int]]]:
+    """(text, kind, start, end) of all occurrences of all terms in one pass over a text.
+
+    At each place the longest term that fits is found; the others that fit there are its beginnings, which are known beforehand.
+    """
+    terms = sorted(((t, kind) for kind, ts in vocabulary.items() for t in ts if t), key=lambda x: -len(x[0]))
+    if not terms:
+        return lambda text: iter(())
+    before, after = ("(?<![^\\W_])", "(?![^\\W_])") if whole_word else ("", "")
+    spelt = "|".join(f"({re.escape(t)}){after}" for t, _ in terms)
+    pattern, ends = re.compile(f"{before}(?=(?:{spelt}))", re.IGNORECASE), re.compile(after)
+    inner = [[k for k in range(n, len(terms)) if terms[n][0].lower().startswith(terms[k][0].lower())] for n in range(len(terms))]
+
+    def find(text: str) -> Iterator[tuple[str, str, int, int]]:
+        for m in pattern.finditer(text):
+            start = m.start()
+            for k in inner[m.lastindex - 1]:
+                end = start + len(terms[k][0])
+                if k == m.lastindex - 1 or ends.match(text, end):
+                    yield text[start:end], terms[k][1], start, end
+
+    return find
+
+
 def vocab_entities(docs: DataFrame, vocabulary: Mapping[str, Sequence[str]] = VOCABULARY, whole_word: bool = True, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every case-insensitive occurrence of every term; with ``whole_word``, not next to a letter or digit.
 
-    Occurrences of different terms may overlap; without ``whole_word`` those of one term may too.
+    Occurrences of different terms may overlap; without ``whole_word`` those of one term may too. A term of two kinds is
+    found for both. Null and empty texts hold none.
     """
-    around = ("(?<![^\\W_])", "(?![^\\W_])") if whole_word else ("", "")
-    terms = [(kind, re.compile(f"{around[0]}(?=({re.escape(t)}){around[1]})", re.IGNORECASE)) for kind, ts in vocabulary.items() for t in ts]
+    spots = _finder(vocabulary, whole_word)
+    return _scan(docs, lambda text: ((found, kind, confidence, start, end) for found, kind, start, end in spots(text)), MENTION, id_col, text_col)
 
-    def find(text: str):
-        for kind, pattern in terms:
-            for m in pattern.finditer(text):
-                yield m[1], kind, confidence, m.start(1), m.end(1)
 
-    return _scan(docs, find, MENTION, id_col, text_col)
+def register_mentions(spark: SparkSession, vocabulary: Mapping[str, Sequence[str]] = VOCABULARY, whole_word: bool = True, name: str = "extract_mentions") -> None:
+    """Make ``vocab_entities`` a table function of SQL: ``select ... from docs, lateral extract_mentions(docs.text)``.
+
+    Its rows are (text, entity_type, start_pos, end_pos); batches pass through Arrow.
+    """
+
+    class Mentions:
+        def __init__(self):
+            self.find = _finder(vocabulary, whole_word)
+
+        def eval(self, text: str):
+            yield from self.find(text or "")
+
+    spark.udtf.register(name, F.udtf(Mentions, returnType="text string, entity_type string, start_pos long, end_pos long", useArrow=True))
 
 
 def substring_entities(docs: DataFrame, terms: Sequence[str], confidence: float = 0.6, kind: str = "domain_term", **columns: str) -> DataFrame:

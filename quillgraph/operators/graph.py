@@ -100,19 +100,27 @@ def remove_documents(bridge: DataFrame, edges: DataFrame, doc_ids: DataFrame) ->
 
 
 def similar_nodes(nodes: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
-    """Pairs of nodes whose token sets reach a Jaccard similarity.
+    """(a, b, similarity): pairs of nodes whose token sets reach a Jaccard similarity.
 
     Prefix filter: with tokens ordered from rare to frequent, similar sets share one of their first
-    ``n - ceil(threshold n) + 1`` tokens, so frequent tokens rarely meet. Equal sets are one node of the join.
+    ``n - ceil(threshold n) + 1`` tokens, so frequent tokens rarely meet; what can follow the shared token must be enough, too. Only ids meet;
+    the sets of what is left are compared afterwards. Equal sets are one node, under their smallest id; null and empty texts are no nodes.
     """
     sets = nodes.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(T.tokens(F.lower(text_col)))).alias("set")).where(F.size("set") > 0)
-    reps = sets.groupBy("set").agg(F.min("id").alias("rep"))
-    spread = reps.select("rep", "set", F.explode("set").alias("token"))
-    ranked = spread.join(spread.groupBy("token").agg(F.count("*").alias("df")), "token")
+    reps = materialise(sets.groupBy("set").agg(F.min("id").alias("rep")), "node-sets")
+    spread = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
+    ranked = spread.join(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
-    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.size("set") - F.ceil(F.lit(threshold) * F.size("set") - 1e-9) + 1).select("rep", "set", "token")
-    a, b = prefix.toDF("a", "a_set", "token"), prefix.toDF("b", "b_set", "token")
-    pairs = a.join(b, "token").where("a < b").where((F.size("a_set") >= threshold * F.size("b_set") - 1e-9) & (F.size("b_set") >= threshold * F.size("a_set") - 1e-9)).drop("token").distinct()
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    # a token that one set alone has sorts first and meets no other
+    prefix = materialise(prefix.where("df is not null").select("rep", "n", "token", "place"), "node-prefixes")
+    a, b = prefix.toDF("a", "a_n", "token", "a_place"), prefix.toDF("b", "b_n", "token", "b_place")
+    near = (F.col("a_n") >= threshold * F.col("b_n") - 1e-9) & (F.col("b_n") >= threshold * F.col("a_n") - 1e-9)
+    # an earlier shared token would have let the pair in, so what is common begins here at the first of them
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + F.least("a_place", "b_place")
+    enough = rest >= threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    pairs = a.join(b, "token").where("a < b").where(near & enough).select("a", "b").distinct()
+    pairs = pairs.join(reps.toDF("a_set", "a"), "a").join(reps.toDF("b_set", "b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     score = common / (F.size("a_set") + F.size("b_set") - common)
     return pairs.select("a", "b", F.round(score, 6).alias("similarity")).where(F.col("similarity") >= threshold)

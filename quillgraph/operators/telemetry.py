@@ -164,6 +164,25 @@ def bucket_step(state: dict, at: float, rpm: int, rph: int, burst: int) -> tuple
     return True, "ok"
 
 
+def rate_usage(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """(user_id, user_type, unit, begins, n, allowed, over): requests of each user in each minute and hour against the rules.
+
+    ``rules`` (user_type, per_minute, per_hour) has a row for each type of user, and one with a null type for all others; types without
+    any rule have no limit. ``over`` counts the requests beyond it. Requests without a time are left out. Requests are counted before
+    they meet the rules, so a user's history is never in one place.
+    """
+    units = F.explode(F.array(F.lit("minute"), F.lit("hour")))
+    rows = requests.where("ts is not null").select("user_id", "user_type", "ts", units.alias("unit"))
+    begins = F.when(F.col("unit") == "minute", F.date_trunc("minute", "ts")).otherwise(F.date_trunc("hour", "ts"))
+    counted = rows.groupBy("user_id", "user_type", "unit", begins.alias("begins")).agg(F.count("*").alias("n"))
+    limit = F.when(F.col("unit") == "minute", F.col("per_minute")).otherwise(F.col("per_hour"))
+    own = rules.where("user_type is not null").withColumn("unit", units).select("user_type", "unit", limit.alias("own"))
+    rest = rules.where("user_type is null").withColumn("unit", units).groupBy("unit").agg(F.min(limit).alias("rest"))
+    held = counted.join(own, ["user_type", "unit"], "left").join(rest, "unit", "left").withColumn("allowed", F.coalesce("own", "rest"))
+    over = F.greatest(F.coalesce(F.col("n") - F.col("allowed"), F.lit(0)), F.lit(0))
+    return held.select("user_id", "user_type", "unit", "begins", "n", "allowed", over.cast("long").alias("over"))
+
+
 def rate_limit(requests: DataFrame, rpm: int = 10, rph: int = 100, burst: int = 5) -> DataFrame:
     """(user_id, event_id, allowed, reason): each user's requests in order; a user's state is bounded by the hour's limit."""
 

@@ -124,6 +124,14 @@ def vocab_entities(spark, sf_dir):
     return found.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
 
 
+@query(f"with {MENTIONS} select doc_id, text, entity_type, count(*) n from mentions group by all")
+def mentions_by_sql(spark, sf_dir):
+    """The table function in SQL, over whole texts."""
+    extract.register_mentions(spark, TOKEN_TYPES)
+    table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9]", " ").alias("body")).createOrReplaceTempView("mention_texts")
+    return spark.sql("select d.doc_id, m.text, m.entity_type, count(*) n from mention_texts d, lateral extract_mentions(d.body) m group by all")
+
+
 @query("select doc_id, ((length(text) - length(replace(text, 'tion', ''))) / 4)::bigint n from documents where contains(text, 'tion')")
 def substring_entities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[A-Z]", "_").alias("text"))

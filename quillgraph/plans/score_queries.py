@@ -138,6 +138,16 @@ def extract_citations(spark, sf_dir):
     return rows.select("query_id", "doc", tail.alias("year_text"), title.alias("title"), "confidence", F.coalesce(F.array_join(F.col("pages").cast("array<string>"), ","), F.lit("")).alias("pages"), "place")
 
 
+_CITED = "'Source ' || turn || ' says ([' || conv_id || ']) (1, 2-3), [[' || turn || ']] SOURCE 4. (5).' || chr(10) || coalesce(text, '')"
+
+
+@query(rf"select conv_id, turn, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_CITED}, 'Source (\d+)', '[\1]', 'gi'), '\(([\d, -]+)\)[., ]', '[\1].', 'g'), '\(\[', '[', 'g'), '\]\)', ']', 'g'), '\[\[+', '[', 'g'), '\]\]+', ']', 'g')) digest from conversations")
+def normalize_citations(spark, sf_dir):
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    text = F.concat(F.lit("Source "), turn, F.lit(" says (["), conv, F.lit("]) (1, 2-3), [["), turn, F.lit("]] SOURCE 4. (5).\n"), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(confidence.normalize_citations(text)).alias("digest"))
+
+
 @query(f"with {_EVIDENCE}, {_CONF} select query_id, count(*) n, count_if(confidence >= 0.8)::bigint high, count_if(confidence >= 0.6 and confidence < 0.8)::bigint medium, count_if(confidence < 0.6)::bigint low, round(avg(confidence), 6) mean, max(confidence) best, min(confidence) worst from conf group by 1")
 def citation_statistics(spark, sf_dir):
     return confidence.citation_statistics(confidence.document_confidence(*_evidence(spark, sf_dir)))

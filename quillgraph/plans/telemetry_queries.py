@@ -123,6 +123,19 @@ def user_sessions(spark, sf_dir):
     return rows.select("user_id", F.unix_micros(F.col("first").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"), "n")
 
 
+_RULES = "r as (select event_type user_type, count(*)::bigint // 2000 + 1 per_minute, count(*)::bigint // 1000 + 1 per_hour from events where event_type <> 'error' group by 1)"
+
+
+@query(f"with {_RULES}, u as (select user_id, event_type user_type, unit, case unit when 'minute' then date_trunc('minute', ts) else date_trunc('hour', ts) end begins, count(*) n from events, (values ('minute'), ('hour')) x(unit) group by all) select u.user_id, u.user_type, u.unit, u.begins, u.n, coalesce(case unit when 'minute' then per_minute else per_hour end, 1) allowed, greatest(u.n - coalesce(case unit when 'minute' then per_minute else per_hour end, 1), 0)::bigint as over from u left join r using (user_type)")
+def rate_usage(spark, sf_dir):
+    """Event types as types of users; those without an own rule fall under the general one."""
+    e = table(spark, sf_dir, "events")
+    n = F.count("*")
+    own = e.where("event_type <> 'error'").groupBy(F.col("event_type").alias("user_type")).agg((F.floor(n / 2000) + 1).alias("per_minute"), (F.floor(n / 1000) + 1).alias("per_hour"))
+    rest = e.agg(F.max(F.lit(None).cast("string")).alias("user_type"), F.lit(1).cast("long").alias("per_minute"), F.lit(1).cast("long").alias("per_hour"))
+    return telemetry.rate_usage(e.withColumnRenamed("event_type", "user_type"), own.unionByName(rest))
+
+
 @query()
 def rate_limit(spark, sf_dir):
     """Requests of few users in quick succession: a day is taken as a minute."""

@@ -116,3 +116,37 @@ def test_knn_keeps_ties_in_order(spark):
     got = retrieve.knn(q, v, 4).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 3, 6, 1] and got[3].distance == 1.0
     assert retrieve.knn(q.where("false"), v, 4).count() == 0
+
+
+def test_rollback_keeps_a_safety_copy(spark, tmp_path):
+    said = changes.snapshot(spark.range(30).repartition(3), str(tmp_path), "v1")
+    assert said["version_id"] == "v1" and said["file_count"] == 3 and said["size_bytes"] == sum(p.stat().st_size for p in tmp_path.glob("version=v1/*.parquet"))
+    current = spark.range(7)
+    rows, kept = changes.rollback(current, str(tmp_path), "v1")
+    assert rows.count() == 30 and kept["file_count"] >= 1 and changes.restore(spark, str(tmp_path), kept["version_id"]).count() == 7
+    with pytest.raises(ValueError):
+        changes.rollback(current, str(tmp_path), "v1", "v1")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        changes.rollback(current, str(tmp_path), "v9")
+    assert changes.snapshot(spark.range(0), str(tmp_path), "empty")["size_bytes"] >= 0
+
+
+def test_vocabulary_in_one_pass_matches_one_search_a_term(spark):
+    import random
+    import re
+
+    r = random.Random(3)
+    words = {"a": ["amino acid", "amino", "acid", "Glu"], "b": ["glucose", "acid rain", "amino"], "c": ["b-1", ""]}
+    texts = ["".join(r.choice(["amino", " ", "acid", "glucose", "GLU", "rain", "-", "b-1", "_", "x", "é", "."]) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for whole in (True, False):
+        want = set()
+        for k, text in enumerate(texts):
+            for kind, terms in words.items():
+                for t in terms:
+                    for m in re.finditer(f"(?=({re.escape(t)}))", text or "", re.IGNORECASE) if t else ():
+                        beside = [text[m.start() - 1 : m.start()], text[m.end(1) : m.end(1) + 1]]
+                        if not whole or not any(c and c.isalnum() for c in beside):
+                            want.add((k, m[1], kind, m.start(1), m.end(1)))
+        got = extract.vocab_entities(df, words, whole).collect()
+        assert {(x.doc_id, x.text, x.entity_type, x.start_pos, x.end_pos) for x in got} == want and len(got) == len(want)
