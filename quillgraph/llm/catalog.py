@@ -84,4 +84,10 @@ QUERIES = {
     "op9_search": op9_search,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+#: Only the archive query is plain SQL: the others rest on a tokenizer, a model, regular expressions with checks or a graph search.
+ORACLES: dict[str, str] = {
+    "op1_warc": (
+        "with p as (select page_id, coalesce(html, '') body from pages), m as (select page_id, octet_length(encode(body)) n, sha1(body) digest, max(page_id) over (partition by body) last from p) "
+        "select page_id, n::bigint payload_bytes, digest payload_digest, case when n >= 1000 and page_id <> last then 'revisit' else 'response' end record_type, case when n >= 1000 and page_id <> last then last end refers_to from m"
+    ),
+}

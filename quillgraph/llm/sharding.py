@@ -54,8 +54,11 @@ def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE
 
     The table has ``size`` rows whatever the data, so it is broadcast and a row finds its shard by one
     hash probe, without a shuffle. Null keys share one slot; repeated keys get the same shard; other
-    columns of ``df`` are left out, so their names cannot clash; no rows give no rows.
+    columns of ``df`` are left out, so their names cannot clash; a key that is itself called slot or shard is
+    handed on as ``key``; no rows give no rows.
     """
     owner = lookup_table(shards, size)
     table = df.sparkSession.createDataFrame([(slot, shards[shard]) for slot, shard in enumerate(owner)], "slot long, shard string")
-    return df.select(F.col(key), slot_of(key, size=size).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    name = "key" if key.lower() in ("slot", "shard") else key
+    keyed = df.select(F.col(f"`{key}`").alias(name), slot_of(F.col(f"`{key}`"), size=size).alias("slot"))
+    return keyed.join(F.broadcast(table), "slot").select(F.col(f"`{name}`"), "slot", "shard")

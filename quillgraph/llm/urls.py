@@ -55,11 +55,19 @@ def _pick(rules: Sequence[Rule], host: Column, path: Column, value) -> Column:
     return chosen
 
 
+def _id_name(id_col: str) -> str:
+    return "id" if id_col.lower() in ("host", "path", "rule", "verdict", "features", "rawprediction", "probability", "prediction", "p_block") else id_col
+
+
 def match_rules(df: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule]) -> DataFrame:
-    """id, host, path, the longest fitting rule and its verdict (null where no rule fits)."""
-    parts = df.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    """id, host, path, the longest fitting rule and its verdict (null where no rule fits).
+
+    The id keeps its name, unless that is the name of another column of the result: then it is called ``id``.
+    """
+    name = _id_name(id_col)
+    parts = df.select(F.col(f"`{id_col}`").alias(name), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     host, path = F.col("host"), F.col("path")
-    return parts.select(id_col, "host", "path", _pick(rules, host, path, lambda r: r.pattern).alias("rule"), _pick(rules, host, path, lambda r: r.verdict).alias("verdict"))
+    return parts.select(name, "host", "path", _pick(rules, host, path, lambda r: r.pattern).alias("rule"), _pick(rules, host, path, lambda r: r.verdict).alias("verdict"))
 
 
 def _grams(text: Column, kind: str, n: int) -> Column:
@@ -103,4 +111,4 @@ def judge(df: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], model
         return matched.withColumn("p_block", F.lit(0.0)).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     scored = model.transform(with_features(matched))
     p = vector_to_array(F.col("probability"))[1]
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))
+    return scored.select(_id_name(id_col), "host", "path", "rule", F.coalesce("verdict", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), p.alias("p_block"))

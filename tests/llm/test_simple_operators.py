@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,74 @@ def test_token_counts_match_brute_force(spark):
             words = (texts[r.doc_id] or "").split()
             assert (r.n_words, r.n_tokens) == (len(words), sum(brute_tokens(token_counts.MARK + w, scores, trie.longest, trie.byte) for w in words))
     assert token_counts.count_tokens(df.where("false"), "id", "text", path).count() == 0
+
+
+def test_archive_query_matches_sql(spark):
+    import duckdb
+
+    from quillgraph.llm import catalog
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{data}/pages.parquet'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted(tuple(r) for r in catalog.op1_warc(spark, data).select(columns).collect())
+    assert got == sorted(con.sql(f"select {', '.join(columns)} from ({catalog.ORACLES['op1_warc']})").fetchall())
+
+
+def test_table_is_filled_in_turns_by_preference():
+    from hashlib import blake2b
+
+    names, size = [f"node{k}" for k in range(7)], 211
+    order = []
+    for name in names:
+        digest = blake2b(name.encode(), digest_size=16).digest()
+        first, step = int.from_bytes(digest[:8], "little") % size, int.from_bytes(digest[8:], "little") % (size - 1) + 1
+        order.append([(first + k * step) % size for k in range(size)])
+        assert sorted(order[-1]) == list(range(size))
+    taken = {}
+    for turn in range(size):  # a shard's turn: its most preferred slot that nobody has
+        shard = turn % len(names)
+        taken[next(x for x in order[shard] if x not in taken)] = shard
+    assert sharding.lookup_table(names, size) == [taken[x] for x in range(size)]
+
+
+def test_places_of_clashing_names_repeats_and_nothing(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("z" * 50_000, 4)], "slot string, shard int")
+    rows = sharding.place(df, "slot", ["x", "y"], 101).collect()
+    assert len(rows) == 4 and rows[0].asDict().keys() == {"key", "slot", "shard"}
+    assert len({(r.slot, r.shard) for r in rows if r.key == "a"}) == 1 and all(r.shard in "xy" for r in rows)
+    assert sharding.place(df.where("false"), "shard", ["x"], 101).count() == 0
+
+
+def test_url_classifier_matches_an_independent_fit(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(k, f"http://{r.choice(['shop', 'news', 'blog'])}{k % 9}.{r.choice(['net', 'io'])}/{r.choice(['cart', 'story', 'post'])}/{r.randint(0, 99)}") for k in range(120)]
+    df = urls.match_rules(spark.createDataFrame(rows, "page_id long, url string"), "page_id", "url", [])
+    df = df.drop("verdict").withColumn("verdict", F.when(F.col("host").startswith("shop"), "block").otherwise("allow"))
+    model = urls.train(df)
+    data = urls.with_features(df.select("host", "path", "verdict").distinct()).select("features", "verdict").collect()
+    used = sorted({int(i) for x in data for i in x.features.indices})
+    at = {i: k for k, i in enumerate(used)}
+    x, y = np.zeros((len(data), len(used) + 1)), np.array([x.verdict == "block" for x in data], float)
+    for k, row in enumerate(data):
+        x[k, [at[int(i)] for i in row.features.indices]] = 1
+    x[:, -1] = 1
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-3)
+    ridge[-1] = 0
+    for _ in range(30):  # Newton's method on mean log loss and ridge
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(ridge + 1e-9)
+        w -= np.linalg.solve(hessian, x.T @ (p - y) / len(x) + ridge * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    got = np.array([v.probability[1] for v in model.transform(urls.with_features(df.select("host", "path", "verdict").distinct())).select("probability").collect()])
+    assert np.abs(np.sort(got) - np.sort(want)).max() < 0.02
+
+
+def test_urls_of_clashing_names_repeats_and_nothing(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None), (2, "http://h/" + "p" * 100_000)], "host long, rule string")
+    rows = urls.judge(df, "host", "rule", [urls.Rule("allow", "org/")]).collect()
+    assert len(rows) == 4 and [r.rule for r in rows if r.id == 1] == ["org/"] * 2 and all(r.verdict == "allow" for r in rows)
+    assert urls.judge(df.where("false"), "host", "rule", [urls.Rule("allow", "org/")]).count() == 0

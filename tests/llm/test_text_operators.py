@@ -142,6 +142,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(df.where("false"), model).count() == 0
 
 
+def test_kneser_ney_matches_brute_force(spark):
+    r = random.Random(23)
+    make = lambda extra: " ".join(r.choice([f"w{int(r.expovariate(0.2))}"] * 4 + extra) for _ in range(r.randint(1, 12)))
+    texts = [(make(["scum", "idiot"] if k % 3 == 0 else ["nice"]), int(k % 3 == 0), int(k % 5 == 0)) for k in range(120)]
+    unlabelled = [make([]) for _ in range(60)]
+    data = spark.createDataFrame(texts, "text string, toxic int, part int").repartition(3)
+    model = toxicity.train(data, spark.createDataFrame([(t,) for t, _, _ in texts] + [(t,) for t in unlabelled] + [(None,)], "text string").repartition(4))
+    counted = [(t.split(), y) for t, y, part in texts if part == 0]
+    words, pairs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for row, y in counted:
+        for w in set(row):
+            words[w][y] += 1
+    words = {w: n for w, n in words.items() if sum(n) >= toxicity.RARE}
+    named = lambda row: [w if w in words else "?" for w in row]
+    sizes = [sum(y == c for _, y in counted) for c in (0, 1)]
+    rest = [sum("?" in named(row) for row, y in counted if y == c) for c in (0, 1)]
+    for row, y in counted:
+        for u, w in set(zip(["<s>", *named(row)], named(row), strict=False)):
+            if "?" not in (u, w):
+                pairs[u, w][y] += 1
+    pairs = {k: n for k, n in pairs.items() if sum(n) >= toxicity.RARE}
+    corpus = [named(t.split()) for t in [t for t, _, _ in texts] + unlabelled]
+    spread = {w: sum(w in row for row in corpus) + 1 for w in [*words, "?"]}
+    whole = sum(spread.values())
+
+    def unigram(w, c):
+        count = {**{k: n[c] for k, n in words.items()}, "?": rest[c]}
+        total = sum(count.values())
+        solid = {k: max(n - 0.75, 0) / total for k, n in count.items()}
+        return solid[w] + (1 - sum(solid.values())) * spread[w] / whole
+
+    def bigram(u, w, c, below):
+        of = (lambda n: n[c]) if c < 2 else sum
+        base = max(1, (sizes[c] if c < 2 else sum(sizes)) if u == "<s>" else of(rest if u == "?" and c == 2 else [rest[c]] * 2 if u == "?" else words[u]))
+        p = {k[1]: max(of(n) - 0.75, 0) / max(base, max(of(n) - 0.75, 0)) for k, n in pairs.items() if k[0] == u}
+        scale = max(sum(p.values()) / 0.95, 1)
+        return p.get(w, 0) / scale + max(1 - sum(p.values()) / scale, 0.05) * below
+
+    for text in [t for t, _, _ in texts[:40]] + ["unseen scum w1 w1 nice"]:
+        row = named(text.split())
+        want = []
+        for u, w in zip(["<s>", *row], row, strict=False):
+            p = [bigram(u, w, c, bigram(u, w, 2, unigram(w, c))) for c in (0, 1)]
+            want.append(math.log(p[1] / p[0]))
+        assert model.ratios(text.split()) == pytest.approx(want, abs=1e-6)
+
+
 def test_benchmark_passages_are_found(spark):
     r = random.Random(10)
     words = [f"word{k}" for k in range(3000)]
