@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 TRUNCATED = "... [TRUNCATED]"
 #: Words that carry no meaning in a question.
-STOP_WORDS = (
-    "what is are the a an and or but in on at to for of with by about how why when where which who whom "
-    "this that these those i you he she it we they can could should would will shall may might must "
-    "do does did have has had be been being am was were"
-).split()
+STOP_WORDS = ["what", "is", "are", "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "about", "how", "why", "when", "where", "which", "who", "whom", "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "can", "could", "should", "would", "will", "shall", "may", "might", "must", "do", "does", "did", "have", "has", "had", "be", "been", "being", "am", "was", "were"]
 #: Words of a question about current events.
 TEMPORAL_WORDS = ["recent", "latest", "current", "new", "today", "now", "2024", "2023", "this year", "last year", "trending"]
+#: Words in the name of a scientific source, of a journal, and of an academic citation.
+SCIENCE_WORDS = ["clinical", "metabolomics", "biomarker", "research"]
+JOURNAL_WORDS = ["journal", "nature", "science", "cell", "plos"]
+ACADEMIC_WORDS = ["journal", "research", "study", "clinical", "metabolomics"]
 #: Factor of a node's relevance by its type.
 TYPE_BOOST = {"metabolite": 1.2, "disease": 1.1, "pathway": 1.15, "biomarker": 1.25, "clinical_condition": 1.1, "measurement": 1.05}
 
@@ -200,10 +200,10 @@ def metadata_quality(path: Column) -> Column:
     stem = F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[A-Za-z0-9]+$", ""))
     score = (
         F.lit(0.5)
-        + F.when(any_of(stem, ["clinical", "metabolomics", "biomarker", "research"]), 0.1).otherwise(0.0)
+        + F.when(any_of(stem, SCIENCE_WORDS), 0.1).otherwise(0.0)
         + F.when(stem.rlike("(19|20)[0-9]{2}"), 0.1).otherwise(0.0)
         + F.when(stem.rlike("[a-z]+_[a-z]+"), 0.1).otherwise(0.0)
-        + F.when(any_of(stem, ["journal", "nature", "science", "cell", "plos"]), 0.2).otherwise(0.0)
+        + F.when(any_of(stem, JOURNAL_WORDS), 0.2).otherwise(0.0)
     )
     return F.least(score, F.lit(1.0))
 
@@ -212,7 +212,7 @@ def citation_quality(path: Column, located: Column) -> Column:
     """0.5, more for a PDF, an academic name and a known location, at most 1."""
     low = F.lower(path)
     score = F.lit(0.5) + F.when(low.endswith(".pdf"), 0.2).otherwise(0.0)
-    score = score + F.when(any_of(low, ["journal", "research", "study", "clinical", "metabolomics"]), 0.2).otherwise(0.0)
+    score = score + F.when(any_of(low, ACADEMIC_WORDS), 0.2).otherwise(0.0)
     return F.least(score + F.when(located, 0.1).otherwise(0.0), F.lit(1.0))
 
 

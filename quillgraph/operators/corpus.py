@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 
 
+#: Where abstract and authors stand.
+ABSTRACT = r"(?is)abstract\s*:?\s*(.*?)(?=\n\s*(?:keywords|introduction|1\.|background))"
+AUTHORS = r"(?is)(?:authors?|by)\s*:?\s*(.*?)(?=\n\s*(?:abstract|affiliation))"
+
+
 def extract_sections(df: DataFrame, text_col: str = "text", stem_col: str | None = None) -> DataFrame:
     """Add title, abstract and authors, read from the raw text.
 
@@ -20,8 +25,8 @@ def extract_sections(df: DataFrame, text_col: str = "text", stem_col: str | None
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda s: F.trim(s))
     good = F.filter(lines, lambda s: F.length(s).between(11, 199))
     title = F.when(F.size(good) > 0, good[0]).otherwise(F.col(stem_col) if stem_col else F.lit(None).cast("string"))
-    abstract = F.regexp_extract(text, r"(?is)abstract\s*:?\s*(.*?)(?=\n\s*(?:keywords|introduction|1\.|background))", 1)
-    authors = F.regexp_extract(text, r"(?is)(?:authors?|by)\s*:?\s*(.*?)(?=\n\s*(?:abstract|affiliation))", 1)
+    abstract = F.regexp_extract(text, ABSTRACT, 1)
+    authors = F.regexp_extract(text, AUTHORS, 1)
     names = F.filter(F.transform(F.split(authors, r",|;| and "), lambda a: F.trim(a)), lambda a: F.length(a) > 2)
     return df.withColumns({"title": title, "abstract": F.substring(F.trim(abstract), 1, 1000), "authors": F.slice(names, 1, 10)})
 

@@ -11,10 +11,32 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 
 
-def counter_series(events: DataFrame, name: str = "name", ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
-    """Running sum of each counter."""
-    w = Window.partitionBy(name).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running", F.sum(value).over(w))
+#: Seconds of a stretch of a key's history: stretches are ordered on their own, then only their sums are.
+STRETCH = 3600.0
+
+
+def _stretch(df: DataFrame, order: str, width: float) -> Column:
+    """The number of the stretch that a row's place in time (or any number) falls into; null comes first."""
+    place = F.col(order)
+    if df.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        place = place.cast("timestamp")
+    return F.coalesce(F.floor(place.cast("double") / width), F.lit(-(2**62)))
+
+
+def counter_series(events: DataFrame, name: str = "name", ts: str = "ts", value: str = "value", tie: str = "event_id", width: float = STRETCH) -> DataFrame:
+    """``events`` with the ``running`` sum of each counter, in order of time and tie.
+
+    Sums run within stretches of a counter's time, and stretches add up before that: no counter is in one task. Null values add
+    nothing, null times come first, null names are one counter; a column called running gives way. No rows give no rows.
+    """
+    rows = events.drop("running").withColumn("_stretch", _stretch(events, ts, width))
+    within = Window.partitionBy(name, "_stretch").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_name").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col(name).alias("_name"), F.col("_stretch").alias("_at")).agg(F.sum(value).alias("_sum"))
+    before = sums.select("_name", "_at", F.sum("_sum").over(earlier).alias("_before"))
+    own = rows.withColumn("_own", F.sum(value).over(within))
+    joined = own.join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_stretch") == F.col("_at")))
+    return joined.withColumn("running", F.coalesce(F.col("_own") + F.col("_before"), "_own", "_before")).drop("_stretch", "_own", "_name", "_at", "_before")
 
 
 def gauge_latest(events: DataFrame, name: str = "name", ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
@@ -96,12 +118,23 @@ def cache_hits(log: DataFrame, ttl: float = 3600) -> DataFrame:
     return log.select("key", "event_id", "ts").groupBy("key").applyInPandas(_cache_fold(ttl), "key string, event_id long, hit boolean")
 
 
-def ewma(df: DataFrame, key: str, value: str, order: Iterable[str], alpha: float) -> DataFrame:
-    """Exponential moving average of each key's values in order, started at the first."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    grouped = df.groupBy(key).agg(F.transform(items, lambda x: x["_v"].cast("double")).alias("v"))
-    fold = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda a, x: alpha * x + (1 - alpha) * a)
-    return grouped.select(key, fold.alias("average"))
+def ewma(df: DataFrame, key: str, value: str, order: Iterable[str], alpha: float, width: float = STRETCH) -> DataFrame:
+    """(key, average): exponential moving average of each key's values in order, started at the first.
+
+    A value weighs alpha (1 - alpha) ** (values after it), the first one without the alpha. How many come after it is counted within
+    a stretch of the first column of ``order`` and over the later stretches, so no key's history is in one row or task. A null value makes the average
+    null. No rows give no rows.
+    """
+    order = list(order)
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), _stretch(df, order[0], width).alias("s"), *(F.col(c).alias(f"o{n}") for n, c in enumerate(order)))
+    counts = rows.groupBy("k", "s").agg(F.count("*").alias("n"))
+    later = Window.partitionBy("k").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("k").alias("k2"), F.col("s").alias("s2"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later"), F.sum("n").over(Window.partitionBy("k")).alias("all"))
+    back = F.row_number().over(Window.partitionBy("k", "s").orderBy(*(F.col(f"o{n}").desc() for n in range(len(order))), F.col("v").desc())) - 1
+    placed = rows.withColumn("back", back).join(counts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("s") == F.col("s2"))).withColumn("after", F.col("back") + F.col("later"))
+    weight = F.pow(F.lit(1 - alpha), F.col("after")) * F.when(F.col("after") == F.col("all") - 1, 1.0).otherwise(alpha)
+    total = F.when(F.count_if(F.col("v").isNull()) == 0, F.sum(weight * F.col("v")))
+    return placed.groupBy(F.col("k").alias(key)).agg(total.alias("average"))
 
 
 def queue_view(requests: DataFrame, as_of: str, workers: int = 4) -> DataFrame:

@@ -130,12 +130,10 @@ def citation_locations(spark, sf_dir):
     return _places(spark, sf_dir).select("query_id", "doc", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query(f"with {_EVIDENCE}, {_CONF}, {_PLACES} select c.query_id, c.doc, '20' || lpad((split_part(c.doc, '_', 2)::int % 25)::varchar, 2, '0') as year_text, 'Study ' || split_part(c.doc, '_', 2) title, confidence, coalesce(pages, '') pages, row_number() over (partition by c.query_id order by confidence desc, c.doc)::int place from conf c left join loc using (query_id, doc)")
+@query(f"with {_EVIDENCE}, {_CONF}, {_PLACES} select c.query_id, c.doc, 2000 + split_part(c.doc, '_', 2)::int % 25 as year, 'Study ' || split_part(c.doc, '_', 2) title, confidence, coalesce(pages, '') pages, row_number() over (partition by c.query_id order by confidence desc, c.doc)::int place from conf c left join loc using (query_id, doc)")
 def extract_citations(spark, sf_dir):
     rows = confidence.extract_citations(*_evidence(spark, sf_dir), _places(spark, sf_dir))
-    tail = F.regexp_extract("doc", "_(20[0-9]{2})[.]", 1)
-    title = F.concat_ws(" ", F.lit("Study"), F.regexp_extract("doc", "_([0-9]+)_", 1))
-    return rows.select("query_id", "doc", tail.alias("year_text"), title.alias("title"), "confidence", F.coalesce(F.array_join(F.col("pages").cast("array<string>"), ","), F.lit("")).alias("pages"), "place")
+    return rows.select("query_id", "doc", "year", "title", "confidence", F.coalesce(F.array_join(F.col("pages").cast("array<string>"), ","), F.lit("")).alias("pages"), "place")
 
 
 _CITED = "'Source ' || turn || ' says ([' || conv_id || ']) (1, 2-3), [[' || turn || ']] SOURCE 4. (5).' || chr(10) || coalesce(text, '')"

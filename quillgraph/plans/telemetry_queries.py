@@ -171,8 +171,8 @@ def load_summary(spark, sf_dir):
 
 @query("with x as (select event_type, list_sort(list(value)) d from events group by 1), y as (select *, greatest(1.0, least(0.95 * (len(d) + 1), len(d)::double)) a from x) select event_type, round(d[floor(a)::int] + (a - floor(a)) * (d[least(floor(a)::int + 1, len(d))] - d[floor(a)::int]), 6) p95 from y")
 def percentile_exclusive(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("d"))
-    return rows.select("event_type", F.round(evaluate.percentile_exclusive(F.col("d"), 0.95), 6).alias("p95"))
+    rows = evaluate.percentiles_exclusive(table(spark, sf_dir, "events"), "event_type", "value", 0.95)
+    return rows.select("event_type", F.round("percentile", 6).alias("p95"))
 
 
 _LEVELS = "lv as (select l_linenumber users, avg(l_quantity::double) + l_linenumber as seconds, l_linenumber < 5 stable from lineitem group by l_linenumber)"

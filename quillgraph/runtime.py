@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where no such folder is set (as in tests) a local one is made and set.
+    Only where no such folder is set and Spark runs on this machine alone (as in tests) a local one is made and set.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(root)
     return root.rstrip("/")
