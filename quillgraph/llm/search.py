@@ -31,7 +31,7 @@ BLOCK = 64
 #: Shards of the first round, about; most rounds.
 FIRST_SHARDS, LEVELS = 8, 30
 #: A shard holds at most so many postings (or one document more).
-SHARD_POSTINGS = 3_000_000
+SHARD_POSTINGS = 500_000
 #: Queries of at most so many terms in a shard are answered by block-max WAND, longer ones by adding up all postings.
 WAND_TERMS = 8
 TOP = 10
@@ -43,7 +43,7 @@ CELLS, PIECE = 2_000_000, 500_000
 DENSE = 64
 #: Contributions are multiples of this, so sums of them are exact in any order and copies of a document tie.
 QUANTUM = 2.0**-34
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 INDEX = "level int, shard long, n long, ids binary, lengths binary, terms binary, counts binary, postings binary, bounds binary"
 _POSTING = np.dtype([("doc", "<u4"), ("tf", "<u4")])
