@@ -27,6 +27,8 @@ SUPPORT = 2
 SINGLE_TEXTS = {"support": 1, "generalise_at": 0.8, "remove_at": 0.95}
 #: Largest list of terms, or of texts with copies, that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Parts of a text's marks: a lookup reads one part from its start.
+MARK_PARTS = 64
 #: Matches whose places are added up at once.
 PLACED = 512
 
@@ -121,9 +123,17 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), lambda t: F.lower(t)))
 
 
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(MARK_PARTS)).cast("int")
+
+
+def _kind(marks: Column, term: Column) -> Column:
+    return F.try_element_at(F.get(marks, _part(term)), term)
+
+
 def _marked(text: Column, marks: Column) -> Column:
-    """Spans of all occurrences in a whole text of the terms that ``marks`` maps to a kind."""
-    return _placed(_matches(text, _TERM, lambda m: F.try_element_at(marks, F.lower(m)), lambda m: F.lower(m)))
+    """Spans of all occurrences in a whole text of the terms that ``marks`` gives a kind."""
+    return _placed(_matches(text, _TERM, lambda m: _kind(marks, F.lower(m)), lambda m: F.lower(m)))
 
 
 def _key(text: Column) -> Column:
@@ -200,14 +210,20 @@ def _told(docs: DataFrame, held: DataFrame, support: int) -> DataFrame:
 
 
 def _marks_of(docs: DataFrame, generalise_at: float, remove_at: float, support: int) -> DataFrame:
-    """(hash, marks): the disclosing terms of each distinct text that has an entity, with their kinds; whatever entity they disclose."""
+    """(hash, marks): the disclosing terms of each distinct text that has an entity, with their kinds; whatever entity they disclose.
+
+    ``marks`` is an array of maps from term to kind, by a hash of the term.
+    """
     held = materialise(_held(docs), "privacy-held")
     told = _told(docs, held, support).where(F.col("share") >= generalise_at)
     told = materialise(told.select("term", F.when(F.col("share") >= remove_at, REMOVED).otherwise(GENERALISED).alias("kind")), "privacy-terms")
     few = told.count() <= BROADCAST_ROWS
     # a text has no more of these than terms
     terms = held.select("hash", F.explode("terms").alias("term"))
-    return terms.join(F.broadcast(told) if few else told, "term").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("marks"))
+    found = terms.join(F.broadcast(told) if few else told, "term").groupBy("hash", _part(F.col("term")).alias("part"))
+    parts = found.agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("kinds"))
+    parts = parts.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("part", "kinds"))).alias("parts"))
+    return parts.select("hash", F.transform(F.sequence(F.lit(0), F.lit(MARK_PARTS - 1)), lambda n: F.try_element_at(F.col("parts"), n)).alias("marks"))
 
 
 def _shown(kind: Column) -> Column:
@@ -217,7 +233,7 @@ def _shown(kind: Column) -> Column:
 def _hidden(text: Column, marks: Column) -> Column:
     """The text with each marked term replaced; what lies between the terms and the terms are joined again, in one pass."""
     between, found = F.split(text, _TERM, -1), F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
-    pieces = F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(_shown(F.try_element_at(marks, F.lower(m))), m, F.lit(""))))
+    pieces = F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(_shown(_kind(marks, F.lower(m))), m, F.lit(""))))
     return F.when(marks.isNull(), text).otherwise(F.array_join(pieces, ""))
 
 
