@@ -12,12 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.arrays import first_of_runs, sorted_distinct
 from quillgraph.runtime import materialise
 
 #: Words of a passage, and of the step from one passage to the next.
@@ -32,6 +34,8 @@ ANSWER_WORDS = 8
 #: they would drown the others, and all passages of a language would be near each other.
 COMMON_WORD = 0.005
 KEPT_WORDS = 8
+#: Words of the documents that a task holds at once (or one long document): their vectors should fit into a processor's cache.
+PART_WORDS = 20_000
 #: Benchmark items of one pass over the passages.
 BLOCK = 5000
 #: Largest list of contaminated texts that is broadcast; beyond it the join shuffles.
@@ -47,22 +51,17 @@ def split_words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        return -1
-
-
 def _encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """(doc_id, words): each document as the ids of its words, -1 for words of no item; without any known word, none."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(known.value)
+        ids = known.value.get
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 found = split_words(value.as_py())
-                row = np.fromiter(map(ids.__getitem__, found), np.int32, len(found))
+                row = np.fromiter(map(ids, found, repeat(-1)), np.int32, len(found))
                 rows.append(row.tobytes() if (row >= 0).any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "words"])
 
@@ -96,8 +95,9 @@ def _part(ids: list, words: list[np.ndarray], known: np.ndarray) -> _Part:
     for back in range(PASSAGE // STEP):
         fits = (number >= back) & (number - back <= last[doc])
         keys.append((base[doc[fits]] + number[fits] - back) << 32 | flat[at[fits]].astype(np.int64))
-    key = np.unique(np.concatenate(keys))
-    number, dense = np.unique(key >> 32, return_inverse=True)
+    key = sorted_distinct(np.concatenate(keys))
+    new = first_of_runs(key >> 32)
+    number, dense = key[new] >> 32, np.cumsum(new) - 1
     owner = np.searchsorted(base, number, side="right") - 1
     first = (number - base[owner]) * STEP
     strange = np.concatenate([[0], np.cumsum(flat < 0)])
@@ -114,32 +114,30 @@ def _parts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[_Pa
             ids.append(doc)
             words.append(np.frombuffer(value.as_py(), np.int32))
             held += len(words[-1])
-            if held > 200_000:
+            if held > PART_WORDS:
                 yield _part(ids, words, known)
                 ids, words, held = [], [], 0
         if ids:
             yield _part(ids, words, known)
 
 
-def _near(part: _Part, weight: np.ndarray, basis: np.ndarray, targets: np.ndarray, strange: float) -> np.ndarray:
+def _near(part: _Part, weight: np.ndarray, scaled: np.ndarray, targets: np.ndarray, strange: float) -> np.ndarray:
     """Cosines of passages and items: in the latent space, with one more dimension for the words that no item holds.
 
     Each of those weighs ``strange``; without them a passage that shares a single word with the benchmark would be near its items.
     """
-    image, value = _weighted(part.passage, part.word, len(part.first), weight, basis)
+    image, _ = _weighted(part.passage, part.word, len(part.first), weight, scaled)
     image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-12)
     mass = np.bincount(part.passage, weight[part.word] ** 2, len(part.first))
     image *= np.sqrt(mass / (mass + strange**2 * part.outside))[:, None].astype(np.float32)
     return image @ targets.T
 
 
-def _weighted(passage: np.ndarray, word: np.ndarray, count: int, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The length-normalised TF-IDF rows times ``basis``, and the entries' values."""
-    value = weight[word]
-    norm = np.sqrt(np.bincount(passage, value * value, count))
-    value = value / np.maximum(norm, 1e-12)[passage]
-    cut = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    return np.add.reduceat(basis[word] * value[:, None].astype(np.float32), cut, axis=0), value
+def _weighted(passage: np.ndarray, word: np.ndarray, count: int, weight: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length-normalised TF-IDF rows times the basis (given times the weights), and the rows' lengths before."""
+    norm = np.maximum(np.sqrt(np.bincount(passage, weight[word] ** 2, count)), 1e-12)
+    image = np.add.reduceat(scaled[word], np.flatnonzero(first_of_runs(passage)), axis=0)
+    return image / norm[:, None].astype(np.float32), norm
 
 
 def _frequencies(encoded: DataFrame, size: int) -> np.ndarray:
@@ -170,16 +168,18 @@ def _gather(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, wide: boo
 
     def run(batches):
         weight, basis = held.value
+        scaled = basis * weight[:, None].astype(np.float32)
         known, total = weight > 0, np.zeros((rows, columns))
         for part in _parts(batches, known):
             if not len(part.first):
                 continue
-            image, value = _weighted(part.passage, part.word, len(part.first), weight, basis)
+            image, norm = _weighted(part.passage, part.word, len(part.first), weight, scaled)
             if wide:
                 order = np.argsort(part.word, kind="stable")
                 word = part.word[order]
-                cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                total[word[cut]] += np.add.reduceat(image[part.passage[order]] * value[order, None], cut, axis=0)
+                cut = np.flatnonzero(first_of_runs(word))
+                image /= norm[:, None].astype(np.float32)
+                total[word[cut]] += np.add.reduceat(image[part.passage[order]], cut, axis=0) * weight[word[cut], None]
             else:
                 total += image.T @ image
         at = np.flatnonzero(total.any(1))
@@ -253,11 +253,12 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
 
     def run(batches):
         space, items = held.value
-        weight, basis, known = space.weight, space.basis, space.weight > 0
+        weight, known = space.weight, space.weight > 0
+        scaled = space.basis * weight[:, None].astype(np.float32)
         vectors, answers = [], []
         for _, words in items:
             distinct = np.unique(words).astype(np.int64)
-            vectors.append((basis[distinct] * weight[distinct, None]).sum(0))
+            vectors.append(scaled[distinct].sum(0))
             answers.append(set(sorted((int(w) for w in distinct), key=lambda w: (-weight[w], w))[:ANSWER_WORDS]))
         targets = np.array(vectors, np.float32).reshape(len(items), -1)
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
@@ -266,7 +267,7 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
             if not len(part.first):
                 continue
             doc, first = part.doc, part.first
-            near = _near(part, weight, basis, targets, space.strange)
+            near = _near(part, weight, scaled, targets, space.strange)
             best: dict[tuple, tuple] = {}
             for at, item in zip(*np.nonzero(near >= COSINE), strict=True):
                 wanted, words = items[item][1], part.words[doc[at]]
