@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.arrays import sorted_distinct
 from quillgraph.llm.components import connected_components
 from quillgraph.runtime import materialise
 
@@ -71,7 +72,7 @@ def shingles(text: bytes | None, n: int, words: dict) -> np.ndarray:
     h = np.full(last, n, np.uint64)
     for k in range(n):
         h = _mix(h * _M1 + ids[k : k + last])
-    return np.unique(h)
+    return sorted_distinct(h)
 
 
 def node_of(tokens: np.ndarray) -> int:
