@@ -45,8 +45,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     # most entities occur in one text only: they are protected too, from the rarest words of their texts
     found = privacy.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"), **privacy.SINGLE_TEXTS)
+    # added spans are listed by kind, then start, like the base ones
     counts = [privacy.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in privacy.KINDS]
-    return found.select("doc_id", *counts, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"), privacy.listed(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"), privacy.listed(F.concat("base", F.array_sort("added"))).alias("spans"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
