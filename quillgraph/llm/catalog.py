@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, packing, privacy, search, sharding, token_counts, toxicity, urls, warc
+from quillgraph.llm import decontaminate, fim, jaccard, merkle, packing, privacy, search, sharding, simhash, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -73,6 +73,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"), "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: What a leaf of the dataset manifest covers.
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = merkle.manifest(_table(spark, sf_dir, "documents"), "doc_id", "source", LEAF_COLUMNS, merkle.tampered_leaf(LEAF_COLUMNS, "doc_id", "text"))
+    return proved.drop("proof")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fim.fill_in_middle(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return fim.restore(arranged).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_url_filter": op2_url_filter,
@@ -84,6 +102,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_search": op9_search,
     "op10_sharding": op10_sharding,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 #: Only the archive query is plain SQL: the others rest on a tokenizer, a model, regular expressions with checks or a graph search.
 ORACLES: dict[str, str] = {
