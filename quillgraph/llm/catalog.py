@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, fim, jaccard, merkle, packing, privacy, search, sharding, simhash, token_counts, toxicity, urls, warc
+from quillgraph.llm import decontaminate, fim, jaccard, merkle, oracles, packing, privacy, search, sharding, simhash, token_counts, toxicity, urls, warc
 
 #: Fixed values of the URL query.
 URL_RULES = [
@@ -106,10 +106,10 @@ QUERIES = {
     "op12_merkle": op12_merkle,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-#: Only the archive query is plain SQL: the others rest on a tokenizer, a model, regular expressions with checks or a graph search.
+#: The other queries rest on a tokenizer, a model, regular expressions with checks or a hash that SQL doesn't have.
 ORACLES: dict[str, str] = {
-    "op1_warc": (
-        "with p as (select page_id, coalesce(html, '') body from pages), m as (select page_id, octet_length(encode(body)) n, sha1(body) digest, max(page_id) over (partition by body) last from p) "
-        "select page_id, n::bigint payload_bytes, digest payload_digest, case when n >= 1000 and page_id <> last then 'revisit' else 'response' end record_type, case when n >= 1000 and page_id <> last then last end refers_to from m"
-    ),
+    "op1_warc": oracles.ARCHIVES,
+    "op6_jaccard_join": oracles.JACCARD,
+    "op12_merkle": oracles.merkle(),
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
