@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +73,19 @@ def upsert(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.max("confidence").alias("confidence"), (F.min("new") == 1).alias("created"), F.sum("new").alias("updates"))
 
 
-def merge_graphs(*parts: DataFrame, key: str = "node_id") -> DataFrame:
-    """Union of several graphs: greatest confidence, sums of counts."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.groupBy(key).agg(F.max("confidence").alias("confidence"), F.count("*").alias("graphs"), F.sum("n_documents").alias("n_documents"))
+def merge_graphs(*parts: DataFrame, key: str = "node_id", documents: Sequence[DataFrame] | None = None) -> DataFrame:
+    """Union of several graphs' nodes or edges: greatest confidence, number of graphs and of distinct documents.
+
+    ``documents`` are the graphs' bridge tables (key, doc_id), from which documents that graphs share are counted once; without them
+    the graphs' own counts are added up, which is right only if they share none. ``graphsets.merge`` unites evidence and properties, too.
+    A key repeated within a graph counts as a further graph. No rows give no rows.
+    """
+    rows = reduce(DataFrame.unionByName, parts)
+    merged = rows.groupBy(key).agg(F.max("confidence").alias("confidence"), F.count("*").alias("graphs"), *(() if documents else (F.sum("n_documents").alias("n_documents"),)))
+    if not documents:
+        return merged
+    united = reduce(DataFrame.unionByName, (d.select(key, "doc_id") for d in documents)).distinct()
+    return merged.join(united.groupBy(key).agg(F.count("doc_id").alias("n_documents")), key, "left").fillna(0, ["n_documents"])
 
 
 def graph_statistics(items: DataFrame, type_col: str) -> DataFrame:

@@ -268,8 +268,11 @@ def context_block(retrieved: DataFrame, keys: tuple[str, ...] = ("conv_id", "tur
     return retrieved.groupBy(*keys).agg(F.array_join(parts, "\n\n").alias("context"))
 
 
-def conversation_history(turns: DataFrame, most: int = 20) -> DataFrame:
-    """The ``most`` messages before each user turn, oldest first, as ``role: text`` lines."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-most, -1)
+def conversation_history(turns: DataFrame, most: int | None = None) -> DataFrame:
+    """All messages before each user turn, oldest first, as ``role: text`` lines; with ``most``, the newest so many of them.
+
+    Null texts are empty lines. Rows of one turn are in order of role and text. No rows give no rows.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
     line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
     return turns.withColumn("history", F.array_join(F.collect_list(line).over(w), "\n")).where("role = 'user'").select("conv_id", "turn", "history")

@@ -166,7 +166,12 @@ def pattern_relations(spark, sf_dir):
     return linked.select("doc_id", "left", "right", "relation_type", F.col("source.start_pos").alias("source_pos"), F.col("target.start_pos").alias("target_pos"))
 
 
-@query(f"with {MENTIONS} select a.doc_id, a.text a_text, a.start_pos a_start_pos, b.text b_text, b.start_pos b_start_pos, round(greatest(0.3, 0.7 - (b.start_pos - a.start_pos) / 10 * 0.4), 6) confidence from (select *, unnest([start_pos // 10, start_pos // 10 + 1]) k from mentions) a join mentions b on a.doc_id = b.doc_id and b.start_pos // 10 = a.k and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 10")
+@query(
+    f"with {MENTIONS}, placed as materialized (select doc_id, text, start_pos, start_pos // 10 bucket from mentions), "
+    "near as materialized (select doc_id, text, start_pos, bucket from placed union all select doc_id, text, start_pos, bucket + 1 from placed) "
+    "select a.doc_id, a.text a_text, a.start_pos a_start_pos, b.text b_text, b.start_pos b_start_pos, round(greatest(0.3, 0.7 - (b.start_pos - a.start_pos) / 10 * 0.4), 6) confidence "
+    "from near a join placed b on a.doc_id = b.doc_id and b.bucket = a.bucket where b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 10"
+)
 def cooccurrence(spark, sf_dir):
     rows = extract.cooccurrence(mentions_of(spark, sf_dir), 10)
     return rows.select("doc_id", "a_text", "a_start_pos", "b_text", "b_start_pos", F.round("confidence", 6).alias("confidence"))

@@ -56,11 +56,15 @@ def upsert_graph(spark, sf_dir):
     return graph.upsert(old, graph.build_nodes(m.where("doc_id % 2 = 1")), "node_id")
 
 
-@query("with g as (select l_partkey % 100 node_id, l_suppkey % 2 graph_id, max(l_discount)::double confidence, count(*) n_documents from lineitem group by all) select node_id, max(confidence) confidence, count(*) graphs, sum(n_documents)::bigint n_documents from g group by 1")
+@query(
+    "with g as (select l_partkey % 100 node_id, l_suppkey % 2 graph_id, max(l_discount)::double confidence from lineitem group by all) "
+    "select node_id, max(confidence) confidence, count(*) graphs, n_documents from g join (select l_partkey % 100 node_id, count(distinct l_orderkey) n_documents from lineitem group by 1) using (node_id) group by node_id, n_documents"
+)
 def merge_graphs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("node_id"), (F.col("l_suppkey") % 2).alias("g"), F.col("l_discount").cast("double").alias("c"))
-    parts = [rows.where(F.col("g") == k).groupBy("node_id").agg(F.max("c").alias("confidence"), F.count("*").alias("n_documents")) for k in (0, 1)]
-    return graph.merge_graphs(*parts)
+    """Parts of orders as nodes, orders as documents: the graphs of odd and even suppliers share most of them."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("node_id"), (F.col("l_suppkey") % 2).alias("g"), F.col("l_discount").cast("double").alias("c"), F.col("l_orderkey").alias("doc_id"))
+    parts = [rows.where(F.col("g") == k) for k in (0, 1)]
+    return graph.merge_graphs(*(p.groupBy("node_id").agg(F.max("c").alias("confidence")) for p in parts), documents=[p.select("node_id", "doc_id") for p in parts])
 
 
 @query(f"with {_PAIRS}, {_NODES} select node_type, count(*) n, round(avg(confidence), 6) mean_confidence from nodes group by grouping sets ((), (node_type))")
@@ -218,10 +222,10 @@ def literature_relations(spark, sf_dir):
     return found.withColumn("pmids", F.array_join(F.transform("pmids", lambda x: x.cast("string")), ","))
 
 
-@query("select s_name subject, 'nation' predicate, s_nationkey::varchar as object, s_suppkey || ' 7' citations from supplier union all select s_name, 'balance', s_acctbal::bigint::varchar, '' from supplier")
+@query("select s_name subject, 'nation' predicate, s_nationkey::varchar as object, s_suppkey || ' 7' citations from supplier union all select s_name, 'balance', floor(s_acctbal)::bigint::varchar, '' from supplier")
 def knowledge_sequence(spark, sf_dir):
     row = lambda p, o, c: F.struct(F.lit(p).alias("predicate"), o.cast("string").alias("object"), c.cast("string").alias("citation"))
-    balance = F.round("s_acctbal").cast("long")
+    balance = F.floor("s_acctbal").cast("long")
     relations = F.array(row("nation", F.col("s_nationkey"), F.concat_ws("|", F.col("s_suppkey").cast("string"), F.lit("7"))), row("balance", balance, F.when(F.col("s_suppkey") % 2 == 0, "")))
     found = retrieve.knowledge_sequence(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("subject"), relations.alias("relations")))
     return found.withColumn("citations", F.array_join("citations", " "))
@@ -304,6 +308,6 @@ def context_block(spark, sf_dir):
     return retrieve.context_block(rows, ("conv_id",)).select("conv_id", F.md5("context").alias("digest"))
 
 
-@query("select conv_id, turn, md5(h) digest from (select conv_id, turn, role, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10)) over (partition by conv_id order by turn rows between 20 preceding and 1 preceding), '') h from conversations) where role = 'user'")
+@query("select conv_id, turn, md5(h) digest from (select conv_id, turn, role, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') h from conversations) where role = 'user'")
 def conversation_history(spark, sf_dir):
     return retrieve.conversation_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("history").alias("digest"))
