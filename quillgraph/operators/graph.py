@@ -158,3 +158,40 @@ def traversed_edges(reached: DataFrame, edges: DataFrame, max_depth: int) -> Dat
     near = reached.select("query_id", F.col("node_id").alias("src"), F.col("depth").alias("d1"))
     far = reached.select("query_id", F.col("node_id").alias("dst"), F.col("depth").alias("d2"))
     return edges.join(near, "src").join(far, ["query_id", "dst"]).where(F.least("d1", "d2") < max_depth)
+
+
+def traverse_paths(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(query_id, node_id, depth, path): the least depth of each node and the smallest of its shortest paths, from start to node.
+
+    A path grows with its hop: of all arrivals at a node the smallest path wins by an aggregation with map-side combination, and since all are equally long, smallest paths
+    have smallest beginnings. Paths hold at most ``max_depth`` + 1 nodes. Starts without edges are reached at depth 0; null ids and loops are left out.
+    """
+    both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
+    begin = starts.select("query_id", "node_id").where("node_id is not null").distinct()
+    reached = frontier = materialise(begin.select("query_id", "node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path")), "paths")
+    for depth in range(1, max_depth + 1):
+        arrivals = frontier.join(both, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"), F.array_append("path", F.col("dst")).alias("path"))
+        best = arrivals.join(reached, ["query_id", "node_id"], "left_anti").groupBy("query_id", "node_id").agg(F.min("path").alias("path"))
+        frontier = materialise(best.select("query_id", "node_id", F.lit(depth).alias("depth"), "path"), "paths")
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier)
+    return reached
+
+
+def edge_paths(reached: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(query_id, edge_id, from_node, to_node, depth): one row for each traversed edge, from the end that is reached first (ties: the smaller id).
+
+    An edge is traversed if one end is nearer than ``max_depth`` and both are reached; ``depth`` is that of the first end.
+    """
+    near = reached.select("query_id", F.col("node_id").alias("src"), F.col("depth").alias("d1"))
+    far = reached.select("query_id", F.col("node_id").alias("dst"), F.col("depth").alias("d2"))
+    rows = edges.select("edge_id", "src", "dst").join(near, "src").join(far, ["query_id", "dst"]).where(F.least("d1", "d2") < max_depth)
+    forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") <= F.col("dst")))
+    return rows.select("query_id", "edge_id", F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("from_node"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("to_node"), F.least("d1", "d2").alias("depth"))
+
+
+def traversal_summary(starts: DataFrame, reached: DataFrame) -> DataFrame:
+    """(query_id, nodes, depth_reached) for every query of ``starts``; 0 and 0 where nothing was reached."""
+    found = reached.groupBy("query_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth_reached"))
+    return starts.select("query_id").distinct().join(found, "query_id", "left").fillna(0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.runtime import materialise
 
 
 #: Seconds of a stretch of a key's history: stretches are ordered on their own, then only their sums are.
@@ -161,6 +162,45 @@ def thread_rollup(steps: DataFrame, feedback: DataFrame) -> DataFrame:
     return rows.groupBy("thread_id", "type").agg(F.count("*").alias("steps"), F.round(F.avg(F.col("is_error").cast("double")), 6).alias("error_share"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.avg("mark"), 6).alias("mean_mark"))
 
 
+def step_depths(steps: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(id, depth) by pointer jumping: every round doubles the distance looked back, so a chain of n steps takes log(n) rounds.
+
+    A step without a parent, or whose parent is not there, is a root of depth 0. Steps on a cycle, or below one, have a null depth.
+    """
+    ids = steps.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")).where("id is not null").dropDuplicates(["id"])
+    known = ids.select(F.col("id").alias("up"), F.lit(True).alias("there"))
+    rows = ids.join(known, "up", "left").select("id", F.when(F.col("there"), F.col("up")).alias("up"))
+    rows = materialise(rows.withColumn("hops", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "step-parents")
+    for _ in range(max(1, rows.count()).bit_length() + 1):
+        if rows.where("up is not null").isEmpty():
+            break
+        far = rows.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("hops").alias("more"))
+        rows = materialise(rows.join(far, "up", "left").select("id", F.col("further").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "step-parents")
+    return rows.select("id", F.when(F.col("up").isNull(), F.col("hops")).alias("depth"))
+
+
+def step_tree(steps: DataFrame, id_col: str = "id", parent_col: str = "parent_id", seconds_col: str = "seconds", error_col: str = "is_error") -> DataFrame:
+    """(id, depth, steps, seconds, error_share): each step with all steps below it.
+
+    Sums rise one level at a time, and only the rows of that level move, so the rounds are those of the deepest step. Steps on or below a cycle have nulls;
+    steps whose parent is not there are roots; null seconds and errors are 0 and false; of rows that repeat an id one counts. No rows give no rows.
+    """
+    one = steps.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.coalesce(F.col(seconds_col).cast("double"), F.lit(0.0)).alias("seconds"), F.coalesce(F.col(error_col), F.lit(False)).cast("long").alias("errors"))
+    placed = materialise(one.where("id is not null").dropDuplicates(["id"]).join(step_depths(steps, id_col, parent_col), "id"), "step-levels")
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    done, below = None, None
+    for depth in range(deepest, -1, -1):
+        level = placed.where(F.col("depth") == depth).withColumn("steps", F.lit(1).cast("long"))
+        if below is not None:
+            sums = below.groupBy(F.col("parent").alias("id")).agg(*(F.sum(c).alias(f"more_{c}") for c in ("steps", "seconds", "errors")))
+            level = level.join(sums, "id", "left").select("id", "parent", "depth", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("steps", "seconds", "errors")))
+        below = materialise(level.select("id", "parent", "depth", "steps", "seconds", "errors"), "step-sums")
+        done = below if done is None else done.unionByName(below)
+    none = placed.where("depth is null").select("id", "parent", "depth", *(F.lit(None).cast(t).alias(c) for c, t in (("steps", "long"), ("seconds", "double"), ("errors", "long"))))
+    rows = done.unionByName(none)
+    return rows.select("id", "depth", "steps", F.round("seconds", 6).alias("seconds"), F.round(F.col("errors") / F.col("steps"), 6).alias("error_share"))
+
+
 def query_statistics(log: DataFrame, as_of: str, top: int = 5) -> DataFrame:
     """The most frequent normalised queries of the last day, with their number and mean time."""
     recent = log.where(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.expr("interval 24 hours"))
@@ -168,11 +208,66 @@ def query_statistics(log: DataFrame, as_of: str, top: int = 5) -> DataFrame:
 
 
 def windowed_alerts(events: DataFrame, bound: float, window: str = "5 minutes", slide: str = "1 minute", hold: int = 2) -> DataFrame:
-    """(operation, start, rate, firing): error rate of sliding windows; firing once ``hold`` windows in a row exceed the bound."""
+    """(operation, start, rate, firing): share of failures in sliding windows; firing once ``hold`` windows in a row exceed the bound.
+
+    In a row means one slide apart: a window without events is no failure, so a gap starts anew. A null ``ok`` is left out of a share, null
+    times are in no window. No rows give no rows. ``alert_episodes`` has rules on other measures.
+    """
     w = events.groupBy("operation", F.window("ts", window, slide).alias("w")).agg(F.avg((~F.col("ok")).cast("double")).alias("rate"))
     rows = w.select("operation", F.col("w.start").alias("start"), F.round("rate", 6).alias("rate"), (F.col("rate") > bound).cast("int").alias("bad"))
-    last = Window.partitionBy("operation").orderBy("start").rowsBetween(-(hold - 1), 0)
-    return rows.withColumn("firing", (F.min("bad").over(last) == 1) & (F.count("*").over(last) == hold)).drop("bad")
+    step = seconds_of(slide)
+    at = F.unix_micros(F.col("start").cast("timestamp"))
+    last = Window.partitionBy("operation").orderBy(at).rangeBetween(-(hold - 1) * step * 1_000_000, 0)
+    return rows.withColumn("firing", F.coalesce(F.sum("bad").over(last) == hold, F.lit(False))).drop("bad")
+
+
+def seconds_of(duration: str) -> int:
+    """Whole seconds of a duration such as ``5 minutes``."""
+    number, unit = duration.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def window_measures(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """(operation, w, measure, value) of sliding windows: p95 of the duration, errors a second, share of successes; batch or stream.
+
+    Windows without events have no rows; null durations are left out of p95.
+    """
+    w = events.groupBy("operation", F.window("ts", window, slide).alias("w")).agg(
+        F.percentile_approx("duration", 0.95).cast("double").alias("p95"),
+        (F.count_if(~F.col("ok")) / float(seconds_of(window))).alias("errors_per_second"),
+        F.avg(F.col("ok").cast("double")).alias("success_share"),
+    )
+    measures = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("p95", "errors_per_second", "success_share")))
+    return w.select("operation", "w", F.explode(measures).alias("m")).select("operation", "w", "m.measure", "m.value")
+
+
+def judged_windows(measures: DataFrame, rules: DataFrame) -> DataFrame:
+    """The measures that a rule is about, with ``bad``: above or below the rule's bound.
+
+    ``rules`` has rule, measure, direction (above or below), bound, hold_seconds; a null value is not bad.
+    """
+    v, b = F.col("value"), F.col("bound")
+    bad = F.when(F.col("direction") == "above", v > b).when(F.col("direction") == "below", v < b)
+    return measures.join(rules, "measure").withColumn("bad", F.coalesce(bad, F.lit(False)))
+
+
+def alert_episodes(events: DataFrame, rules: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """(rule, operation, begins, ends, windows, worst): the times in which a rule was broken for as long as it asks.
+
+    A window breaks a rule if its measure is beyond the bound. An episode is a run of such windows, each one slide after the other, that lasts ``hold_seconds`` (so many
+    slides); it begins with the window that fills this time and ends with the last one of the run. A window within the bounds, or
+    without events, ends the run. Runs are islands of consecutive window numbers, so no grid of all windows is made.
+    """
+    step = seconds_of(slide)
+    number = F.floor(F.unix_seconds(F.col("w.start").cast("timestamp")) / step)
+    bad = judged_windows(window_measures(events, window, slide), rules).where("bad").withColumn("number", number)
+    order = Window.partitionBy("rule", "operation").orderBy("number")
+    runs = bad.withColumn("run", F.col("number") - F.row_number().over(order)).groupBy("rule", "operation", "run", "direction", "hold_seconds")
+    found = runs.agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("windows"), F.max("value").alias("most"), F.min("value").alias("least"))
+    needed = F.greatest(F.ceil(F.col("hold_seconds") / step), F.lit(1))
+    begins = F.timestamp_seconds((F.col("low") + needed - 1) * step)
+    worst = F.when(F.col("direction") == "above", F.col("most")).otherwise(F.col("least"))
+    return found.where(F.col("windows") >= needed).select("rule", "operation", begins.alias("begins"), F.timestamp_seconds(F.col("high") * step).alias("ends"), "windows", worst.alias("worst"))
 
 
 def user_sessions(requests: DataFrame, gap: str = "2 hours") -> DataFrame:

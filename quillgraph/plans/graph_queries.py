@@ -123,6 +123,33 @@ def traversed_edges(spark, sf_dir):
     return graph.traversed_edges(graph.traverse(starts, edges, 1), edges, 1).select("query_id", "src", "dst")
 
 
+_PATHS = f"{_SUPPLY}, p0 as (select query_id, node_id, [node_id] path from s), p1 as (select query_id, dst node_id, min(list_append(path, dst)) path from p0 join b on src = node_id group by all), p2 as (select query_id, dst node_id, min(list_append(path, dst)) path from p1 join b on src = node_id where not exists (select 1 from p0 where p0.query_id = p1.query_id and p0.node_id = dst) and not exists (select 1 from p1 q where q.query_id = p1.query_id and q.node_id = dst) group by all), reached as (select *, 0 depth from p0 union all select *, 1 from p1 union all select *, 2 from p2)"
+
+
+@query(f"with {_PATHS} select query_id, node_id, depth, array_to_string(path, '>') path from reached")
+def traversed_paths(spark, sf_dir):
+    edges, starts = _supply(spark, sf_dir)
+    return graph.traverse_paths(starts, edges, 2).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    f"with {_PATHS}, r as (select * from reached where depth <= 1) select x.query_id, e.src || '-' || e.dst edge_id, case when x.depth < y.depth or (x.depth = y.depth and src <= dst) then src else dst end from_node, "
+    "case when x.depth < y.depth or (x.depth = y.depth and src <= dst) then dst else src end to_node, least(x.depth, y.depth) depth from e join r x on x.node_id = src join r y on y.node_id = dst and y.query_id = x.query_id where least(x.depth, y.depth) < 1"
+)
+def edge_paths(spark, sf_dir):
+    edges, starts = _supply(spark, sf_dir)
+    named = edges.withColumn("edge_id", F.concat_ws("-", "src", "dst"))
+    return graph.edge_paths(graph.traverse(starts, edges, 1), named, 1)
+
+
+@query(f"with {_PATHS} select query_id, count(*) nodes, max(depth) depth_reached from reached group by 1 union all select -1, 0, 0")
+def traversal_summary(spark, sf_dir):
+    """One more query starts at a node that is not there."""
+    edges, starts = _supply(spark, sf_dir)
+    lost = starts.limit(0).unionByName(spark.createDataFrame([(-1, None)], "query_id long, node_id string"))
+    return graph.traversal_summary(starts.unionByName(lost), graph.traverse_paths(starts.unionByName(lost), edges, 2))
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: w not in ({_STOP}) and length(w) > 2)"
 @query(f"select item_id, array_to_string({_TERMS}, ' ') terms from benchmark")

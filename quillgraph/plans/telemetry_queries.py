@@ -111,12 +111,51 @@ def query_statistics(spark, sf_dir):
     return telemetry.query_statistics(log, AS_OF)
 
 
-@query(f"with {_OPS}, w as (select operation, time_bucket(interval 1 hour, ts) - k * interval 1 hour as start, avg((not ok)::int) rate from ops, range(6) r(k) group by all) select operation, epoch_us(start) start, round(rate, 6) rate, min((rate > 0.12)::int) over p = 1 and count(*) over p = 3 firing from w window p as (partition by operation order by start rows between 2 preceding and current row)")
+@query(f"with {_OPS}, w as (select operation, time_bucket(interval 1 hour, ts) - k * interval 1 hour as start, avg((not ok)::int) rate from ops, range(6) r(k) group by all) select operation, epoch_us(start) start, round(rate, 6) rate, coalesce(sum((rate > 0.12)::int) over p = 3, false) firing from w window p as (partition by operation order by start range between interval 2 hours preceding and current row)")
 def windowed_alerts(spark, sf_dir):
     rows = telemetry.windowed_alerts(_ops(spark, sf_dir), 0.12, "6 hours", "1 hour", 3)
     return rows.withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
 
 
+_RULES_HELD = "rules(rule, measure, direction, bound, hold) as (values ('slow', 'p95', 'above', 30.0, 2), ('failing', 'errors_per_second', 'above', 0.0003, 3), ('cold', 'success_share', 'below', 0.9, 2))"
+
+
+@query(
+    f"with {_OPS}, {_RULES_HELD}, "
+    "w as (select operation, epoch(time_bucket(interval 1 hour, ts))::bigint // 3600 - k number, quantile_disc(duration, 0.95)::double p95, count_if(not ok) / 21600.0 errors_per_second, avg(ok::int) success_share from ops, range(6) r(k) group by all), "
+    "m as (unpivot w on p95, errors_per_second, success_share into name measure value v), "
+    "bad as (select rule, operation, number, hold, direction, v from m join rules using (measure) where case direction when 'above' then v > bound else v < bound end), "
+    "runs as (select *, number - row_number() over (partition by rule, operation order by number) run from bad) "
+    "select rule, operation, (min(number) + any_value(hold) - 1)::bigint begins_hour, max(number)::bigint ends_hour, count(*) windows, round(case any_value(direction) when 'above' then max(v) else min(v) end, 6) worst from runs group by rule, operation, run having count(*) >= any_value(hold)"
+)
+def alert_episodes(spark, sf_dir):
+    """Three rules on windows of six hours, each an hour after the other."""
+    rules = spark.createDataFrame([("slow", "p95", "above", 30.0, 7200), ("failing", "errors_per_second", "above", 0.0003, 10800), ("cold", "success_share", "below", 0.9, 7200)], "rule string, measure string, direction string, bound double, hold_seconds long")
+    rows = telemetry.alert_episodes(_ops(spark, sf_dir), rules, "6 hours", "1 hour")
+    hour = lambda c: F.floor(F.unix_seconds(F.col(c)) / 3600)
+    return rows.select("rule", "operation", hour("begins").alias("begins_hour"), hour("ends").alias("ends_hour"), "windows", F.round("worst", 6).alias("worst"))
+
+
+_STEPS = "st as (select conv_id || '-' || turn id, case when turn = 6 and conv_id % 5 = 0 then conv_id || '-13' when turn > 0 then conv_id || '-' || (turn - 1) // 2 end parent, turn % 10 + 0.5 as seconds, turn % 4 = 0 is_error from conversations)"
+
+
+@query(
+    f"with recursive {_STEPS}, one as (select id, any_value(parent) parent, any_value(seconds)::double as seconds, any_value(is_error) is_error from st group by id), "
+    "up as (select one.id, p.id anc from one join one p on one.parent = p.id union select up.id, p.id from up join one c on c.id = up.anc join one p on c.parent = p.id), "
+    "loop_ as (select id from up where id = anc), lost as (select id from loop_ union select id from up where anc in (from loop_)), "
+    "pairs as (select id, anc from up where id not in (from lost) union all select id, id from one where id not in (from lost)) "
+    "select one.id, d.depth, n steps, s as seconds, e error_share from one left join (select id, count(*) - 1 depth from pairs group by 1) d using (id) "
+    "left join (select anc id, count(*) n, round(sum(seconds), 6) s, round(avg(is_error::int), 6) e from pairs join one using (id) group by 1) t using (id)"
+)
+def step_tree(spark, sf_dir):
+    """Turns as a tree of halves, with a cycle in every fifth conversation that is long enough."""
+    turn, conv = F.col("turn"), F.col("conv_id").cast("string")
+    named = lambda t: F.concat_ws("-", conv, t.cast("string"))
+    parent = F.when((turn == 6) & (F.col("conv_id") % 5 == 0), named(F.lit(13))).when(turn > 0, named(F.floor((turn - 1) / 2)))
+    rows = table(spark, sf_dir, "conversations").select(named(turn).alias("id"), parent.alias("parent_id"), (turn % 10 + 0.5).alias("seconds"), (turn % 4 == 0).alias("is_error"))
+    return telemetry.step_tree(rows)
+
+
 @query("with g as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 2 hours then 1 else 0 end s from events window w as (partition by user_id order by ts)), k as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us, count(*) n from k group by user_id, k")
 def user_sessions(spark, sf_dir):
     rows = telemetry.user_sessions(table(spark, sf_dir, "events"))
