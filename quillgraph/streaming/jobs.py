@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -83,3 +84,66 @@ def stream_circuit_breaker(events: DataFrame, threshold: int = 5, timeout: float
 def for_each_batch(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to ``handler``: notifications, upserts, manifest updates."""
     return stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Episodes(StatefulProcessor):
+    """The run of broken windows of a rule and an operation; what ends it is a good window, or the time at which the next one is due."""
+
+    def __init__(self, window: int, slide: int):
+        self.window, self.slide = window, slide
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "low long, high long, worst double, needed long, above boolean")
+
+    def _ended(self, key: tuple, run: tuple | None) -> list[tuple]:
+        if run is None or run[1] - run[0] + 1 < run[3]:
+            return []
+        low, high, worst, needed, _ = run
+        return [(*key, pd.Timestamp((low + needed - 1) * self.slide, unit="s"), pd.Timestamp(high * self.slide, unit="s"), high - low + 1, worst)]
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=["rule", "operation", "begins", "ends", "windows", "worst"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run, out = self.run.get() if self.run.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values("number").itertuples():
+            if run is not None and (not r.bad or r.number != run[1] + 1):
+                out += self._ended(key, run)
+                run = None
+            if r.bad:
+                above = r.direction == "above"
+                worst = r.value if run is None else (max if above else min)(run[2], r.value)
+                run = (run[0] if run else r.number, r.number, float(worst), max(1, -(-r.hold_seconds // self.slide)), above)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if run is None:
+            self.run.clear()
+        else:
+            self.run.update(tuple(run))
+            # by then the next window has been handed over, if it has any events
+            self.handle.registerTimer(((run[1] + 2) * self.slide + self.window) * 1000)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run = self.run.get() if self.run.exists() else None
+        self.run.clear()
+        yield from self._frame(self._ended(key, run))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alert_episodes(events: DataFrame, rules: DataFrame, window: str = "5 minutes", slide: str = "1 minute", watermark: str = WATERMARK) -> DataFrame:
+    """``telemetry.alert_episodes`` as a stream: an episode is given out once it has ended.
+
+    State is one run for each rule and operation, and an event-time timer that ends it when a gap follows. The session
+    needs the RocksDB state store.
+    """
+    step = telemetry.seconds_of(slide)
+    measures = telemetry.window_measures(events.withWatermark("ts", watermark), window, slide)
+    timed = measures.withColumn("number", F.floor(F.unix_seconds(F.col("w.start").cast("timestamp")) / step)).withColumn("at", F.window_time("w"))
+    judged = telemetry.judged_windows(timed, rules).select("rule", "operation", "number", "value", "bad", "direction", "hold_seconds", "at")
+    schema = "rule string, operation string, begins timestamp, ends timestamp, windows long, worst double"
+    return judged.groupBy("rule", "operation").transformWithStateInPandas(_Episodes(telemetry.seconds_of(window), step), schema, "append", "eventTime")
