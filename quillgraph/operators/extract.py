@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,39 +39,55 @@ RELATION_PATTERNS = [
 ]
 
 
-def _scan(docs: DataFrame, find, schema: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows that ``find(text)`` yields for each document, in Arrow batches."""
+def _scan(docs: DataFrame, make: Callable[[], Callable[[str], Iterable[tuple]]], schema: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows that a finder yields for each document, in Arrow batches; ``make`` builds the finder once in every task."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
         for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in find(text or "")]
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(doc, *hit) for hit in find(text or "")]
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+                    rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
 
+def _low(text: str) -> str:
+    """Lower case of the same length: a character whose lower case is longer stays."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 def _finder(vocabulary: Mapping[str, Sequence[str]], whole_word: bool) -> Callable[[str], Iterator[tuple[str, str, int, int]]]:
-    """(text, kind, start, end) of all occurrences of all terms in one pass over a text.
+    """(text, kind, start, end) of all occurrences of all terms in one pass over a text, by an automaton of the terms.
 
-    At each place the longest term that fits is found; the others that fit there are its beginnings, which are known beforehand.
+    The time of a pass depends on the text and on what is found, not on the number of terms.
     """
-    terms = sorted(((t, kind) for kind, ts in vocabulary.items() for t in ts if t), key=lambda x: -len(x[0]))
-    if not terms:
+    kinds: dict[str, list[str]] = {}
+    for kind, terms in vocabulary.items():
+        for term in terms:
+            if term and kind not in kinds.setdefault(_low(term), []):
+                kinds[_low(term)].append(kind)
+    if not kinds:
         return lambda text: iter(())
-    before, after = ("(?<![^\\W_])", "(?![^\\W_])") if whole_word else ("", "")
-    spelt = "|".join(f"({re.escape(t)}){after}" for t, _ in terms)
-    pattern, ends = re.compile(f"{before}(?=(?:{spelt}))", re.IGNORECASE), re.compile(after)
-    inner = [[k for k in range(n, len(terms)) if terms[n][0].lower().startswith(terms[k][0].lower())] for n in range(len(terms))]
+    terms = ahocorasick.Automaton()
+    for term, of in kinds.items():
+        terms.add_word(term, (len(term), of))
+    terms.make_automaton()
 
     def find(text: str) -> Iterator[tuple[str, str, int, int]]:
-        for m in pattern.finditer(text):
-            start = m.start()
-            for k in inner[m.lastindex - 1]:
-                end = start + len(terms[k][0])
-                if k == m.lastindex - 1 or ends.match(text, end):
-                    yield text[start:end], terms[k][1], start, end
+        low = _low(text)
+        for last, (length, of) in terms.iter(low):
+            start, end = last + 1 - length, last + 1
+            if not whole_word or not (start and low[start - 1].isalnum() or end < len(low) and low[end].isalnum()):
+                for kind in of:
+                    yield text[start:end], kind, start, end
 
     return find
 
@@ -81,8 +98,13 @@ def vocab_entities(docs: DataFrame, vocabulary: Mapping[str, Sequence[str]] = VO
     Occurrences of different terms may overlap; without ``whole_word`` those of one term may too. A term of two kinds is
     found for both. Null and empty texts hold none.
     """
-    spots = _finder(vocabulary, whole_word)
-    return _scan(docs, lambda text: ((found, kind, confidence, start, end) for found, kind, start, end in spots(text)), MENTION, id_col, text_col)
+    words = {kind: list(terms) for kind, terms in vocabulary.items()}
+
+    def make():
+        spots = _finder(words, whole_word)
+        return lambda text: ((found, kind, confidence, start, end) for found, kind, start, end in spots(text))
+
+    return _scan(docs, make, MENTION, id_col, text_col)
 
 
 def register_mentions(spark: SparkSession, vocabulary: Mapping[str, Sequence[str]] = VOCABULARY, whole_word: bool = True, name: str = "extract_mentions") -> None:
@@ -115,7 +137,7 @@ def regex_entities(docs: DataFrame, patterns: Mapping[str, Sequence[str]] = PATT
             for m in pattern.finditer(text):
                 yield m[0], kind, confidence, m.start(), m.end()
 
-    return _scan(docs, find, MENTION, id_col, text_col)
+    return _scan(docs, lambda: find, MENTION, id_col, text_col)
 
 
 def token_entities(docs: DataFrame, token_types: Mapping[str, Sequence[str]], confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,20 +150,33 @@ def token_entities(docs: DataFrame, token_types: Mapping[str, Sequence[str]], co
 
 
 def resolve_overlaps(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Left to right, an overlapping mention replaces the kept one only if it is strictly more confident."""
-    item = F.struct("start_pos", "entity_type", (-F.col("end_pos")).alias("back"), "text", "end_pos", "confidence")
-    ordered = F.array_sort(F.collect_list(item))
+    """Left to right, an overlapping mention replaces the kept one only if it is strictly more confident.
 
-    def step(kept, m):
-        last = F.element_at(kept, -1)
-        free = (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end_pos"] <= m["start_pos"])
-        better = F.slice(kept, F.lit(1), F.size(kept) - 1)
-        return F.when(free, F.array_append(kept, m)).when(m["confidence"] > last["confidence"], F.array_append(better, m)).otherwise(kept)
+    A sweep over the mentions of each document in order of place (ties by type, the longer first, text, confidence) that holds only the one kept last,
+    so the work is linear and a document of any size is streamed. Mentions without a place, an end or a confidence are left out; repeated ones count once. No rows give no rows.
+    """
+    columns = [key, "text", "entity_type", "confidence", "start_pos", "end_pos"]
+    rows = mentions.select(*columns).where("start_pos is not null and end_pos is not null and confidence is not null")
+    schema = rows.schema
 
-    grouped = mentions.groupBy(key).agg(ordered.alias("all"))
-    empty = F.filter("all", lambda m: F.lit(False))
-    kept = grouped.select(key, F.explode(F.aggregate("all", empty, step)).alias("m"))
-    return kept.select(key, "m.text", "m.entity_type", "m.confidence", "m.start_pos", "m.end_pos")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = names = types = None
+        for batch in batches:
+            names, types, out = batch.schema.names, batch.schema.types, []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kept is None or row[0] != kept[0] or kept[5] <= row[4]:
+                    if kept is not None:
+                        out.append(kept)
+                    kept = row
+                elif row[3] > kept[3]:
+                    kept = row
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(kept, types, strict=True)], names=names)
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "start_pos", "entity_type", F.col("end_pos").desc(), "text", "confidence")
+    return dealt.mapInArrow(run, schema)
 
 
 def pattern_relations(docs: DataFrame, patterns: Sequence[tuple[str, str, float]] = RELATION_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,17 +188,18 @@ def pattern_relations(docs: DataFrame, patterns: Sequence[tuple[str, str, float]
             for m in pattern.finditer(text):
                 yield m[1], m[2], kind, confidence, m[0]
 
-    return _scan(docs, find, CAPTURE, id_col, text_col)
+    return _scan(docs, lambda: find, CAPTURE, id_col, text_col)
 
 
 def link_mentions(captures: DataFrame, mentions: DataFrame, mode: str = "exact") -> DataFrame:
     """Captures whose both sides are mentions of their document: adds source and target (start_pos, text, entity_type).
 
     ``exact``: equal lower-case text, the first such mention. ``best``: else a mention that contains the capture,
-    else one that the capture contains, the first within a tier. Source and target differ.
+    else one that the capture contains, the first within a tier. Source and target differ. Texts are compared once for each document: of
+    equal mentions only the first counts, so a frequent term is one row of its document.
     """
     rows = captures.withColumn("_id", F.xxhash64("doc_id", F.lower("left"), F.lower("right"), "relation_type", "evidence"))
-    places = mentions.select("doc_id", F.lower("text").alias("_low"), F.struct("start_pos", "text", "entity_type").alias("_m"))
+    places = mentions.groupBy("doc_id", F.lower("text").alias("_low")).agg(F.min(F.struct("start_pos", "text", "entity_type")).alias("_m"))
 
     def side(col: str, name: str) -> DataFrame:
         wanted = rows.select("_id", "doc_id", F.lower(col).alias("_want")).distinct()
@@ -192,6 +228,24 @@ def cooccurrence(mentions: DataFrame, window: int = 150, decay: bool = True) ->
     return near.select("doc_id", "a_text", "a_entity_type", "a_start_pos", "b_text", "b_entity_type", "b_start_pos", score.alias("confidence"))
 
 
+def cooccurrence_evidence(pairs: DataFrame, docs: DataFrame, before: int = 20, after: int = 20, window: int = 150, chunk: int = 4096, longest: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pairs`` of ``cooccurrence`` with ``evidence``: the text from ``before`` characters ahead of the first mention to ``after`` behind the second.
+
+    Pairs meet pieces of their document's text, not whole texts: the piece that holds the first mention, with a margin for ``window`` and a
+    second mention of up to ``longest`` characters. Pairs of documents that are not there, or have no text, have none.
+    """
+    margin = before + window + longest + after
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text_col) - 1, F.lit(0)) / chunk).cast("int"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.explode(numbers).alias("_chunk"))
+    low = F.greatest(F.col("_chunk") * chunk - before, F.lit(0))
+    pieces = cut.select("doc_id", "_chunk", low.alias("_low"), F.substring("_text", low + 1, F.lit(chunk + before + margin)).alias("_piece"))
+    first = F.greatest(F.col("a_start_pos") - before, F.lit(0))
+    last = F.col("b_start_pos") + F.length("b_text") + after
+    rows = pairs.withColumn("_chunk", F.floor(F.col("a_start_pos") / chunk).cast("int")).join(pieces, ["doc_id", "_chunk"], "left")
+    evidence = F.substring("_piece", (first - F.col("_low") + 1).cast("int"), (last - first).cast("int"))
+    return rows.withColumn("evidence", evidence).drop("_chunk", "_low", "_piece")
+
+
 def extraction_stats(docs: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
     """Per document: text length, mentions, relations."""
     m = mentions.groupBy("doc_id").agg(F.count("*").alias("n_mentions"))

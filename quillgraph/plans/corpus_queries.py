@@ -157,7 +157,93 @@ def resolve_overlaps(spark, sf_dir):
     return extract.resolve_overlaps(m.unionByName(wide)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+#: The default vocabulary and the words of the invented corpus.
+RAW_TERMS = {kind: [*extract.VOCABULARY.get(kind, []), *TOKEN_TYPES.get(kind, [])] for kind in extract.VOCABULARY}
+_ALNUM = "'[\\p{L}\\p{N}]'"
+#: All whole-word occurrences in raw texts, with their places: a text is cut at each term, and the pieces' lengths tell where it was.
+RAW = (
+    "terms(term, kind) as (values " + ", ".join(f"('{t.lower()}', '{kind}')" for kind, ts in RAW_TERMS.items() for t in ts) + "), "
+    "cutup as (select doc_id, text, term, kind, string_split(lower(text), term) p from documents, terms where contains(lower(text), term)), "
+    "spots as (select doc_id, text, term, kind, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(term)))::bigint start_pos from cutup), "
+    f"raw as materialized (select doc_id, text[start_pos + 1:start_pos + length(term)] text, kind entity_type, start_pos, start_pos + length(term) end_pos from spots where not regexp_matches(coalesce(text[start_pos:start_pos], ''), {_ALNUM}) and not regexp_matches(coalesce(text[start_pos + length(term) + 1:start_pos + length(term) + 1], ''), {_ALNUM}))"
+)
+
+
+def raw_mentions(spark, sf_dir):
+    return extract.vocab_entities(table(spark, sf_dir, "documents"), RAW_TERMS)
+
+
+@query(f"with {RAW} select * from raw")
+def raw_vocabulary(spark, sf_dir):
+    """Every whole-word term of the default vocabulary, with its place, in raw texts."""
+    return raw_mentions(spark, sf_dir).drop("confidence")
+
+
+@query(
+    "with cutup as (select doc_id, head, tail, string_split(lower(text), head) p from documents, (values ('tio', 'n'), ('an', 'a'), ('e', 'e')) v(head, tail) where contains(lower(text), head)), "
+    "spot as (select doc_id, head || tail term, unnest(list_filter(range(1, len(p)), lambda k: starts_with(p[k + 1] || case when k + 1 < len(p) then head else '' end, tail))) k, list_transform(p, lambda x: length(x)) sizes, length(head) h from cutup), "
+    "ends as (select doc_id, term, sizes, h, count(*) n, min(k) low, max(k) high from spot group by all) "
+    "select doc_id, term as text, n, list_sum(sizes[1:low])::bigint + (low - 1) * h first_start, list_sum(sizes[1:high])::bigint + (high - 1) * h last_start from ends"
+)
+def raw_substrings(spark, sf_dir):
+    """Terms inside words, overlapping occurrences included, whatever their case."""
+    found = extract.substring_entities(table(spark, sf_dir, "documents"), ["tion", "ANA", "ee"])
+    return found.groupBy("doc_id", F.lower("text").alias("text")).agg(F.count("*").alias("n"), F.min("start_pos").alias("first_start"), F.max("start_pos").alias("last_start"))
+
+
+#: In SQL words end at letters other than A-Z: these are taken as one of them.
+_PATTERN_ROWS = ", ".join("('" + p.replace("'", "''") + f"', '{kind}')" for kind, ps in {**extract.PATTERNS, "number": [r"\b[0-9]+(?:\.[0-9]+)?\b"]}.items() for p in ps)
+
+
+@query(
+    f"with p(pattern, kind) as (values {_PATTERN_ROWS}) select doc_id, kind entity_type, m as text, count(*) n from (select doc_id, kind, unnest(regexp_extract_all(t, '(?i)' || pattern)) m from (select doc_id, regexp_replace(text, '[\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}\\x{{400}}-\\x{{4FF}}\\x{{3040}}-\\x{{9FFF}}]', 'q', 'g') t from documents), p) group by all"
+)
+def raw_patterns(spark, sf_dir):
+    """The default patterns and one for numbers in raw texts."""
+    found = extract.regex_entities(table(spark, sf_dir, "documents"), {**extract.PATTERNS, "number": [r"\b[0-9]+(?:\.[0-9]+)?\b"]})
+    return found.groupBy("doc_id", "entity_type", "text").agg(F.count("*").alias("n"))
+
+
+_WIDE = f"{RAW}, wide as (select doc_id, text[greatest(start_pos - 7, 1):end_pos + 3 * (start_pos % 3)] text, 'wide' entity_type, greatest(start_pos - 8, 0) start_pos, least(end_pos + 3 * (start_pos % 3), length(text)) end_pos, 0.5 + (start_pos % 5) / 10 confidence from (select raw.* replace (documents.text as text) from raw join documents using (doc_id)))"
+
+
+@query(
+    f"with recursive {_WIDE}, every as (select distinct doc_id, text, entity_type, start_pos, end_pos, confidence from (select doc_id, text, entity_type, start_pos, end_pos, 0.8 confidence from raw union all select doc_id, text, entity_type, start_pos, end_pos, confidence from wide)), "
+    "o as materialized (select *, row_number() over (partition by doc_id order by start_pos, entity_type, end_pos desc, text, confidence) n from every), "
+    "sweep as (select doc_id, n, n k, end_pos, confidence, null::bigint done from o where n = 1 union all "
+    "select o.doc_id, o.n, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.n else s.k end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.end_pos else s.end_pos end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.confidence else s.confidence end, case when s.end_pos <= o.start_pos then s.k end from sweep s join o on o.doc_id = s.doc_id and o.n = s.n + 1), "
+    "kept as (select doc_id, done n from sweep where done is not null union all select doc_id, arg_max(k, n) from sweep group by doc_id) select doc_id, text, entity_type, start_pos, end_pos, round(confidence, 6) confidence from kept join o using (doc_id, n)"
+)
+def swept_mentions(spark, sf_dir):
+    """The spans that remain of the raw mentions and of wider ones around them, some more and some less confident."""
+    docs = table(spark, sf_dir, "documents")
+    m = raw_mentions(spark, sf_dir).distinct()
+    start, end = F.col("start_pos"), F.col("end_pos")
+    low, more = F.greatest(start - 8, F.lit(0)), 3 * (start % 3)
+    joined = m.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+    wide = joined.select("doc_id", F.substring("body", (low + 1).cast("int"), (end + more - low).cast("int")).alias("text"), F.lit("wide").alias("entity_type"), (0.5 + (start % 5) / 10).alias("confidence"), low.alias("start_pos"), F.least(end + more, F.length("body")).alias("end_pos"))
+    return extract.resolve_overlaps(m.unionByName(wide)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    f"with {RAW} select a.doc_id, a.start_pos a_start_pos, b.start_pos b_start_pos, a.text a_text, b.text b_text, md5(d.text[greatest(a.start_pos - 20, 0) + 1:b.start_pos + length(b.text) + 20]) digest from raw a join raw b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 150 join documents d on d.doc_id = a.doc_id"
+)
+def cooccurrence_evidence(spark, sf_dir):
+    """The text around each pair of mentions at most 150 characters apart."""
+    pairs = extract.cooccurrence(raw_mentions(spark, sf_dir), 150)
+    rows = extract.cooccurrence_evidence(pairs, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "a_start_pos", "b_start_pos", "a_text", "b_text", F.md5("evidence").alias("digest"))
+
+
+_CAPTURED = r"(?i)\b(?:with|from)\b[^\p{L}\p{N}_]+[\p{L}\p{N}_]+[^\p{L}\p{N}_]+(?:this|that|was|are)\b"
+
+
+@query(
+    f"with {RAW}, c as (select doc_id, unnest(regexp_extract_all(text, '{_CAPTURED}')) e from documents), "
+    "w as (select doc_id, e, regexp_extract(e, '^([A-Za-z]+)', 1) l, regexp_extract(e, '([A-Za-z]+)$', 1) r from c), "
+    "f as (select doc_id, lower(text) low, min(start_pos) start_pos from raw group by all) "
+    "select w.doc_id, l as \"left\", r as \"right\", 'near' relation_type, x.start_pos source_pos, y.start_pos target_pos from w join f x on x.doc_id = w.doc_id and x.low = lower(l) join f y on y.doc_id = w.doc_id and y.low = lower(r) where x.start_pos <> y.start_pos"
+)
 def pattern_relations(spark, sf_dir):
     """Relations 'x the y' between captured words that are mentions."""
     docs = table(spark, sf_dir, "documents")
