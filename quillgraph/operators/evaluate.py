@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.runtime import materialise
 
 #: Relative changes that are minor, moderate, severe, critical, by kind of metric.
 THRESHOLDS = {
@@ -29,9 +30,27 @@ def score_answers(answers: DataFrame) -> DataFrame:
 
 
 def suite_summary(results: DataFrame) -> DataFrame:
-    """Overall (null, null), by category and by difficulty: number, pass rate, mean, median, deviation of accuracy."""
+    """Overall (null, null), by category and by difficulty: number, pass rate; mean, median, deviation, least and most of accuracy; mean of the positive confidences and of time.
+
+    ``results`` has category, difficulty, accuracy, passed, and perhaps confidence and seconds. Medians are exact by ``percentiles``; a null category
+    or difficulty is one of its own, told apart from the totals by ``level``.
+    """
     a = F.col("accuracy")
-    return results.groupingSets([[], ["category"], ["difficulty"]], "category", "difficulty").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.round(F.avg(a), 6).alias("mean"), F.round(F.median(a), 6).alias("median"), F.round(F.stddev_samp(a), 6).alias("deviation"), F.min(a).alias("least"), F.max(a).alias("most"))
+    for name in ("confidence", "seconds"):
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast("double"))
+    levels = F.array(*(F.struct(F.lit(level).alias("level"), (F.col("category") if level == "category" else F.lit(None).cast("string")).alias("category"), (F.col("difficulty") if level == "difficulty" else F.lit(None).cast("string")).alias("difficulty")) for level in ("all", "category", "difficulty")))
+    rows = results.select("accuracy", "passed", "confidence", "seconds", F.inline(levels))
+    keys = ["level", "category", "difficulty"]
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.round(F.avg(a), 6).alias("mean"), F.round(F.stddev_samp(a), 6).alias("deviation"),
+        F.min(a).alias("least"), F.max(a).alias("most"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 6).alias("mean_confidence"), F.round(F.avg("seconds"), 6).alias("mean_seconds"),
+    )
+    medians = percentiles(rows, keys, "accuracy", [0.5]).select(*(F.col(k).alias(f"m_{k}") for k in keys), F.round("percentile", 6).alias("median"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"m_{k}"))
+    return sums.join(medians, on, "left").drop(*(f"m_{k}" for k in keys))
 
 
 def success_criteria(summary: DataFrame, criteria: dict[str, tuple[str, float]]) -> DataFrame:
@@ -47,11 +66,16 @@ def run_trend(runs: DataFrame) -> DataFrame:
     return rows.withColumn("change", F.round(change, 6)).withColumn("percent", F.round(F.when(F.col("first") != 0, 100 * change / F.col("first")).otherwise(0.0), 6))
 
 
-def load_summary(requests: DataFrame) -> DataFrame:
-    """Per test: requests, failures, rate, mean, and 95th and 99th percentile (linear) of successful times."""
+def load_summary(requests: DataFrame, method: str = "linear") -> DataFrame:
+    """Per test: requests, failures, rate; mean, least, most, and 95th and 99th percentile of successful times, by either definition of a percentile.
+
+    Percentiles are exact, by ``percentiles``: no test is gathered. A test without a successful request has null times; a null ``ok`` is neither. No rows give no rows.
+    """
     t = F.when(F.col("ok"), F.col("seconds"))
     span = F.greatest(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.lit(1))
-    return requests.groupBy("test").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count("*") / span, 6).alias("rate"), F.round(F.avg(t), 6).alias("mean"), F.round(F.percentile(t, 0.95), 6).alias("p95"), F.round(F.percentile(t, 0.99), 6).alias("p99"))
+    sums = requests.groupBy("test").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count("*") / span, 6).alias("rate"), F.round(F.avg(t), 6).alias("mean"), F.min(t).alias("least"), F.max(t).alias("most"))
+    tails = percentiles(requests.where("ok"), ["test"], "seconds", [0.95, 0.99], method).groupBy(F.col("test").alias("of")).agg(*(F.round(F.max(F.when(F.col("q") == q, F.col("percentile"))), 6).alias(name) for name, q in (("p95", 0.95), ("p99", 0.99))))
+    return sums.join(tails, F.col("test").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def percentile_exclusive(values: Column, q: float) -> Column:
@@ -90,30 +114,70 @@ def endurance(samples: DataFrame, salts: int = 16) -> DataFrame:
     return whole.join(ends, "test").select("test", "memory_slope", F.round("a", 6).alias("first"), F.round("z", 6).alias("last"), (F.col("z") > 1.2 * F.col("a")).alias("leak"), "stability")
 
 
-def percentiles_exclusive(df: DataFrame, key: str, value: str, q: float, parts: int = 1000) -> DataFrame:
-    """(key, percentile) as ``percentile_exclusive`` of all values of a key, without gathering them.
+#: Ranks of the sketch's brackets: a sketch of this accuracy is right to one row in so many.
+ACCURACY = 10_000
+BROADCAST_KEYS = 100_000
+
 
-    A key's range is cut into parts; their counts tell in which ones the two order statistics lie, and only the distinct values of these,
-    with their counts, are put in order. Null values are left out; a key without values has no row.
+def order_positions(method: str, q: Column, n: Column) -> Column:
+    """The place, from 1 to n and perhaps between two ranks, of a quantile among n sorted values.
+
+    ``linear`` is 1 + (n - 1) q, ``exclusive`` q (n + 1) within the ends, ``nearest`` the rank floor(q n) + 1.
+    """
+    if method == "linear":
+        return 1 + (n - 1) * q
+    if method == "exclusive":
+        return F.greatest(F.lit(1.0), F.least(q * (n + 1), n.cast("double")))
+    if method == "nearest":
+        return F.least(F.floor(q * n) + 1, n).cast("double")
+    raise ValueError(f"no such method: {method}")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, quantiles: list[float], method: str = "linear", accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, q, percentile): exact quantiles of the values of each key, without gathering a key's values anywhere.
+
+    A mergeable sketch gives two values between which the wanted ranks lie, whatever the values' scale. What is below the bracket is counted;
+    within it, about two rows in ``accuracy``, distinct values are counted and put in order. If the counts show that a
+    bracket missed its ranks, that key is done again over all of its distinct values. Null values are left out, null keys are a key, a key without
+    values has no row.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
-    ends = rows.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    place = F.greatest(F.lit(1.0), F.least(F.lit(q) * (F.col("n") + 1), F.col("n").cast("double")))
-    ends = ends.select(F.col("k").alias("k2"), "low", "high", "n", place.alias("place"))
-    part = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * parts), F.lit(parts - 1))).otherwise(F.lit(0))
-    counted = rows.join(ends, F.col("k").eqNullSafe(F.col("k2"))).withColumn("part", part)
-    sizes = counted.groupBy("k", "part").agg(F.count("*").alias("size"), F.first("place").alias("place"), F.first("n").alias("n"))
-    upto = F.sum("size").over(Window.partitionBy("k").orderBy("part"))
-    below = F.floor("place")
-    wanted = sizes.withColumn("before", upto - F.col("size")).where((F.col("before") < F.least(below + 1, "n")) & (F.col("before") + F.col("size") >= below))
-    wanted = wanted.select(F.col("k").alias("k3"), F.col("part").alias("part3"), "before")
-    near = counted.join(wanted, F.col("k").eqNullSafe(F.col("k3")) & (F.col("part") == F.col("part3")))
-    values = near.groupBy("k", "part", "v").agg(F.count("*").alias("times"), F.first("before").alias("before"), F.first("place").alias("place"), F.first("n").alias("n"))
-    last = F.col("before") + F.sum("times").over(Window.partitionBy("k", "part").orderBy("v"))
-    values = values.withColumn("last", last).withColumn("first", F.col("last") - F.col("times") + 1)
-    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
-    a, b = at(below), at(F.least(below + 1, "n"))
-    return values.groupBy(F.col("k").alias(key)).agg((a + (F.max("place") - F.max(below)) * (b - a)).alias("percentile"))
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    marks = [m for q in quantiles for m in (max(q - 4 / accuracy, 0.0), min(q + 4 / accuracy, 1.0))]
+    sketch = rows.groupBy(*named).agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_m"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    wanted = F.array(*(F.struct(F.lit(q).alias("q"), F.get("_m", F.lit(2 * i)).alias("low"), F.get("_m", F.lit(2 * i + 1)).alias("high")) for i, q in enumerate(quantiles)))
+    brackets = materialise(sketch.select(*(F.col(n).alias(f"_b{n}") for n in named), "_n", "_least", "_most", F.inline(wanted)), "quantile-brackets")
+
+    def found(brackets: DataFrame) -> DataFrame:
+        on = F.lit(True)
+        for n in named:
+            on = on & F.col(n).eqNullSafe(F.col(f"_b{n}"))
+        side = F.broadcast(brackets) if brackets.count() <= BROADCAST_KEYS else brackets
+        joined = rows.join(side, on).where("_v <= high") if named else rows.crossJoin(side).where("_v <= high")  # without keys, a row for each quantile
+        # what lies below is one value of its own
+        counted = joined.groupBy(*named, "q", "_n", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("times"))
+        upto = F.sum("times").over(Window.partitionBy(*named, "q").orderBy(F.col("_v").asc_nulls_first()))
+        counted = counted.withColumn("last", upto).withColumn("first", upto - F.col("times") + 1).withColumn("place", order_positions(method, F.col("q"), F.col("_n")))
+        below = F.floor("place")
+        at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("_v")))
+        ends = counted.groupBy(*named, "q").agg(at(below).alias("a"), at(F.least(below + 1, F.col("_n"))).alias("b"), (F.max("place") - F.max(below)).alias("part"))
+        exact = F.when(F.col("part") > 0, F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).otherwise(F.col("a"))
+        return ends.select(*named, "q", exact.alias("percentile"))
+
+    first = materialise(found(brackets), "quantiles")
+    again = first.where("percentile is null").select(*(F.col(n).alias(f"_c{n}") for n in named), F.col("q").alias("_cq"))
+    if not again.isEmpty():
+        on = F.col("q") == F.col("_cq")
+        for n in named:
+            on = on & F.col(f"_b{n}").eqNullSafe(F.col(f"_c{n}"))
+        whole = brackets.join(again, on, "left_semi").withColumn("low", F.col("_least")).withColumn("high", F.col("_most"))
+        first = first.where("percentile is not null").unionByName(found(materialise(whole, "quantile-brackets")))
+    return first.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), "q", "percentile")
+
+
+def percentiles_exclusive(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """(key, percentile) as ``percentile_exclusive`` of all values of a key, without gathering them. Null values are left out; a key without values has no row."""
+    return percentiles(df, [key], value, [q], "exclusive").select(key, "percentile")
 
 
 def compare_operations(current: DataFrame, baseline: DataFrame, limit: float = 0.2) -> DataFrame:
@@ -193,8 +257,8 @@ def benchmark_rollup(metrics: DataFrame) -> DataFrame:
 
 
 def expected_metrics(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, ok): values against bounds such as ``>=0.9``; a metric without a value fails."""
-    op, bound = F.regexp_extract("bound", r"^(>=|<=|>|<)?", 1), F.regexp_replace("bound", r"^(>=|<=|>|<)", "").cast("double")
+    """(name, ok): values against bounds such as ``>=0.9``; a metric without a value, or a bound that is no number, fails."""
+    op, bound = F.regexp_extract("bound", r"^(>=|<=|>|<)?", 1), F.regexp_replace("bound", r"^(>=|<=|>|<)", "").try_cast("double")
     v = F.col("value")
     ok = F.when(op == ">=", v >= bound).when(op == "<=", v <= bound).when(op == ">", v > bound).when(op == "<", v < bound).otherwise(v == bound)
     return expected.join(actual, "name", "left").select("name", F.coalesce(ok, F.lit(False)).alias("ok"))

@@ -240,9 +240,12 @@ def score_answers(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", "keyword_share", "concept_share", "accuracy", "passed")
 
 
-@query(f"with {_ANSWERS} select category, difficulty, count(*) n, round(avg((accuracy >= 0.6 and conf >= 0.1 and n > 50)::int), 6) pass_rate, round(avg(accuracy), 6) mean, round(median(accuracy), 6) median, round(stddev_samp(accuracy), 6) deviation, min(accuracy) least, max(accuracy) most from ans group by grouping sets ((), (category), (difficulty))")
+@query(
+    f"with {_ANSWERS} select case when grouping(category) = 0 then 'category' when grouping(difficulty) = 0 then 'difficulty' else 'all' end as level, category, difficulty, count(*) n, round(avg((accuracy >= 0.6 and conf >= 0.1 and n > 50)::int), 6) pass_rate, "
+    "round(avg(accuracy), 6) mean, round(median(accuracy), 6) median, round(stddev_samp(accuracy), 6) deviation, min(accuracy) least, max(accuracy) most, round(avg(conf) filter (conf > 0), 6) mean_confidence, round(avg(turn + 0.5), 6) mean_seconds from ans group by grouping sets ((), (category), (difficulty))"
+)
 def suite_summary(spark, sf_dir):
-    return evaluate.suite_summary(_answers(spark, sf_dir))
+    return evaluate.suite_summary(_answers(spark, sf_dir).withColumn("seconds", F.col("turn") + 0.5))
 
 
 @query(f"with {_ANSWERS}, s as (select avg((accuracy >= 0.6 and conf >= 0.1 and n > 50)::int) pass_rate, avg(accuracy) mean from ans) select 'pass_rate' criterion, round(pass_rate, 6) as value, pass_rate >= 0.5 ok from s union all select 'mean', round(mean, 6), mean <= 0.9 from s")

@@ -202,7 +202,7 @@ def run_trend(spark, sf_dir):
     return evaluate.run_trend(_runs(spark, sf_dir)).withColumns({"first": F.round("first", 6), "last": F.round("last", 6)})
 
 
-@query("select event_type test, count(*) n, count_if(user_id % 9 = 0)::bigint failed, round(count(*) / greatest(max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000), 1), 6) rate, round(avg(value) filter (user_id % 9 > 0), 6) mean, round(quantile_cont(value, 0.95) filter (user_id % 9 > 0), 6) p95, round(quantile_cont(value, 0.99) filter (user_id % 9 > 0), 6) p99 from events group by 1")
+@query("select event_type test, count(*) n, count_if(user_id % 9 = 0)::bigint failed, round(count(*) / greatest(max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000), 1), 6) rate, round(avg(value) filter (user_id % 9 > 0), 6) mean, min(value) filter (user_id % 9 > 0) least, max(value) filter (user_id % 9 > 0) most, round(quantile_cont(value, 0.95) filter (user_id % 9 > 0), 6) p95, round(quantile_cont(value, 0.99) filter (user_id % 9 > 0), 6) p99 from events group by 1")
 def load_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("test"), "ts", (F.col("user_id") % 9 > 0).alias("ok"), F.col("value").alias("seconds"))
     return evaluate.load_summary(rows)
@@ -214,6 +214,13 @@ def percentile_exclusive(spark, sf_dir):
     return rows.select("event_type", F.round("percentile", 6).alias("p95"))
 
 
+@query("select user_id, q, round(percentile, 6) percentile from (select user_id, unnest([0.0, 0.5, 0.9]) q, unnest([quantile_cont(x, 0.0), quantile_cont(x, 0.5), quantile_cont(x, 0.9)]) percentile from (select user_id % 7 user_id, case when event_id % 997 = 0 then value * 1e9 else value end x from events) group by user_id)")
+def heavy_percentiles(spark, sf_dir):
+    """Few keys, some values a thousand million times as large as the others."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("user_id"), F.when(F.col("event_id") % 997 == 0, F.col("value") * 1e9).otherwise(F.col("value")).alias("x"))
+    return evaluate.percentiles(e, ["user_id"], "x", [0.0, 0.5, 0.9]).withColumn("percentile", F.round("percentile", 6))
+
+
 _LEVELS = "lv as (select l_linenumber users, avg(l_quantity::double) + l_linenumber as seconds, l_linenumber < 5 stable from lineitem group by l_linenumber)"
 
 
