@@ -64,10 +64,13 @@ def enhanced_confidence(base: Column, entity: Column, relation: Column, n_docs:
 
 
 def citation_mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, number, first_pos): ``[n]`` markers by their first appearance."""
+    """(id, number, first_pos): ``[n]`` markers by their first appearance; places count markers.
+
+    A number too large for a source (beyond an int) is no marker, though it keeps its place. Null texts have none, no rows give no rows.
+    """
     found = F.regexp_extract_all(F.col(text_col), F.lit(r"\[([0-9]+)\]"), 1)
-    rows = df.select(id_col, F.posexplode(found).alias("pos", "number"))
-    return rows.groupBy(id_col, F.col("number").cast("int").alias("number")).agg(F.min("pos").cast("long").alias("first_pos"))
+    rows = df.select(id_col, F.posexplode(found).alias("pos", "number")).withColumn("number", F.col("number").try_cast("int"))
+    return rows.where("number is not null").groupBy(id_col, "number").agg(F.min("pos").cast("long").alias("first_pos"))
 
 
 def collapse_ranges(numbers: DataFrame, id_col: str) -> DataFrame:
@@ -104,12 +107,21 @@ def citation_link(col: Column) -> Column:
     )
 
 
-def _numbers(text: str) -> list[int]:
+#: Most numbers of a range, and most digits of a number, that are spelt out; what is beyond stays as it is written.
+RANGE, DIGITS = 1000, 9
+#: What begins a list of sources at the end of an answer.
+SOURCE_LISTS = ("Sources:", "\n\nSource:", "References:")
+
+
+def _numbers(text: str) -> list[int] | None:
+    """The numbers of ``3,8,9-12``; None if one of them is too long, or a range runs backwards or too far."""
     out: list[int] = []
     for part in text.replace(" ", "").strip(",").split(","):
         low, _, high = part.partition("-")
-        if low.isdigit():
-            out += range(int(low), int(high if high.isdigit() else low) + 1)
+        high = high or low
+        if not (low.isdecimal() and high.isdecimal()) or max(len(low), len(high)) > DIGITS or not 0 <= int(high) - int(low) < RANGE:
+            return None
+        out += range(int(low), int(high) + 1)
     return out
 
 
@@ -117,20 +129,28 @@ def _expand(texts: pd.Series) -> pd.Series:
     many = re.compile(r"Sources? (\d+(?:\s*(?:, and|,|-|and)\s*\d+)+)")
     bracket = re.compile(r"\[(\d+(?:\s*(?:, and|,|-|and)\s*\d+)+)\]")
 
+    def spelt(form: str):
+        def replace(m: re.Match) -> str:
+            numbers = _numbers(re.sub(r",?\s*and\s*", ",", m[1]))
+            return m[0] if numbers is None else ", ".join(form.format(n) for n in numbers)
+
+        return replace
+
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        for end in ("Sources:", "\n\nSource:", "References:"):
+        for end in SOURCE_LISTS:
             text = text.split(end)[0].strip()
-        plain = lambda m: re.sub(r",?\s*and\s*", ",", m[1])
-        text = many.sub(lambda m: ", ".join(f"Source {n}" for n in _numbers(plain(m))), text)
-        return bracket.sub(lambda m: ", ".join(f"[{n}]" for n in _numbers(plain(m))), text)
+        return bracket.sub(spelt("[{}]"), many.sub(spelt("Source {}"), text))
 
     return texts.map(one)
 
 
 def expand_citations(text: Column) -> Column:
-    """``Sources 3, 8 and 9``, ``Sources 9-12`` and ``[3, 4, 5]`` as single markers; trailing source lists are cut."""
+    """``Sources 3, 8 and 9``, ``Sources 9-12`` and ``[3, 4, 5]`` as single markers; trailing source lists are cut.
+
+    Numbers of more than ``DIGITS`` digits, ranges of more than ``RANGE`` numbers and ranges that run backwards stay as they are. Null stays null.
+    """
     return F.pandas_udf(_expand, "string")(text)
 
 
@@ -153,13 +173,52 @@ def normalize_citations(text: Column) -> Column:
 
 
 def parse_web_citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``[n]: source (Confidence: x)`` lines as rows; confidence 0.8 where none is given."""
+    """``[n]: source (Confidence: x)`` lines as rows; confidence 0.8 where none, or none that can be read, is given.
+
+    Lines whose number is beyond an int are left out; null texts have no lines, no rows give no rows.
+    """
     lines = df.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))
     found = lines.where(F.col("line").rlike(r"^\s*\[[0-9]+\]:"))
-    x = F.regexp_extract("line", r"(?i)\(confidence: *([0-9.]+)\)", 1)
+    x = F.regexp_extract("line", r"(?i)\(confidence: *([0-9.]+)\)", 1).try_cast("double")
     source = F.trim(F.regexp_replace(F.regexp_extract("line", r"^\s*\[[0-9]+\]:\s*(.*)$", 1), r"(?i)\(confidence: *[0-9.]+\)", ""))
-    rows = found.select(id_col, F.regexp_extract("line", r"\[([0-9]+)\]", 1).cast("int").alias("number"), source.alias("source"), F.when(x != "", x.cast("double")).otherwise(0.8).alias("confidence"))
-    return rows.withColumn("is_url", F.col("source").rlike("^https?://"))
+    rows = found.select(id_col, F.regexp_extract("line", r"\[([0-9]+)\]", 1).try_cast("int").alias("number"), source.alias("source"), F.coalesce(x, F.lit(0.8)).alias("confidence"))
+    return rows.where("number is not null").withColumn("is_url", F.col("source").rlike("^https?://"))
+
+
+#: How a text states the confidence of the references that follow, or on which it is based; how it names a source within the text, and a score.
+INLINE_SCORE = r"(?i)confidence score:\s*([0-9.]+)(?:\s*\)\s*((?:\[\d+\]\s*)+)|\s+based on\s+(\[\d+\]))"
+SOURCE_MARK = r"\[Source: ([^\]]+)\]"
+PLAIN_SCORE = r"\(([0-9]+\.?[0-9]*)\)"
+
+
+def inline_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, number, confidence): scores that a text states for references, ``confidence score: x) [n] [m]`` or ``confidence score: x based on [n]``.
+
+    Of several scores of a reference the first counts. Scores that are no numbers, and numbers beyond an int, are left out.
+    """
+    spots = df.select(id_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(INLINE_SCORE), F.lit(0))).alias("place", "spot"))
+    scored = spots.select(id_col, "place", F.regexp_extract("spot", r"(?i)score:\s*([0-9.]+)", 1).try_cast("double").alias("confidence"), F.explode(F.regexp_extract_all("spot", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("number"))
+    scored = scored.withColumn("number", F.col("number").try_cast("int")).where("confidence is not null and number is not null")
+    return scored.groupBy(id_col, "number").agg(F.min_by("confidence", F.struct("place", "confidence")).alias("confidence"))
+
+
+def scored_references(references: DataFrame, scores: DataFrame, id_col: str) -> DataFrame:
+    """``references`` (id, number, source) with their inline ``confidence`` (null: none) and the ``section`` they belong to: References or Further Reading."""
+    rows = references.join(scores.select(id_col, "number", "confidence"), [id_col, "number"], "left")
+    return rows.withColumn("section", F.when(F.col("confidence").isNotNull(), "References").otherwise("Further Reading"))
+
+
+def number_source_marks(text: Column) -> Column:
+    """(text, sources, confidence): ``[Source: x]`` marks as ``[1]``, ``[2]`` and so on, in the order of the text, with what they name.
+
+    ``confidence`` is the mean of the scores in parentheses from 0 to 1, 0.7 without any. Null stays null.
+    """
+    sources = F.regexp_extract_all(text, F.lit(SOURCE_MARK), F.lit(1))
+    between = F.split(text, SOURCE_MARK, -1)
+    pieces = F.transform(between, lambda part, k: F.when(k == 0, part).otherwise(F.concat(F.lit("["), k.cast("string"), F.lit("]"), part)))
+    scores = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PLAIN_SCORE), F.lit(1)), lambda x: x.try_cast("double")), lambda x: x.between(0, 1))
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(scores), F.lit(1))).otherwise(0.7)
+    return F.when(text.isNotNull(), F.struct(F.array_join(pieces, "").alias("text"), sources.alias("sources"), mean.alias("confidence")))
 
 
 def citation_locations(evidence: DataFrame) -> DataFrame:
@@ -180,8 +239,41 @@ def extract_citations(docs: DataFrame, entities: DataFrame, relations: DataFrame
 
 
 def citation_statistics(citations: DataFrame) -> DataFrame:
+    """Per question: citations, how many are sure, likely and neither, mean, best and worst confidence, and how many have pages, authors, a DOI.
+
+    Columns of details that are not there count as absent ones; null confidences are in no band. No rows give no rows.
+    """
     c = F.col("confidence")
-    return citations.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("best"), F.min(c).alias("worst"))
+    has = lambda name: F.count_if(F.size(name) > 0) if name in citations.columns else F.lit(0).cast("long")
+    doi = F.count_if(F.coalesce("doi", F.lit("")) != "") if "doi" in citations.columns else F.lit(0).cast("long")
+    return citations.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("best"), F.min(c).alias("worst"),
+        has("pages").alias("with_pages"), has("authors").alias("with_authors"), doi.alias("with_doi"),
+    )
+
+
+def citation_line(citations: DataFrame, most_authors: int = 3, longest: int = 100) -> Column:
+    """One citation in a line: authors (at most ``most_authors``, then et al.), year, title, journal, DOI, pages, file and level of confidence.
+
+    What a row doesn't have is left out; columns that are not there count as null. Titles are cut at ``longest`` characters.
+    """
+    col = lambda name, kind: F.col(name) if name in citations.columns else F.lit(None).cast(kind)
+    authors, pages, title = col("authors", "array<string>"), col("pages", "array<int>"), col("title", "string")
+    named = F.when(F.size(authors) > most_authors, F.concat(F.array_join(F.slice(authors, 1, most_authors), ", "), F.lit(", et al."))).when(F.size(authors) > 0, F.array_join(authors, ", "))
+    short = F.when(F.length(title) > longest, F.concat(F.substring(title, 1, longest), F.lit("..."))).otherwise(title)
+    place = F.when(F.size(pages) == 1, F.concat(F.lit("p. "), F.get(pages, F.lit(0)).cast("string"))).when(F.size(pages) > 1, F.concat(F.lit("pp. "), F.get(pages, F.lit(0)).cast("string"), F.lit("-"), F.get(pages, F.size(pages) - 1).cast("string")))
+    some = lambda value, before="", after="": F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value, F.lit(after)))
+    return F.concat_ws(". ", named, some(col("year", "int").cast("string"), "(", ")"), some(short, "*", "*"), some(col("journal", "string"), "*", "*"), some(col("doi", "string"), "DOI: "), place, some(F.regexp_extract("doc", r"([^/]*)$", 1), "(", ")"), F.concat(F.lit("[Confidence: "), T.confidence_level(F.col("confidence")), F.lit("]")))
+
+
+def full_bibliography(citations: DataFrame) -> DataFrame:
+    """(query_id, section, place, line): every citation's line under its section (1 primary, 2 supporting, 3 additional), the surest first, numbered over all sections.
+
+    Rows, not one text: a question with very many citations stays many rows. ``place`` is within a question. Ties are in order of documents.
+    """
+    section = F.when(F.col("confidence") >= 0.8, 1).when(F.col("confidence") >= 0.6, 2).otherwise(3)
+    order = Window.partitionBy("query_id").orderBy(F.col("confidence").desc(), "doc")
+    return citations.select("query_id", section.alias("section"), F.row_number().over(order).alias("place"), citation_line(citations).alias("line"))
 
 
 def render_bibliography(citations: DataFrame) -> DataFrame:
@@ -226,6 +318,45 @@ def combine_responses(kb: DataFrame, web: DataFrame) -> DataFrame:
     return rows.select("query_id", "strategy", F.round(confidence, 6).alias("confidence"), F.round(F.greatest("qa", "qb"), 6).alias("quality"))
 
 
+#: Headings of fused answers, and what an answer says if no source has one.
+ADDITIONAL, KNOWLEDGE_BASE, CURRENT = "**Additional Context:**", "**Knowledge Base Context:**", "**Current Information:**"
+KNOWLEDGE_RESPONSE = "**Knowledge Base Response:**"
+NO_RESPONSE = "No response is available from any source."
+
+
+def fuse_responses(queries: DataFrame, kb: DataFrame, web: DataFrame) -> DataFrame:
+    """(query_id, strategy, content, bibliography, confidence, quality, seconds, n_citations, sources) for every query.
+
+    ``kb`` and ``web`` have query_id, content, bibliography, quality, confidence, seconds, n_citations, a row for each query at most. The strategy is that of ``combine_responses``. A primary
+    answer is followed by the other one if that is better than 0.5; two good ones stand in sections; else the better one is followed by the first 200
+    characters of the other if that is better than 0.4. Bibliographies, times and citations add up. A missing side leaves the other as it is; without
+    both there is a row of an error with confidence 0. Null texts are empty.
+    """
+    side = lambda df, c: df.select("query_id", F.struct(F.coalesce("content", F.lit("")).alias("content"), F.coalesce("bibliography", F.lit("")).alias("bibliography"), "quality", "confidence", "seconds", "n_citations").alias(c))
+    decided = combine_responses(kb, web).select("query_id", "strategy", "confidence")
+    rows = queries.select("query_id").distinct().join(decided, "query_id", "left").join(side(kb, "a"), "query_id", "left").join(side(web, "b"), "query_id", "left")
+    s, a, b = F.coalesce("strategy", F.lit("none")), F.col("a"), F.col("b")
+    web_first = (s == "web_primary") | ((s == "quality") & (b["quality"] > a["quality"]))
+    first, second = F.when(web_first, b).otherwise(a), F.when(web_first, a).otherwise(b)
+    more = lambda heading, text: F.concat(F.lit(f"\n\n{heading}\n"), text)
+    nothing = F.lit("")
+    content = (
+        F.when(s == "none", NO_RESPONSE).when(s == "kb_only", a["content"]).when(s == "web_only", b["content"])
+        .when(s == "kb_primary", F.concat(a["content"], F.when(b["quality"] > 0.5, more(ADDITIONAL, b["content"])).otherwise(nothing)))
+        .when(s == "web_primary", F.concat(b["content"], F.when(a["quality"] > 0.5, more(KNOWLEDGE_BASE, a["content"])).otherwise(nothing)))
+        .when(s == "parallel", F.concat(F.lit(f"{KNOWLEDGE_RESPONSE}\n"), a["content"], more(CURRENT, b["content"])))
+        .otherwise(F.concat(first["content"], F.when(second["quality"] > 0.4, more(ADDITIONAL, F.concat(F.substring(second["content"], 1, 200), F.lit("...")))).otherwise(nothing)))
+    )
+    lists = F.filter(F.array(first["bibliography"], second["bibliography"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    quality = (
+        F.when(s.isin("kb_primary", "web_primary"), 0.7 * first["quality"] + 0.3 * second["quality"]).when(s == "parallel", (a["quality"] + b["quality"]) / 2)
+        .when(s == "kb_only", a["quality"]).when(s == "web_only", b["quality"]).when(s == "quality", first["quality"]).otherwise(0.0)
+    )
+    both = lambda c: F.coalesce(a[c], F.lit(0)) + F.coalesce(b[c], F.lit(0))
+    sources = F.array_compact(F.array(F.when(first.isNotNull(), F.when(web_first, "web").otherwise("kb")), F.when(second.isNotNull(), F.when(web_first, "kb").otherwise("web"))))
+    return rows.select("query_id", s.alias("strategy"), content.alias("content"), F.array_join(lists, "\n").alias("bibliography"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.round(quality, 6).alias("quality"), F.round(both("seconds"), 6).alias("seconds"), both("n_citations").cast("long").alias("n_citations"), F.array_join(sources, ",").alias("sources"))
+
+
 def select_best(responses: DataFrame) -> DataFrame:
     """The answer with the largest 0.6 quality + 0.4 confidence; ties by source."""
     w = Window.partitionBy("query_id").orderBy((0.6 * F.col("quality") + 0.4 * F.col("confidence")).desc(), "source")
@@ -233,9 +364,18 @@ def select_best(responses: DataFrame) -> DataFrame:
 
 
 def merge_n_responses(responses: DataFrame) -> DataFrame:
-    """Any number of answers in one: sections by source, mean confidence, summed time."""
+    """Any number of answers of a question in one: sections by source, mean confidence, summed time, and metadata under names with their source before them.
+
+    A question has few sources. Without a column ``metadata`` (a map) there is none in the result; of rows that repeat a source and a name the largest value counts.
+    """
     parts = F.transform(F.array_sort(F.collect_list(F.struct("source", "content"))), lambda x: F.concat(F.lit("## "), x["source"], F.lit("\n"), x["content"]))
-    return responses.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("content"), F.round(F.avg("confidence"), 2).alias("confidence"), F.round(F.sum("seconds"), 6).alias("seconds"))
+    merged = responses.groupBy("query_id").agg(F.array_join(parts, "\n\n").alias("content"), F.round(F.avg("confidence"), 2).alias("confidence"), F.round(F.sum("seconds"), 6).alias("seconds"))
+    if "metadata" not in responses.columns:
+        return merged
+    named = responses.select("query_id", F.lower("source").alias("source"), F.explode("metadata").alias("name", "value"))
+    named = named.groupBy("query_id", F.concat_ws("_", "source", "name").alias("name")).agg(F.max("value").alias("value"))
+    maps = named.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("metadata"))
+    return merged.join(maps, "query_id", "left")
 
 
 def parse_classification(df: DataFrame, id_col: str, json_col: str, query_col: str) -> DataFrame:

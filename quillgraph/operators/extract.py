@@ -140,15 +140,27 @@ def regex_entities(docs: DataFrame, patterns: Mapping[str, Sequence[str]] = PATT
     return _scan(docs, lambda: find, MENTION, id_col, text_col)
 
 
-def token_entities(docs: DataFrame, token_types: Mapping[str, Sequence[str]], confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lower-case tokens found in the per-type lists; places count tokens. Built from joins only."""
-    rows = [(t.lower(), kind) for kind, ts in token_types.items() for t in ts]
-    table = docs.sparkSession.createDataFrame(rows, "token string, entity_type string")
+#: Largest table of terms that is broadcast; beyond it the join shuffles.
+BROADCAST_TERMS = 200_000
+
+
+def token_mentions(docs: DataFrame, terms: DataFrame, confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lower-case tokens that are in ``terms`` (token, entity_type), a table of any size; places count tokens. Built from joins only.
+
+    A token of several types is found for each; null and empty texts hold none.
+    """
+    few = terms.count() <= BROADCAST_TERMS
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(text_col), r"[^a-z0-9]+")).alias("pos", "token"))
-    found = split.join(F.broadcast(table), "token")
+    found = split.join(F.broadcast(terms) if few else terms, "token")
     return found.select("doc_id", F.col("token").alias("text"), "entity_type", F.lit(confidence).alias("confidence"), F.col("pos").cast("long").alias("start_pos"), (F.col("pos") + 1).cast("long").alias("end_pos"))
 
 
+def token_entities(docs: DataFrame, token_types: Mapping[str, Sequence[str]], confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``token_mentions`` of lists by type."""
+    rows = [(t.lower(), kind) for kind, ts in token_types.items() for t in ts]
+    return token_mentions(docs, docs.sparkSession.createDataFrame(rows, "token string, entity_type string"), confidence, id_col, text_col)
+
+
 def resolve_overlaps(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Left to right, an overlapping mention replaces the kept one only if it is strictly more confident.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.runtime import materialise
 
 NONE = "map<string,string>"
 
@@ -33,6 +34,11 @@ class Graph:
     properties: DataFrame
 
 
+def stored(graph: Graph) -> Graph:
+    """The same graph as written tables, for those who read it several times."""
+    return Graph(*(materialise(getattr(graph, f.name), f"graph-{f.name}") for f in fields(Graph)))
+
+
 def _with_map(df: DataFrame) -> DataFrame:
     return df if "properties" in df.columns else df.withColumn("properties", F.lit(None).cast(NONE))
 

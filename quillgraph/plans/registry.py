@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus to graph to the best nodes for each benchmark question."""
-    return QUERIES["semantic_search"](spark, sf_dir)
+    """All documents to a graph, and all benchmark questions to answers from it: search, traversal, evidence, confidence."""
+    return QUERIES["answered_questions"](spark, sf_dir)
 
 
-from quillgraph.plans import corpus_queries, graph_queries, graphset_queries, score_queries, telemetry_queries  # noqa: E402, F401
+from quillgraph.plans import answer_queries, corpus_queries, graph_queries, graphset_queries, score_queries, telemetry_queries  # noqa: E402, F401

@@ -146,7 +146,7 @@ def normalize_citations(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(confidence.normalize_citations(text)).alias("digest"))
 
 
-@query(f"with {_EVIDENCE}, {_CONF} select query_id, count(*) n, count_if(confidence >= 0.8)::bigint high, count_if(confidence >= 0.6 and confidence < 0.8)::bigint medium, count_if(confidence < 0.6)::bigint low, round(avg(confidence), 6) mean, max(confidence) best, min(confidence) worst from conf group by 1")
+@query(f"with {_EVIDENCE}, {_CONF} select query_id, count(*) n, count_if(confidence >= 0.8)::bigint high, count_if(confidence >= 0.6 and confidence < 0.8)::bigint medium, count_if(confidence < 0.6)::bigint low, round(avg(confidence), 6) mean, max(confidence) best, min(confidence) worst, 0::bigint with_pages, 0::bigint with_authors, 0::bigint with_doi from conf group by 1")
 def citation_statistics(spark, sf_dir):
     return confidence.citation_statistics(confidence.document_confidence(*_evidence(spark, sf_dir)))
 
@@ -157,6 +157,66 @@ def render_bibliography(spark, sf_dir):
     return confidence.render_bibliography(rows)
 
 
+_DETAILS = "det as (select *, 2000 + split_part(doc, '_', 2)::int % 25 as year, 'Study ' || repeat(split_part(doc, '_', 2) || ' ', 1 + n_references % 9 * 5) title, list_transform(range(n_references % 5), lambda i: 'Author ' || i) authors, case when n_references % 3 > 0 then list_transform(range(n_references % 3), lambda i: (10 + i)::int) end pages, case when n_references % 2 = 0 then 'Journal ' || n_references end journal, case when n_references % 4 = 1 then '10.1/' || n_references end doi from conf)"
+
+
+def _details(spark, sf_dir):
+    n = F.col("n_references")
+    number = F.split_part("doc", F.lit("_"), F.lit(2))
+    numbered = lambda count, item: F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count, F.lit(1)) - 1), item))
+    rows = confidence.document_confidence(*_evidence(spark, sf_dir))
+    return rows.withColumns({
+        "year": (2000 + number.cast("int") % 25), "title": F.concat(F.lit("Study "), F.repeat(F.concat(number, F.lit(" ")), (1 + n % 9 * 5).cast("int"))),
+        "authors": numbered(n % 5, lambda i: F.concat(F.lit("Author "), i.cast("string"))), "pages": numbered(n % 3, lambda i: (10 + i).cast("int")),
+        "journal": F.when(n % 2 == 0, F.concat(F.lit("Journal "), n.cast("string"))), "doi": F.when(n % 4 == 1, F.concat(F.lit("10.1/"), n.cast("string"))),
+    })
+
+
+@query(
+    f"with {_EVIDENCE}, {_CONF}, {_DETAILS} select query_id, case when confidence >= 0.8 then 1 when confidence >= 0.6 then 2 else 3 end as section, row_number() over (partition by query_id order by confidence desc, doc)::int place, "
+    "concat_ws('. ', case when len(authors) > 3 then array_to_string(authors[1:3], ', ') || ', et al.' when len(authors) > 0 then array_to_string(authors, ', ') end, '(' || year || ')', '*' || case when length(title) > 100 then title[1:100] || '...' else title end || '*', '*' || journal || '*', 'DOI: ' || doi, "
+    "case when len(pages) = 1 then 'p. ' || pages[1] when len(pages) > 1 then 'pp. ' || pages[1] || '-' || pages[-1] end, '(' || doc || ')', '[Confidence: ' || case when confidence >= 0.8 then 'High' when confidence >= 0.6 then 'Medium' when confidence >= 0.4 then 'Low' else 'Very Low' end || ']') line from det"
+)
+def full_bibliography(spark, sf_dir):
+    """Full lines: authors, year, title, journal, DOI, pages, file, level."""
+    return confidence.full_bibliography(_details(spark, sf_dir))
+
+
+@query(f"with {_EVIDENCE}, {_CONF}, {_DETAILS} select query_id, count(*) n, count_if(len(pages) > 0)::bigint with_pages, count_if(len(authors) > 0)::bigint with_authors, count_if(doi is not null)::bigint with_doi from det group by 1")
+def citation_details(spark, sf_dir):
+    return confidence.citation_statistics(_details(spark, sf_dir)).select("query_id", "n", "with_pages", "with_authors", "with_doi")
+
+
+_SPOKEN = "'Fact one (confidence score: 0.' || o_orderkey % 10 || ') [1] [2] and two, Confidence score: 0.5 based on [' || o_orderkey % 5 || '] (confidence score: 1.2.3) [3] ' || case when o_orderkey % 3 = 0 then '(confidence score: 0.9) [1]' else '[Source: book ' || o_orderkey || '] x (0.25) [Source: two] (7) (0.75)' end"
+
+
+def _spoken(spark, sf_dir):
+    o = F.col("o_orderkey")
+    tail = F.when(o % 3 == 0, F.lit("(confidence score: 0.9) [1]")).otherwise(F.concat(F.lit("[Source: book "), o.cast("string"), F.lit("] x (0.25) [Source: two] (7) (0.75)")))
+    text = F.concat(F.lit("Fact one (confidence score: 0."), (o % 10).cast("string"), F.lit(") [1] [2] and two, Confidence score: 0.5 based on ["), (o % 5).cast("string"), F.lit("] (confidence score: 1.2.3) [3] "), tail)
+    return table(spark, sf_dir, "orders").select(o.alias("id"), text.alias("t"))
+
+
+@query(
+    "with s as (select o_orderkey id, 1 as number, 1 p, (o_orderkey % 10) / 10 x from orders union all select o_orderkey, 2, 1, (o_orderkey % 10) / 10 from orders union all select o_orderkey, (o_orderkey % 5)::int, 2, 0.5 from orders union all select o_orderkey, 1, 3, 0.9 from orders where o_orderkey % 3 = 0), "
+    "f as (select id, number, arg_min(x, p)::double confidence from s group by all), r as (select o_orderkey id, unnest([1, 2, 3, 4])::int as number from orders) "
+    "select id, number, 'ref ' || number as source, round(confidence, 6) confidence, case when confidence is null then 'Further Reading' else 'References' end as section from r left join f using (id, number)"
+)
+def scored_references(spark, sf_dir):
+    """References with the scores that the text states for them."""
+    rows = _spoken(spark, sf_dir)
+    references = rows.select("id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number"))
+    references = references.withColumn("source", F.concat(F.lit("ref "), F.col("number").cast("string")))
+    found = confidence.scored_references(references, confidence.inline_scores(rows, "id", "t"), "id")
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"select o_orderkey id, case when o_orderkey % 3 = 0 then t else replace(replace(t, '[Source: book ' || o_orderkey || ']', '[1]'), '[Source: two]', '[2]') end as text, case when o_orderkey % 3 = 0 then '' else 'book ' || o_orderkey || '|two' end sources, case when o_orderkey % 3 = 0 then 0.7 else 0.5 end::double confidence from (select *, {_SPOKEN} t from orders)")
+def numbered_source_marks(spark, sf_dir):
+    found = _spoken(spark, sf_dir).select("id", confidence.number_source_marks(F.col("t")).alias("m"))
+    return found.select("id", "m.text", F.array_join("m.sources", "|").alias("sources"), "m.confidence")
+
+
 @query("select o_orderkey, 'One' || ' [1]. Two ' || o_orderkey || ' [2]' content from orders")
 def insert_markers(spark, sf_dir):
     text = F.concat(F.lit("One. Two "), F.col("o_orderkey").cast("string"))
@@ -200,16 +260,48 @@ def combine_responses(spark, sf_dir):
     return confidence.combine_responses(*_sides(spark, sf_dir))
 
 
+_FUSED = (
+    f"with {_SIDES}, ab as (select o_orderkey query_id, qa, ca, qb, cb, 'kb ' || repeat(o_orderkey || ' ', 40) ka, 'web ' || o_custkey kb from orders left join a on a.query_id = o_orderkey left join b on b.query_id = o_orderkey), "
+    "s as (select *, case when qa is null and qb is null then 'none' when qb is null then 'kb_only' when qa is null then 'web_only' when qa - qb > 0.3 then 'kb_primary' when qb - qa > 0.3 then 'web_primary' when qa > 0.7 and qb > 0.7 then 'parallel' else 'quality' end strategy from ab), "
+    "w as (select *, strategy = 'web_primary' or (strategy = 'quality' and qb > qa) web_first from s), n as (select chr(10) n) "
+    "select query_id, strategy, md5(case strategy when 'none' then 'No response is available from any source.' when 'kb_only' then ka when 'web_only' then kb "
+    "when 'kb_primary' then ka || case when qb > 0.5 then n || n || '**Additional Context:**' || n || kb else '' end when 'web_primary' then kb || case when qa > 0.5 then n || n || '**Knowledge Base Context:**' || n || ka else '' end "
+    "when 'parallel' then '**Knowledge Base Response:**' || n || ka || n || n || '**Current Information:**' || n || kb "
+    "else case when web_first then kb else ka end || case when case when web_first then qa else qb end > 0.4 then n || n || '**Additional Context:**' || n || (case when web_first then ka else kb end)[1:200] || '...' else '' end end) digest, "
+    "concat_ws(n, case when web_first then null when qa is not null then 'a' || query_id end, case when qb is not null and query_id % 2 = 0 then 'b' end, case when web_first and qa is not null then 'a' || query_id end) bibliography, "
+    "round(case strategy when 'none' then 0 when 'kb_only' then ca when 'web_only' then cb when 'kb_primary' then 0.7 * ca + 0.3 * cb when 'web_primary' then 0.7 * cb + 0.3 * ca when 'parallel' then (ca + cb) / 2 else case when qa >= qb then ca else cb end end, 6) confidence, "
+    "round(case strategy when 'none' then 0 when 'kb_only' then qa when 'web_only' then qb when 'kb_primary' then 0.7 * qa + 0.3 * qb when 'web_primary' then 0.7 * qb + 0.3 * qa when 'parallel' then (qa + qb) / 2 else greatest(qa, qb) end, 6) quality, "
+    "(case when qa is null then 0 else 1.5 end + case when qb is null then 0 else 0.25 end)::double as seconds, (case when qa is null then 0 else query_id % 4 end + case when qb is null then 0 else 2 end)::bigint n_citations, "
+    "case when qa is null and qb is null then '' when qb is null then 'kb' when qa is null then 'web' when web_first then 'web,kb' else 'kb,web' end sources from w, n"
+)
+
+
+@query(_FUSED)
+def fused_responses(spark, sf_dir):
+    """All orders as questions: some with both answers, some with one, some with none."""
+    kb, web = _sides(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), "o_custkey")
+    q = F.col("query_id")
+    kb = kb.select("query_id", "quality", "confidence", F.concat(F.lit("kb "), F.repeat(F.concat(q.cast("string"), F.lit(" ")), 40)).alias("content"), F.concat(F.lit("a"), q.cast("string")).alias("bibliography"), F.lit(1.5).alias("seconds"), (q % 4).alias("n_citations"))
+    web = web.join(orders, "query_id").select("query_id", "quality", "confidence", F.concat(F.lit("web "), F.col("o_custkey").cast("string")).alias("content"), F.when(q % 2 == 0, "b").alias("bibliography"), F.lit(0.25).alias("seconds"), F.lit(2).cast("long").alias("n_citations"))
+    rows = confidence.fuse_responses(orders, kb, web)
+    return rows.withColumn("digest", F.md5("content")).drop("content").withColumn("confidence", F.round("confidence", 6))
+
+
 @query(f"with {_SIDES}, u as (select query_id, 'kb' as source, qa quality, ca confidence from a union all select query_id, 'web', qb, cb from b) select query_id, source from u qualify row_number() over (partition by query_id order by 0.6 * quality + 0.4 * confidence desc, source) = 1")
 def select_best(spark, sf_dir):
     kb, web = _sides(spark, sf_dir)
     return confidence.select_best(kb.withColumn("source", F.lit("kb")).unionByName(web.withColumn("source", F.lit("web")))).select("query_id", "source")
 
 
-@query("select l_orderkey query_id, string_agg('## ' || s || chr(10) || 'text ' || l_partkey, chr(10) || chr(10) order by s, 'text ' || l_partkey) as content, round(sum(l_tax::double), 6) as seconds from (select *, 's' || l_linenumber s from lineitem) group by 1")
+@query(
+    "with r as (select *, 's' || l_linenumber s from lineitem), x as (select l_orderkey, s, max(l_partkey::varchar) m from r group by all), y as (select l_orderkey, string_agg(s || '_part=' || m, ',' order by s) metadata from x group by 1) "
+    "select l_orderkey query_id, string_agg('## ' || s || chr(10) || 'text ' || l_partkey, chr(10) || chr(10) order by s, 'text ' || l_partkey) as content, round(sum(l_tax::double), 6) as seconds, any_value(metadata) metadata from r join y using (l_orderkey) group by 1"
+)
 def merge_n_responses(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("source"), F.concat(F.lit("text "), F.col("l_partkey").cast("string")).alias("content"), F.lit(0.5).alias("confidence"), F.col("l_tax").cast("double").alias("seconds"))
-    return confidence.merge_n_responses(rows).drop("confidence")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("source"), F.concat(F.lit("text "), F.col("l_partkey").cast("string")).alias("content"), F.lit(0.5).alias("confidence"), F.col("l_tax").cast("double").alias("seconds"), F.create_map(F.lit("part"), F.col("l_partkey").cast("string")).alias("metadata"))
+    merged = confidence.merge_n_responses(rows).drop("confidence")
+    return merged.withColumn("metadata", F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("select item_id, case when item_id % 3 = 0 then 'hybrid' when contains(lower(text), 'new') or contains(lower(text), 'now') or contains(lower(text), 'recent') or contains(lower(text), 'latest') or contains(lower(text), 'current') or contains(lower(text), 'today') or contains(lower(text), 'trending') then 'real_time' else 'knowledge_base' end query_type, case when item_id % 3 = 0 then 0.75 else 0.3 end::double confidence, item_id % 3 = 0 valid, case when item_id % 3 = 0 then 'parallel' when contains(lower(text), 'new') or contains(lower(text), 'now') or contains(lower(text), 'recent') or contains(lower(text), 'latest') or contains(lower(text), 'current') or contains(lower(text), 'today') or contains(lower(text), 'trending') then 'web_first' else 'kb_first' end strategy from benchmark")
