@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.sources import files
+
 
 def manifest(files: DataFrame, path_col: str = "path", content_col: str = "content", mtime_col: str | None = None) -> DataFrame:
     """path, SHA-256 of the content, modification time."""
@@ -59,6 +61,12 @@ def rollback(current: DataFrame, root: str, version: str, safety: str | None = N
     return earlier, snapshot(current, root, name)
 
 
+def drop_versions(spark: SparkSession, root: str, versions: DataFrame, most: int = 50) -> int:
+    """Delete the files of the versions past the newest ``most``; returns how many went. What is kept is neither read nor written."""
+    old = [r["version_id"] for r in retain(versions, most).select("version_id").toLocalIterator()]  # names of versions that are to go
+    return sum(files.drop_stored(spark, root, "version", name) for name in old)
+
+
 def list_versions(versions: DataFrame, limit: int = 20) -> DataFrame:
     return versions.orderBy(F.col("created_at").desc(), "version_id").limit(limit)
 

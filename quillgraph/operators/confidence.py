@@ -107,6 +107,24 @@ def citation_link(col: Column) -> Column:
     )
 
 
+def record_line(record: Column) -> Column:
+    """A record of ``sources.files.bibliography_records`` as one line: authors, year, title, journal, DOI and address; what is null is left out."""
+    dot = lambda value, before="", after="": F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value, F.lit(after)))
+    return F.concat_ws(" ", dot(record["authors"]), dot(record["year"].cast("string"), "(", ")."), dot(record["title"], "", "."), dot(record["journal"], "", "."), dot(record["doi"], "https://doi.org/"), dot(record["url"]))
+
+
+def linked_citations(citations: DataFrame, records: DataFrame, col: str = "citation") -> DataFrame:
+    """``citations`` with ``link``: the record of a ``PMID:`` citation as a line, the address of other known codes, everything else unchanged.
+
+    ``records`` (pmid, authors, title, journal, year, doi, url) has one row for each id; a citation whose record is not there, or has no title,
+    stays as it is. Each distinct citation meets the records once, however many rows cite it.
+    """
+    names = [c for c in records.columns if c != "pmid"]
+    wanted = citations.select(col).where(F.col(col).startswith("PMID:")).distinct().withColumn("pmid", F.trim(F.substring(col, 6, 100)))
+    lines = wanted.join(records.where("title is not null"), "pmid").select(F.col(col).alias("_cited"), record_line(F.struct(*names)).alias("_line"))
+    return citations.join(lines, F.col(col) == F.col("_cited"), "left").withColumn("link", F.coalesce("_line", citation_link(F.col(col)))).drop("_cited", "_line")
+
+
 #: Most numbers of a range, and most digits of a number, that are spelt out; what is beyond stays as it is written.
 RANGE, DIGITS = 1000, 9
 #: What begins a list of sources at the end of an answer.

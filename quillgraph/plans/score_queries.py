@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.operators import confidence, evaluate
 from quillgraph.plans.registry import query, table
+from quillgraph.sources import files
 
 #: Line items as evidence: an order is a question, a supplier's file is a document, a part an entity.
 _EVIDENCE = "ev as (select l_orderkey % 500 query_id, 'study_' || l_suppkey || '_20' || lpad((l_suppkey % 25)::varchar, 2, '0') || case when l_suppkey % 2 = 0 then '.pdf' else '.txt' end doc, l_partkey entity_id, l_discount::double * 5 + 0.4 score, l_linenumber from lineitem), ent as (select * from ev where l_linenumber % 2 = 1), rel as (select * from ev where l_linenumber % 2 = 0 and l_linenumber < 6), docs as (select distinct query_id, doc from ev)"
@@ -102,6 +103,56 @@ def citation_link(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", confidence.citation_link(F.concat(kind, k.cast("string"))).alias("link"))
 
 
+def _records(spark, sf_dir):
+    """Customers as records of articles; every seventh is broken, every ninth has no authors, every eleventh is not there."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    author = lambda last, first: F.concat(F.lit("<Author><LastName>"), last, F.lit("</LastName>"), first, F.lit("</Author>"))
+    authors = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("<AuthorList>"), author(F.concat(F.lit("Lee"), n), F.lit("<ForeName>Ann</ForeName>")), author(F.lit("Dee &amp; Co"), F.lit("")), F.lit("</AuthorList>")))
+    whole = F.concat(
+        F.lit("<PubmedArticle><MedlineCitation><Article><Journal><JournalIssue><PubDate><Year>20"), F.lpad((k % 25).cast("string"), 2, "0"), F.lit("</Year></PubDate></JournalIssue><Title>J"), (k % 3).cast("string"), F.lit("</Title></Journal><ArticleTitle>On "), n, F.lit("</ArticleTitle>"), authors,
+        F.lit('</Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="pubmed">'), n, F.lit('</ArticleId><ArticleId IdType="doi">10.1/'), n, F.lit("</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"),
+    )
+    rows = table(spark, sf_dir, "customer").where(k % 11 > 0)
+    return files.bibliography_records(rows.select(k.alias("id"), F.when(k % 7 == 0, F.lit("<PubmedArticle><broken")).otherwise(whole).alias("xml")), "id", "xml")
+
+
+_RECORDS = "rec as (select c_custkey k, c_custkey::varchar pmid, c_custkey % 7 > 0 good, case when c_custkey % 9 = 0 then 'Anonymous' else 'Lee' || c_custkey || ', Ann and Dee & Co' end authors, 2000 + c_custkey % 25 y from customer where c_custkey % 11 > 0)"
+
+
+@query(f"with {_RECORDS} select pmid, case when good then authors end authors, case when good then 'On ' || pmid end title, case when good then 'J' || k % 3 end journal, case when good then y end::int as year, case when good then '10.1/' || pmid end doi from rec")
+def bibliography_records(spark, sf_dir):
+    return _records(spark, sf_dir).drop("month", "url")
+
+
+@query(
+    f"with {_RECORDS} select o_orderkey id, c.citation, case when k % 5 = 4 then 'https://omim.org/entry/' || k when good then authors || ' (' || y || '). On ' || pmid || '. J' || k % 3 || '. https://doi.org/10.1/' || pmid || ' https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' else c.citation end link "
+    "from (select o_orderkey, o_custkey, case when o_custkey % 5 = 4 then 'OMIM: ' else 'PMID:' end || o_custkey citation from orders) c left join rec on case when o_custkey % 5 = 4 then o_custkey = k else o_custkey = k end".replace("when k % 5 = 4 then 'https://omim.org/entry/' || k", "when o_custkey % 5 = 4 then 'https://omim.org/entry/' || o_custkey")
+)
+def linked_citations(spark, sf_dir):
+    """Orders cite customers' records; missing and broken ones stay as they are."""
+    c = F.col("o_custkey")
+    cited = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.when(c % 5 == 4, "OMIM: ").otherwise("PMID:"), c.cast("string")).alias("citation"))
+    return confidence.linked_citations(cited, _records(spark, sf_dir))
+
+
+@query(
+    "select conv_id, turn, case when kind in (0, 1, 4) then true when kind = 2 then false end metadata_ok, case kind when 0 then 'm' || turn when 1 then turn::varchar when 4 then null end model, case kind when 0 then conv_id when 1 then 12 end::int tokens, case kind when 0 then 'x,y' when 1 then null end tags, case kind when 0 then 0.5 when 1 then 2 end::double as temperature "
+    "from (select conv_id, turn, turn % 5 kind from conversations)"
+)
+def chat_metadata(spark, sf_dir):
+    """Metadata of mixed types: text, numbers and arrays under the same names, broken text, nulls, arrays at the top."""
+    turn, conv = F.col("turn"), F.col("conv_id").cast("string")
+    text = (
+        F.when(turn % 5 == 0, F.concat(F.lit('{"model": "m'), turn.cast("string"), F.lit('", "tokens": '), conv, F.lit(', "settings": {"temperature": 0.5}, "tags": ["x", "y"]}')))
+        .when(turn % 5 == 1, F.concat(F.lit('{"model": '), turn.cast("string"), F.lit(', "tokens": "12", "settings": {"temperature": 2}, "tags": "none"}')))
+        .when(turn % 5 == 2, "{broken").when(turn % 5 == 4, "[1, 2]")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("metadata"))
+    fields = {"model": ("$.model", "string"), "tokens": ("$.tokens", "int"), "tags": ("$.tags", "array<string>"), "temperature": ("$.settings.temperature", "double")}
+    return files.chat_metadata(rows, fields).drop("metadata").withColumn("tags", F.array_join("tags", ","))
+
+
 @query("select o_orderkey, 'Source ' || (o_orderkey % 5) || ', Source ' || (o_orderkey % 5 + 1) || ' and [3], [4], [5]' text from orders")
 def expand_citations(spark, sf_dir):
     k = F.col("o_orderkey") % 5

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Schemas of the chat store's tables; metadata is JSON text.
@@ -76,21 +77,85 @@ def read_text_corpus(spark: SparkSession, path: str, recursive: bool = False) ->
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str = "*.pdf", magic: bytes = b"%PDF") -> DataFrame:
-    """Number of files, of valid ones (by their first bytes) and their size in MB, in one row."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    good = F.substring("content", 1, len(magic)) == F.lit(bytearray(magic))
-    return rows.agg(F.count("*").alias("files"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), F.round(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("mb"))
+def file_inventory(spark: SparkSession, path: str, glob: str = "*.pdf", magic: bytes = b"%PDF", check: bool = True) -> DataFrame:
+    """(files, valid, invalid, mb, errors) in one row: files, valid ones by their first bytes, their size, and the paths of invalid ones in order.
+
+    With ``check=False`` no content is read: sizes come from the listing, and ``valid`` and ``invalid`` are null. An empty folder gives zeros; files without
+    a byte are skipped by Spark's readers and not counted.
+    Invalid files are a bounded list: ``errors`` holds the first hundred; ``invalid_files`` has them all.
+    """
+    rows = _listed(spark, path, glob)
+    mb = F.round(F.coalesce(F.sum("length"), F.lit(0)) / 1048576, 2).alias("mb")
+    if not check:
+        return rows.agg(F.count("*").alias("files"), F.lit(None).cast("long").alias("valid"), F.lit(None).cast("long").alias("invalid"), mb, F.array().cast("array<string>").alias("errors"))
+    good = _begins(magic)
+    bad = invalid_files(spark, path, glob, magic).orderBy("path").limit(100).agg(F.array_sort(F.collect_list("path")).alias("errors"))
+    counts = rows.agg(F.count("*").alias("files"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), mb)
+    return counts.crossJoin(bad)  # one row on each side
+
+
+def invalid_files(spark: SparkSession, path: str, glob: str = "*.pdf", magic: bytes = b"%PDF") -> DataFrame:
+    """(path, length) of the files that don't begin as they should."""
+    return _listed(spark, path, glob).where(~_begins(magic)).select("path", "length")
+
+
+def _listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+
+
+def _begins(magic: bytes) -> Column:
+    return F.substring("content", 1, len(magic)) == F.lit(bytearray(magic))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as Parquet, partitioned by graph."""
+    """Nodes and edges as Parquet, partitioned by graph; all graphs that were there are replaced."""
     nodes.write.mode("overwrite").partitionBy("graph_id").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("graph_id").parquet(f"{path}/edges")
 
 
+def replace_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Replace the graphs that ``nodes`` and ``edges`` hold, each in both tables; files of other graphs stay as they are.
+
+    Rows are brought together by graph and a part of their id, so a graph is several files of its own. A graph with nodes alone loses its old edges.
+    """
+    spark = nodes.sparkSession
+    named = nodes.select("graph_id").union(edges.select("graph_id")).distinct()
+    for table, rows in (("nodes", nodes), ("edges", edges)):
+        left = named.join(rows.select("graph_id").distinct(), "graph_id", "left_anti")
+        for row in left.toLocalIterator():  # graphs without rows in this table, one name each
+            drop_stored(spark, f"{path}/{table}", "graph_id", row["graph_id"])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{table}")
+
+
+def drop_stored_graph(spark: SparkSession, path: str, graph_id: str) -> int:
+    """Delete one graph's files in both tables; returns how many folders went."""
+    return sum(drop_stored(spark, f"{path}/{table}", "graph_id", graph_id) for table in ("nodes", "edges"))
+
+
+def drop_stored(spark: SparkSession, path: str, column: str, value: object) -> int:
+    """Delete the folders of one partition value of a Parquet table; nothing else is read or written. A table or value that is not there loses nothing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return 0
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    name = escape.getPartitionPathString(column, None if value is None else str(value))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name)
+    return int(system.delete(folder, True))
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """(nodes, edges) of all graphs. A table whose last graph was dropped has no files to tell its columns: it is empty, with the ids alone."""
+
+    def table(name: str, ids: str) -> DataFrame:
+        try:
+            return spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as empty:
+            if empty.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return spark.createDataFrame([], f"{ids}, graph_id string")
+
+    return table("nodes", "node_id string"), table("edges", "edge_id string, src string, dst string")
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +167,66 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, edges
 
 
-def read_chat_store(spark: SparkSession, source: str, **jdbc: str) -> dict[str, DataFrame]:
-    """The five chat tables from Parquet folders, or by JDBC where ``source`` is a JDBC address."""
-    if source.startswith("jdbc:"):
-        return {t: spark.read.format("jdbc").options(url=source, dbtable=f'"{t}"', **jdbc).load() for t in CHAT_STORE}
-    return {t: spark.read.schema(s).parquet(f"{source}/{t}") for t, s in CHAT_STORE.items()}
+def read_chat_store(spark: SparkSession, source: str, partitions: int = 1, by: str = "createdAt", **jdbc: str) -> dict[str, DataFrame]:
+    """The five chat tables from Parquet folders, or by JDBC where ``source`` is a JDBC address.
+
+    With ``partitions`` a JDBC table is read in so many ranges of ``by``, between the ends that the database itself states, so no more than so many
+    connections are open and none reads a whole table. Rows whose ``by`` is null are in the first range. Mixed metadata is text here; ``chat_metadata`` types it.
+    """
+    if not source.startswith("jdbc:"):
+        return {t: spark.read.schema(s).parquet(f"{source}/{t}") for t, s in CHAT_STORE.items()}
+    return {t: read_jdbc_ranges(spark, source, t, by, partitions, **jdbc) for t in CHAT_STORE}
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, by: str, partitions: int, quote: str = '"', **options: str) -> DataFrame:
+    """One table by JDBC in ``partitions`` ranges of the column ``by``, a number, date or time; an empty table, or one partition, is read at once."""
+    name = f"{quote}{table}{quote}"
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if partitions <= 1:
+        return reader.load()
+    ends = spark.read.format("jdbc").options(url=url, query=f"select min({quote}{by}{quote}) low, max({quote}{by}{quote}) high from {name}", **options).load()
+    low, high = ends.select(*(F.col(c).cast("string") for c in ends.columns)).first()
+    if low is None or low == high:
+        return reader.load()
+    return reader.options(partitionColumn=f"{quote}{by}{quote}" if quote else by, lowerBound=low, upperBound=high, numPartitions=str(partitions)).load()
+
+
+def chat_metadata(df: DataFrame, fields: Mapping[str, tuple[str, str]], col: str = "metadata") -> DataFrame:
+    """``df`` with typed ``fields`` (name -> path, type) out of mixed JSON text, and ``metadata_ok``: null for no text, false for text that is no JSON.
+
+    A value of another type is cast where that can be done, else null, as it is where the path is not there; columns that are already called as a field give way.
+    """
+    parsed = F.try_parse_json(F.col(col))
+    rows = df.withColumn("_variant", parsed).withColumn("metadata_ok", F.when(F.col(col).isNotNull(), F.col("_variant").isNotNull()))
+    return rows.withColumns({name: F.try_variant_get("_variant", path, kind) for name, (path, kind) in fields.items()}).drop("_variant")
+
+
+#: Shape of an article's record in XML, as far as it is cited.
+RECORD = (
+    "MedlineCitation struct<Article:struct<ArticleTitle:string,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string,Month:string>>>,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string>>>>>,"
+    "PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
+)
+
+
+def bibliography_records(df: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(pmid, authors, title, journal, year, month, doi, url) from a record of an article in XML; one row for each id.
+
+    Text that is no such record gives nulls; without authors they are ``Anonymous``. Of rows that repeat an id the one whose record comes last in order
+    of its text counts. Rows without an id are left out.
+    """
+    rows = df.select(F.col(id_col).cast("string").alias("pmid"), F.col(xml_col).alias("xml")).where("pmid is not null").groupBy("pmid").agg(F.max("xml").alias("xml"))
+    record = rows.withColumn("r", F.from_xml("xml", RECORD, {"mode": "PERMISSIVE"}))
+    article = F.col("r.MedlineCitation.Article")
+    names = F.transform(F.filter(F.coalesce(article["AuthorList"]["Author"], F.array()), lambda a: a["LastName"].isNotNull()), lambda a: F.concat_ws(", ", a["LastName"], a["ForeName"]))
+    ids = F.coalesce(F.col("r.PubmedData.ArticleIdList.ArticleId"), F.array())
+    doi = F.get(F.filter(ids, lambda i: i["_IdType"] == "doi"), F.lit(0))["_VALUE"]
+    date = article["Journal"]["JournalIssue"]["PubDate"]
+    authors = F.when(F.size(names) > 0, F.array_join(names, " and ")).otherwise("Anonymous")
+    known = article.isNotNull()
+    return record.select(
+        "pmid", F.when(known, authors).alias("authors"), article["ArticleTitle"].alias("title"), article["Journal"]["Title"].alias("journal"), date["Year"].try_cast("int").alias("year"), date["Month"].alias("month"), doi.alias("doi"),
+        F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.col("pmid"), F.lit("/")).alias("url"),
+    )
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
