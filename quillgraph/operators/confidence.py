@@ -57,6 +57,28 @@ def response_confidence(base: Column, factors: dict[str, Column], weights: dict[
     return F.least(base + 0.3 * e * (1 - base), F.lit(1.0))
 
 
+def scored_responses(bases: DataFrame, docs: DataFrame, entities: DataFrame, relations: DataFrame, as_of_year: int) -> DataFrame:
+    """(query_id, base, entity, relation, reliability, connectivity, consistency, citation, temporal, confidence, good_sources, sources) of each response.
+
+    ``bases`` has query_id, base; ``docs`` (query_id, doc), ``entities`` (query_id, entity_id, doc, score) and ``relations`` (query_id, relation_id, src, dst, doc, score) what it
+    rests on. The factors are the means of the scores, of the documents' reliability, citation quality and recency, the share of entities that a relation ends at, and the share of items with
+    more than one document. A factor without evidence is 0. Every group is added up before it is joined; rows of one response may be any number.
+    """
+    mean = lambda df, name: df.groupBy("query_id").agg(F.avg("score").alias(name))
+    reliable = source_reliability(docs, entities, relations)
+    located = entities.select("query_id", "doc").distinct().withColumn("located", F.lit(True))
+    each = docs.join(located, ["query_id", "doc"], "left").select("query_id", T.citation_quality(F.col("doc"), F.coalesce("located", F.lit(False))).alias("c"), T.temporal_relevance(F.col("doc"), as_of_year).alias("t"))
+    items = entities.select("query_id", F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("item_id"), "doc").unionByName(relations.select("query_id", F.concat(F.lit("r"), F.col("relation_id").cast("string")).alias("item_id"), "doc"))
+    parts = [
+        mean(entities, "entity"), mean(relations, "relation"), graph_connectivity(entities, relations), evidence_consistency(items),
+        reliable.groupBy("query_id").agg(F.avg("reliability").alias("reliability"), F.count_if(F.col("reliability") >= 0.8).alias("good_sources"), F.count("*").alias("sources")),
+        each.groupBy("query_id").agg(F.avg("c").alias("citation"), F.avg("t").alias("temporal")),
+    ]
+    rows = reduce(lambda a, b: a.join(b, "query_id", "left"), parts, bases.select("query_id", "base")).fillna(0)
+    final = response_confidence(F.col("base"), {k: F.col(k) for k in WEIGHTS})
+    return rows.select("query_id", "base", *(F.round(k, 6).alias(k) for k in WEIGHTS), F.round(final, 6).alias("confidence"), "good_sources", "sources")
+
+
 def enhanced_confidence(base: Column, entity: Column, relation: Column, n_docs: Column, n_links: Column, consistency: Column) -> Column:
     """The five-factor form: 0.25, 0.25, 0.2, 0.15, 0.15 with capped counts; base + 0.3 e, at most 1."""
     e = 0.25 * entity + 0.25 * relation + 0.2 * F.least(n_docs * 0.1, F.lit(0.3)) + 0.15 * F.least(n_links * 0.05, F.lit(0.2)) + 0.15 * consistency

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -199,10 +200,33 @@ def question_entities(questions: DataFrame, extract: Callable[[Column], Column]
     return rows.where(F.coalesce("entity", F.lit("")) != "").distinct()
 
 
-def textualize(df: DataFrame, subject: str, predicate: str, labels: dict[str, str]) -> DataFrame:
-    """Wide nullable records to (subject, predicate, object text): labelled lines of what is not null; empty ones are dropped."""
+def textualize(df: DataFrame, subject: str, predicate: str, labels: dict[str, str], citations: str | None = None) -> DataFrame:
+    """Wide nullable records to (subject, predicate, object text): labelled lines of what is not null; records without any are dropped.
+
+    With ``citations``, a column of ``[a,b]`` or ``a|b``, each row has the array of its citations; null ones give an empty array.
+    """
     lines = F.concat_ws("\n", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))) for c, label in labels.items()))
-    return df.select(F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), lines.alias("object")).where("object <> ''")
+    cited = [] if citations is None else [parse_citations(F.col(citations)).alias("citations")]
+    return df.select(F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), lines.alias("object"), *cited).where("object <> ''")
+
+
+#: The kinds of records that become text, with the columns of each and the labels of their lines.
+RECORD_KINDS = {
+    "phenotype": {"hpo_term": "Phenotype", "frequency": "Frequency", "onset": "Onset"},
+    "prevalence": {"prevalence_type": "Type", "prevalence_class": "Class", "geographic_area": "Area", "mean_value": "Mean value"},
+    "organisation": {"name": "Name", "address": "Address", "country": "Country", "url": "Website"},
+    "relation": {"relation": "Relation", "target": "Target", "evidence": "Evidence"},
+    "literature": {"relation": "Relation", "target": "Target", "pmids": "Articles"},
+}
+
+
+def textualize_kinds(records: dict[str, DataFrame], subject: str = "subject", citations: str = "citations") -> DataFrame:
+    """(subject, predicate, object, citations) of the tables of several kinds of records, each by its labels; columns that a table doesn't have are null."""
+    out = []
+    for kind, df in sorted(records.items()):
+        whole = df.withColumns({c: F.lit(None).cast("string") for c in [*RECORD_KINDS[kind], citations] if c not in df.columns})
+        out.append(textualize(whole, subject, kind, RECORD_KINDS[kind], citations))
+    return reduce(DataFrame.unionByName, out)
 
 
 def parse_citations(col: Column) -> Column:

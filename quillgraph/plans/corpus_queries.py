@@ -41,6 +41,27 @@ def document_titles(spark, sf_dir):
     return corpus.extract_sections(table(spark, sf_dir, "documents")).select("doc_id", "title")
 
 
+@query(
+    "with d as (select doc_id, 'A title of document ' || doc_id || chr(10) || case when doc_id % 3 = 0 then 'Authors: Ann Lee; Bo, Cy Dee and ' || source || chr(10) else '' end || 'Abstract: ' || coalesce(text, '') || chr(10) || case when doc_id % 2 = 0 then 'Keywords' else 'Introduction' end t from documents where not regexp_matches(coalesce(text, ''), '(?i)abstract|keywords|introduction|background|1\\.|affiliation|by|author')) "
+    "select doc_id, 'A title of document ' || doc_id title, md5(trim(trim(regexp_extract(t, '(?is)abstract\\s*:?\\s*(.*?)\\n\\s*(?:keywords|introduction)', 1))[1:1000])) digest, case when doc_id % 3 = 0 then array_to_string(list_filter(['Ann Lee', 'Cy Dee', regexp_extract(t, ' and ([^\\n]*)', 1)], lambda a: length(a) > 2), '|') else '' end authors from d"
+)
+def document_sections(spark, sf_dir):
+    """Title, abstract and authors of documents that are laid out as articles."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").where(~text.rlike(r"(?i)abstract|keywords|introduction|background|1\.|affiliation|by|author"))
+    d = F.col("doc_id")
+    authors = F.when(d % 3 == 0, F.concat(F.lit("Authors: Ann Lee; Bo, Cy Dee and "), "source", F.lit("\n"))).otherwise("")
+    whole = F.concat(F.lit("A title of document "), d.cast("string"), F.lit("\n"), authors, F.lit("Abstract: "), text, F.lit("\n"), F.when(d % 2 == 0, "Keywords").otherwise("Introduction"))
+    rows = corpus.extract_sections(docs.select("doc_id", whole.alias("text")))
+    return rows.select("doc_id", "title", F.md5(F.trim("abstract")).alias("digest"), F.array_join("authors", "|").alias("authors"))
+
+
+@query("select doc_id, 0 unit_no, md5(text) digest from documents where contains(lower(text), 'with') or contains(lower(text), 'tion')")
+def keyword_pages(spark, sf_dir):
+    rows = corpus.keyword_units(table(spark, sf_dir, "documents"), ["with", "TION"], unit="page", limit=3)
+    return rows.select("doc_id", "unit_no", F.md5("unit").alias("digest"))
+
+
 @query(rf"select doc_id, len(list_filter(regexp_split_to_array({_CLEAN}, '\s+'), lambda t: t <> ''))::bigint n_words from documents")
 def word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(T.clean_text(F.col("text"))).alias("n_words"))

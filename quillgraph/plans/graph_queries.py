@@ -289,6 +289,26 @@ def textualize(spark, sf_dir):
     return retrieve.textualize(rows, "s_name", "supplier", {"s_suppkey": "Key", "nothing": "Fax", "s_nationkey": "Nation"})
 
 
+@query(
+    "select s_name subject, 'organisation' predicate, 'Name: ' || s_name || chr(10) || 'Address: ' || s_suppkey || case when s_nationkey % 2 = 0 then chr(10) || 'Country: ' || s_nationkey else '' end as object, case when s_suppkey % 3 = 0 then '' else 'PMID:' || s_suppkey || ' ORPHA:7' end citations from supplier "
+    "union all select s_name, 'relation', 'Relation: supplies' || chr(10) || 'Target: ' || s_nationkey, '' from supplier "
+    "union all select s_name, 'prevalence', 'Mean value: ' || s_suppkey, 'PMID:' || s_nationkey from supplier where s_suppkey % 5 > 0 "
+    "union all select s_name, 'phenotype', 'Phenotype: p' || s_suppkey % 7, '' from supplier union all select s_name, 'literature', 'Target: t' || chr(10) || 'Articles: 1|2', '1 2' from supplier"
+)
+def textualized_kinds(spark, sf_dir):
+    """Suppliers as records of five kinds, with missing columns, empty records and citations."""
+    s, key, nation = table(spark, sf_dir, "supplier"), F.col("s_suppkey"), F.col("s_nationkey")
+    subject, text = F.col("s_name").alias("subject"), lambda c: c.cast("string")
+    records = {
+        "organisation": s.select(subject, F.col("s_name").alias("name"), text(key).alias("address"), F.when(nation % 2 == 0, text(nation)).alias("country"), F.when(key % 3 > 0, F.concat(F.lit("[PMID:"), text(key), F.lit(", Orphanet:7]"))).alias("citations")),
+        "relation": s.select(subject, F.lit("supplies").alias("relation"), text(nation).alias("target")),
+        "prevalence": s.select(subject, F.when(key % 5 > 0, key).alias("mean_value"), F.concat(F.lit("PMID:"), text(nation)).alias("citations")),
+        "phenotype": s.select(subject, F.concat(F.lit("p"), text(key % 7)).alias("hpo_term")),
+        "literature": s.select(subject, F.lit("t").alias("target"), F.lit("1|2").alias("pmids"), F.lit("1|2").alias("citations")),
+    }
+    return retrieve.textualize_kinds(records).withColumn("citations", F.array_join("citations", " "))
+
+
 @query("select c_custkey, 'PMID:' || c_custkey || ' ORPHA:' || c_nationkey citations from customer")
 def parse_citations(spark, sf_dir):
     text = F.concat(F.lit("[PMID:"), F.col("c_custkey").cast("string"), F.lit(", Orphanet:"), F.col("c_nationkey").cast("string"), F.lit("]"))

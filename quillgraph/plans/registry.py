@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["answered_questions"](spark, sf_dir)
 
 
-from quillgraph.plans import answer_queries, corpus_queries, graph_queries, graphset_queries, score_queries, telemetry_queries  # noqa: E402, F401
+from quillgraph.plans import answer_queries, corpus_queries, graph_queries, graphset_queries, score_queries, telemetry_queries, view_queries  # noqa: E402, F401

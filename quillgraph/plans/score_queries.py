@@ -59,6 +59,33 @@ def response_confidence(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(full, 6).alias("full_score"), F.round(confidence.enhanced_confidence(b, d, t, n, n, d), 6).alias("short_score"), T.confidence_level(b).alias("level"))
 
 
+_STEM = "(select *, regexp_replace(doc, '\\.[a-z]+$', '') stem from docs)"
+
+
+@query(
+    f"with {_EVIDENCE}, r as (select l_orderkey % 500 query_id, l_suppkey relation_id, l_partkey src, l_partkey + 1 dst, 'study_' || l_suppkey || '_20' || lpad((l_suppkey % 25)::varchar, 2, '0') || case when l_suppkey % 2 = 0 then '.pdf' else '.txt' end doc, l_discount::double * 5 + 0.4 score from lineitem where l_linenumber % 2 = 0 and l_linenumber < 6), "
+    "b as (select query_id, query_id % 10 / 10 base from (select distinct query_id from docs)), "
+    f"rl as (select query_id, doc, round(0.3 * {_META} + 0.4 * least(coalesce(n, 0) / 10, 1.0) + 0.3 * coalesce(m, 0.5), 6) x from {_STEM} left join (select query_id, doc, count(*) n, avg(score) m from (select query_id, doc, score from ent union all select query_id, doc, score from r) group by all) using (query_id, doc)), "
+    "rel_ as (select query_id, avg(x) reliability, count_if(x >= 0.8)::bigint good_sources, count(*) sources from rl group by 1), "
+    "ci as (select query_id, avg(0.5 + case when ends_with(doc, '.pdf') then 0.2 else 0 end + 0.2 + case when hit then 0.1 else 0 end) citation, avg(case when 2024 - y <= 2 then 1.0 when 2024 - y <= 5 then 0.8 when 2024 - y <= 10 then 0.6 else 0.4 end) temporal from (select docs.*, (2000 + regexp_extract(doc, 'study_([0-9]+)', 1)::int % 25) y, coalesce(hit, false) hit from docs left join (select distinct query_id, doc, true hit from ent) using (query_id, doc)) group by 1), "
+    "e1 as (select query_id, avg(score) entity from ent group by 1), r1 as (select query_id, avg(score) relation from r group by 1), "
+    "ends as (select query_id, src id from r union select query_id, dst from r), co as (select x.query_id, round(avg(case when ends.id is null then 0.0 else 1.0 end), 6) connectivity from (select distinct query_id, entity_id from ent) x left join ends on ends.query_id = x.query_id and ends.id = x.entity_id group by 1), "
+    "cs as (select query_id, round(avg(case when n > 1 then 1.0 else 0.0 end), 6) consistency from (select query_id, k, count(distinct doc) n from (select query_id, 'e' || entity_id k, doc from ent union all select query_id, 'r' || relation_id, doc from r) group by all) group by 1), "
+    "f as (select query_id, base, coalesce(entity, 0) entity, coalesce(relation, 0) relation, coalesce(reliability, 0) reliability, coalesce(connectivity, 0) connectivity, coalesce(consistency, 0) consistency, coalesce(citation, 0) citation, coalesce(temporal, 0) temporal, good_sources, sources from b left join e1 using (query_id) left join r1 using (query_id) left join rel_ using (query_id) left join co using (query_id) left join cs using (query_id) left join ci using (query_id)) "
+    "select query_id, base, round(entity, 6) entity, round(relation, 6) relation, round(reliability, 6) reliability, round(connectivity, 6) connectivity, round(consistency, 6) consistency, round(citation, 6) citation, round(temporal, 6) temporal, "
+    "round(least(base + 0.3 * least(0.2 * entity + 0.2 * relation + 0.25 * reliability + 0.15 * connectivity + 0.1 * consistency + 0.05 * citation + 0.05 * temporal, 1.0) * (1 - base), 1.0), 6) confidence, good_sources, sources from f"
+)
+def scored_responses(spark, sf_dir):
+    """All seven factors from the evidence of each question, and the confidence that they make."""
+    docs, entities, _ = _evidence(spark, sf_dir)
+    s = F.col("l_suppkey")
+    doc = F.concat(F.lit("study_"), s.cast("string"), F.lit("_20"), F.lpad((s % 25).cast("string"), 2, "0"), F.when(s % 2 == 0, ".pdf").otherwise(".txt"))
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 0 and l_linenumber < 6")
+    relations = rows.select((F.col("l_orderkey") % 500).alias("query_id"), s.alias("relation_id"), F.col("l_partkey").alias("src"), (F.col("l_partkey") + 1).alias("dst"), doc.alias("doc"), (F.col("l_discount").cast("double") * 5 + 0.4).alias("score"))
+    bases = docs.select("query_id").distinct().withColumn("base", F.col("query_id") % 10 / 10)
+    return confidence.scored_responses(bases, docs, entities, relations, 2024)
+
+
 _TEXTS = "txt as (select o_orderkey id, 'See [' || (o_orderkey % 7 + 1) || '] and [' || (o_custkey % 5 + 1) || '], also [' || (o_orderkey % 3 + 1) || '].' t from orders), num as (select id, unnest(list_transform(regexp_extract_all(t, '\\[([0-9]+)\\]', 1), lambda x: x::int)) as number, generate_subscripts(regexp_extract_all(t, '\\[([0-9]+)\\]', 1), 1) - 1 pos from txt), men as (select id, number, min(pos)::bigint first_pos from num group by all)"
 
 
