@@ -13,19 +13,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.runtime import materialise
 
-#: Query vectors of one block of ``knn``: a block is broadcast, its size is fixed.
-BLOCK = 2000
-
-
-def _blocks(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[DataFrame]:
-    """The query set in blocks of bounded size, in the order of ``key``."""
-    total = queries.count()
-    if total <= size:
-        yield queries
-        return
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(-(-total // size))))
-    for n in range(-(-total // size)):
-        yield numbered.where(F.col("_block") == n).drop("_block")
+#: Vectors that a task of ``knn`` holds; query vectors that it compares with them at once.
+PART, BLOCK = 50_000, 256
 
 
 #: Letters by which terms and node texts meet; terms are at least so long.
@@ -35,23 +24,32 @@ GRAM = 3
 def semantic_search(queries: DataFrame, nodes: DataFrame, threshold: float = 0.5, k: int = 10) -> DataFrame:
     """(query_id, rank, node_id, relevance): the best nodes of each question; ties by node id.
 
-    A term can only occur in texts that hold its first letters: terms and nodes are joined on these, the exact test comes after, and
-    hits are counted for each question and node that share a term. No pair without a common term is ever formed. Questions without
+    A term can only occur in texts that hold its first letters: terms and nodes are joined on these, and the exact test comes after. A node that reaches the threshold holds so
+    many of a question's n terms that it holds one of the rarest ``n - needed + 1``: questions and nodes meet through these only, and what
+    meets is counted over all terms. A frequent term brings no pairs unless nearly all terms of its question are needed. Questions without
     terms have no rows; a node of two graphs is scored twice; null texts hold no term; no rows on either side give no rows.
     """
     if threshold <= 0:
         raise ValueError("a node without any of the terms is no hit")
-    terms = queries.select("query_id", T.query_terms(F.col("question")).alias("terms")).where(F.size("terms") > 0)
+    terms = materialise(queries.select("query_id", T.query_terms(F.col("question")).alias("terms")).where(F.size("terms") > 0), "search-questions")
     asked = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).groupBy("query_id", "n", "term").agg(F.count("*").alias("times"))
     asked = materialise(asked, "search-terms")
     rows = nodes.select("node_id", T.node_body(F.col("text"), F.col("context")).alias("body"), T.node_weight(F.col("node_type"), F.col("confidence")).alias("weight"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "search-nodes")
+    heaviest = rows.agg(F.max("weight")).first()[0] or 1.0
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - GRAM + 1), lambda n: F.substring(F.col("body"), n, F.lit(GRAM))))
     spread = rows.where(F.length("body") >= GRAM).select("row", F.explode(grams).alias("gram"))
     words = asked.select("term", F.substring("term", 1, GRAM).alias("gram")).distinct()
-    held = spread.join(words, "gram").select("row", "term").join(rows, "row").where(F.contains("body", F.col("term")))
-    counted = held.join(asked, "term").groupBy("query_id", "row").agg(F.sum("times").alias("hits"), F.max("n").alias("n"), F.max("weight").alias("weight"), F.max("node_id").alias("node_id"))
-    scored = counted.select("query_id", "node_id", F.least(F.col("hits") / F.col("n") * F.col("weight"), F.lit(1.0)).alias("relevance"))
+    held = materialise(spread.join(words, "gram").select("row", "term").join(rows.select("row", "body"), "row").where(F.contains("body", F.col("term"))).select("row", "term"), "search-held")
+    spread_of = held.groupBy("term").agg(F.count("*").alias("df"))
+    needed = F.greatest(F.ceil(F.lit(threshold / heaviest) * F.col("n") - 1e-9), F.lit(1))
+    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    # terms that no node holds come first: they use up places, but bring no rows
+    first = asked.join(spread_of, "term", "left").fillna(0, ["df"]).withColumn("before", F.coalesce(F.sum("times").over(rare), F.lit(0))).where(F.col("before") <= F.col("n") - needed)
+    met = first.where("df > 0").select("query_id", "term").join(held, "term").select("query_id", "row").distinct()
+    both = met.join(terms, "query_id").join(rows, "row")
+    share = F.size(F.filter("terms", lambda t: F.contains(F.col("body"), t))) / F.size("terms")
+    scored = both.select("query_id", "node_id", F.least(share * F.col("weight"), F.lit(1.0)).alias("relevance"))
     best = Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "node_id")
     hits = scored.where(F.col("relevance") >= threshold).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return hits.select("query_id", "rank", "node_id", "relevance")
@@ -247,38 +245,49 @@ def best_alias(aliases: DataFrame, entities: DataFrame) -> DataFrame:
     return named.groupBy("query_id", "row_id").agg(F.min_by("alias", F.struct(F.coalesce("tier", F.lit(1)), "distance", "alias")).alias("alias"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 30, query_id: str = "query_id", query_vector: str = "vector", vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 30, query_id: str = "query_id", query_vector: str = "vector", vec_id: str = "vec_id", vector: str = "embedding", part: int = PART) -> DataFrame:
     """(query_id, rank, vec_id, distance): exact nearest neighbours by L2; ties by id.
 
-    Queries are held in blocks against all vectors. A batch keeps its own k best for each query, so what is shuffled is
-    k rows for each query and batch, not a row for each pair.
+    One pass: the vectors are dealt into parts of about ``part``, and every part meets all queries, which stream past it in blocks. A part keeps its own ``k`` best
+    for each query, so what is shuffled again is k rows for each query and part, not a row for each pair; nothing is collected or broadcast.
+    Null vectors are neither queries nor neighbours; rows that repeat an id are vectors of that id; no rows on either side give no rows.
     """
-    out = None
-    for part in _blocks(queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()), query_id, block):
-        rows = part.collect()  # one block of the query set
-        if not rows:
-            continue
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            square = (matrix * matrix).sum(1)
-            for batch in batches:
-                if not batch.num_rows:
+    known = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null")
+    parts = max(1, -(-known.count() // part))
+    dealt = known.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.lit(0).alias("side"), "id", "v")
+    dealt = dealt.unionByName(asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("side"), "id", "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, own, data, square = None, [], None, None, None
+        for batch in batches:
+            place, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            cuts = np.append(np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (side[1:] != side[:-1]))), len(place))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i == j:
+                    continue
+                if place[i] != now:
+                    now, held, own = place[i], [], None
+                rows = batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False), np.stack(batch.column(3).slice(i, j - i).to_numpy(zero_copy_only=False))
+                if side[i] == 0:
+                    held.append(rows)
+                    continue
+                if not held:
                     continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                data = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                for at in range(0, len(ids), 256):
-                    d2 = np.maximum(square[at : at + 256, None] + (data * data).sum(1)[None] - 2 * matrix[at : at + 256] @ data.T, 0)
+                if own is None:
+                    own, data = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    square = (data * data).sum(1)
+                ids, matrix = rows
+                for at in range(0, len(ids), BLOCK):
+                    some = matrix[at : at + BLOCK]
+                    d2 = np.maximum((some * some).sum(1)[:, None] + square[None] - 2 * some @ data.T, 0)
                     order = np.lexsort((np.broadcast_to(own, d2.shape), np.round(d2, 9)), axis=1)[:, :k]
                     n = order.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], n).astype(np.int64)), pa.array(own[order].ravel()), pa.array(np.sqrt(np.take_along_axis(d2, order, 1)).ravel())], names=["query_id", "vec_id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + BLOCK], n)), pa.array(own[order].ravel()), pa.array(np.sqrt(np.take_along_axis(d2, order, 1)).ravel())], names=["query_id", "vec_id", "distance"])
 
-        near = vectors.select(F.col(vec_id).cast("long"), vector).where(F.col(vector).isNotNull()).mapInArrow(run, "query_id long, vec_id long, distance double")
-        out = near if out is None else out.union(near)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
+    near = dealt.repartition("part").sortWithinPartitions("part", "side").mapInArrow(run, "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 6), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def number_sources(turns: DataFrame, conversation: str = "conv_id", order: tuple[str, ...] = ("turn", "rank")) -> DataFrame:
