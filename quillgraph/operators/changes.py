@@ -45,6 +45,7 @@ def version_files(spark: SparkSession, root: str, version: str) -> dict:
 
 
 def restore(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The rows of one version; a version that is not there stops the job."""
     return spark.read.parquet(f"{root}/version={version}")
 
 
@@ -68,7 +69,8 @@ def drop_versions(spark: SparkSession, root: str, versions: DataFrame, most: int
 
 
 def list_versions(versions: DataFrame, limit: int = 20) -> DataFrame:
-    return versions.orderBy(F.col("created_at").desc(), "version_id").limit(limit)
+    """The newest versions first, ties by name; a version without a time comes last."""
+    return versions.orderBy(F.col("created_at").desc_nulls_last(), "version_id").limit(limit)
 
 
 def retain(versions: DataFrame, most: int = 50) -> DataFrame:

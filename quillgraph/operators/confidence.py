@@ -428,6 +428,7 @@ def parse_classification(df: DataFrame, id_col: str, json_col: str, query_col: s
 
 
 def routing_strategy(query_type: Column, confidence: Column, high: float = 0.8) -> Column:
+    """Where a question goes: one source alone if its type is sure, else that source first; both for hybrid ones. Unknown and null types begin with the knowledge base; a null confidence is not sure."""
     sure = confidence >= high
     return (
         F.when(query_type == "knowledge_base", F.when(sure, "kb_only").otherwise("kb_first"))

@@ -241,6 +241,7 @@ def satisfaction(criteria_share: Column, accuracy: Column, seconds: Column, cite
 
 
 def satisfaction_histogram(scores: DataFrame, col: str = "score") -> DataFrame:
+    """Number and per cent of the scores in four bands; bands without a score have no row, null scores are poor. No rows give no rows."""
     band = F.when(F.col(col) >= 4.5, "excellent").when(F.col(col) >= 3.5, "good").when(F.col(col) >= 2.5, "fair").otherwise("poor")
     rows = scores.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
     return rows.crossJoin(F.broadcast(scores.agg(F.count("*").alias("t")))).select("band", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))  # one row on the right

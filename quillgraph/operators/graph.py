@@ -94,10 +94,12 @@ def graph_statistics(items: DataFrame, type_col: str) -> DataFrame:
 
 
 def list_graphs(items: DataFrame) -> DataFrame:
+    """The names of all graphs in order, each once; rows without a graph are one, listed first."""
     return items.select("graph_id").distinct().orderBy("graph_id")
 
 
 def drop_graph(items: DataFrame, graph_id: str) -> DataFrame:
+    """The rows of all other graphs; rows without a graph stay. ``sources.files.drop_stored_graph`` deletes one in storage."""
     return items.where(~F.col("graph_id").eqNullSafe(graph_id))
 
 

@@ -41,10 +41,12 @@ def counter_series(events: DataFrame, name: str = "name", ts: str = "ts", value:
 
 
 def gauge_latest(events: DataFrame, name: str = "name", ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
+    """The last value of each gauge, by time and tie; events without a time come before all others, a null name is a gauge. No rows give no rows."""
     return events.groupBy(name).agg(F.max_by(value, F.struct(ts, tie)).alias("value"), F.max(ts).alias("ts"))
 
 
 def metric_history(events: DataFrame, wanted: str, since: str, name: str = "name", ts: str = "ts") -> DataFrame:
+    """The events of one metric since a time, that time included; events without a name or a time are in no history. Repeated events stay."""
     return events.where((F.col(name) == wanted) & (F.col(ts) >= F.lit(since).cast("timestamp")))
 
 
@@ -65,6 +67,7 @@ def operation_metrics(timings: DataFrame, last_n: int = 1000, salts: int = 16) -
 
 
 def performance_summary(metrics: DataFrame) -> DataFrame:
+    """One row: calls, per cent of failures and number of operations; without calls the first two are null. ``views.worst_operations`` has the slowest."""
     return metrics.agg(F.sum("calls").alias("calls"), F.round(100.0 * F.sum("failed") / F.sum("calls"), 6).alias("error_percent"), F.count("*").alias("operations"))
 
 
