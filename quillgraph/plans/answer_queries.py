@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
-from quillgraph.operators import answers, extract, graphsets
+from quillgraph.operators import answers, extract, graphsets, retrieve
 from quillgraph.plans.graph_queries import _STOP
 from quillgraph.plans.registry import query, table
 from quillgraph.runtime import materialise
@@ -128,6 +128,14 @@ from w
 """
 
 
+@query(_ANSWER[: _ANSWER.index("both_ as materialized")].rstrip().rstrip(",") + " select query_id, rank::int as rank, item_id node_id, round(relevance, 6) relevance from hits")
+def question_hits(spark, sf_dir):
+    """The best nodes of the graph of all documents for each benchmark question that can be asked."""
+    asked = questions_of(spark, sf_dir).where((F.trim("question") != "") & (F.length("question") <= LONGEST))
+    nodes = knowledge_of(spark, sf_dir).nodes.withColumnRenamed("item_id", "node_id").withColumn("context", F.lit(""))
+    return retrieve.semantic_search(asked, nodes, THRESHOLD).withColumn("relevance", F.round("relevance", 6))
+
+
 @query(_ANSWER)
 def answered_questions(spark, sf_dir):
     """All benchmark questions against the graph of all documents."""
