@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 
 
 def first_of_runs(values: np.ndarray) -> np.ndarray:
@@ -16,3 +21,22 @@ def sorted_distinct(values: np.ndarray) -> np.ndarray:
     """The distinct values in order: by sorting alone, several times faster on long integer arrays than ``np.unique``."""
     values = np.sort(values)
     return values[first_of_runs(values)]
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow`` that hands its memory back to the system when a task ends.
+
+    Workers wait for their next task, of this stage or another one: what their allocators keep is lost to the other workers and to the executor.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.arrays import first_of_runs, sorted_distinct
+from quillgraph.llm.arrays import first_of_runs, giving_back, sorted_distinct
 from quillgraph.runtime import materialise
 
 #: Words of a passage, and of the step from one passage to the next.
@@ -65,7 +65,7 @@ def _encode(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 rows.append(row.tobytes() if (row >= 0).any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, words binary").where("words is not null")
+    return docs.mapInArrow(giving_back(run), "doc_id long, words binary").where("words is not null")
 
 
 @dataclass
@@ -153,7 +153,7 @@ def _frequencies(encoded: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
     out = np.zeros(size + 1)
-    for row in encoded.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row for each word of the benchmark
+    for row in encoded.mapInArrow(giving_back(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row for each word of the benchmark
         out[row["word"]] = row["n"]
     return out
 
@@ -202,7 +202,7 @@ def _gather(encoded: DataFrame, weight: np.ndarray, basis: np.ndarray, wide: boo
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["row", "part"])
 
     out = np.zeros((rows, columns))
-    summed = encoded.mapInArrow(run, "row long, part binary").repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, part binary")
+    summed = encoded.mapInArrow(giving_back(run), "row long, part binary").repartition("row").sortWithinPartitions("row").mapInArrow(giving_back(add), "row long, part binary")
     for row in summed.collect():  # one row for each word or dimension
         out[row["row"]] = np.frombuffer(row["part"])
     return out
@@ -284,7 +284,7 @@ def _search(encoded: DataFrame, space: Space, items: list[tuple[int, list[int]]]
             names = [c.split()[0] for c in HIT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    return encoded.mapInArrow(run, HIT)
+    return encoded.mapInArrow(giving_back(run), HIT)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.arrays import sorted_distinct
+from quillgraph.llm.arrays import giving_back, sorted_distinct
 from quillgraph.llm.components import connected_components
 from quillgraph.runtime import materialise
 
@@ -93,7 +93,7 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t, n, words) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n_shingles long, node long")
 
 
 _SENT = "range long, chunk long, tokens binary, owners binary"
@@ -150,7 +150,7 @@ def _sent(docs: DataFrame, n: int, ranges: int) -> DataFrame:
         if nodes:
             yield chunk_rows(task << 32 | made, nodes, sets)
 
-    return docs.mapInArrow(run, _SENT)
+    return docs.mapInArrow(giving_back(run), _SENT)
 
 
 def _shared(sent: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _shared(sent: DataFrame) -> DataFrame:
         if len(rows) > 1:
             yield counted(rows)
 
-    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(run, _SHARED)
+    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(giving_back(run), _SHARED)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _summed(parts: DataFrame) -> DataFrame:
         if now is not None:
             yield done()
 
-    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "node long, n long, shared long")
+    return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(giving_back(run), "node long, n long, shared long")
 
 
 def _survivors(docs: DataFrame, n: int, per_cent: int, tokens: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     small = members.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(members) if small else members, "doc_id").select("doc_id", "text", "node", "copies")
-    return texts.mapInArrow(run, "node long, copies long, tokens binary")
+    return texts.mapInArrow(giving_back(run), "node long, copies long, tokens binary")
 
 
 def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def prefix_of(tokens: np.ndarray, times: np.ndarray, size: int, per_cent: int) -
 
 def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
     """(key, node): the prefix tokens of each set, counted over the given sets."""
-    spelt = sets.select("node", "tokens").mapInArrow(_spelt, "token long, node long, n long")
+    spelt = sets.select("node", "tokens").mapInArrow(giving_back(_spelt), "token long, node long, n long")
     times = spelt.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     known = spelt.join(times, "token")
 
@@ -293,7 +293,7 @@ def _prefixes(sets: DataFrame, per_cent: int) -> DataFrame:
             yield prefix(now, size, tokens, times)
 
     dealt = known.select("token", "node", "n", "times").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "key long, node long")
+    return dealt.mapInArrow(giving_back(run), "key long, node long")
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -402,7 +402,7 @@ def _links(dealt: DataFrame, per_cent: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return dealt.mapInArrow(run, "node long, root long, linked long")
+    return dealt.mapInArrow(giving_back(run), "node long, root long, linked long")
 
 
 def _deal(sets: DataFrame, members: DataFrame) -> DataFrame:

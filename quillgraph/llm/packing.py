@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillgraph.llm.arrays import giving_back
 from quillgraph.runtime import materialise
 
 SEQUENCE = 2048
@@ -128,7 +129,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None = END_ID, sequence:
                     types = [pa.int64()] * 4 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=["doc_id", "doc_tokens", "start", "length", "ids"])
 
-    return docs.mapInArrow(run, PIECE)
+    return docs.mapInArrow(giving_back(run), PIECE)
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

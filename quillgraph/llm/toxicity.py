@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.arrays import giving_back
 from quillgraph.runtime import materialise
 
 #: Labelled rows that are used at most (those with the smallest hashes), of each class.
@@ -26,6 +27,8 @@ MAX_ROWS = 20_000
 #: A word or bigram in fewer labelled texts than this is rare: it is left to the shared backoff. The sample bounds the others.
 RARE = 3
 DISCOUNT = 0.75
+#: Grams that a task counts before it hands them on.
+HELD = 150_000
 #: Distinct words that a text's most toxic expressions are taken from.
 STRONGEST = 3
 THRESHOLD = 0.7
@@ -102,11 +105,11 @@ def _counted(rows: DataFrame, grams, kind: pa.DataType, schema: str) -> DataFram
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 held[toxic].update(grams(text.as_py()))
-                if len(held[0]) + len(held[1]) > 500_000:
+                if len(held[0]) + len(held[1]) > HELD:
                     yield flush()
         yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, schema).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    return rows.select("text", "toxic").mapInArrow(giving_back(run), schema).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def _corpus_counts(docs: DataFrame, ids: dict[str, int]) -> np.ndarray:
@@ -126,7 +129,7 @@ def _corpus_counts(docs: DataFrame, ids: dict[str, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
     out = np.zeros(size)
-    for row in docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in docs.mapInArrow(giving_back(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row["word"]] = row["n"]
     return out
 
@@ -217,7 +220,7 @@ def _features(docs: DataFrame, model: Model) -> DataFrame:
             found = np.array([held.value.features(v.as_py()) for v in batch.column(1)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in (0, 1, 2)), pa.array(held.value.score(found))], names=["doc_id", "whole", "few", "one", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, whole double, few double, one double, score double")
+    return docs.mapInArrow(giving_back(run), "doc_id long, whole double, few double, one double, score double")
 
 
 def held_out(id_col: Column) -> Column:
@@ -251,7 +254,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             known = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array((held.value.score(found) < threshold) | ~known))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
