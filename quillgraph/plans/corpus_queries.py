@@ -42,8 +42,12 @@ def document_titles(spark, sf_dir):
 
 
 @query(
-    "with d as (select doc_id, 'A title of document ' || doc_id || chr(10) || case when doc_id % 3 = 0 then 'Authors: Ann Lee; Bo, Cy Dee and ' || source || chr(10) else '' end || 'Abstract: ' || coalesce(text, '') || chr(10) || case when doc_id % 2 = 0 then 'Keywords' else 'Introduction' end t from documents where not regexp_matches(coalesce(text, ''), '(?i)abstract|keywords|introduction|background|1\\.|affiliation|by|author')) "
-    "select doc_id, 'A title of document ' || doc_id title, md5(trim(trim(regexp_extract(t, '(?is)abstract\\s*:?\\s*(.*?)\\n\\s*(?:keywords|introduction)', 1))[1:1000])) digest, case when doc_id % 3 = 0 then array_to_string(list_filter(['Ann Lee', 'Cy Dee', regexp_extract(t, ' and ([^\\n]*)', 1)], lambda a: length(a) > 2), '|') else '' end authors from d"
+    "with d as (select doc_id, 'A title of document ' || doc_id || chr(10) || case when doc_id % 3 = 0 then 'Authors: Ann Lee; Bo, Cy Dee and ' || source || chr(10) else '' end "
+    "|| 'Abstract: ' || coalesce(text, '') || chr(10) || case when doc_id % 2 = 0 then 'Keywords' else 'Introduction' end t from documents where not regexp_matches(coalesce(text, "
+    "''), '(?i)abstract|keywords|introduction|background|1\\.|affiliation|by|author')) "
+    "select doc_id, 'A title of document ' || doc_id title, md5(trim(trim(regexp_extract(t, '(?is)abstract\\s*:?\\s*(.*?)\\n\\s*(?:keywords|introduction)', 1))[1:1000])) digest, "
+    "case when doc_id % 3 = 0 then array_to_string(list_filter(['Ann Lee', 'Cy Dee', regexp_extract(t, ' and ([^\\n]*)', 1)], lambda a: length(a) > 2), '|') else '' end authors "
+    "from d"
 )
 def document_sections(spark, sf_dir):
     """Title, abstract and authors of documents that are laid out as articles."""
@@ -112,7 +116,10 @@ def language_scores(spark, sf_dir):
     return rows.select("doc_id", F.col("lang").alias("guess"), F.round("score", 6).alias("score"))
 
 
-@query(f"with {_SCORES} select lang, count(*) n, round(avg(case when guess = lang then 1.0 else 0.0 end), 6) accuracy from (select doc_id, case when max(score) > 0.5 then arg_max(guess, score) else 'en' end guess from scores group by doc_id) join documents using (doc_id) group by rollup (lang)")
+@query(
+    f"with {_SCORES} select lang, count(*) n, round(avg(case when guess = lang then 1.0 else 0.0 end), 6) accuracy from (select doc_id, case when max(score) > 0.5 then arg_max(guess, "
+    f"score) else 'en' end guess from scores group by doc_id) join documents using (doc_id) group by rollup (lang)"
+)
 def language_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     picked = corpus.pick_language(corpus.language_scores(docs, PROFILES)).select("doc_id", F.col("lang").alias("guess"))
@@ -186,7 +193,8 @@ RAW = (
     "terms(term, kind) as (values " + ", ".join(f"('{t.lower()}', '{kind}')" for kind, ts in RAW_TERMS.items() for t in ts) + "), "
     "cutup as (select doc_id, text, term, kind, string_split(lower(text), term) p from documents, terms where contains(lower(text), term)), "
     "spots as (select doc_id, text, term, kind, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(term)))::bigint start_pos from cutup), "
-    f"raw as materialized (select doc_id, text[start_pos + 1:start_pos + length(term)] text, kind entity_type, start_pos, start_pos + length(term) end_pos from spots where not regexp_matches(coalesce(text[start_pos:start_pos], ''), {_ALNUM}) and not regexp_matches(coalesce(text[start_pos + length(term) + 1:start_pos + length(term) + 1], ''), {_ALNUM}))"
+    f"raw as materialized (select doc_id, text[start_pos + 1:start_pos + length(term)] text, kind entity_type, start_pos, start_pos + length(term) end_pos from spots where not "
+    f"regexp_matches(coalesce(text[start_pos:start_pos], ''), {_ALNUM}) and not regexp_matches(coalesce(text[start_pos + length(term) + 1:start_pos + length(term) + 1], ''), {_ALNUM}))"
 )
 
 
@@ -217,7 +225,9 @@ _PATTERN_ROWS = ", ".join("('" + p.replace("'", "''") + f"', '{kind}')" for kind
 
 
 @query(
-    f"with p(pattern, kind) as (values {_PATTERN_ROWS}) select doc_id, kind entity_type, m as text, count(*) n from (select doc_id, kind, unnest(regexp_extract_all(t, '(?i)' || pattern)) m from (select doc_id, regexp_replace(text, '[\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}\\x{{400}}-\\x{{4FF}}\\x{{3040}}-\\x{{9FFF}}]', 'q', 'g') t from documents), p) group by all"
+    f"with p(pattern, kind) as (values {_PATTERN_ROWS}) select doc_id, kind entity_type, m as text, count(*) n from (select doc_id, kind, unnest(regexp_extract_all(t, '(?i)' || "
+    f"pattern)) m from (select doc_id, regexp_replace(text, '[\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}\\x{{400}}-\\x{{4FF}}\\x{{3040}}-\\x{{9FFF}}]', 'q', 'g') "
+    f"t from documents), p) group by all"
 )
 def raw_patterns(spark, sf_dir):
     """The default patterns and one for numbers in raw texts."""
@@ -225,14 +235,20 @@ def raw_patterns(spark, sf_dir):
     return found.groupBy("doc_id", "entity_type", "text").agg(F.count("*").alias("n"))
 
 
-_WIDE = f"{RAW}, wide as (select doc_id, text[greatest(start_pos - 7, 1):end_pos + 3 * (start_pos % 3)] text, 'wide' entity_type, greatest(start_pos - 8, 0) start_pos, least(end_pos + 3 * (start_pos % 3), length(text)) end_pos, 0.5 + (start_pos % 5) / 10 confidence from (select raw.* replace (documents.text as text) from raw join documents using (doc_id)))"
+_WIDE = (
+    f"{RAW}, wide as (select doc_id, text[greatest(start_pos - 7, 1):end_pos + 3 * (start_pos % 3)] text, 'wide' entity_type, greatest(start_pos - 8, 0) start_pos, least(end_pos "
+    f"+ 3 * (start_pos % 3), length(text)) end_pos, 0.5 + (start_pos % 5) / 10 confidence from (select raw.* replace (documents.text as text) from raw join documents using (doc_id)))"
+)
 
 
 @query(
-    f"with recursive {_WIDE}, every as (select distinct doc_id, text, entity_type, start_pos, end_pos, confidence from (select doc_id, text, entity_type, start_pos, end_pos, 0.8 confidence from raw union all select doc_id, text, entity_type, start_pos, end_pos, confidence from wide)), "
+    f"with recursive {_WIDE}, every as (select distinct doc_id, text, entity_type, start_pos, end_pos, confidence from (select doc_id, text, entity_type, start_pos, end_pos, 0.8 "
+    f"confidence from raw union all select doc_id, text, entity_type, start_pos, end_pos, confidence from wide)), "
     "o as materialized (select *, row_number() over (partition by doc_id order by start_pos, entity_type, end_pos desc, text, confidence) n from every), "
     "sweep as (select doc_id, n, n k, end_pos, confidence, null::bigint done from o where n = 1 union all "
-    "select o.doc_id, o.n, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.n else s.k end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.end_pos else s.end_pos end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.confidence else s.confidence end, case when s.end_pos <= o.start_pos then s.k end from sweep s join o on o.doc_id = s.doc_id and o.n = s.n + 1), "
+    "select o.doc_id, o.n, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.n else s.k end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence "
+    "then o.end_pos else s.end_pos end, case when s.end_pos <= o.start_pos or o.confidence > s.confidence then o.confidence else s.confidence end, case when s.end_pos <= o.start_pos "
+    "then s.k end from sweep s join o on o.doc_id = s.doc_id and o.n = s.n + 1), "
     "kept as (select doc_id, done n from sweep where done is not null union all select doc_id, arg_max(k, n) from sweep group by doc_id) select doc_id, text, entity_type, start_pos, end_pos, round(confidence, 6) confidence from kept join o using (doc_id, n)"
 )
 def swept_mentions(spark, sf_dir):
@@ -247,7 +263,8 @@ def swept_mentions(spark, sf_dir):
 
 
 @query(
-    f"with {RAW} select a.doc_id, a.start_pos a_start_pos, b.start_pos b_start_pos, a.text a_text, b.text b_text, md5(d.text[greatest(a.start_pos - 20, 0) + 1:b.start_pos + length(b.text) + 20]) digest from raw a join raw b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 150 join documents d on d.doc_id = a.doc_id"
+    f"with {RAW} select a.doc_id, a.start_pos a_start_pos, b.start_pos b_start_pos, a.text a_text, b.text b_text, md5(d.text[greatest(a.start_pos - 20, 0) + 1:b.start_pos + length(b.text) "
+    f"+ 20]) digest from raw a join raw b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 150 join documents d on d.doc_id = a.doc_id"
 )
 def cooccurrence_evidence(spark, sf_dir):
     """The text around each pair of mentions at most 150 characters apart."""
@@ -263,7 +280,8 @@ _CAPTURED = r"(?i)\b(?:with|from)\b[^\p{L}\p{N}_]+[\p{L}\p{N}_]+[^\p{L}\p{N}_]+(
     f"with {RAW}, c as (select doc_id, unnest(regexp_extract_all(text, '{_CAPTURED}')) e from documents), "
     "w as (select doc_id, e, regexp_extract(e, '^([A-Za-z]+)', 1) l, regexp_extract(e, '([A-Za-z]+)$', 1) r from c), "
     "f as (select doc_id, lower(text) low, min(start_pos) start_pos from raw group by all) "
-    "select w.doc_id, l as \"left\", r as \"right\", 'near' relation_type, x.start_pos source_pos, y.start_pos target_pos from w join f x on x.doc_id = w.doc_id and x.low = lower(l) join f y on y.doc_id = w.doc_id and y.low = lower(r) where x.start_pos <> y.start_pos"
+    "select w.doc_id, l as \"left\", r as \"right\", 'near' relation_type, x.start_pos source_pos, y.start_pos target_pos from w join f x on x.doc_id = w.doc_id and x.low = lower(l) "
+    "join f y on y.doc_id = w.doc_id and y.low = lower(r) where x.start_pos <> y.start_pos"
 )
 def pattern_relations(spark, sf_dir):
     """Relations 'x the y' between captured words that are mentions."""
@@ -284,7 +302,11 @@ def cooccurrence(spark, sf_dir):
     return rows.select("doc_id", "a_text", "a_start_pos", "b_text", "b_start_pos", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"with {MENTIONS}, p as (select a.doc_id from mentions a join mentions b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 10) select doc_id, length(text)::bigint n_chars, coalesce(m.n, 0)::bigint n_mentions, coalesce(p.n, 0)::bigint n_relations from documents left join (select doc_id, count(*) n from mentions group by 1) m using (doc_id) left join (select doc_id, count(*) n from p group by 1) p using (doc_id)")
+@query(
+    f"with {MENTIONS}, p as (select a.doc_id from mentions a join mentions b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= 10) select doc_id, "
+    f"length(text)::bigint n_chars, coalesce(m.n, 0)::bigint n_mentions, coalesce(p.n, 0)::bigint n_relations from documents left join (select doc_id, count(*) n from mentions "
+    f"group by 1) m using (doc_id) left join (select doc_id, count(*) n from p group by 1) p using (doc_id)"
+)
 def extraction_stats(spark, sf_dir):
     m = mentions_of(spark, sf_dir)
     return extract.extraction_stats(table(spark, sf_dir, "documents"), m, extract.cooccurrence(m, 10))
@@ -295,7 +317,11 @@ def article_text(spark, sf_dir):
     return files.article_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("with o as (select doc_id::varchar path, sha256(text) h from documents where doc_id % 10 <> 3), n as (select doc_id::varchar path, sha256(case when doc_id % 10 = 5 then text || '!' else text end) h from documents where doc_id % 10 <> 7) select path, case when o.h is null then 'new' when n.h is null then 'deleted' else 'modified' end change from o full join n using (path) where o.h is distinct from n.h")
+@query(
+    "with o as (select doc_id::varchar path, sha256(text) h from documents where doc_id % 10 <> 3), n as (select doc_id::varchar path, sha256(case when doc_id % 10 = 5 then text "
+    "|| '!' else text end) h from documents where doc_id % 10 <> 7) select path, case when o.h is null then 'new' when n.h is null then 'deleted' else 'modified' end change from "
+    "o full join n using (path) where o.h is distinct from n.h"
+)
 def diff_manifest(spark, sf_dir):
     """Yesterday's corpus lacks ids that end in 3; today's lacks those in 7, and those in 5 changed."""
     docs, d = table(spark, sf_dir, "documents"), F.col("doc_id") % 10
@@ -330,7 +356,11 @@ def retained_versions(spark, sf_dir):
     return changes.retain(_versions(spark, sf_dir), 10).select("version_id")
 
 
-@query("select user_id operation_id, last_status status, round(100.0 * n_ok / n, 6) progress  , seconds as seconds, round(n_ok / n, 6) success_rate from (select user_id, arg_max(event_type, (ts, event_type)) last_status, count_if(event_type <> 'error') n_ok, count(*) n, (max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000)) as seconds from events group by 1)")
+@query(
+    "select user_id operation_id, last_status status, round(100.0 * n_ok / n, 6) progress  , seconds as seconds, round(n_ok / n, 6) success_rate from (select user_id, arg_max(event_type, "
+    "(ts, event_type)) last_status, count_if(event_type <> 'error') n_ok, count(*) n, (max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000)) as seconds from events group "
+    "by 1)"
+)
 def operation_progress(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     totals = e.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("completed"))

@@ -11,7 +11,10 @@ from quillgraph.plans.registry import query, table
 
 WINDOW = 10
 _ID = "md5(entity_type || ':' || text)[1:16]"
-_PAIRS = f"{MENTIONS}, m as (select *, {_ID} node_id from mentions), rel as (select a.doc_id, a.node_id src, b.node_id dst, greatest(0.3, 0.7 - (b.start_pos - a.start_pos) / 10 * 0.4) confidence from m a join m b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= {WINDOW} where a.node_id <> b.node_id)"
+_PAIRS = (
+    f"{MENTIONS}, m as (select *, {_ID} node_id from mentions), rel as (select a.doc_id, a.node_id src, b.node_id dst, greatest(0.3, 0.7 - (b.start_pos - a.start_pos) / 10 * 0.4) "
+    f"confidence from m a join m b on a.doc_id = b.doc_id and b.start_pos > a.start_pos and b.start_pos - a.start_pos <= {WINDOW} where a.node_id <> b.node_id)"
+)
 _NODES = "nodes as (select node_id, min(text) text, min(entity_type) node_type, max(confidence) confidence, count(*) n_mentions, count(distinct doc_id) n_documents from m group by 1)"
 _EDGES = "edges as (select md5(src || ':' || dst || ':co_occurs_with')[1:16] edge_id, src, dst, max(confidence) confidence, count(*) n_relations, count(distinct doc_id) n_documents from rel group by all)"
 
@@ -36,7 +39,12 @@ def build_edges(spark, sf_dir):
     return graph.build_edges(relations_of(spark, sf_dir)).drop("edge_type").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("with r as (select o_orderkey relation_id, o_custkey doc_id, lower(o_orderpriority || ' ' || o_orderstatus) evidence from orders), n as (select c_custkey doc_id, unnest([c_custkey * 10, c_custkey * 10 + 1, c_custkey * 10 + 2]) node_id, unnest(['urgent', 'high medium', 'o f p']) text from customer), hit as (select distinct r.relation_id, r.doc_id, node_id from r join n using (doc_id) where len(list_filter(string_split(text, ' '), lambda w: contains(evidence, w))) > 0), k as (select *, row_number() over (partition by relation_id order by node_id) i from hit) select relation_id, min(node_id) src, max(node_id) dst from k where i <= 2 group by 1 having count(*) = 2")
+@query(
+    "with r as (select o_orderkey relation_id, o_custkey doc_id, lower(o_orderpriority || ' ' || o_orderstatus) evidence from orders), n as (select c_custkey doc_id, unnest([c_custkey "
+    "* 10, c_custkey * 10 + 1, c_custkey * 10 + 2]) node_id, unnest(['urgent', 'high medium', 'o f p']) text from customer), hit as (select distinct r.relation_id, r.doc_id, node_id "
+    "from r join n using (doc_id) where len(list_filter(string_split(text, ' '), lambda w: contains(evidence, w))) > 0), k as (select *, row_number() over (partition by relation_id "
+    "order by node_id) i from hit) select relation_id, min(node_id) src, max(node_id) dst from k where i <= 2 group by 1 having count(*) = 2"
+)
 def resolve_by_evidence(spark, sf_dir):
     relations = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("relation_id"), F.col("o_custkey").alias("doc_id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("evidence"))
     c = F.col("c_custkey")
@@ -49,7 +57,11 @@ def _half(spark, sf_dir, odd):
     return graph.build_nodes(m.where("doc_id % 4 <= 1 or text <> 'with'") if odd == 0 else m)
 
 
-@query(f"with {_PAIRS}, a as (select distinct node_id from m where doc_id % 2 = 0 and text <> 'with'), b as (select distinct node_id from m where doc_id % 2 = 1) select b.node_id, 0.8::double confidence, a.node_id is null created, 1::bigint updates from b left join a using (node_id) union all select a.node_id, 0.8, false, 0 from a anti join b using (node_id)")
+@query(
+    f"with {_PAIRS}, a as (select distinct node_id from m where doc_id % 2 = 0 and text <> 'with'), b as (select distinct node_id from m where doc_id % 2 = 1) select b.node_id, "
+    f"0.8::double confidence, a.node_id is null created, 1::bigint updates from b left join a using (node_id) union all select a.node_id, 0.8, false, 0 from a anti join b using "
+    f"(node_id)"
+)
 def upsert_graph(spark, sf_dir):
     m = mentions_of(spark, sf_dir)
     old = graph.build_nodes(m.where("doc_id % 2 = 0 and text <> 'with'"))
@@ -78,16 +90,26 @@ def list_and_drop_graphs(spark, sf_dir):
     return graph.list_graphs(graph.drop_graph(rows, "CHINA"))
 
 
-@query("select p_partkey, round(case when len(u) = 0 then 1.0 else len(i) / len(u) end, 6) similarity from (select p_partkey, list_intersect(a, b) i, list_distinct(a || b) u from (select p_partkey, list_distinct(string_split(lower(p_type), ' ')) a, list_distinct(string_split(lower(p_name || ' brass tin'), ' ')) b from part))")
+@query(
+    "select p_partkey, round(case when len(u) = 0 then 1.0 else len(i) / len(u) end, 6) similarity from (select p_partkey, list_intersect(a, b) i, list_distinct(a || b) u from "
+    "(select p_partkey, list_distinct(string_split(lower(p_type), ' ')) a, list_distinct(string_split(lower(p_name || ' brass tin'), ' ')) b from part))"
+)
 def text_jaccard(spark, sf_dir):
     score = T.text_jaccard(F.col("p_type"), F.concat("p_name", F.lit(" brass tin")))
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("similarity"))
 
 
-_SETS = "t as (select min(item_id) rep, s from (select item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) s from benchmark union all select 100000 + doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) from documents) where len(s) > 0 group by s)"
+_SETS = (
+    "t as (select min(item_id) rep, s from (select item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) s from benchmark "
+    "union all select 100000 + doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) from documents) where len(s) > 0 group "
+    "by s)"
+)
 
 
-@query(f"with {_SETS} select a.rep a, b.rep b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) similarity from t a join t b on a.rep < b.rep and len(a.s) >= 0.79 * len(b.s) and len(b.s) >= 0.79 * len(a.s) where round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) >= 0.8")
+@query(
+    f"with {_SETS} select a.rep a, b.rep b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) similarity from t a join t b on a.rep < b.rep and len(a.s) "
+    f">= 0.79 * len(b.s) and len(b.s) >= 0.79 * len(a.s) where round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 6) >= 0.8"
+)
 def similar_nodes(spark, sf_dir):
     """All documents and benchmark items as nodes."""
     nodes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").union(table(spark, sf_dir, "documents").select(F.col("doc_id") + 100000, "text"))
@@ -101,7 +123,11 @@ def remove_documents(spark, sf_dir):
     return graph.remove_documents(graph.node_documents(m), graph.build_edges(relations_of(spark, sf_dir)), gone)[0]
 
 
-_SUPPLY = "e as (select distinct 'p' || l_partkey src, 's' || l_suppkey dst from lineitem), b as (select src, dst from e union select dst, src from e), s as (select 's' || s_suppkey node_id, s_suppkey query_id from supplier where s_suppkey % 10 = 0), h1 as (select distinct query_id, b.dst node_id from s join b on b.src = s.node_id), h2 as (select distinct query_id, b.dst node_id from h1 join b on b.src = h1.node_id)"
+_SUPPLY = (
+    "e as (select distinct 'p' || l_partkey src, 's' || l_suppkey dst from lineitem), b as (select src, dst from e union select dst, src from e), s as (select 's' || s_suppkey "
+    "node_id, s_suppkey query_id from supplier where s_suppkey % 10 = 0), h1 as (select distinct query_id, b.dst node_id from s join b on b.src = s.node_id), h2 as (select distinct "
+    "query_id, b.dst node_id from h1 join b on b.src = h1.node_id)"
+)
 
 
 def _supply(spark, sf_dir):
@@ -117,13 +143,21 @@ def traverse(spark, sf_dir):
     return graph.traverse(starts, edges, 2)
 
 
-@query(f"with {_SUPPLY}, r as (select query_id, node_id, min(d) d from (select query_id, node_id, 0 d from s union all select query_id, node_id, 1 from h1) group by all) select x.query_id, e.src, e.dst from e join r x on x.node_id = e.src join r y on y.node_id = e.dst and y.query_id = x.query_id where least(x.d, y.d) < 1")
+@query(
+    f"with {_SUPPLY}, r as (select query_id, node_id, min(d) d from (select query_id, node_id, 0 d from s union all select query_id, node_id, 1 from h1) group by all) select x.query_id, "
+    f"e.src, e.dst from e join r x on x.node_id = e.src join r y on y.node_id = e.dst and y.query_id = x.query_id where least(x.d, y.d) < 1"
+)
 def traversed_edges(spark, sf_dir):
     edges, starts = _supply(spark, sf_dir)
     return graph.traversed_edges(graph.traverse(starts, edges, 1), edges, 1).select("query_id", "src", "dst")
 
 
-_PATHS = f"{_SUPPLY}, p0 as (select query_id, node_id, [node_id] path from s), p1 as (select query_id, dst node_id, min(list_append(path, dst)) path from p0 join b on src = node_id group by all), p2 as (select query_id, dst node_id, min(list_append(path, dst)) path from p1 join b on src = node_id where not exists (select 1 from p0 where p0.query_id = p1.query_id and p0.node_id = dst) and not exists (select 1 from p1 q where q.query_id = p1.query_id and q.node_id = dst) group by all), reached as (select *, 0 depth from p0 union all select *, 1 from p1 union all select *, 2 from p2)"
+_PATHS = (
+    f"{_SUPPLY}, p0 as (select query_id, node_id, [node_id] path from s), p1 as (select query_id, dst node_id, min(list_append(path, dst)) path from p0 join b on src = node_id "
+    f"group by all), p2 as (select query_id, dst node_id, min(list_append(path, dst)) path from p1 join b on src = node_id where not exists (select 1 from p0 where p0.query_id "
+    f"= p1.query_id and p0.node_id = dst) and not exists (select 1 from p1 q where q.query_id = p1.query_id and q.node_id = dst) group by all), reached as (select *, 0 depth from "
+    f"p0 union all select *, 1 from p1 union all select *, 2 from p2)"
+)
 
 
 @query(f"with {_PATHS} select query_id, node_id, depth, array_to_string(path, '>') path from reached")
@@ -167,7 +201,11 @@ def _part_nodes(spark, sf_dir):
 
 
 _ASKED = f"q as (select p_partkey query_id, {_TERMS.replace('text', 'p_name')} terms from part where p_partkey % 100 = 0)"
-_SEARCH = f"{_ASKED}, n as (select p_partkey node_id, lower(p_name || ' ' || p_type) body, p_size / 50.0 c from part), sc as (select query_id, node_id, least(len(list_filter(terms, lambda t: contains(body, t))) / len(terms) * (0.8 + 0.2 * c), 1.0) relevance from q, n where len(terms) > 0), hits as (select query_id, row_number() over (partition by query_id order by relevance desc, node_id) as rank, node_id, relevance from sc where relevance >= 0.3 qualify rank <= 10)"
+_SEARCH = (
+    f"{_ASKED}, n as (select p_partkey node_id, lower(p_name || ' ' || p_type) body, p_size / 50.0 c from part), sc as (select query_id, node_id, least(len(list_filter(terms, lambda "
+    f"t: contains(body, t))) / len(terms) * (0.8 + 0.2 * c), 1.0) relevance from q, n where len(terms) > 0), hits as (select query_id, row_number() over (partition by query_id "
+    f"order by relevance desc, node_id) as rank, node_id, relevance from sc where relevance >= 0.3 qualify rank <= 10)"
+)
 
 
 @query("select p_partkey, round(least(((contains(b, 'small'))::int + contains(b, 'ring')::int + contains(b, 'tin')::int) / 3 * (0.8 + 0.2 * p_size / 50.0), 1.0), 6) relevance from (select *, lower(p_name || ' ' || p_type) b from part)")
@@ -212,7 +250,8 @@ _SURE = "(p_size % 2 = 1)"
 
 
 @query(
-    "select p_partkey, kind, case kind when 'definition' then p_name || ' is ' || p_type || case when p_size > 25 then '. It is related to second (pathway)' else '' end || case when p_size % 2 = 1 then '. Key relationships include: ' || p_brand else '' end || '.' "
+    "select p_partkey, kind, case kind when 'definition' then p_name || ' is ' || p_type || case when p_size > 25 then '. It is related to second (pathway)' else '' end || case "
+    "when p_size % 2 = 1 then '. Key relationships include: ' || p_brand else '' end || '.' "
     f"when 'mechanism' then 'The mechanism involves second. more' || case when {_REL} in ('causes', 'regulates') then '. ' || p_brand else '' end || '.' "
     f"when 'causal' then case when {_REL} = 'causes' then p_brand || '. ' else '' end || 'This relates to ' || p_name || ': ' || p_type || '.' "
     "else p_name || ': ' || p_type || '. second: more. Related information: ' || p_brand || '.' end answer from part, (values ('definition'), ('mechanism'), ('causal'), ('general')) k(kind)"
@@ -228,10 +267,18 @@ def template_answer(spark, sf_dir):
     return rows.select("p_partkey", "kind", retrieve.template_answer(F.col("kind"), entities, relations).alias("answer"))
 
 
-_TRIPLES = "t as (select p_name || '|' || p_type source, p_brand || '|' || p_type target, (['treat', 'cause', 'inhibit', 'other'])[1 + p_partkey % 4] relation_type, list(l_orderkey order by l_orderkey) pmids, p_partkey % 2 = 0 sd, p_partkey % 3 = 0 td from part join lineitem on l_partkey = p_partkey group by all)"
-_NAMED = "s as (select distinct n_regionkey query_id, unnest(['ECONOMY', 'ECON', 'SMALL', 'BRAND#' || n_nationkey]) subject from nation), w as (select * from s a where not exists (select 1 from s b where a.query_id = b.query_id and length(b.subject) > length(a.subject) and contains(b.subject, a.subject)))"
+_TRIPLES = (
+    "t as (select p_name || '|' || p_type source, p_brand || '|' || p_type target, (['treat', 'cause', 'inhibit', 'other'])[1 + p_partkey % 4] relation_type, list(l_orderkey order "
+    "by l_orderkey) pmids, p_partkey % 2 = 0 sd, p_partkey % 3 = 0 td from part join lineitem on l_partkey = p_partkey group by all)"
+)
+_NAMED = (
+    "s as (select distinct n_regionkey query_id, unnest(['ECONOMY', 'ECON', 'SMALL', 'BRAND#' || n_nationkey]) subject from nation), w as (select * from s a where not exists (select "
+    "1 from s b where a.query_id = b.query_id and length(b.subject) > length(a.subject) and contains(b.subject, a.subject)))"
+)
 _ENDS = " union all ".join(
-    f"select query_id, '{d}' direction, row_number() over (partition by query_id order by len(pmids) desc, source, relation_type, target, pmids) as rank, source, relation_type, target, pmids from (select distinct query_id, source, relation_type, target, pmids from t join w on list_contains(string_split(upper({e}), '|'), w.subject) where {f} and relation_type <> 'other') qualify rank <= {n}"
+    f"select query_id, '{d}' direction, row_number() over (partition by query_id order by len(pmids) desc, source, relation_type, target, pmids) as rank, source, relation_type, "
+    f"target, pmids from (select distinct query_id, source, relation_type, target, pmids from t join w on list_contains(string_split(upper({e}), '|'), w.subject) where {f} and "
+    f"relation_type <> 'other') qualify rank <= {n}"
     for d, e, f, n in (("forward", "source", "sd", 20), ("reverse", "target", "td", 100))
 )
 
@@ -264,12 +311,20 @@ def question_entities(spark, sf_dir):
     return retrieve.question_entities(questions, lambda q: F.array(F.substring(q, 1, 1)), lambda e: F.array(F.when(F.length(e) > 1, F.concat(e, F.lit("s")))))
 
 
-@query("select conv_id, turn, case when contains(t, 'what is') or contains(t, 'define') or contains(t, 'definition') then 'definition' when contains(t, 'how does') or contains(t, 'how do') or contains(t, 'mechanism') then 'mechanism' when contains(t, 'why') or contains(t, 'reason') or contains(t, 'cause') then 'causal' else 'general' end kind from (select conv_id, turn, lower(text) t from conversations)")
+@query(
+    "select conv_id, turn, case when contains(t, 'what is') or contains(t, 'define') or contains(t, 'definition') then 'definition' when contains(t, 'how does') or contains(t, "
+    "'how do') or contains(t, 'mechanism') then 'mechanism' when contains(t, 'why') or contains(t, 'reason') or contains(t, 'cause') then 'causal' else 'general' end kind from "
+    "(select conv_id, turn, lower(text) t from conversations)"
+)
 def question_type(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.question_type(F.col("text")).alias("kind"))
 
 
-@query("with s as (select upper(n_name) subject, n_regionkey from nation), r as (select subject, 'customer' predicate, c_name as object from s join nation on upper(n_name) = subject join customer on c_nationkey = n_nationkey union all select subject, 'supplier', s_name from s join nation on upper(n_name) = subject join supplier on s_nationkey = n_nationkey) select * from r qualify row_number() over (partition by subject, predicate order by object) <= 20")
+@query(
+    "with s as (select upper(n_name) subject, n_regionkey from nation), r as (select subject, 'customer' predicate, c_name as object from s join nation on upper(n_name) = subject "
+    "join customer on c_nationkey = n_nationkey union all select subject, 'supplier', s_name from s join nation on upper(n_name) = subject join supplier on s_nationkey = n_nationkey) "
+    "select * from r qualify row_number() over (partition by subject, predicate order by object) <= 20"
+)
 def relations_for(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     by_nation = lambda t, key, name: table(spark, sf_dir, t).join(nation, F.col(key) == F.col("n_nationkey")).select("n_name", F.col(name).alias("object"))
@@ -277,7 +332,10 @@ def relations_for(spark, sf_dir):
     return retrieve.relations_for(nation.select(F.lower("n_name").alias("subject")), sources)
 
 
-@query("with s as (select n_regionkey query_id, n_name subject from nation union all select n_regionkey, n_name[1:4] from nation) select * from s a where not exists (select 1 from s b where b.query_id = a.query_id and length(b.subject) > length(a.subject) and contains(b.subject, a.subject))")
+@query(
+    "with s as (select n_regionkey query_id, n_name subject from nation union all select n_regionkey, n_name[1:4] from nation) select * from s a where not exists (select 1 from "
+    "s b where b.query_id = a.query_id and length(b.subject) > length(a.subject) and contains(b.subject, a.subject))"
+)
 def longest_subjects(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("query_id"), F.col("n_name").alias("subject"))
     return retrieve.longest_subjects(n.union(n.select("query_id", F.substring("subject", 1, 4))))
@@ -290,7 +348,8 @@ def textualize(spark, sf_dir):
 
 
 @query(
-    "select s_name subject, 'organisation' predicate, 'Name: ' || s_name || chr(10) || 'Address: ' || s_suppkey || case when s_nationkey % 2 = 0 then chr(10) || 'Country: ' || s_nationkey else '' end as object, case when s_suppkey % 3 = 0 then '' else 'PMID:' || s_suppkey || ' ORPHA:7' end citations from supplier "
+    "select s_name subject, 'organisation' predicate, 'Name: ' || s_name || chr(10) || 'Address: ' || s_suppkey || case when s_nationkey % 2 = 0 then chr(10) || 'Country: ' || "
+    "s_nationkey else '' end as object, case when s_suppkey % 3 = 0 then '' else 'PMID:' || s_suppkey || ' ORPHA:7' end citations from supplier "
     "union all select s_name, 'relation', 'Relation: supplies' || chr(10) || 'Target: ' || s_nationkey, '' from supplier "
     "union all select s_name, 'prevalence', 'Mean value: ' || s_suppkey, 'PMID:' || s_nationkey from supplier where s_suppkey % 5 > 0 "
     "union all select s_name, 'phenotype', 'Phenotype: p' || s_suppkey % 7, '' from supplier union all select s_name, 'literature', 'Target: t' || chr(10) || 'Articles: 1|2', '1 2' from supplier"
@@ -320,7 +379,11 @@ def clean_entity_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(retrieve.clean_entity_names(F.array("c_name")), "|").alias("names"))
 
 
-@query("with a as (select c_custkey row_id, c_nationkey query_id, unnest(['a' || c_custkey % 5, 'b' || c_custkey % 3]) as alias, c_acctbal::double d from customer), e as (select n_nationkey query_id, 'b' || n_nationkey % 3 as alias, 0 tier from nation) select a.row_id, a.query_id, arg_min(a.alias, (coalesce(e.tier, 1), d, a.alias)) as alias from a left join e on e.query_id = a.query_id and e.alias = a.alias group by 1, 2")
+@query(
+    "with a as (select c_custkey row_id, c_nationkey query_id, unnest(['a' || c_custkey % 5, 'b' || c_custkey % 3]) as alias, c_acctbal::double d from customer), e as (select "
+    "n_nationkey query_id, 'b' || n_nationkey % 3 as alias, 0 tier from nation) select a.row_id, a.query_id, arg_min(a.alias, (coalesce(e.tier, 1), d, a.alias)) as alias from "
+    "a left join e on e.query_id = a.query_id and e.alias = a.alias group by 1, 2"
+)
 def best_alias(spark, sf_dir):
     k = F.col("c_custkey")
     aliases = table(spark, sf_dir, "customer").select(k.alias("row_id"), F.col("c_nationkey").alias("query_id"), F.concat(F.lit("a"), (k % 5).cast("string"), F.lit("|b"), (k % 3).cast("string")).alias("aliases"), F.col("c_acctbal").cast("double").alias("distance"))
@@ -328,14 +391,21 @@ def best_alias(spark, sf_dir):
     return retrieve.best_alias(aliases, entities)
 
 
-@query("with d as (select q.vec_id query_id, v.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::double - z[2]::double) ** 2))), 6) distance from embeddings q, embeddings v where q.vec_id % 100 = 0) select query_id, rank::int as rank, vec_id from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d) where rank <= 30")
+@query(
+    "with d as (select q.vec_id query_id, v.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::double - z[2]::double) ** 2))), 6) "
+    "distance from embeddings q, embeddings v where q.vec_id % 100 = 0) select query_id, rank::int as rank, vec_id from (select *, row_number() over (partition by query_id order "
+    "by distance, vec_id) as rank from d) where rank <= 30"
+)
 def knn(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieve.knn(queries, v, 30).select("query_id", "rank", "vec_id")
 
 
-@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))) / sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))), 6) norm, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))), 6) first_value from embeddings")
+@query(
+    "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))) / sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))), 6) norm, round(embedding[1]::double "
+    "/ sqrt(list_sum(list_transform(embedding, lambda x: x::double ** 2))), 6) first_value from embeddings"
+)
 def l2_normalize(spark, sf_dir):
     unit = T.l2_normalize(F.col("embedding"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u"))
@@ -355,6 +425,9 @@ def context_block(spark, sf_dir):
     return retrieve.context_block(rows, ("conv_id",)).select("conv_id", F.md5("context").alias("digest"))
 
 
-@query("select conv_id, turn, md5(h) digest from (select conv_id, turn, role, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') h from conversations) where role = 'user'")
+@query(
+    "select conv_id, turn, md5(h) digest from (select conv_id, turn, role, coalesce(string_agg(role || ': ' || coalesce(text, ''), chr(10)) over (partition by conv_id order by "
+    "turn rows between unbounded preceding and 1 preceding), '') h from conversations) where role = 'user'"
+)
 def conversation_history(spark, sf_dir):
     return retrieve.conversation_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("history").alias("digest"))

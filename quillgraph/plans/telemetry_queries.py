@@ -34,7 +34,12 @@ def metric_history(spark, sf_dir):
     return telemetry.metric_history(table(spark, sf_dir, "events"), "click", AS_OF, "event_type").select("event_id", "value")
 
 
-_METRICS = f"{_OPS}, l as (select *, row_number() over (partition by operation order by ts desc, event_id desc) n from ops), s as (select operation, list_sort(list(duration)) d from l where n <= 1000 group by 1), met as (select operation, count(*) calls, count_if(ok)::bigint as ok, count_if(not ok)::bigint failed, sum(duration) total, min(duration) least, max(duration) most, avg(duration) mean, any_value(d[least(floor(0.95 * len(d))::int + 1, len(d))]) p95, any_value(d[least(floor(0.99 * len(d))::int + 1, len(d))]) p99 from ops join s using (operation) group by 1)"
+_METRICS = (
+    f"{_OPS}, l as (select *, row_number() over (partition by operation order by ts desc, event_id desc) n from ops), s as (select operation, list_sort(list(duration)) d from l "
+    f"where n <= 1000 group by 1), met as (select operation, count(*) calls, count_if(ok)::bigint as ok, count_if(not ok)::bigint failed, sum(duration) total, min(duration) least, "
+    f"max(duration) most, avg(duration) mean, any_value(d[least(floor(0.95 * len(d))::int + 1, len(d))]) p95, any_value(d[least(floor(0.99 * len(d))::int + 1, len(d))]) p99 from "
+    f"ops join s using (operation) group by 1)"
+)
 
 
 @query(f"with {_METRICS} select operation, calls, ok, failed, round(total, 4) total, least, most, round(mean, 6) mean, p95, p99 from met")
@@ -71,32 +76,50 @@ def error_statistics(spark, sf_dir):
     return telemetry.error_statistics(rows, AS_OF)
 
 
-@query("with recursive o as (select sha256(lower(event_type) || '|' || user_id) as key, event_id, epoch_us(ts) t, row_number() over (partition by event_type, user_id order by ts, event_id) n from events), f as (select key, event_id, n, t as held, false hit from o where n = 1 union all select o.key, o.event_id, o.n, case when o.t - f.held <= 86400000000 then f.held else o.t end, o.t - f.held <= 86400000000 from f join o on o.key = f.key and o.n = f.n + 1) select key, event_id, hit from f")
+@query(
+    "with recursive o as (select sha256(lower(event_type) || '|' || user_id) as key, event_id, epoch_us(ts) t, row_number() over (partition by event_type, user_id order by ts, "
+    "event_id) n from events), f as (select key, event_id, n, t as held, false hit from o where n = 1 union all select o.key, o.event_id, o.n, case when o.t - f.held <= 86400000000 "
+    "then f.held else o.t end, o.t - f.held <= 86400000000 from f join o on o.key = f.key and o.n = f.n + 1) select key, event_id, hit from f"
+)
 def cache_hits(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(telemetry.cache_key(F.upper("event_type"), F.col("user_id").cast("string")).alias("key"), "event_id", "ts")
     return telemetry.cache_hits(log, 86400)
 
 
-@query("with recursive o as (select user_id, value v, row_number() over (partition by user_id order by ts, event_id) n from events), f as (select user_id, n, v::double a from o where n = 1 union all select o.user_id, o.n, 0.2 * o.v + 0.8 * f.a from f join o on o.user_id = f.user_id and o.n = f.n + 1) select user_id, round(arg_max(a, n), 6) average from f group by 1")
+@query(
+    "with recursive o as (select user_id, value v, row_number() over (partition by user_id order by ts, event_id) n from events), f as (select user_id, n, v::double a from o where "
+    "n = 1 union all select o.user_id, o.n, 0.2 * o.v + 0.8 * f.a from f join o on o.user_id = f.user_id and o.n = f.n + 1) select user_id, round(arg_max(a, n), 6) average from "
+    "f group by 1"
+)
 def ewma(spark, sf_dir):
     return telemetry.ewma(table(spark, sf_dir, "events"), "user_id", "value", ["ts", "event_id"], 0.2).withColumn("average", F.round("average", 6))
 
 
-@query("with s as (select (5 - left(o_orderpriority, 1)::int)::int priority, count(*) n from orders group by 1) select priority, n, round((coalesce(sum(n) over (order by priority desc rows between unbounded preceding and 1 preceding), 0) + n / 2) / 4 * 2.0, 6) wait_seconds from s")
+@query(
+    "with s as (select (5 - left(o_orderpriority, 1)::int)::int priority, count(*) n from orders group by 1) select priority, n, round((coalesce(sum(n) over (order by priority "
+    "desc rows between unbounded preceding and 1 preceding), 0) + n / 2) / 4 * 2.0, 6) wait_seconds from s"
+)
 def queue_view(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
     rows = rows.select((5 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"), F.to_timestamp(F.lit(AS_OF)).alias("created_at"), F.lit(60).alias("timeout"))
     return telemetry.queue_view(rows, AS_OF)
 
 
-@query("with t as (select *, row_number() over (partition by source order by doc_id desc) n from documents) select *, case when errors > 10 then 'critical' when errors > 5 or warnings > 20 then 'warning' else 'healthy' end status from (select source as file, count_if(doc_id % 7 = 0)::bigint errors, count_if(doc_id % 5 = 0 and doc_id % 7 > 0)::bigint warnings from t where n <= 100 group by 1)")
+@query(
+    "with t as (select *, row_number() over (partition by source order by doc_id desc) n from documents) select *, case when errors > 10 then 'critical' when errors > 5 or warnings "
+    "> 20 then 'warning' else 'healthy' end status from (select source as file, count_if(doc_id % 7 = 0)::bigint errors, count_if(doc_id % 5 = 0 and doc_id % 7 > 0)::bigint warnings "
+    "from t where n <= 100 group by 1)"
+)
 def log_levels(spark, sf_dir):
     d = F.col("doc_id")
     line = F.when(d % 7 == 0, "ERROR x").when(d % 5 == 0, "WARNING y").otherwise("INFO")
     return telemetry.log_levels(table(spark, sf_dir, "documents").select(F.col("source").alias("file"), d.alias("line_no"), line.alias("line")))
 
 
-@query("select conv_id::varchar thread_id, role as type, count(*) steps, round(avg((turn % 4 = 0)::int), 6) error_share, round(avg(turn::double), 6) mean_seconds, round(avg(case when turn % 2 = 0 then turn / 10 end), 6) mean_mark from conversations group by all")
+@query(
+    "select conv_id::varchar thread_id, role as type, count(*) steps, round(avg((turn % 4 = 0)::int), 6) error_share, round(avg(turn::double), 6) mean_seconds, round(avg(case "
+    "when turn % 2 = 0 then turn / 10 end), 6) mean_mark from conversations group by all"
+)
 def thread_rollup(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     step = F.concat_ws("-", "conv_id", "turn")
@@ -111,7 +134,11 @@ def query_statistics(spark, sf_dir):
     return telemetry.query_statistics(log, AS_OF)
 
 
-@query(f"with {_OPS}, w as (select operation, time_bucket(interval 1 hour, ts) - k * interval 1 hour as start, avg((not ok)::int) rate from ops, range(6) r(k) group by all) select operation, epoch_us(start) start, round(rate, 6) rate, coalesce(sum((rate > 0.12)::int) over p = 3, false) firing from w window p as (partition by operation order by start range between interval 2 hours preceding and current row)")
+@query(
+    f"with {_OPS}, w as (select operation, time_bucket(interval 1 hour, ts) - k * interval 1 hour as start, avg((not ok)::int) rate from ops, range(6) r(k) group by all) select "
+    f"operation, epoch_us(start) start, round(rate, 6) rate, coalesce(sum((rate > 0.12)::int) over p = 3, false) firing from w window p as (partition by operation order by start "
+    f"range between interval 2 hours preceding and current row)"
+)
 def windowed_alerts(spark, sf_dir):
     rows = telemetry.windowed_alerts(_ops(spark, sf_dir), 0.12, "6 hours", "1 hour", 3)
     return rows.withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
@@ -126,7 +153,8 @@ _RULES_HELD = "rules(rule, measure, direction, bound, hold) as (values ('slow',
     "m as (unpivot w on p95, errors_per_second, success_share into name measure value v), "
     "bad as (select rule, operation, number, hold, direction, v from m join rules using (measure) where case direction when 'above' then v > bound else v < bound end), "
     "runs as (select *, number - row_number() over (partition by rule, operation order by number) run from bad) "
-    "select rule, operation, (min(number) + any_value(hold) - 1)::bigint begins_hour, max(number)::bigint ends_hour, count(*) windows, round(case any_value(direction) when 'above' then max(v) else min(v) end, 6) worst from runs group by rule, operation, run having count(*) >= any_value(hold)"
+    "select rule, operation, (min(number) + any_value(hold) - 1)::bigint begins_hour, max(number)::bigint ends_hour, count(*) windows, round(case any_value(direction) when 'above' "
+    "then max(v) else min(v) end, 6) worst from runs group by rule, operation, run having count(*) >= any_value(hold)"
 )
 def alert_episodes(spark, sf_dir):
     """Three rules on windows of six hours, each an hour after the other."""
@@ -156,7 +184,11 @@ def step_tree(spark, sf_dir):
     return telemetry.step_tree(rows)
 
 
-@query("with g as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 2 hours then 1 else 0 end s from events window w as (partition by user_id order by ts)), k as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us, count(*) n from k group by user_id, k")
+@query(
+    "with g as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 2 hours then 1 else 0 end s from events window w as (partition by user_id order by "
+    "ts)), k as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us, "
+    "count(*) n from k group by user_id, k"
+)
 def user_sessions(spark, sf_dir):
     rows = telemetry.user_sessions(table(spark, sf_dir, "events"))
     return rows.select("user_id", F.unix_micros(F.col("first").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"), "n")
@@ -165,7 +197,11 @@ def user_sessions(spark, sf_dir):
 _RULES = "r as (select event_type user_type, count(*)::bigint // 2000 + 1 per_minute, count(*)::bigint // 1000 + 1 per_hour from events where event_type <> 'error' group by 1)"
 
 
-@query(f"with {_RULES}, u as (select user_id, event_type user_type, unit, case unit when 'minute' then date_trunc('minute', ts) else date_trunc('hour', ts) end begins, count(*) n from events, (values ('minute'), ('hour')) x(unit) group by all) select u.user_id, u.user_type, u.unit, u.begins, u.n, coalesce(case unit when 'minute' then per_minute else per_hour end, 1) allowed, greatest(u.n - coalesce(case unit when 'minute' then per_minute else per_hour end, 1), 0)::bigint as over from u left join r using (user_type)")
+@query(
+    f"with {_RULES}, u as (select user_id, event_type user_type, unit, case unit when 'minute' then date_trunc('minute', ts) else date_trunc('hour', ts) end begins, count(*) n "
+    f"from events, (values ('minute'), ('hour')) x(unit) group by all) select u.user_id, u.user_type, u.unit, u.begins, u.n, coalesce(case unit when 'minute' then per_minute else "
+    f"per_hour end, 1) allowed, greatest(u.n - coalesce(case unit when 'minute' then per_minute else per_hour end, 1), 0)::bigint as over from u left join r using (user_type)"
+)
 def rate_usage(spark, sf_dir):
     """Event types as types of users; those without an own rule fall under the general one."""
     e = table(spark, sf_dir, "events")
@@ -197,24 +233,37 @@ def _runs(spark, sf_dir):
     return e.groupBy(F.concat(F.col("event_type"), F.lit("_response_time")).alias("metric"), F.date_trunc("day", "ts").alias("ts"), F.dayofmonth("ts").alias("run_id")).agg(F.avg("value").alias("value"))
 
 
-@query(f"with {_RUNS}, x as (select metric, arg_min(value, (ts, run_id)) as first, arg_max(value, (ts, run_id)) as last from runs group by 1) select metric, round(first, 6) as first, round(last, 6) as last, round(last - first, 6) change, round(100 * (last - first) / first, 6) percent from x")
+@query(
+    f"with {_RUNS}, x as (select metric, arg_min(value, (ts, run_id)) as first, arg_max(value, (ts, run_id)) as last from runs group by 1) select metric, round(first, 6) as first, "
+    f"round(last, 6) as last, round(last - first, 6) change, round(100 * (last - first) / first, 6) percent from x"
+)
 def run_trend(spark, sf_dir):
     return evaluate.run_trend(_runs(spark, sf_dir)).withColumns({"first": F.round("first", 6), "last": F.round("last", 6)})
 
 
-@query("select event_type test, count(*) n, count_if(user_id % 9 = 0)::bigint failed, round(count(*) / greatest(max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000), 1), 6) rate, round(avg(value) filter (user_id % 9 > 0), 6) mean, min(value) filter (user_id % 9 > 0) least, max(value) filter (user_id % 9 > 0) most, round(quantile_cont(value, 0.95) filter (user_id % 9 > 0), 6) p95, round(quantile_cont(value, 0.99) filter (user_id % 9 > 0), 6) p99 from events group by 1")
+@query(
+    "select event_type test, count(*) n, count_if(user_id % 9 = 0)::bigint failed, round(count(*) / greatest(max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000), 1), 6) "
+    "rate, round(avg(value) filter (user_id % 9 > 0), 6) mean, min(value) filter (user_id % 9 > 0) least, max(value) filter (user_id % 9 > 0) most, round(quantile_cont(value, "
+    "0.95) filter (user_id % 9 > 0), 6) p95, round(quantile_cont(value, 0.99) filter (user_id % 9 > 0), 6) p99 from events group by 1"
+)
 def load_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("test"), "ts", (F.col("user_id") % 9 > 0).alias("ok"), F.col("value").alias("seconds"))
     return evaluate.load_summary(rows)
 
 
-@query("with x as (select event_type, list_sort(list(value)) d from events group by 1), y as (select *, greatest(1.0, least(0.95 * (len(d) + 1), len(d)::double)) a from x) select event_type, round(d[floor(a)::int] + (a - floor(a)) * (d[least(floor(a)::int + 1, len(d))] - d[floor(a)::int]), 6) p95 from y")
+@query(
+    "with x as (select event_type, list_sort(list(value)) d from events group by 1), y as (select *, greatest(1.0, least(0.95 * (len(d) + 1), len(d)::double)) a from x) select "
+    "event_type, round(d[floor(a)::int] + (a - floor(a)) * (d[least(floor(a)::int + 1, len(d))] - d[floor(a)::int]), 6) p95 from y"
+)
 def percentile_exclusive(spark, sf_dir):
     rows = evaluate.percentiles_exclusive(table(spark, sf_dir, "events"), "event_type", "value", 0.95)
     return rows.select("event_type", F.round("percentile", 6).alias("p95"))
 
 
-@query("select user_id, q, round(percentile, 6) percentile from (select user_id, unnest([0.0, 0.5, 0.9]) q, unnest([quantile_cont(x, 0.0), quantile_cont(x, 0.5), quantile_cont(x, 0.9)]) percentile from (select user_id % 7 user_id, case when event_id % 997 = 0 then value * 1e9 else value end x from events) group by user_id)")
+@query(
+    "select user_id, q, round(percentile, 6) percentile from (select user_id, unnest([0.0, 0.5, 0.9]) q, unnest([quantile_cont(x, 0.0), quantile_cont(x, 0.5), quantile_cont(x, "
+    "0.9)]) percentile from (select user_id % 7 user_id, case when event_id % 997 = 0 then value * 1e9 else value end x from events) group by user_id)"
+)
 def heavy_percentiles(spark, sf_dir):
     """Few keys, some values a thousand million times as large as the others."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("user_id"), F.when(F.col("event_id") % 997 == 0, F.col("value") * 1e9).otherwise(F.col("value")).alias("x"))
@@ -224,25 +273,40 @@ def heavy_percentiles(spark, sf_dir):
 _LEVELS = "lv as (select l_linenumber users, avg(l_quantity::double) + l_linenumber as seconds, l_linenumber < 5 stable from lineitem group by l_linenumber)"
 
 
-@query(f"with {_LEVELS}, x as (select *, min(stable::int) over (order by users) so_far, first_value(seconds) over (order by users) base from lv) select round(regr_slope(seconds, users), 6) slope, max(case when so_far = 1 then users end) most_users, min(case when seconds > 2 * base then users end) breaking_users from x")
+@query(
+    f"with {_LEVELS}, x as (select *, min(stable::int) over (order by users) so_far, first_value(seconds) over (order by users) base from lv) select round(regr_slope(seconds, users), "
+    f"6) slope, max(case when so_far = 1 then users end) most_users, min(case when seconds > 2 * base then users end) breaking_users from x"
+)
 def scalability(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("users")).agg(F.avg(F.col("l_quantity").cast("double")).alias("s"))
     return evaluate.scalability(rows.select("users", (F.col("s") + F.col("users")).alias("seconds"), (F.col("users") < 5).alias("stable")))
 
 
-@query("with s as (select event_type test, ts, event_id, value memory, value seconds_, user_id % 9 > 0 as ok, row_number() over (partition by event_type order by ts, event_id) a, row_number() over (partition by event_type order by ts desc, event_id desc) z from events) select test, round(regr_slope(memory, (epoch_us(ts) // 1000000) / 3600.0), 6) memory_slope, round(avg(memory) filter (a <= 3), 6) as first, round(avg(memory) filter (z <= 3), 6) as last, avg(memory) filter (z <= 3) > 1.2 * avg(memory) filter (a <= 3) leak, round((least(1.0, avg(ok::int) / 0.95) + greatest(0.0, 1 - stddev_samp(seconds_) / avg(seconds_)) + greatest(0.0, 1 - 10 * avg((not ok)::int))) / 3, 6) stability from s group by 1")
+@query(
+    "with s as (select event_type test, ts, event_id, value memory, value seconds_, user_id % 9 > 0 as ok, row_number() over (partition by event_type order by ts, event_id) a, "
+    "row_number() over (partition by event_type order by ts desc, event_id desc) z from events) select test, round(regr_slope(memory, (epoch_us(ts) // 1000000) / 3600.0), 6) memory_slope, "
+    "round(avg(memory) filter (a <= 3), 6) as first, round(avg(memory) filter (z <= 3), 6) as last, avg(memory) filter (z <= 3) > 1.2 * avg(memory) filter (a <= 3) leak, round((least(1.0, "
+    "avg(ok::int) / 0.95) + greatest(0.0, 1 - stddev_samp(seconds_) / avg(seconds_)) + greatest(0.0, 1 - 10 * avg((not ok)::int))) / 3, 6) stability from s group by 1"
+)
 def endurance(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("test"), "ts", F.col("event_id").alias("sample_id"), F.col("value").alias("memory"), F.col("value").alias("seconds"), (F.col("user_id") % 9 > 0).alias("ok"))
     return evaluate.endurance(rows)
 
 
-@query(f"with {_OPS}, a as (select operation, avg(duration) x from ops where user_id % 2 = 0 group by 1), b as (select operation, avg(duration) y from ops where user_id % 2 = 1 group by 1) select operation, round(x, 6) as now, round(y, 6) was, round((x - y) / y, 6) change, (x - y) / y > 0.2 regression from a join b using (operation)")
+@query(
+    f"with {_OPS}, a as (select operation, avg(duration) x from ops where user_id % 2 = 0 group by 1), b as (select operation, avg(duration) y from ops where user_id % 2 = 1 group "
+    f"by 1) select operation, round(x, 6) as now, round(y, 6) was, round((x - y) / y, 6) change, (x - y) / y > 0.2 regression from a join b using (operation)"
+)
 def compare_operations(spark, sf_dir):
     ops = _ops(spark, sf_dir)
     return evaluate.compare_operations(ops.where("user_id % 2 = 0"), ops.where("user_id % 2 = 1"))
 
 
-_REG = f"{_RUNS}, cur as (select metric, max(value) as value from runs group by 1), base as (select metric, min(value) baseline, count(*) samples from runs group by 1), reg as (select metric, baseline, samples, value, (value - baseline) / baseline change from cur join base using (metric)), sev as (select *, case when change >= 1 then 'critical' when change >= 0.5 then 'severe' when change >= 0.25 then 'moderate' when change >= 0.1 then 'minor' else 'none' end severity from reg)"
+_REG = (
+    f"{_RUNS}, cur as (select metric, max(value) as value from runs group by 1), base as (select metric, min(value) baseline, count(*) samples from runs group by 1), reg as (select "
+    f"metric, baseline, samples, value, (value - baseline) / baseline change from cur join base using (metric)), sev as (select *, case when change >= 1 then 'critical' when change "
+    f">= 0.5 then 'severe' when change >= 0.25 then 'moderate' when change >= 0.1 then 'minor' else 'none' end severity from reg)"
+)
 
 
 def _regressions(spark, sf_dir):
@@ -257,13 +321,20 @@ def detect_regressions(spark, sf_dir):
     return _regressions(spark, sf_dir)[2]
 
 
-@query(f"with {_REG} select metric, round(case when (select count(*) from sev where severity = 'critical') > 0 then baseline else 0.2 * value + 0.8 * baseline end, 6) baseline, samples + case when (select count(*) from sev where severity = 'critical') > 0 then 0 else 1 end samples from sev")
+@query(
+    f"with {_REG} select metric, round(case when (select count(*) from sev where severity = 'critical') > 0 then baseline else 0.2 * value + 0.8 * baseline end, 6) baseline, samples "
+    f"+ case when (select count(*) from sev where severity = 'critical') > 0 then 0 else 1 end samples from sev"
+)
 def update_baselines(spark, sf_dir):
     current, base, found = _regressions(spark, sf_dir)
     return evaluate.update_baselines(base, current, found)
 
 
-@query(f"with {_RUNS}, x as (select *, row_number() over (partition by metric order by ts desc, run_id desc) n from runs), y as (select metric, count(*) n, round(regr_slope(value, -n), 6) slope, round(stddev_samp(value) / avg(value), 6) volatility, round(avg(value), 6) mean, round(avg(value) filter (n <= 5), 6) recent from x where n <= 30 group by 1) select *, case when slope < 0 then 'improving' when slope > 0 then 'degrading' else 'stable' end direction from y where n >= 5")
+@query(
+    f"with {_RUNS}, x as (select *, row_number() over (partition by metric order by ts desc, run_id desc) n from runs), y as (select metric, count(*) n, round(regr_slope(value, "
+    f"-n), 6) slope, round(stddev_samp(value) / avg(value), 6) volatility, round(avg(value), 6) mean, round(avg(value) filter (n <= 5), 6) recent from x where n <= 30 group by "
+    f"1) select *, case when slope < 0 then 'improving' when slope > 0 then 'degrading' else 'stable' end direction from y where n >= 5"
+)
 def metric_trends(spark, sf_dir):
     return evaluate.metric_trends(_runs(spark, sf_dir))
 
@@ -274,7 +345,11 @@ def tolerance_check(spark, sf_dir):
     return evaluate.tolerance_check(current.withColumnRenamed("metric", "name"), base.withColumnRenamed("metric", "name").withColumn("tolerance", F.lit(0.3)))
 
 
-_SAT = "sat as (select l_orderkey, l_linenumber, greatest(1.0, least(5.0, 3.0 + (d * 10 - 0.5) * 2 + case when q / 50 > 0.9 then 0.3 when q / 50 < 0.6 then -0.5 else 0 end + case when q < 5 then 0.2 when q > 15 then -0.3 else 0 end + case when l_linenumber % 2 = 0 then 0.2 else 0 end)) score from (select *, l_discount::double d, l_quantity::double q from lineitem))"
+_SAT = (
+    "sat as (select l_orderkey, l_linenumber, greatest(1.0, least(5.0, 3.0 + (d * 10 - 0.5) * 2 + case when q / 50 > 0.9 then 0.3 when q / 50 < 0.6 then -0.5 else 0 end + case "
+    "when q < 5 then 0.2 when q > 15 then -0.3 else 0 end + case when l_linenumber % 2 = 0 then 0.2 else 0 end)) score from (select *, l_discount::double d, l_quantity::double "
+    "q from lineitem))"
+)
 
 
 def _satisfaction(spark, sf_dir):
@@ -288,12 +363,19 @@ def satisfaction(spark, sf_dir):
     return _satisfaction(spark, sf_dir)
 
 
-@query(f"with {_SAT} select case when round(score, 6) >= 4.5 then 'excellent' when round(score, 6) >= 3.5 then 'good' when round(score, 6) >= 2.5 then 'fair' else 'poor' end band, count(*) n, round(100.0 * count(*) / (select count(*) from sat), 6) percent from sat group by 1")
+@query(
+    f"with {_SAT} select case when round(score, 6) >= 4.5 then 'excellent' when round(score, 6) >= 3.5 then 'good' when round(score, 6) >= 2.5 then 'fair' else 'poor' end band, "
+    f"count(*) n, round(100.0 * count(*) / (select count(*) from sat), 6) percent from sat group by 1"
+)
 def satisfaction_histogram(spark, sf_dir):
     return evaluate.satisfaction_histogram(_satisfaction(spark, sf_dir))
 
 
-@query("with t as (select l_linenumber * 10 users, avg((l_tax::double > 0.0)::int) success, avg(l_quantity::double) / 3 mean, count(*)::double rate from lineitem group by 1) select max(case when success >= 0.85 + 0.1 and mean <= 10 then users end)::bigint most_users, max(rate) peak_rate, round(max(case when users = 50 then mean end), 6) mean_at_50 from t")
+@query(
+    "with t as (select l_linenumber * 10 users, avg((l_tax::double > 0.0)::int) success, avg(l_quantity::double) / 3 mean, count(*)::double rate from lineitem group by 1) select "
+    "max(case when success >= 0.85 + 0.1 and mean <= 10 then users end)::bigint most_users, max(rate) peak_rate, round(max(case when users = 50 then mean end), 6) mean_at_50 from "
+    "t"
+)
 def load_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") * 10).alias("users")).agg(F.avg((F.col("l_tax").cast("double") > 0.0).cast("double")).alias("success"), (F.avg(F.col("l_quantity").cast("double")) / 3).alias("mean"), F.count("*").cast("double").alias("rate"))
     return evaluate.load_rollup(rows).select(F.col("most_users").cast("long").alias("most_users"), "peak_rate", F.round("mean_at_50", 6).alias("mean_at_50"))
@@ -313,7 +395,11 @@ def expected_metrics(spark, sf_dir):
     return evaluate.expected_metrics(actual, expected)
 
 
-@query("with s as (select case user_id % 3 when 0 then 'end_to_end' when 1 then 'regression' else 'other' end suite, user_id % 7 > 0 passed, user_id % 2 = 0 critical from events) select avg(passed::int) filter (suite = 'end_to_end') end_to_end, avg(passed::int) filter (suite = 'regression') regression, 0.0::double acceptance, count_if(critical and not passed)::bigint critical_failures, round((avg(passed::int) filter (suite = 'end_to_end') + avg(passed::int) filter (suite = 'regression')) / 3, 6) overall from s")
+@query(
+    "with s as (select case user_id % 3 when 0 then 'end_to_end' when 1 then 'regression' else 'other' end suite, user_id % 7 > 0 passed, user_id % 2 = 0 critical from events) "
+    "select avg(passed::int) filter (suite = 'end_to_end') end_to_end, avg(passed::int) filter (suite = 'regression') regression, 0.0::double acceptance, count_if(critical and "
+    "not passed)::bigint critical_failures, round((avg(passed::int) filter (suite = 'end_to_end') + avg(passed::int) filter (suite = 'regression')) / 3, 6) overall from s"
+)
 def quality_rollup(spark, sf_dir):
     u = F.col("user_id")
     rows = table(spark, sf_dir, "events").select(F.when(u % 3 == 0, "end_to_end").when(u % 3 == 1, "regression").otherwise("other").alias("suite"), (u % 7 > 0).alias("passed"), (u % 2 == 0).alias("critical"))
