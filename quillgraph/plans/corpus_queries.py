@@ -312,7 +312,14 @@ def extraction_stats(spark, sf_dir):
     return extract.extraction_stats(table(spark, sf_dir, "documents"), m, extract.cooccurrence(m, 10))
 
 
-@query()
+_UNESCAPED = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+_PIECES = "array_to_string(list_filter(list_transform(regexp_split_to_array({}, '<!--[^>]*-->|<[^>]*>'), lambda x: regexp_replace({}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')".replace("{}, '^", _UNESCAPED.format("x") + ", '^")
+
+
+@query(
+    "with p as (select page_id doc_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) t, regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)</body>.*$', '') b from pages), "
+    f"x as (select doc_id, {_PIECES.format('t')} t, {_PIECES.format('b')} b from p) select doc_id, concat_ws(chr(10), nullif(t, ''), nullif(b, '')) as text from x"
+)
 def article_text(spark, sf_dir):
     return files.article_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
