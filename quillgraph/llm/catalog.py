@@ -66,7 +66,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return search.search(docs, docs.where("doc_id % 100 = 0"), "doc_id", "text", "doc_id", "text")
+    return search.search(docs, docs.where("doc_id % 100 = 0"), "doc_id", "text", "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_warc": oracles.ARCHIVES,
     "op6_jaccard_join": oracles.JACCARD,
+    "op9_search": oracles.SEARCH,
     "op12_merkle": oracles.merkle(),
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

@@ -32,6 +32,21 @@ select doc_id, n n_shingles, coalesce(component, node, doc_id) component_id, coa
 from known left join lowest using (node) left join copies using (node) left join near using (node)
 """
 
+#: BM25 of every hundredth document over all; contributions are whole multiples of 2^-34, so copies tie.
+SEARCH = """
+with t as materialized (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') w from documents where doc_id is not null),
+size_ as (select doc_id, sum(len(w))::double n from t group by 1),
+stats as (select (select count(*) from t)::double n, greatest((select sum(len(w)) from t) / greatest((select count(*) from t), 1), 1e-9) mean),
+tf as materialized (select doc_id, term, count(*)::double tf from (select doc_id, unnest(w) term from t) group by all),
+df as (select term, count(*) df from tf group by 1),
+q as (select doc_id query_id, tf.term, ln(1 + (stats.n - df + 0.5) / (df + 0.5)) weight from tf join df using (term), stats where doc_id % 100 = 0),
+scored as (
+  select query_id, tf.doc_id, sum(greatest(round(weight * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size_.n / mean))) * 17179869184), 1) / 17179869184) score
+  from q join tf using (term) join size_ on size_.doc_id = tf.doc_id, stats group by all
+)
+select query_id, rank::int as rank, doc_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored) where rank <= 10
+"""
+
 FILL_IN_MIDDLE = """
 with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
 c as (select *, length(t)::bigint n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
