@@ -23,20 +23,25 @@ def sorted_distinct(values: np.ndarray) -> np.ndarray:
     return values[first_of_runs(values)]
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for ``mapInArrow`` that hands its memory back to the system when a task ends.
+    """``run`` for ``mapInArrow`` that hands memory back to the system: what the worker's last task left before it begins, and its own when it ends.
 
     Workers wait for their next task, of this stage or another one: what their allocators keep is lost to the other workers and to the executor.
     """
 
     def wrapped(batches: Iterator) -> Iterator:
+        gc.collect()
+        _give_back()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return wrapped
