@@ -74,3 +74,11 @@ def test_stream_gives_the_episodes_of_the_batch(spark, tmp_path):
         assert rows(spark.table("episodes")) == rows(telemetry.alert_episodes(events(spark, sample()), rules(spark)))
     finally:
         spark.conf.unset(key)
+
+
+def test_p95_of_a_full_window_is_exact(spark):
+    """More calls in a window than a sketch can tell apart."""
+    n = 400_000
+    calls = spark.range(n).select(F.lit("q").alias("operation"), F.timestamp_seconds(F.col("id") % 300).alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("duration"), F.lit(True).alias("ok"))
+    got = [r.value for r in telemetry.window_measures(calls, "5 minutes", "5 minutes").where("measure = 'p95'").collect()]
+    assert got == [sorted(r.duration for r in calls.select("duration").collect())[95 * n // 100 - 1]]
