@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.functions import text as T
 from quillgraph.operators import confidence, evaluate
 
 
@@ -74,3 +75,21 @@ def test_quantiles_by_brute_force(spark):
     nearest = {r.key: r.percentile for r in evaluate.percentiles(df, ["key"], "v", [0.95], "nearest").collect()}
     c = sorted(v for k, v in data if k == "c")
     assert nearest["c"] == c[min(int(0.95 * len(c)), len(c) - 1)]
+
+
+def test_numbers_that_look_like_years(spark):
+    """A number before the year is part of the title, however long."""
+    names = ["study_1977_2002.txt", "study_19771_2021.pdf", "a/b_2015.pdf", "notes_7.txt", "x20190.txt"]
+    docs = spark.createDataFrame([(n,) for n in names], "doc string")
+    got = [tuple(r) for r in docs.select(T.filename_title(F.col("doc")), T.publication_year(F.col("doc"))).collect()]
+    assert got == [("Study 1977", 2002), ("Study 19771", 2021), ("B", 2015), ("Notes 7", None), ("X20190", 2019)]
+
+
+def test_means_at_a_half_are_rounded_up(spark):
+    """Tenths add up exactly."""
+    docs = spark.createDataFrame([(1, f"research{k}_2023" + (".pdf" if k < 41 else ".txt")) for k in range(64)], "query_id long, doc string")
+    entities = spark.createDataFrame([(1, 1, f"research{k}_2023.pdf", 0.5) for k in range(7)], "query_id long, entity_id long, doc string, score double")
+    relations = spark.createDataFrame([], "query_id long, relation_id long, src long, dst long, doc string, score double")
+    bases = spark.createDataFrame([(1, 0.5)], "query_id long, base double")
+    row = confidence.scored_responses(bases, docs, entities, relations, 2024).first()
+    assert row.citation == 0.839063 and row.temporal == 1.0  # (44.8 + 8.2 + 0.7) / 64 = 0.8390625
