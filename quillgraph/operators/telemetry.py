@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +103,30 @@ def cache_key(query: Column, context: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lower(F.trim(query)), context), 256)
 
 
-def _cache_fold(ttl: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        hits, held = [], None
-        for at in pdf["ts"].astype("int64") / 1e9 if pdf["ts"].dtype.kind == "i" else (pdf["ts"] - pd.Timestamp(0)).dt.total_seconds():
-            hit = held is not None and at - held <= ttl
-            held = held if hit else at
-            hits.append(hit)
-        return pdf.assign(hit=hits)[["key", "event_id", "hit"]]
+def _folded(rows: DataFrame, keys: list[str], output: str, start: Callable[[], Callable]) -> DataFrame:
+    """``rows`` of ``keys``, event_id, ts and perhaps more, folded in order of time within each key: (keys, event_id, output).
 
-    return run
+    ``start`` gives a function of (seconds, *more) for each new key. Keys are sorted within partitions and pass in Arrow batches, so many small keys cost no more than one large
+    one, and a task holds a batch and one key's state.
+    """
+    more = [c for c in rows.columns if c not in (*keys, "event_id", "ts")]
+    value = "boolean" if output == "hit" else "string"
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    passed = rows.select(*keys, F.col("event_id").cast("long").alias("event_id"), "ts", *more).repartition(*keys).sortWithinPartitions(*keys, F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            n = len(keys)
+            at = batch.column(n + 1).cast(pa.int64()).to_pylist()
+            found = []
+            for key, t, *rest in zip(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True), at, *(batch.column(i).to_pylist() for i in range(n + 2, batch.num_columns)), strict=True):
+                if step is None or key != now:
+                    now, step = key, start()
+                found.append(step(math.nan if t is None else t / 1e6, *rest))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n + 1)), pa.array(found, pa.bool_() if value == "boolean" else pa.string())], names=[*keys, "event_id", output])
+
+    return passed.mapInArrow(run, ", ".join([*kinds, "event_id long", f"{output} {value}"]))
 
 
 def cache_hits(log: DataFrame, ttl: float = 3600) -> DataFrame:
@@ -119,7 +134,19 @@ def cache_hits(log: DataFrame, ttl: float = 3600) -> DataFrame:
 
     A miss inserts anew, so a key's requests are folded in order; keys are hashes of single queries.
     """
-    return log.select("key", "event_id", "ts").groupBy("key").applyInPandas(_cache_fold(ttl), "key string, event_id long, hit boolean")
+
+    def start():
+        held = None
+
+        def step(at):
+            nonlocal held
+            hit = held is not None and at - held <= ttl
+            held = held if hit else at
+            return hit
+
+        return step
+
+    return _folded(log.select("key", "event_id", "ts"), ["key"], "hit", start)
 
 
 def ewma(df: DataFrame, key: str, value: str, order: Iterable[str], alpha: float, width: float = STRETCH) -> DataFrame:
@@ -343,11 +370,9 @@ def breaker_step(state: dict, at: float, ok: bool, threshold: int, timeout: floa
 def circuit_breaker(events: DataFrame, threshold: int = 5, timeout: float = 300) -> DataFrame:
     """(operation, event_id, state) of each call, by operation and user, in order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start():
         state: dict = {}
-        pdf = pdf.sort_values(["ts", "event_id"])
-        times = (pdf["ts"] - pd.Timestamp(0)).dt.total_seconds()
-        states = [breaker_step(state, at, ok, threshold, timeout) for at, ok in zip(times, pdf["ok"], strict=True)]
-        return pd.DataFrame({"operation": pdf["operation"], "event_id": pdf["event_id"], "state": states})
+        return lambda at, ok: breaker_step(state, at, ok, threshold, timeout)
 
-    return events.select("operation", "user_id", "event_id", "ts", "ok").groupBy("operation", "user_id").applyInPandas(run, "operation string, event_id long, state string")
+    rows = events.select("operation", "user_id", "event_id", "ts", "ok")
+    return _folded(rows, ["operation", "user_id"], "state", start).drop("user_id")
