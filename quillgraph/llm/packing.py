@@ -65,6 +65,7 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
         # the vocabulary spells other than ASCII letters by a sign for each byte
         self.spelled = {k: "".join(map(_sign, chr(k).encode())) for k in range(128, 256)}
 
@@ -88,17 +89,22 @@ class WordEncoder:
 
     def _learn(self, words: list[list[str] | None]) -> None:
         known = self.known
-        unseen = {w for row in words if row is not None for w in row if w not in known}
+        needed = set().union(*(row for row in words if row is not None))
+        unseen = needed.difference(known)
+        self.again.update(needed.difference(unseen))
         if len(known) + len(unseen) > REMEMBERED:
-            known.clear()
-            unseen = set().union(*(row for row in words if row is not None))
+            # most words never come again: those that did since the last time stay, if they leave room
+            stay = self.again if 2 * len(self.again) <= REMEMBERED else needed & self.again
+            self.known = known = {w: known[w] for w in stay}
+            self.again = set()
+            unseen = needed.difference(known)
         # a mark after letters is a token of its own, if they are still letters when normalised: a combining sign would join it
         marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha() and (w.isascii() or self._normal(w[:-1]).isalpha())]
         parts = unseen.difference(marked).union(*((w[:-1], w[-1]) for w in marked))
         new = [w for w in parts if w not in known]
         letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]
         tokenize = self.tokenizer.model.tokenize
-        known.update((w, array("I", [t.id for t in tokenize(w.translate(self.spelled))]).tobytes()) for w in letters)
+        known.update((w, array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(self.spelled))]).tobytes()) for w in letters)
         plain = [w for w in new if w not in known]
         known.update(zip(plain, self._encode(plain), strict=True))
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
@@ -119,8 +125,8 @@ def tokenise(docs: DataFrame, path: str, end_id: int | None = END_ID, sequence:
         key = (path, end_id)
         encoder = _encoders.get(key) or _encoders.setdefault(key, WordEncoder(path, end_id))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     total = len(ids) // 4

@@ -90,3 +90,21 @@ def test_words_with_combining_signs_have_the_tokenizers_ids():
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.WordEncoder(PATH, None).encode(texts)]
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_words_that_come_again_are_learnt_once(monkeypatch):
+    """Words of one text alone don't push out the others, and ids stay those of the vocabulary."""
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(path)
+    learnt = []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: learnt.extend(texts) or encode(texts))
+    often = [f"often{k}x." for k in range(50)]
+    for turn in range(12):
+        once = [f"once{turn}y{k}" for k in range(100)]
+        text = " ".join(often + once)
+        got = np.frombuffer(encoder.encode([text])[0], "<u4")[:-1].tolist()
+        assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 500
+    assert sum(w.startswith("often") for w in learnt) <= 2 * 50
