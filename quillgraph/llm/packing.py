@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillgraph.llm.arrays import giving_back
+from quillgraph.llm.arrays import first_of_runs, giving_back
 from quillgraph.runtime import materialise
 
 SEQUENCE = 2048
@@ -32,9 +32,13 @@ GAP = 5e-4
 MAX_COLUMNS = 20_000
 #: Weight of the stable prices against the simplex prices when a column is priced.
 PULL = 0.8
-#: Marks that are often written right after a word.
-MARKS = frozenset(".,;:!?")
-#: Words whose ids a worker remembers.
+#: Classes of the signs of Latin-1 by their numbers, as the vocabulary's splitter sees them.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+CLASSES = np.array([SPACE if c.isspace() else LETTER if c.isalpha() else NUMBER if c.isnumeric() else OTHER for c in map(chr, range(256))], np.uint8)
+#: Stands for a word beyond Latin-1; texts that hold this sign are encoded whole.
+BEYOND = "\x1c"
+CLASSES[ord(BEYOND)] = NUMBER
+#: Pieces whose ids a worker remembers.
 REMEMBERED = 200_000
 #: Pieces of one length are ranked in groups of about so many.
 RANKED = 2000
@@ -50,13 +54,40 @@ def _sign(byte: int) -> str:
     return chr(256 + hidden.index(byte))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _starts(signs: np.ndarray) -> np.ndarray:
+    """Whether a piece or white space starts at each sign of a lower-cased text, given as Latin-1: runs of letters or other signs, and single numbers.
+
+    ``'s 't 'm 'd 're 've 'll`` after anything but an other sign are pieces, and what is left of their word is one more. The text ends with three blanks.
+    """
+    kind = CLASSES[signs]
+    starts = first_of_runs(kind) | (kind == NUMBER)
+    at = np.flatnonzero((signs == ord("'")) & starts)
+    at = at[at < len(signs) - 3]
+    at = at[kind[at + 1] == LETTER]
+    one, two = signs[at + 1], signs[at + 2]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    held = long | np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    at, rest = at[held], at[held] + 2 + long[held]
+    starts[at + 1] = False
+    starts[rest] |= kind[rest] == LETTER
+    return starts
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normaliser and splitter never look across white space, so the ids of a text are
-    those of its words, and a word is encoded once for as long as it is remembered. Words of lower-case Latin letters
-    need no normalising or splitting and go to the vocabulary's merges at once. Texts in which
-    white space or special tokens could be understood differently are encoded whole.
+    those of its words. Words of Latin-1 are lower-cased sign by sign and split where the classes of their signs change, for some texts at once; their pieces go to the
+    vocabulary's merges. Other words take the tokenizer's whole way. A piece is encoded once for as long as it is remembered: the distinct pieces of some texts are
+    looked up once, and the texts' ids are gathered from theirs in one step. Texts in which white space or special tokens could be understood differently are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
@@ -64,55 +95,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
-        # the vocabulary spells other than ASCII letters by a sign for each byte
-        self.spelled = {k: "".join(map(_sign, chr(k).encode())) for k in range(128, 256)}
-
-    def _normal(self, word: str) -> str:
-        normaliser = self.tokenizer.normalizer
-        return normaliser.normalize_str(word) if normaliser else word
+        self.known: dict[bytes | str, bytes] = {}
+        self.again: set[bytes | str] = set()
+        # the vocabulary spells other than printable ASCII by a sign for each byte
+        self.spelled = {k: "".join(map(_sign, chr(k).encode())) for k in range(256) if not 0x20 <= k < 0x7F}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         parts = (texts[at : at + 2048] for at in range(0, len(texts), 2048))
         return [array("I", e.ids).tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[str] | None:
-        """The text's words, lower-cased where that is done letter by letter; None if it is to be encoded whole."""
+    def _ready(self, text: str, beyond: list[str]) -> str | None:
+        """The text in lower case, its words beyond Latin-1 moved to ``beyond``; None if it is to be encoded whole."""
         if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)):
             return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split()
-        return text.lower().split()
-
-    def _learn(self, words: list[list[str] | None]) -> None:
+        if _latin(text):
+            return text.lower()
+        words = text.split()
+        plain = [_latin(w) for w in words]
+        beyond += [w for w, p in zip(words, plain, strict=True) if not p]
+        return " ".join([w.lower() if p else BEYOND for w, p in zip(words, plain, strict=True)])
+
+    def _learn(self, pieces: list[bytes | str]) -> None:
         known = self.known
-        needed = set().union(*(row for row in words if row is not None))
-        unseen = needed.difference(known)
-        self.again.update(needed.difference(unseen))
+        unseen = [p for p in pieces if p not in known]
+        self.again.update(set(pieces).difference(unseen))
         if len(known) + len(unseen) > REMEMBERED:
-            # most words never come again: those that did since the last time stay, if they leave room
-            stay = self.again if 2 * len(self.again) <= REMEMBERED else needed & self.again
-            self.known = known = {w: known[w] for w in stay}
+            # most pieces never come again: those that did since the last time stay, if they leave room
+            stay = self.again if 2 * len(self.again) <= REMEMBERED else self.again.intersection(pieces)
+            self.known = known = {p: known[p] for p in stay}
             self.again = set()
-            unseen = needed.difference(known)
-        # a mark after letters is a token of its own, if they are still letters when normalised: a combining sign would join it
-        marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha() and (w.isascii() or self._normal(w[:-1]).isalpha())]
-        parts = unseen.difference(marked).union(*((w[:-1], w[-1]) for w in marked))
-        new = [w for w in parts if w not in known]
-        letters = [w for w in new if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff")]
+            unseen = [p for p in pieces if p not in known]
         tokenize = self.tokenizer.model.tokenize
-        known.update((w, array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(self.spelled))]).tobytes()) for w in letters)
-        plain = [w for w in new if w not in known]
-        known.update(zip(plain, self._encode(plain), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
+        new = [p for p in unseen if isinstance(p, bytes)]
+        for some in ([p for p in new if p.isascii()], [p for p in new if not p.isascii()]):
+            spelled = b" ".join(some).decode("latin-1").translate(self.spelled).split(" ")
+            known.update((p, array("I", [t.id for t in tokenize(s)]).tobytes()) for p, s in zip(some, spelled, strict=False))
+        words = [p for p in unseen if isinstance(p, str)]
+        known.update(zip(words, self._encode(words), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [self._words(t or "") for t in texts]
-        self._learn(words)
-        return [(b"".join(map(self.known.__getitem__, w)) if w is not None else self._encode([t])[0]) + self.end for t, w in zip(texts, words, strict=True)]
+        beyond: list[str] = []
+        ready = [self._ready(t or "", beyond) for t in texts]
+        signs = np.frombuffer("\n".join([*(r or "" for r in ready), "\n\n"]).encode("latin-1"), np.uint8)
+        held = CLASSES[signs] != SPACE
+        starts = np.flatnonzero(_starts(signs) & held)
+        places = np.append(np.cumsum(held)[starts] - 1, held.sum())
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(signs[held])]).dictionary_encode()
+        which, pieces = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if beyond:
+            number = {w: len(pieces) + k for k, w in enumerate(dict.fromkeys(beyond))}
+            which = which.copy()
+            which[which == pieces.index(BEYOND.encode())] = [number[w] for w in beyond]
+            pieces += number
+        # the sign itself is no piece
+        self._learn([p for p in pieces if p != BEYOND.encode()])
+        ids = [self.known.get(p, b"") for p in pieces]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # where a piece's ids begin among the distinct ones, less where they begin in the texts
+        shift = (np.cumsum(lengths) - lengths)[which] - ends[:-1]
+        found = np.frombuffer(b"".join(ids), "<u4")[np.repeat(shift, n) + np.arange(ends[-1])].tobytes()
+        first = np.cumsum([0, *(len(r or "") + 1 for r in ready)])
+        bounds = (4 * ends[np.searchsorted(starts, first)]).tolist()
+        return [(found[a:b] if r is not None else self._encode([t])[0]) + self.end for t, r, a, b in zip(texts, ready, bounds[:-1], bounds[1:], strict=True)]
 
 
 _encoders: dict[tuple, WordEncoder] = {}

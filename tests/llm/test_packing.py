@@ -108,3 +108,19 @@ def test_words_that_come_again_are_learnt_once(monkeypatch):
         assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert len(encoder.known) <= 500
     assert sum(w.startswith("often") for w in learnt) <= 2 * 50
+
+
+def test_pieces_of_latin_words_are_merged_once(monkeypatch):
+    """Marks, numbers and contractions don't make a word new, and only words beyond Latin-1 take the tokenizer's whole way."""
+    r = random.Random(20)
+    signs = [*"abstrevlmdÀß'''\"09,.&* \n", "\x85", "\x07", "\xad", "½", "re", "'s", "'ve", "'ll", "日", "é", "’s"]
+    texts = ["it's 'store ''s 're\"'d l'", "naïve naïve!! (naïve) naïve&&& naïve's 7naïve", None, "'", "a’s 日 it's b", *("".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(4000))]
+    encoder = packing.WordEncoder(PATH, None)
+    whole = []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda words: whole.extend(words) or encode(words))
+    assert encoder.encode([]) == []
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    assert whole and all(max(w) > "\xff" for w in whole)
