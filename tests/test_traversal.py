@@ -1,6 +1,7 @@
 """What traversal moves, and edges found from their nearer end."""
 
 from quillgraph.operators import graph
+from quillgraph.plans import registry
 
 
 def test_edges_are_written_once_and_met_from_the_nearer_end(spark, monkeypatch):
@@ -23,3 +24,10 @@ def test_edges_are_written_once_and_met_from_the_nearer_end(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "a", 0, 0), (1, "a", "b", 0, 1), (1, "a", "hub", 0, 1), (1, "a", "hub", 0, 1), (1, "b", "a", 1, 0), (2, "hub", "x7", 1, 0)]
     paths = {(r.query_id, r.node_id): r.path for r in graph.traverse_paths(starts, edges, 2).collect()}
     assert paths[1, "x3"] == ["a", "hub", "x3"] and paths[1, "c"] == ["a", "b", "c"] and paths[2, "b"] == ["x7", "hub", "b"] and len(paths) == 54 + 53
+
+
+def test_the_query_tells_the_paths_of_both_hops(spark):
+    """The edges of suppliers that are two hops away count too, not only those of the starts."""
+    rows = registry.QUERIES["edge_paths"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.depth for r in rows} == {0, 1} and all(r.from_node[0] == "sp"[r.depth] for r in rows)
+    assert len({(r.query_id, r.edge_id) for r in rows}) == len(rows)
