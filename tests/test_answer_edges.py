@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import answers, graph, graphsets
+from quillgraph.plans import registry
 
 
 def test_counts_and_nearest_edges_are_those_of_edge_paths(spark, monkeypatch):
@@ -50,3 +51,30 @@ def test_nothing_is_written_for_each_question_and_edge(spark, monkeypatch):
     assert len(found) == 100 and {(r.n_edges, r.n_relations, r.depth_reached) for r in found} == {(600, 10, 2)}
     # what is reached is 302 nodes for each question; edges come as 10 rows
     assert max(n for label, n in sizes.items() if label not in ("frontier",)) <= 1000, sizes
+
+
+def test_edges_around_are_the_nearest_without_reaching_all_nodes(spark, monkeypatch):
+    """Hubs, loops, opposite edges, ties, starts without edges, at three depths; what is written is bounded by k for each query and depth."""
+    draw = random.Random(5)
+    ends = [(f"v{int(120 * draw.random() ** 2)}", f"v{draw.randrange(150)}") for _ in range(90)] + [("v0", f"v{k}") for k in range(0, 150, 2)] + [("v3", "v3"), ("v149", "v0"), ("v0", "v149")]
+    edges = spark.createDataFrame([(f"e{k:03d}", a, b, draw.choice([0.3, 0.5, None, 0.9])) for k, (a, b) in enumerate(ends)], "edge_id string, src string, dst string, confidence double")
+    starts = spark.createDataFrame([(q, f"v{draw.randrange(160)}") for q in range(90) for _ in range(1 + q % 3)], "query_id long, node_id string")
+    columns = ["query_id", "n", "edge_id", "from_node", "to_node", "depth", "confidence"]
+    for depth, k in ((1, 10), (2, 10), (3, 4)):
+        want = graph.nearest_edges(graph.traverse(starts, edges, depth), edges, depth, k).select(columns).collect()
+        with monkeypatch.context() as patch:
+            sizes, real = [], graph.materialise
+            patch.setattr(graph, "materialise", lambda df, label: sizes.append((out := real(df, label)).count()) or out)
+            got = graph.edges_around(starts, edges, depth, k).select(columns).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.depth for r in got}) == depth and len(got) > 250
+        assert max(sizes) <= 90 * k
+
+
+def test_queries_over_parts_take_every_step(spark):
+    """Answers with relations and confidences beyond the mean relevance."""
+    data = "/root/testdata/sf0.01"
+    rows = registry.QUERIES["answer_queries"](spark, data).collect()
+    assert {r.status for r in rows} == {"empty", "too_long", "no_hit", "answered"}
+    found = [r for r in rows if r.status == "answered"]
+    assert all(r.n_relations == 10 and r.n_documents > 5 and r.confidence > r.base_confidence for r in found)
+    assert any("This relates to " in r.answer for r in found) and all("order " in r.answer for r in found if " is " not in r.answer and "This relates" not in r.answer)
