@@ -71,10 +71,13 @@ def test_edges_around_are_the_nearest_without_reaching_all_nodes(spark, monkeypa
 
 
 def test_queries_over_parts_take_every_step(spark):
-    """Answers with relations and confidences beyond the mean relevance."""
+    """Answers with relations and confidences beyond the mean relevance; evidence with pieces and documents."""
     data = "/root/testdata/sf0.01"
     rows = registry.QUERIES["answer_queries"](spark, data).collect()
     assert {r.status for r in rows} == {"empty", "too_long", "no_hit", "answered"}
     found = [r for r in rows if r.status == "answered"]
     assert all(r.n_relations == 10 and r.n_documents > 5 and r.confidence > r.base_confidence for r in found)
     assert any("This relates to " in r.answer for r in found) and all("order " in r.answer for r in found if " is " not in r.answer and "This relates" not in r.answer)
+    parts = registry.QUERIES["assemble_evidence"](spark, data).groupBy("part").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.min("text").alias("text")).collect()
+    assert {r.part: (r.n, r.scored) for r in parts if r.part != "document"} == {"entity": (100, 100), "relation": (200, 200)}
+    assert all(" | order " in r.text for r in parts if r.part == "relation") and any(r.part == "document" and r.n > 1000 for r in parts)
