@@ -5,13 +5,15 @@ bounds their scores. Term frequencies over all documents, their number and their
 the shards. All terms of a query count. Queries visit each shard in blocks: short ones with block-max WAND, which skips documents that
 cannot reach the k-th score so far; long ones, for which no bound is tight, by adding up all their postings.
 
-Shards are visited in rounds, each with about as many as all before it. What a query has found after a round is a threshold for the
-next one, so a round adds about k documents to a query, whatever the number of shards. All of it merges to the exact top k.
+Shards are visited in rounds, each with about three times as many as all before it. What a query has found after a round is a threshold for the
+next one, so a round adds about 3 k documents to a query, whatever the number of shards. All of it merges to the exact top k.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +42,7 @@ QUERY_BLOCK = 1_000_000
 #: Scores, and postings, that a shard works on at once.
 CELLS, PIECE = 2_000_000, 500_000
 #: A product of full matrices takes about this part of the time of adding up one posting.
-DENSE = 64
+DENSE = 256
 #: Contributions are multiples of this, so sums of them are exact in any order and copies of a document tie.
 QUANTUM = 2.0**-34
 REMEMBERED = 200_000
@@ -53,7 +55,8 @@ _BOUND = np.dtype([("tf", "<u4"), ("length", "<i8")])
 
 def terms_of(text: str | None) -> list[str]:
     """Lower-case runs of letters and digits of the whole text."""
-    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    text = (text or "").lower()
+    return re.findall("[a-z0-9]+", text) if text.isascii() else regex.findall(r"[\p{L}\p{N}]+", text)
 
 
 class _Hashes(dict):
@@ -161,38 +164,43 @@ def _gains(weight, tf, length, mean: float):
     return np.maximum(np.round(weight * impact(tf, length, mean) / QUANTUM), 1) * QUANTUM
 
 
-@dataclass
+class Postings:
+    """One term in one shard, as lists that all queries read: documents, contributions, and the bound and last document of each block."""
+
+    def __init__(self, weight: float, postings: np.ndarray, bounds: np.ndarray, lengths: np.ndarray, mean: float):
+        self.docs = postings["doc"].tolist()
+        self.gains = _gains(weight, postings["tf"].astype(float), lengths[postings["doc"]], mean).tolist()
+        self.bounds = _gains(weight, bounds["tf"].astype(float), bounds["length"], mean).tolist()
+        self.lasts = [*self.docs[BLOCK - 1 : len(self.docs) - 1 : BLOCK], self.docs[-1]]
+        self.whole = max(self.bounds)
+
+
 class Cursor:
-    """One query term in one shard: its postings, what bounds its blocks, and how far it has been read."""
+    """How far a query has read a term's postings."""
 
-    weight: float
-    postings: np.ndarray
-    bounds: np.ndarray
-    at: int = 0
+    __slots__ = ("at", "doc", "of", "whole")
 
-    def __post_init__(self):
-        self.docs, self.whole, self.size = self.postings["doc"], float(self.bounds.max()), len(self.postings)
-        self.doc = int(self.docs[0])
+    def __init__(self, of: Postings):
+        self.of, self.at, self.doc, self.whole = of, 0, of.docs[0], of.whole
 
     def seek(self, doc: int) -> bool:
         """Move to the first posting at or after a document; whole blocks are passed over by their last documents."""
-        while (end := min((self.at // BLOCK + 1) * BLOCK, self.size)) < self.size and self.docs[end - 1] < doc:
-            self.at = end
-        self.at += int(np.searchsorted(self.docs[self.at : end], doc))
-        if self.at < self.size:
-            self.doc = int(self.docs[self.at])
-        return self.at < self.size
+        of = self.of
+        block = bisect_left(of.lasts, doc, self.at // BLOCK)
+        if block == len(of.lasts):
+            self.at = len(of.docs)
+            return False
+        self.at = bisect_left(of.docs, doc, max(self.at, block * BLOCK), min((block + 1) * BLOCK, len(of.docs)))
+        self.doc = of.docs[self.at]
+        return True
 
     def block(self, doc: int) -> tuple[float, int]:
         """Bound and last document of the block that would hold a document, without reading it; (0, -1) if there is none."""
-        at = self.at // BLOCK
-        while (end := min((at + 1) * BLOCK, self.size)) < self.size and self.docs[end - 1] < doc:
-            at += 1
-        last = int(self.docs[end - 1])
-        return (float(self.bounds[at]), last) if last >= doc else (0.0, -1)
+        at = bisect_left(self.of.lasts, doc, self.at // BLOCK)
+        return (self.of.bounds[at], self.of.lasts[at]) if at < len(self.of.lasts) else (0.0, -1)
 
 
-def block_max_wand(cursors: list[Cursor], k: int, ids: np.ndarray, lengths: np.ndarray, mean: float, floor: float = -1.0) -> list[tuple[float, int]]:
+def block_max_wand(cursors: list[Cursor], k: int, ids: np.ndarray, floor: float = -1.0) -> list[tuple[float, int]]:
     """The k best (score, id) of one shard with a score of at least ``floor``.
 
     Documents are met in order; the pivot is the first one that the terms' bounds let reach the k-th score so far, and the blocks
@@ -223,7 +231,7 @@ def block_max_wand(cursors: list[Cursor], k: int, ids: np.ndarray, lengths: np.n
         if close >= least:
             move = doc
             if live[0].doc == doc:
-                score = float(sum(_gains(c.weight, float(c.postings["tf"][c.at]), lengths[doc], mean) for c in live[: pivot + 1]))
+                score = sum(c.of.gains[c.at] for c in live[: pivot + 1])
                 entry = (score, -int(ids[doc]))
                 if score >= floor and len(heap) < k:
                     heapq.heappush(heap, entry)
@@ -274,13 +282,16 @@ def score_shard(block: Block, ids: np.ndarray, lengths: np.ndarray, terms: np.nd
     ends = np.cumsum(held)
     blocks = -(-counts // BLOCK)
     mark = (np.cumsum(blocks) - blocks)[place]
-    for q in np.flatnonzero(short & (held > 0)):
+    read: dict[int, Postings] = {}
+    for q in np.flatnonzero(short & (held > 0)).tolist():
         cursors = []
-        for c in column[ends[q] - held[q] : ends[q]]:
-            own, weight = bounds[mark[c] : mark[c] + blocks[place[c]]], float(block.weights[c])
-            cursors.append(Cursor(weight, postings[source[c] : source[c] + size[c]], _gains(weight, own["tf"].astype(float), own["length"], mean)))
-        best = block_max_wand(cursors, k, ids, lengths, mean, block.floors[q])
-        yield np.full(len(best), block.queries[q]), np.array([d for _, d in best], np.int64), np.array([x for x, _ in best])
+        for c in column[ends[q] - held[q] : ends[q]].tolist():
+            if c not in read:
+                read[c] = Postings(float(block.weights[c]), postings[source[c] : source[c] + size[c]], bounds[mark[c] : mark[c] + blocks[place[c]]], lengths, mean)
+            cursors.append(Cursor(read[c]))
+        best = block_max_wand(cursors, k, ids, float(block.floors[q]))
+        if best:
+            yield np.full(len(best), block.queries[q]), np.array([d for _, d in best], np.int64), np.array([x for x, _ in best])
     # the others: every posting of their terms
     size[np.setdiff1d(np.arange(len(size)), column[~short[at]])] = 0
     begin = np.cumsum(size) - size
@@ -377,7 +388,7 @@ def search(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     chosen = materialise(weighted.select("query_id", "term", "weight"), "search-queries")
     blocks = max(1, -(-chosen.count() // QUERY_BLOCK))
     top = max(0, (lengths["shards"] // FIRST_SHARDS).bit_length() - 1)
-    rounds = [index.where(F.col("level") >= top), *(index.where(F.col("level") == level) for level in range(top - 1, -1, -1))]
+    rounds = [index.where(F.col("level") >= top), *(index.where(F.col("level").between(level - 1, level)) for level in range(top - 1, -1, -2))]
     merged = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     answers = []
     for number in range(blocks):
