@@ -48,8 +48,20 @@ def test_only_like_sizes_meet_and_signatures_are_as_long_as_their_sets(spark, mo
     assert {r.rep: r.b for r in found} == {0: 8, 1: 8, 2: 16, 3: 128, 4: 256}
     n = np.sort(np.tile(2 ** np.arange(1, 9), 500)).astype(np.int32)
     zeros = [bytes(int(b) // 8) for b in similar._bits(n)]
-    rows = pa.table({"token": np.zeros(len(n), np.int64), "rep": np.arange(len(n)), "n": n, "place": np.ones(len(n), np.int32), "signature": pa.array(zeros, pa.binary())})
+    rows = pa.table({"token": np.zeros(len(n), np.int64), "before": np.arange(len(n)), "rep": np.arange(len(n)), "n": n, "place": np.ones(len(n), np.int32), "signature": pa.array(zeros, pa.binary())})
     monkeypatch.setattr(similar, "PAIRS", 10_000)
     pieces = list(similar._meeting(rows, 0.8))
     assert sum(len(a) for a, _ in pieces) == 8 * 500 * 499 // 2 and max(len(a) for a, _ in pieces) <= 10_000
     assert all((n[a] == n[b]).all() for a, b in pieces)
+
+
+def test_pairs_meet_once_for_each_run_of_common_tokens():
+    """Two copies with 50 common prefix tokens in two runs meet twice, not 50 times."""
+    rows = []
+    for rep in (0, 1):
+        order = [*range(30), 100 + rep, *range(30, 50)]
+        rows += [(t, order[k - 1] if k else None, rep, 260, k + 1, bytes(64)) for k, t in enumerate(order)]
+    rows.sort(key=lambda r: (r[0], r[3]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["token", "before", "rep", "n", "place", "signature"])
+    assert sum(len(a) for a, _ in similar._meeting(table, 0.8)) == 2
